@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tissuemill.llm._shared import BLANKS, durable, let, words
 
 #: Statistics that rules may test; all are doubles in [0, inf), none depends on ids, source or language.
-FEATURES = ("n_words", "word_length", "symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "distinct_share")
+FEATURES = ("n_words", "word_length", "symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "stutter_share")
 
 NGRAM = 5
 
@@ -34,7 +34,7 @@ def text_statistics(text: Column) -> Column:
     """Struct of whole-text counts: long fields, all 0 for null and empty texts.
 
     ``n_words``, ``word_chars`` (code points in words), ``n_symbols``, ``n_upper``,
-    ``n_bangs``, ``n_distinct`` (different words), ``n_lines`` and ``n_dup_lines``
+    ``n_bangs``, ``n_stutter`` (words equal to the next one), ``n_lines`` and ``n_dup_lines``
     (lines with a word; those equal to an earlier one), ``n_repeat_words`` (words in
     five-word windows that the text has twice or more, the first included). Windows are
     compared by 64-bit hash; only a text whose windows repeat is sorted.
@@ -50,7 +50,7 @@ def text_statistics(text: Column) -> Column:
         repeats = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(_covered(h)))
         return F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(F.concat_ws("", w)).cast("long").alias("word_chars"),
-            F.size(F.array_distinct(w)).cast("long").alias("n_distinct"), repeats.cast("long").alias("n_repeat_words"),
+            F.size(F.filter(w, lambda x, i: x == F.get(w, i + 1))).cast("long").alias("n_stutter"), repeats.cast("long").alias("n_repeat_words"),
         )
 
     counted = let(words(text), of)
@@ -58,9 +58,9 @@ def text_statistics(text: Column) -> Column:
     both = let(F.struct(counted.alias("w"), line_counts.alias("l")), lambda s: F.struct(
         s["w"]["n_words"].alias("n_words"), s["w"]["word_chars"].alias("word_chars"), removed(r"[#*$%&|<>]").alias("n_symbols"),
         removed(r"\P{Lu}+").alias("_not_upper"), (F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit("")))).cast("long").alias("n_bangs"),
-        F.length(text).cast("long").alias("_chars"), s["w"]["n_distinct"].alias("n_distinct"), s["l"]["n_lines"].alias("n_lines"),
+        F.length(text).cast("long").alias("_chars"), s["w"]["n_stutter"].alias("n_stutter"), s["l"]["n_lines"].alias("n_lines"),
         s["l"]["n_dup_lines"].alias("n_dup_lines"), s["w"]["n_repeat_words"].alias("n_repeat_words")))
-    return let(both, lambda s: F.struct(*[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_bangs", "n_distinct", "n_lines", "n_dup_lines", "n_repeat_words")], (s["_chars"] - s["_not_upper"]).alias("n_upper")))
+    return let(both, lambda s: F.struct(*[s[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_bangs", "n_stutter", "n_lines", "n_dup_lines", "n_repeat_words")], (s["_chars"] - s["_not_upper"]).alias("n_upper")))
 
 
 def features(stats: Column) -> Column:
@@ -69,7 +69,7 @@ def features(stats: Column) -> Column:
     value = {
         "n_words": stats["n_words"].cast("double"), "word_length": over("word_chars", "n_words"), "symbol_share": over("n_symbols", "word_chars"),
         "upper_share": over("n_upper", "word_chars"), "bang_share": over("n_bangs", "word_chars"), "dup_line_share": over("n_dup_lines", "n_lines"),
-        "repeat_share": over("n_repeat_words", "n_words"), "distinct_share": over("n_distinct", "n_words"),
+        "repeat_share": over("n_repeat_words", "n_words"), "stutter_share": over("n_stutter", "n_words"),
     }
     return F.struct(*[value[f].alias(f) for f in FEATURES])
 
@@ -122,25 +122,26 @@ class RuleList:
 
 
 def learn_rules(
-    labelled: DataFrame, *, n_cuts: int = 32, max_rules: int = 12, max_conditions: int = 3, min_bad: int = 5, min_precision: float = 0.95,
+    labelled: DataFrame, *, n_cuts: int = 64, max_rules: int = 12, max_conditions: int = 3, min_bad: int = 5, min_precision: float = 0.98,
 ) -> RuleList:
     """Learn a rule list from ``labelled(id, bad 0/1, f struct)`` by sequential covering.
 
     Two thirds of the rows, by a hash of the id, grow rules and one third prunes them.
-    A rule grows by the condition with the largest FOIL gain among the quantiles of
-    each feature, loses trailing conditions that do not help on the pruning rows, and is
+    A rule grows by the condition with the largest FOIL gain among each feature's quantiles
+    in either class, loses trailing conditions that do not help on the pruning rows, and is
     kept if there it holds for ``min_bad`` bad texts with ``min_precision``. Rows it
     covers are then left out. Every count is one grouped aggregate over all labelled
     rows; the driver sees only a table of features times cuts. No labels, or none that
     are bad: no rules.
     """
     cuts_of = F.array(*[F.lit(i / n_cuts) for i in range(1, n_cuts)])
-    quantiles = labelled.agg(*[F.percentile_approx(F.col("f")[f], cuts_of, F.lit(10_000)).alias(f) for f in FEATURES]).first()
-    cuts = {f: sorted(set(quantiles[f] or [])) for f in FEATURES}
-    binned = labelled.select(
-        "bad", (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune"), "f",
-        F.array(*[F.struct(F.lit(f).alias("feature"), F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[f]]) if cuts[f] else F.array().cast("array<double>"), lambda c, f=f: c <= F.col("f")[f])).alias("bin")) for f in FEATURES]).alias("bins"),
-    )
+    quantiles = labelled.groupBy("bad").agg(*[F.percentile_approx(F.col("f")[f], cuts_of, F.lit(10_000)).alias(f) for f in FEATURES]).collect()
+    cuts = {f: sorted({c for row in quantiles for c in row[f]}) for f in FEATURES}
+    def bin_of(f: str) -> Column:
+        return F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts[f]]), lambda c: c <= F.col("f")[f])) if cuts[f] else F.lit(0)
+
+    bins = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in FEATURES])
+    binned = labelled.select("bad", (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune"), "f", bins.alias("bins"))
     rows = durable(binned, "rule-rows")
     out = RuleList()
     for _ in range(max_rules):

@@ -81,7 +81,7 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
         return (F.lit((s * 64 + k) << wide) + hole).cast("long")
 
     index = prints.select("fp", F.explode(F.array(*[key(*x) for x in keys])).alias("key"))
-    a, b = index.select("key", F.col("fp").alias("a")), index.select("key", F.col("fp").alias("b"))
+    a, b = index.select("key", F.col("fp").alias("a")), index.select(F.col("key").alias("same"), F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     place = F.shiftright("key", wide)
     accepted = F.lit(False)
@@ -89,10 +89,10 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
     for s, (first, width) in enumerate(segments):
         d = diff.bitwiseAND(F.lit(_mask(first, width)))
         at = place - s * 64
-        only = (d == 0) & (at == 0) | (d == F.shiftleft(F.lit(1).cast("long"), (at + first).cast("int")))
+        only = (d == 0) & (at == 0) | (d == F.call_function("shiftleft", F.lit(1).cast("long"), (at + first).cast("int")))
         accepted = accepted | ((F.floor(place / 64) == s) & far & only)
         far = far & (F.bit_count(d) >= 2)
-    return a.join(b, (a["key"] == b["key"]) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= most) & accepted).select("a", "b")
+    return a.join(b, (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= most) & accepted).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
