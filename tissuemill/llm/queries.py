@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuemill.llm import mixing, quality_rules, simhash
+from tissuemill.llm import mixing, pii, quality_rules, simhash, url_filter
 from tissuemill.llm._shared import durable
 
 
@@ -34,6 +34,22 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    n_of = {f"n_{k}": _count_kind(i) for i, k in enumerate(pii.KINDS)}
+    return found.select("doc_id", *[c.alias(n) for n, c in n_of.items()], F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+
+
+def _count_kind(kind: int) -> Column:
+    """Number of base spans of a kind."""
+    return F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = url_filter.judge_urls(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+    return judged.withColumnRenamed("id", "page_id")
+
+
 _ROUND = """
 o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE q IS NOT NULL AND NOT drawn AND size <= left_),
 u{k} AS (SELECT source, max(q) FILTER (WHERE run <= left_) AS cut, coalesce(max(run) FILTER (WHERE run <= left_), 0) AS used FROM o{k} GROUP BY source),
@@ -62,7 +78,7 @@ SELECT id AS doc_id, size, source_size, target, ((whole + drawn::INT) * size)::B
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing, op4_pii, op6_url_filter)
     return {f.__name__: f for f in found}
 
 
