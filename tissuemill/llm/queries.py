@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuemill.llm import mixing, pii, quality_rules, simhash, url_filter
+import corpus_pipeline
+from tissuemill.llm import knn_quality, metric_join, mixing, packing, pii, quality_rules, sentence_spans, simhash, url_filter, warc
 from tissuemill.llm._shared import durable
 
 
@@ -50,6 +52,36 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.withColumnRenamed("id", "page_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sentence_spans.repeated_spans(_table(spark, sf_dir, "documents"))
+    listed = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["start"], s["end"])), ",")
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_chars", "n_sentences", "n_removed", removed.alias("removed_chars"), listed.alias("removed_spans"))
+
+
+def op8_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = metric_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    scored = knn_quality.score(docs, knn_quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return scored.select(F.col("id").alias("doc_id"), (knn_quality.remainder(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _ROUND = """
 o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE q IS NOT NULL AND NOT drawn AND size <= left_),
 u{k} AS (SELECT source, max(q) FILTER (WHERE run <= left_) AS cut, coalesce(max(run) FILTER (WHERE run <= left_), 0) AS used FROM o{k} GROUP BY source),
@@ -78,7 +110,7 @@ SELECT id AS doc_id, size, source_size, target, ((whole + drawn::INT) * size)::B
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing, op4_pii, op6_url_filter)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing, op4_pii, op5_warc, op6_url_filter, op7_sentence_spans, op8_metric_join, op9_packing, op10_knn_quality, pipeline)
     return {f.__name__: f for f in found}
 
 
