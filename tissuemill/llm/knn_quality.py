@@ -45,7 +45,9 @@ def term_vector(text: str | None, terms: Terms) -> np.ndarray:
     shapes = np.bincount(both % N_SHAPES, minlength=N_SHAPES)
     out[N_WORDS : N_WORDS + N_SHAPES] = np.sqrt(shapes / len(found))
     stutter = float((both[1:] == both[:-1]).mean()) if len(both) > 1 else 0.0
-    runs = both[4:] * 1_000_003 ** 4 + both[3:-1] * 1_000_003 ** 3 + both[2:-2] * 1_000_003 ** 2 + both[1:-3] * 1_000_003 + both[:-4] if len(both) > 4 else both[:0]
+    runs = both[: max(0, len(both) - 4)]
+    for k in range(1, 5):
+        runs = runs * 1_000_003 + both[k : k + len(runs)]  # wraps around, as hashes do
     repeat = 1 - len(np.unique(runs)) / len(runs) if len(runs) else 0.0
     levels = out[N_WORDS + N_SHAPES :]
     levels[min(15, int(stutter * 16))] = levels[16 + min(15, int(repeat * 16))] = 1
