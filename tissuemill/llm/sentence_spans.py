@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from tissuemill.llm._shared import durable
 
-_SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+_SENTENCE = re.compile(r"[^.!?,;:\n]+[.!?,;:\n]*|[.!?,;:\n]+")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
     """(start, end, words joined by one space) of each sentence that has a word.
 
-    A sentence runs up to and with the next full stops, question or exclamation marks or
-    line ends; stretches without a word belong to none.
+    A sentence runs up to and with the next punctuation marks or line ends; commas,
+    semicolons and colons count, so that a long sentence is several and a passage that
+    begins within one still has whole ones. Stretches without a word belong to none.
     """
     out = []
     for m in _SENTENCE.finditer(text):
@@ -69,7 +70,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -
     return rows.mapInArrow(run, "id long, uid long, n_chars long, starts array<int>, ends array<int>, first array<int>, past array<int>, hash array<long>")
 
 
-def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int = 25) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int = 16) -> DataFrame:
     """What each document repeats: ``(id, uid, n_chars, n_sentences, n_removed, spans)``.
 
     Every run of several consecutive sentences is hashed; over all documents the first
