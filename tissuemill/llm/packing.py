@@ -18,23 +18,44 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class WordIds(dict):
-    """Token ids of words as bytes, remembered up to a bound.
+    """Token ids of words as bytes; two generations of a bounded number of words are remembered.
 
     A tokenizer that drops white space and never joins across it gives a text the ids of
-    its words in a row, so only new words are tokenized.
+    its words in a row, so only new words are tokenized. Letters and what follows them
+    are tokens apart in such a tokenizer, and case is dropped, so a word with capitals or a
+    full stop or comma behind its letters takes the ids of the plain word.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 300_000):
         super().__init__({"": b""})
-        self.tokenizer, self.kind, self.most = Tokenizer.from_file(path), kind, most
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.most:
+        tokenizer = Tokenizer.from_file(path)
+        self.encode, self.model, self.kind, self.most, self.older = tokenizer.encode, tokenizer.model, kind, most, {}
+        self.stops = {c: self._ids(c) for c in ".,"}
+        # plain letters may go to the model without the tokenizer's steps around it, if those leave them alone
+        self.plain = all(self._letters(w) == self._ids(w) for w in ("a", "the", "packing", "zqxjkvb", "indexes"))
+
+    def _ids(self, word: str) -> bytes:
+        return np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if (out := self.older.get(word)) is not None:
+            self[word] = out
+            return out
+        plain = word.lower() if "\u03a3" not in word else word  # a capital sigma's lower case depends on its place
+        stem = plain[:-1] if plain[-1] in self.stops else plain
+        if stem.isalpha() and (stem != word or len(stem) != len(plain)):
+            out = self[stem] + (self.stops[plain[-1]] if len(stem) != len(plain) else b"")
+        else:
+            out = self._letters(word) if self.plain and word == stem and word.isascii() and word.isalpha() else self._ids(word)
+        if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-            new = list(words)
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self[w] = np.array(e.ids, self.kind).tobytes()
+            self[""] = b""
+        self[word] = out
+        return out
 
 
 def _kind(vocabulary: int) -> str:
@@ -61,7 +82,6 @@ def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 texts = [(t or "").replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-                known.learn({w for t in texts for w in t} | {""})
                 ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
                 arrays = [np.frombuffer(x, kind) for x in ids]
                 yield pa.RecordBatch.from_arrays([
