@@ -73,7 +73,7 @@ def knn_distance(points: DataFrame, k: int, axes: Sequence[str] = AXES, self_loo
     order = Window.partitionBy("site", "src").orderBy("d2", "dst")
     other = [] if self_loops else [F.col("src") != F.col("dst")]
     while True:
-        left, right = _sides(todo, axes, cell, 1)
+        left, right = _sides(todo, axes, cell, 1)[0], _sides(points, axes, cell, 1)[1]
         keys = ["site", *[f"g_{x}" for x in axes]]
         met = left.join(right, [left[x].eqNullSafe(right[x]) for x in keys] + other).select(left["site"], "src", "dst", _squared(axes).alias("d2"))
         every = Window.partitionBy("site", "src")
