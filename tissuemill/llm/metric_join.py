@@ -3,28 +3,35 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from tissuemill.llm._shared import connected_components, durable
 
 
-def unit_vectors(vectors: pd.Series) -> np.ndarray:
-    """Rows of unit length in double precision."""
-    x = np.array(vectors.tolist(), np.float64)
-    x = x / np.abs(x).max(axis=1, keepdims=True)
-    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+def unit_rows(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Rows of unit length in double precision, from at least one list without nulls; all lists are equally long."""
+    flat = pc.list_flatten(vectors).to_numpy(zero_copy_only=False) if isinstance(vectors, pa.Array) else pc.list_flatten(vectors).to_numpy()
+    x = flat.astype(np.float64).reshape(len(vectors), -1)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x
 
 
 def vector_classes(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, DataFrame]:
     """Rows ``(id, v, fit)`` and one class ``(cid, v, n)`` per different vector that can link.
 
     Vectors that are null, empty, zero or hold a null or non-finite component cannot link, nor rows without id.
+    Vectors of floats stay so, all others are of doubles.
     """
-    v = F.col(vector_col)
+    kind = rows.schema[vector_col].dataType
+    v = F.col(vector_col) if isinstance(kind, ArrayType) and isinstance(kind.elementType, FloatType) else F.col(vector_col).cast("array<double>")
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fit = F.coalesce((F.size(v) > 0) & finite & F.exists(v, lambda x: x != 0) & F.col(id_col).isNotNull(), F.lit(False))
     kept = rows.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), fit.alias("fit"))
@@ -32,61 +39,71 @@ def vector_classes(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
 
 def choose_pivots(classes: DataFrame, per_cell: int, most: int) -> np.ndarray:
-    """Unit vectors of the pivots: one per ``per_cell`` classes, at most ``most``, in hash order; vectors of the commonest length."""
-    n, dim = classes.count(), classes.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
+    """Unit vectors of the pivots: one per ``per_cell`` classes, at most ``most``, in hash order."""
+    n = classes.count()
     if not n:
         return np.zeros((0, 0))
     k = min(most, max(1, math.ceil(n / per_cell)))
-    return unit_vectors(classes.where(F.size("v") == dim[0]["d"]).orderBy(F.xxhash64("cid"), "cid").limit(k).toPandas()["v"])
+    return unit_rows(classes.orderBy(F.xxhash64("cid"), "cid").limit(k).select("v").toArrow()["v"])
 
 
-def _cells(classes: DataFrame, pivots: np.ndarray, radius: float) -> DataFrame:
+def _cells(classes: DataFrame, pivots: np.ndarray, radius: float, part_rows: int = 512) -> DataFrame:
     """``(cell, home, cid, n, v)``: each class in the cell of its nearest pivot, and in earlier cells it may reach.
 
     A vector nearer to pivot i than to j lies at least ``(d_j^2 - d_i^2) / (2 d_ij)`` from
-    any point of cell j: the triangle inequality's bound for a hyperplane. Of two cells the one with the smaller number gets the copy.
+    any point of cell j: the triangle inequality's bound for a hyperplane. Of two cells the
+    one with the smaller number gets the copy. The slack outweighs rounding, which for
+    pivots that nearly coincide may misjudge their distance by some 1e-8.
     """
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
+    kind = classes.schema["v"].dataType.simpleString()
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        apart = np.sqrt(np.maximum(((p[:, None, :] - p[None, :, :]) ** 2).sum(-1), 0)) if len(p) <= 512 else np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
+        apart = np.sqrt(np.maximum(2 - 2 * p @ p.T, 0))
         for b in batches:
-            if not len(b):
-                continue
-            x = unit_vectors(b["v"])
-            d2 = 2 - 2 * (x @ p.T)
-            home = d2.argmin(axis=1)
-            gap = d2 - d2[np.arange(len(x)), home][:, None]
-            near = gap <= 2 * (radius + 1e-9) * apart[home] + 1e-9
-            near &= np.arange(len(p))[None, :] < home[:, None]
-            row, cell = np.nonzero(near)
-            at = np.concatenate((np.arange(len(x)), row))
-            yield pd.DataFrame({"cell": np.concatenate((home, cell)).astype("int32"), "home": np.arange(len(at)) < len(x), "cid": b["cid"].to_numpy()[at], "n": b["n"].to_numpy()[at], "v": [b["v"].iloc[i] for i in at]})
-
-    return classes.select("cid", "n", "v").mapInPandas(run, "cell int, home boolean, cid long, n long, v array<double>")
+            for start in range(0, b.num_rows, part_rows):
+                part = b.slice(start, part_rows)
+                x = unit_rows(part.column("v"))
+                d2 = 2 - 2 * (x @ p.T)
+                home = d2.argmin(axis=1)
+                gap = d2 - d2[np.arange(len(x)), home][:, None]
+                near = gap <= 2 * radius * apart[home] + 1e-7
+                near &= np.arange(len(p))[None, :] < home[:, None]
+                row, cell = np.nonzero(near)
+                at = pa.array(np.concatenate((np.arange(len(x)), row)))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate((home, cell)), pa.int32()), pa.array(np.arange(len(at)) < len(x)),
+                    part.column("cid").take(at), part.column("n").take(at), part.column("v").take(at)], names=["cell", "home", "cid", "n", "v"])
+
+    return classes.select("cid", "n", "v").mapInArrow(run, f"cell int, home boolean, cid long, n long, v {kind}")
 
 
 def _link_block(threshold: float):
     """Links of one block of a cell's own vectors with one chunk of its vectors: weights and a spanning forest."""
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        own, other = rows[rows["own"]], rows[~rows["own"]]
-        none = pd.DataFrame({"cid": np.zeros(0, "int64"), "links": np.zeros(0, "int64"), "root": np.zeros(0, "int64")})
-        if not len(own) or not len(other):
-            return none
-        a, b = unit_vectors(own["v"]), unit_vectors(other["v"])
-        ia, ib, na, nb = own["cid"].to_numpy(), other["cid"].to_numpy(), own["n"].to_numpy(), other["n"].to_numpy()
-        home = other["home"].to_numpy()
-        hit = np.zeros((len(a), len(b)), bool)
-        for s in range(0, len(a), 512):
-            block = a[s : s + 512] @ b.T >= threshold
-            # of two vectors of this cell, the pair is counted where the other has the larger id
-            block &= ~home[None, :] | (ib[None, :] > ia[s : s + 512, None])
-            hit[s : s + 512] = block
-        wa, wb = hit @ nb, na @ hit
-        root_a, root_b = _forest(hit, ia, ib)
-        out = pd.DataFrame({"cid": np.concatenate((ia, ib)), "links": np.concatenate((wa, wb)), "root": np.concatenate((root_a, root_b))})
-        return out[out["links"] > 0]
+    def run(rows: pa.Table) -> pa.Table:
+        own, other = rows.filter(rows["own"]), rows.filter(pc.invert(rows["own"]))
+        cids, links, roots = (np.zeros(0, np.int64) for _ in range(3))
+        if own.num_rows and other.num_rows:
+            a, b = unit_rows(own["v"]), unit_rows(other["v"])
+            ia, ib, na, nb = own["cid"].to_numpy(), other["cid"].to_numpy(), own["n"].to_numpy(), other["n"].to_numpy()
+            home = other["home"].to_numpy()
+            hit = np.zeros((len(a), len(b)), bool)
+            wa, wb = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+            for s in range(0, len(a), 512):
+                part = slice(s, s + 512)
+                block = a[part] @ b.T >= threshold
+                if not block.any():
+                    continue
+                # of two vectors of this cell, the pair is counted where the other has the larger id
+                block &= ~home[None, :] | (ib[None, :] > ia[part, None])
+                hit[part] = block
+                wa[part] = block @ nb
+                wb += na[part] @ block
+            root_a, root_b = _forest(hit, ia, ib)
+            some_a, some_b = wa > 0, wb > 0
+            cids, links, roots = (np.concatenate((x[some_a], y[some_b])) for x, y in ((ia, ib), (wa, wb), (root_a, root_b)))
+        return pa.table({"cid": pa.array(cids, pa.int64()), "links": pa.array(links, pa.int64()), "root": pa.array(roots, pa.int64())})
 
     return run
 
@@ -114,7 +131,7 @@ def _forest(hit: np.ndarray, ia: np.ndarray, ib: np.ndarray) -> tuple[np.ndarray
     return root_a, root_b
 
 
-def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, per_cell: int = 2000, most_pivots: int = 1024, block: int = 2048) -> DataFrame:
+def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, per_cell: int = 4096, most_pivots: int = 1024, block: int = 4096) -> DataFrame:
     """``(id, n_links, component, kept)`` for each row: links at a cosine of ``threshold`` or more.
 
     Equal vectors are one class with a weight. Unit vectors at that cosine are at most
@@ -125,23 +142,24 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "vec_id", vector_col: str
     spanning forest, never all pairs. The driver sees the pivots and the cell sizes,
     both bounded by ``most_pivots``. Rows that cannot link have 0 links and are their own
     component; so are rows without id (null). Repeated rows link with each other.
+    Vectors that can link but differ in length raise ``ValueError``.
     """
     kept, classes = vector_classes(rows, id_col=id_col, vector_col=vector_col)
-    classes = durable(classes.withColumn("v", F.col("v").cast("array<double>")), "vector-classes")
+    classes = durable(classes, "vector-classes")
     dims = [r["d"] for r in classes.select(F.size("v").alias("d")).distinct().limit(2).collect()]
     if len(dims) > 1:
         raise ValueError("vectors of different lengths cannot be compared")
     pivots = choose_pivots(classes, per_cell, most_pivots)
-    cells = durable(_cells(classes, pivots, math.sqrt(2 - 2 * threshold)), "vector-cells")
+    cells = durable(_cells(classes, pivots, math.sqrt(2 - 2 * threshold) + 1e-9), "vector-cells")
     sizes = cells.groupBy("cell").agg(F.ceil(F.sum(F.col("home").cast("long")) / block).alias("blocks"), F.ceil(F.count(F.lit(1)) / block).alias("chunks"))
     placed = cells.join(F.broadcast(sizes), "cell").withColumns({"b": F.pmod(F.xxhash64("cid"), "blocks"), "c": F.pmod(F.xxhash64("cid", F.lit(1)), "chunks")})
     own = placed.where("home").select("cell", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("c"), F.lit(True).alias("own"), "home", "cid", "n", "v")
-    other = placed.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "c", F.lit(False).alias("own"), "home", "cid", "n", "v").where("b >= 0")
-    linked = durable(own.unionByName(other).groupBy("cell", "b", "c").applyInPandas(_link_block(threshold - 1e-12), "cid long, links long, root long"), "vector-links")
+    other = placed.where("blocks > 0").select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("b"), "c", F.lit(False).alias("own"), "home", "cid", "n", "v")
+    linked = durable(own.unionByName(other).groupBy("cell", "b", "c").applyInArrow(_link_block(threshold - 1e-12), "cid long, links long, root long"), "vector-links")
     weight = linked.groupBy("cid").agg(F.sum("links").alias("links"))
     roots = connected_components(linked.select(F.col("cid").alias("a"), F.col("root").alias("b")))
     named = classes.join(weight, "cid", "left").join(roots.withColumnRenamed("node", "cid"), "cid", "left").select(
         F.col("v").alias("_v"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "cid").alias("component"))
-    unit = kept.where("fit").withColumn("_v", F.col("v").cast("array<double>")).join(durable(named, "vector-named"), "_v").select("id", "n_links", "component")
+    unit = kept.where("fit").join(durable(named, "vector-named"), F.col("v") == F.col("_v")).select("id", "n_links", "component")
     alone = kept.where("not fit").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     return unit.unionByName(alone).withColumn("kept", F.col("id") == F.col("component"))
