@@ -2,60 +2,102 @@
 
 from __future__ import annotations
 
+import functools
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
 from tissuemill.llm._shared import durable
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+#: Signs that may stand behind a word's letters.
+_SIGNS = string.punctuation.replace("_", "")
+#: Byte-level vocabularies show printable bytes as themselves, the others in turn from 256 on; here spaces stay, as they part words.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = np.zeros(256, "<u4")
+_BYTE_CHARS[_SHOWN] = _SHOWN
+_BYTE_CHARS[np.setdiff1d(np.arange(256), _SHOWN)] = 256 + np.arange(256 - len(_SHOWN))
+_BYTE_CHARS[32] = 32
 
-class WordIds(dict):
+
+class WordIds:
     """Token ids of words as bytes; two generations of a bounded number of words are remembered.
 
-    A tokenizer that drops white space and never joins across it gives a text the ids of
-    its words in a row, so only new words are tokenized. Letters and what follows them
-    are tokens apart in such a tokenizer, and case is dropped, so a word with capitals or a
-    full stop or comma behind its letters takes the ids of the plain word.
+    For tokenizers that drop white space and case and never join across spaces or between
+    letters and signs: a text has the ids of its words in a row, and a word of letters and
+    ASCII signs behind them has those of both. The new letter words of many texts go to the
+    tokenizer's model in one call, past its steps before it, which would leave them alone;
+    all other words are tokenized as they are.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 300_000):
-        super().__init__({"": b""})
-        tokenizer = Tokenizer.from_file(path)
-        self.encode, self.model, self.kind, self.most, self.older = tokenizer.encode, tokenizer.model, kind, most, {}
-        self.stops = {c: self._ids(c) for c in ".,"}
-        # plain letters may go to the model without the tokenizer's steps around it, if those leave them alone
-        self.plain = all(self._letters(w) == self._ids(w) for w in ("a", "the", "packing", "zqxjkvb", "indexes"))
+    def __init__(self, path: str, kind: str, most: int = 250_000):
+        self.tokenizer, self.kind, self.most, self.known, self.older = Tokenizer.from_file(path), kind, most, {"": b""}, {}
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
+        size, suffix = self.tokenizer.get_vocab_size(), self.tokenizer.model.end_of_word_suffix
+        self.ends = np.zeros(size, bool)
+        if suffix:
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        probe = ["a", "the", "packing", "zqxjkvb", "\u00fcber\u00e9", "\u0434\u0430", "\u6f22\u5b57"]
+        self.bulk = bool(suffix) and all(self._ids(w + "##,") == self._ids(w) + self._ids("##,") for w in probe) and self._bulk(probe) == [self._ids(w) for w in probe]
 
     def _ids(self, word: str) -> bytes:
-        return np.array(self.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
-
-    def _letters(self, word: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(word)], self.kind).tobytes()
-
-    def __missing__(self, word: str) -> bytes:
-        if (out := self.older.get(word)) is not None:
-            self[word] = out
-            return out
-        plain = word.lower() if "\u03a3" not in word else word  # a capital sigma's lower case depends on its place
-        stem = plain[:-1] if plain[-1] in self.stops else plain
-        if stem.isalpha() and (stem != word or len(stem) != len(plain)):
-            out = self[stem] + (self.stops[plain[-1]] if len(stem) != len(plain) else b"")
-        else:
-            out = self._letters(word) if self.plain and word == stem and word.isascii() and word.isalpha() else self._ids(word)
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-            self[""] = b""
-        self[word] = out
-        return out
+        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def _bulk(self, stems: list[str]) -> list[bytes]:
+        """Ids of lower-case letter words: one call for all, cut where a token ends a word."""
+        line = _BYTE_CHARS[np.frombuffer(" ".join(stems).encode(), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.letters.encode_batch_fast([line], add_special_tokens=False)[0].ids, self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize).tolist()
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *cuts], cuts)]
+
+    def _learn(self, words: list[str]) -> None:
+        known = self.known
+        # the tokenizer lower-cases letter by letter, so a capital sigma never becomes a final one
+        plain = "\n".join(words).replace("\u03a3", "\u03c3").lower().split("\n")
+        stems = [w.rstrip(_SIGNS) for w in plain]
+        new = [s for s in set(stems).difference(known) if s.isalpha() and (s.isascii() or unicodedata.is_normalized("NFC", s))] if self.bulk else []
+        ids = dict(zip(new, self._bulk(new))) if new else {}
+        signs = {"": b""}
+        for w, p, s in zip(words, plain, stems):
+            found = ids.get(s) or (known.get(s) if self.bulk and s.isalpha() else None)
+            if found and len(p) > len(s):
+                if (end := p[len(s) :]) not in signs:
+                    signs[end] = self._ids(end)
+                found += signs[end]
+            known[w] = found or self._ids(w)
+
+    def ids(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text, null as empty; a word is looked up once however often the texts hold it."""
+        parts = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
+        coded = parts.flatten().dictionary_encode()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        if len(self.known) >= self.most:
+            self.known, self.older = {"": b""}, self.known
+        if fresh := set(words).difference(self.known):
+            again = fresh.intersection(self.older)
+            self.known.update(zip(again, map(self.older.__getitem__, again)))
+            if len(again) < len(fresh):
+                self._learn(list(fresh.difference(again)))
+        found = pa.array(map(self.known.__getitem__, words), pa.binary(), size=len(words))
+        return pc.binary_join(pa.ListArray.from_arrays(parts.offsets, found.take(coded.indices)), b"")
+
+
+@functools.lru_cache(maxsize=1)
+def _words_of(path: str, kind: str) -> WordIds:
+    """One worker's memory of words, for all tasks it runs."""
+    return WordIds(path, kind)
 
 
 def _kind(vocabulary: int) -> str:
@@ -76,17 +118,15 @@ def tokenize(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_co
     kind = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(tokenizer, kind)
+        known = _words_of(tokenizer, kind)
         end = np.array([end_id], kind).tobytes()
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                texts = [(t or "").replace("\n", " ").split(" ") for t in part.column("text").to_pylist()]
-                ids = [b"".join(map(known.__getitem__, t)) + end for t in texts]
-                arrays = [np.frombuffer(x, kind) for x in ids]
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                ids = pc.binary_join_element_wise(known.ids(part.column("text")), end, b"")
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), part.column("seq"), pa.array([len(a) for a in arrays], pa.int64()),
-                    pa.array([_closeness(a) for a in arrays], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "seq", "n", "key", "ids"])
+                    part.column("doc_id"), part.column("seq"), pc.divide(pc.binary_length(ids).cast(pa.int64()), len(end)),
+                    pa.array([_closeness(np.frombuffer(x.as_buffer(), kind)) for x in ids], pa.int64()), ids], names=["doc_id", "seq", "n", "key", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("seq"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, seq long, n long, key long, ids binary")
@@ -97,6 +137,7 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
     kind = _kind(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _words_of.cache_clear()  # the words are done with
         counts = np.zeros(vocabulary, np.int64)
         for b in batches:
             for x in b.column("ids"):
@@ -141,10 +182,9 @@ class Shard:
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every tail for the seed's terms."""
-        a, z = self.first[self.of[seed] : self.of[seed + 1]], self.last[self.of[seed] : self.of[seed + 1]]
-        n = z - a
-        at = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        return np.bincount(self.posting[at], self.weight[at], minlength=len(self.doc))
+        own = slice(self.of[seed], self.of[seed + 1])
+        lists = [slice(a, z) for a, z in zip(self.first[own].tolist(), self.last[own].tolist())]
+        return np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), minlength=len(self.doc))
 
     def place(self, tail: int, length: int, offset: int) -> None:
         self.pieces.append((self.doc[tail], int(self.start[tail]), length, self.sequence, offset))
