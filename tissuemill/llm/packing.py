@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import itertools
 import string
 import unicodedata
 import zlib
@@ -138,10 +139,13 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _words_of.cache_clear()  # the words are done with
-        counts = np.zeros(vocabulary, np.int64)
+        counts, seen = np.zeros(vocabulary, np.int64), np.zeros(vocabulary, bool)
         for b in batches:
             for x in b.column("ids"):
-                counts[np.unique(np.frombuffer(x.as_buffer(), kind))] += 1
+                seen[np.frombuffer(x.as_buffer(), kind)] = True
+                held = np.flatnonzero(seen)
+                counts[held] += 1
+                seen[held] = False
         held = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(counts[held], pa.int64())], names=["token", "n"])
 
@@ -154,7 +158,7 @@ def document_frequencies(tokens: DataFrame, vocabulary: int) -> np.ndarray:
 class Shard:
     """A BM25 inverted index over the tails of one shard's documents, and the packing of them."""
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, window: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, window: int, k1: float = 1.2, b: float = 0.75, dense_part: int = 8):
         self.window, self.pieces, self.sequence = window, [], 0
         owner = []
         for d, ids in enumerate(docs):
@@ -178,13 +182,25 @@ class Shard:
         by_term = np.argsort(self.term, kind="stable")
         self.posting, self.weight = piece[by_term], weight[by_term]
         ordered = self.term[by_term]
-        self.first, self.last = np.searchsorted(ordered, self.term, "left"), np.searchsorted(ordered, self.term, "right")
+        first, last = np.searchsorted(ordered, self.term, "left"), np.searchsorted(ordered, self.term, "right")
+        # frequent terms have a row of weights for all tails, the others a list of postings
+        often = (last - first) * dense_part > n
+        terms, row = np.unique(self.term[often], return_inverse=True)
+        self.dense = np.zeros((len(terms), n), np.float32)
+        self.dense[row, piece[often]] = weight[often]
+        self.rows = [row[a:z] for a, z in itertools.pairwise(np.concatenate(([0], np.cumsum(often)))[self.of].tolist())]
+        self.first, self.last = np.where(often, 0, first), np.where(often, 0, last)
 
     def scores(self, seed: int) -> np.ndarray:
         """BM25 of every tail for the seed's terms."""
         own = slice(self.of[seed], self.of[seed + 1])
-        lists = [slice(a, z) for a, z in zip(self.first[own].tolist(), self.last[own].tolist())]
-        return np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), minlength=len(self.doc))
+        lists = [slice(a, z) for a, z in zip(self.first[own].tolist(), self.last[own].tolist()) if z]
+        held = np.zeros(len(self.dense), np.float32)
+        held[self.rows[seed]] = 1
+        near = (held @ self.dense).astype(float)
+        if lists:
+            near += np.bincount(np.concatenate([self.posting[x] for x in lists]), np.concatenate([self.weight[x] for x in lists]), minlength=len(self.doc))
+        return near
 
     def place(self, tail: int, length: int, offset: int) -> None:
         self.pieces.append((self.doc[tail], int(self.start[tail]), length, self.sequence, offset))
