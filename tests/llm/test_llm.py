@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -234,3 +235,17 @@ def test_pipeline_stages(spark, tmp_path):
         seen.append({r["doc_id"] for r in docs.collect()})
     assert seen[0] == set(range(60)) | {100} and seen[1] == set(range(60)) == seen[2]
     assert corpus_pipeline.run(spark, d).count() >= len(seen[3])
+
+
+def test_word_ids_equal_the_tokenizers():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [
+        "", None, "  a  b\n\nC", "It's don't 'sx ab' ab's x_y_ ___ a_ A.B,c...", "İstanbul ΣΣ ΟΔΟΣ ẞ ǅ Å ﬁn naïve## 12ab ab12 ½ Ⅷ \U0001d400 \U0001f600a",
+        "<|endoftext|> a<|startoftext|>b <|endoftext|>, END<|", "a\tb\rc\x0bd\x85e f　h \x00 \x1c", "가 é ʰ ªº µ ſ K", "word word. word, Word### WORD|",
+    ]
+    tokenizer, known = Tokenizer.from_file(path), packing.WordIds(path, "<u2", most=5)
+    assert known.bulk
+    for _ in range(2):
+        for i in range(len(texts)):
+            got = [np.frombuffer(x, "<u2").tolist() for x in known.ids(pa.array(texts, pa.string()).slice(i, 2)).to_pylist()]
+            assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[i : i + 2]]
