@@ -2,12 +2,14 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tissuemill.functions import names
 from tissuemill.operators import clean, decay, graph, reshape, voxels
 from tissuemill.operators import neighbours as near
+from tissuemill.plans import registry
 from tissuemill.sources import tables
 
 
@@ -120,3 +122,35 @@ def test_xml_records(spark, tmp_path):
         (tmp_path / f"d{i}" / "m.xml").write_text(f'<R><MeasurementRecord Row="1" Column="2" X="10.2" Y="-3.7" Ch="1" Time="{t}">a</MeasurementRecord></R>')
     got = tables.read_acquisitions(spark, [str(tmp_path / "d0"), str(tmp_path / "d1")]).collect()
     assert len(got) == 1 and got[0]["well"] == "A02" and got[0]["site"] == "px+0010_py-0004" and got[0]["time"].year == 2021
+
+
+def test_farthest_voxels_and_kendall_without_all_pairs(spark):
+    rng = np.random.default_rng(7)
+    p = np.unique(rng.integers(0, 40, (3000, 3)), axis=0)
+    label = rng.integers(0, 3, len(p))
+    uv = rng.integers(0, 50, (len(p), 2)).astype("float64")
+    uv[:, 1] += uv[:, 0] * rng.integers(0, 2, len(p))
+    rows = [("r", *map(int, q), int(k), float(u), float(v)) for q, k, (u, v) in zip(p, label, uv)]
+    df = spark.createDataFrame(rows, "roi string, z int, y int, x int, label int, u double, v double")
+    feret = {r["label"]: r["FeretDiameter"] for r in voxels.feret_diameter(df, (2.0, 1.0, 1.0)).collect()}
+    colocalized = voxels.colocalization(df.select("roi", "z", "y", "x", "label"), *[df.select("roi", "z", "y", "x", F.col(c).alias("value")) for c in "uv"])
+    tau = {r["label"]: r["KendallTau"] for r in colocalized.collect()}
+    for k in (1, 2):
+        q, (u, v) = p[label == k] * np.array([2.0, 1.0, 1.0]), uv[label == k].T
+        assert feret[k] == np.sqrt(((q[:, None] - q[None]) ** 2).sum(-1).max())
+        du, dv = np.sign(u[:, None] - u), np.sign(v[:, None] - v)
+        assert abs(tau[k] - (du * dv).sum() / np.sqrt((du != 0).sum() * (dv != 0).sum())) < 1e-12
+    wide = spark.range(40000).selectExpr("'r' as roi", "0 as z", "0 as y", "cast(id as int) as x", "1 as label", "cast(id as double) as value")
+    assert voxels.colocalization(wide.drop("value"), wide.drop("label"), wide.drop("label")).first()["KendallTau"] == 1.0
+
+
+def test_grown_voxel_queries_follow_the_table(spark):
+    found = registry.queries()
+    assert sum(n.endswith("_grown") for n in found) == 15
+    n = [found["v12_block_mean_grown"](spark, f"/root/testdata/sf{s}").count() for s in ("0.001", "0.01")]
+    assert n[1] > 8 * n[0]
+
+
+def test_border_distance_reaches_across_missing_voxels(spark):
+    v = spark.createDataFrame([("r", 0, 0, 0, 1), ("r", 1, 1, 1, 0), ("r", 0, 3, 0, 0)], "roi string, z int, y int, x int, label int")
+    assert {(r["z"], r["y"]): r["value"] for r in voxels.border_distance(v, squared=True).collect()} == {(0, 0): 3.0, (1, 1): 0.0, (0, 3): 0.0}

@@ -89,13 +89,43 @@ def perimeter(voxels: DataFrame, scale: Sequence[float] = (1.0, 1.0, 1.0)) -> Da
     return out.groupBy(*OBJECT).agg(F.sum("area").alias("Perimeter"))
 
 
+def _farthest(p: np.ndarray) -> float:
+    """Largest squared distance between two rows of ``p``, exact: pairs of blocks, those with the largest bound first, until no bound exceeds what was found."""
+    size, todo, blocks = max(64, math.isqrt(len(p))), [p], []
+    while todo:
+        q = todo.pop()
+        if len(q) <= size:
+            blocks.append(q)
+            continue
+        q = q[np.argsort(q[:, np.ptp(q, axis=0).argmax()], kind="stable")]
+        todo += [q[: len(q) // 2], q[len(q) // 2 :]]
+    lo, hi = np.array([q.min(0) for q in blocks]), np.array([q.max(0) for q in blocks])
+    i, j = np.triu_indices(len(blocks))
+    bound = (np.maximum(hi[i] - lo[j], hi[j] - lo[i]) ** 2).sum(1)
+    best = 0.0
+    for k in np.argsort(-bound):
+        if bound[k] <= best:
+            break
+        best = max(best, float(((blocks[i[k]][:, None] - blocks[j[k]][None]) ** 2).sum(-1).max()))
+    return best
+
+
 def feret_diameter(voxels: DataFrame, scale: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Largest distance between two voxels of an object, over the ends of each of its lines along x, which hold the farthest pair."""
+    """Largest distance between two voxels of an object.
+
+    The farthest pair lies among the voxels that end an object's lines along x and along
+    y; their blocks are compared by the bounds of their boxes, so few pairs are formed.
+    """
     ends = voxels.where("label <> 0").groupBy(*OBJECT, "z", "y").agg(F.array_distinct(F.array(F.min("x"), F.max("x"))).alias("xs"))
     ends = ends.select(*OBJECT, "z", "y", F.explode("xs").alias("x"))
-    a, b = ends, ends.select(*OBJECT, *[F.col(x).alias(f"{x}_") for x in AXES])
-    d = sum(((F.col(x) - F.col(f"{x}_")) * (F.col(x) - F.col(f"{x}_")) * F.lit(float(s) ** 2) for x, s in zip(AXES, scale)), F.lit(0.0))
-    return a.join(b, list(OBJECT)).where("(z, y, x) <= (z_, y_, x_)").groupBy(*OBJECT).agg(F.sqrt(F.max(d)).alias("FeretDiameter"))
+    ends = ends.groupBy(*OBJECT, "z", "x").agg(F.array_distinct(F.array(F.min("y"), F.max("y"))).alias("ys"))
+    ends = ends.select(*OBJECT, "z", F.explode("ys").alias("y"), "x")
+
+    def widest(rows: pd.DataFrame) -> pd.DataFrame:
+        return rows[list(OBJECT)].head(1).assign(FeretDiameter=math.sqrt(_farthest(rows[list(AXES)].to_numpy("float64") * np.array(scale, "float64"))))
+
+    kinds = [voxels.schema[c] for c in OBJECT]
+    return ends.groupBy(*OBJECT).applyInPandas(widest, T.StructType([*kinds, T.StructField("FeretDiameter", T.DoubleType())]))
 
 
 def intensity_features(labels: DataFrame, image: DataFrame) -> DataFrame:
@@ -135,6 +165,33 @@ def _information(cells: DataFrame, a: str, b: str, name: str) -> DataFrame:
     return p.groupBy(*OBJECT).agg(mi.alias(name), F.when(half > 1e-12, mi / half).alias(f"{name}Normalized"))
 
 
+def _kendall(pairs: DataFrame) -> DataFrame:
+    """Kendall tau-b per object from ``pairs(object, u, v, n)``, by inversion counts over the bits of the ranks.
+
+    Two ranks of u differ first at one bit: there the pair meets once, in the block of
+    the higher bits, and prefix sums over v count the concordant less the discordant.
+    The sums run inside buckets of v ranks and over the buckets' totals.
+    """
+    n = F.col("n")
+    totals = pairs.groupBy(*OBJECT).agg(F.max(F.coalesce(F.isnan("u") | F.isnan("v"), F.lit(False))).alias("nan"))
+    for x, t in (("u", "tu"), ("v", "tv")):
+        each = pairs.where(F.col(x).isNotNull()).groupBy(*OBJECT, x).agg(F.sum("n").alias("n"))
+        totals = totals.join(each.groupBy(*OBJECT).agg((F.sum("n") * F.sum("n") - F.sum(n * n)).alias(t)), list(OBJECT), "left")
+    wu, wv = Window.partitionBy(*OBJECT).orderBy("u"), Window.partitionBy(*OBJECT).orderBy("v")
+    ranks = pairs.where("u is not null and v is not null").select(*OBJECT, "n", F.sum("n").over(wu).alias("ru"), F.sum("n").over(wv).alias("rv"), F.sum("n").over(Window.partitionBy(*OBJECT)).alias("all"))
+    bits = ranks.select(*OBJECT, "n", "ru", "rv", F.explode(F.sequence(F.lit(0), F.floor(F.log2("all")).cast("int"))).alias("bit"))
+    high = F.expr("shiftright(ru, bit) & 1") == 1
+    block = [*OBJECT, "bit", "block"]
+    cells = bits.groupBy(*OBJECT, "bit", F.expr("shiftright(ru, bit + 1)").alias("block"), F.expr("shiftright(rv, 12)").alias("bucket"), "rv").agg(F.sum(F.when(high, 0).otherwise(n)).alias("low"), F.sum(F.when(high, n).otherwise(0)).alias("high"))
+    buckets = cells.groupBy(*block, "bucket").agg(F.sum("low").alias("in"))
+    buckets = buckets.withColumns({"before": F.sum("in").over(Window.partitionBy(*block).orderBy("bucket")) - F.col("in"), "lows": F.sum("in").over(Window.partitionBy(*block))}).drop("in")
+    upto = F.col("before") + F.sum("low").over(Window.partitionBy(*block, "bucket").orderBy("rv"))
+    net = cells.join(buckets, [*block, "bucket"]).select(*OBJECT, (F.col("high") * (upto - F.col("low") - (F.col("lows") - upto))).alias("net"))
+    s = net.groupBy(*OBJECT).agg((2 * F.sum("net")).alias("s"))
+    tau = F.when(F.col("nan"), F.lit(float("nan"))).otherwise(F.col("s") / F.sqrt(F.col("tu").cast("double") * F.col("tv")))
+    return totals.join(s, list(OBJECT), "left").select(*OBJECT, F.when((F.col("tu") > 0) & (F.col("tv") > 0), tau).alias("KendallTau"))
+
+
 def colocalization(labels: DataFrame, first: DataFrame, second: DataFrame, n_bins: int = 10) -> DataFrame:
     """Pearson, Spearman, Kendall tau-b, chi-square and mutual information of two channels inside each object; null where undefined."""
     rows = labels.where("label <> 0").join(first.withColumnRenamed("value", "u"), ["roi", *AXES]).join(second.withColumnRenamed("value", "v"), ["roi", *AXES]).select(*OBJECT, F.col("u").cast("double").alias("u"), F.col("v").cast("double").alias("v"))
@@ -150,10 +207,7 @@ def colocalization(labels: DataFrame, first: DataFrame, second: DataFrame, n_bin
         spread = (F.sum(w * F.col(a) * F.col(a)) - sa * sa / n) * (F.sum(w * F.col(b) * F.col(b)) - sb * sb / n)
         return F.when(spread > 0, cov / F.sqrt(spread))
     out = rows.groupBy(*OBJECT).agg(ok(F.corr("u", "v")).alias("PearsonR")).join(ranks.groupBy(*OBJECT).agg(weighted_corr("ru", "rv").alias("SpearmanR")), list(OBJECT))
-    a, b = pairs, pairs.select(*OBJECT, F.col("u").alias("u2"), F.col("v").alias("v2"), F.col("n").alias("n2"))
-    sign = F.signum(F.col("u") - F.col("u2")) * F.signum(F.col("v") - F.col("v2"))
-    tau = a.join(b, list(OBJECT)).groupBy(*OBJECT).agg(F.sum(sign * w * F.col("n2")).alias("s"), F.sum(F.when(F.col("u") != F.col("u2"), w * F.col("n2")).otherwise(0)).alias("tu"), F.sum(F.when(F.col("v") != F.col("v2"), w * F.col("n2")).otherwise(0)).alias("tv"))
-    out = out.join(tau.select(*OBJECT, F.when((F.col("tu") > 0) & (F.col("tv") > 0), F.col("s") / F.sqrt(F.col("tu").cast("double") * F.col("tv"))).alias("KendallTau")), list(OBJECT))
+    out = out.join(_kendall(pairs), list(OBJECT))
     binned = rows.select(*OBJECT, _bin("u", n_bins).alias("a"), _bin("v", n_bins).alias("b")).where("a is not null and b is not null").groupBy(*OBJECT, "a", "b").agg(F.count(F.lit(1)).alias("n"))
     total, pa, pb = Window.partitionBy(*OBJECT), Window.partitionBy(*OBJECT, "a"), Window.partitionBy(*OBJECT, "b")
     e = binned.withColumns({"e": F.sum("n").over(pa) * F.sum("n").over(pb) / F.sum("n").over(total), "all": F.sum("n").over(total)})
@@ -168,19 +222,24 @@ def border_distance(voxels: DataFrame, scale: Sequence[float] = (1.0, 1.0, 1.0),
     """Distance of each voxel with a label to the nearest voxel without one in its roi, inside positive, else 0.
 
     Separable: along z from the lines' last and next outside voxel, then a min-plus join
-    inside each line along y and x; never a product beyond one line.
+    inside each line along y and x; never a product beyond one line. Places of the roi's
+    grid without a voxel carry distances along but are neither outside nor returned.
     """
     sz, sy, sx = (float(s) for s in scale)
+    grid = voxels.select("roi").distinct()
+    for a in AXES:
+        grid = grid.join(voxels.select("roi", a).distinct(), "roi")
+    voxels = grid.join(voxels.select("roi", *AXES, "label", F.lit(True).alias("_in")), ["roi", *AXES], "left")
     line = Window.partitionBy("roi", "y", "x").orderBy("z")
     outside = F.when(F.col("label") == 0, F.col("z"))
     before, after = F.last(outside, True).over(line), F.first(outside, True).over(line.rowsBetween(0, Window.unboundedFollowing))
     gap = F.least(F.col("z") - before, after - F.col("z"))
-    d = voxels.select("roi", *AXES, "label", F.coalesce((gap * sz) * (gap * sz), F.lit(float("inf"))).alias("d"))
+    d = voxels.select("roi", *AXES, "label", "_in", F.coalesce((gap * sz) * (gap * sz), F.lit(float("inf"))).alias("d"))
     for axis, s, rest in (("y", sy, ("z", "x")), ("x", sx, ("z", "y"))):
         other = d.where(F.col("d") < float("inf")).select("roi", *rest, F.col(axis).alias("o"), F.col("d").alias("do"))
         step = (F.col(axis) - F.col("o")) * s
-        d = d.join(other, ["roi", *rest], "left").groupBy("roi", *AXES, "label").agg(F.coalesce(F.min(F.col("do") + step * step), F.lit(float("inf"))).alias("d"))
-    return d.select("roi", *AXES, (F.col("d") if squared else F.sqrt("d")).alias("value"))
+        d = d.join(other, ["roi", *rest], "left").groupBy("roi", *AXES, "label", "_in").agg(F.coalesce(F.min(F.col("do") + step * step), F.lit(float("inf"))).alias("d"))
+    return d.where("_in").select("roi", *AXES, (F.col("d") if squared else F.sqrt("d")).alias("value"))
 
 
 def distance_features(labels: DataFrame, distances: DataFrame, centroids: DataFrame, scale: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:

@@ -6,12 +6,14 @@ voxels of a small grid per flag.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tissuemill.operators import decay, graph, learn, voxels
 from tissuemill.operators import neighbours as near
-from tissuemill.plans.registry import register, table
+from tissuemill.plans.registry import _QUERIES, _SQL, register, table
 
 XY = ("y", "x")
 PTS = "(SELECT p_brand AS site, p_partkey AS id, p_size::DOUBLE AS y, p_retailprice / 20 AS x, p_size % 6 AS f FROM part)"
@@ -85,7 +87,7 @@ SELECT site, src, dst, count(*)::DOUBLE AS weight FROM f WHERE src <> dst GROUP
 
 
 @register("h08_touch", f"SELECT site, src, dst, round(weight / t, 6) AS weight FROM (SELECT *, sum(weight) OVER (PARTITION BY site, src) AS t FROM {TOUCH}) WHERE src <> 0 AND dst <> 0")
-def touch(spark, d):
+def touch(spark, d, volume=volume):
     return graph.touch(volume(spark, d).withColumnRenamed("roi", "site"), normalise=True).withColumn("weight", F.round("weight", 6))
 
 
@@ -184,14 +186,14 @@ def asynchrony(spark, d):
 
 
 @register("v01_label_features", f"""SELECT roi, label, count(*) AS n, round(avg(z), 6) AS cz, round(avg(x), 6) AS cx, min(y) AS y0, max(y) AS y1, round(covar_pop(z, x), 6) AS mzx, round(pow(3 * count(*) / (4 * pi()), 1.0 / 3), 6) AS radius FROM {VOX} WHERE label <> 0 GROUP BY ALL""")
-def label_features(spark, d):
+def label_features(spark, d, volume=volume):
     out = voxels.label_features(volume(spark, d))
     return out.select("roi", "label", F.col("NumberOfPixels").alias("n"), F.round("`Centroid-z`", 6).alias("cz"), F.round("`Centroid-x`", 6).alias("cx"), F.col("`BoundingBox-y-lower`").alias("y0"), F.col("`BoundingBox-y-upper`").alias("y1"),
                       F.round("m_zx", 6).alias("mzx"), F.round("EquivalentSphericalRadius", 6).alias("radius"))
 
 
 @register("v01_v02_principal_axes")
-def principal(spark, d):
+def principal(spark, d, volume=volume):
     v = volume(spark, d)
     p = voxels.with_principal(voxels.label_features(v))
     return p.join(voxels.oriented_box(v, p), ["roi", "label"])
@@ -201,28 +203,28 @@ def principal(spark, d):
 o(dz, dy, dx) AS (VALUES (1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)),
 p AS (SELECT a.roi, a.label, count(*)::DOUBLE AS p FROM v a CROSS JOIN o LEFT JOIN v b ON a.roi = b.roi AND b.z = a.z + dz AND b.y = a.y + dy AND b.x = a.x + dx WHERE a.label <> 0 AND b.label IS DISTINCT FROM a.label GROUP BY ALL)
 SELECT roi, label, round(f, 6) AS feret, p AS perimeter FROM d JOIN p USING (roi, label)""")
-def perimeter(spark, d):
+def perimeter(spark, d, volume=volume):
     v = volume(spark, d)
     return voxels.feret_diameter(v).join(voxels.perimeter(v), ["roi", "label"]).select("roi", "label", F.round("FeretDiameter", 6).alias("feret"), F.col("Perimeter").alias("perimeter"))
 
 
 @register("v04_intensity_features", f"""SELECT roi, label, round(avg(other), 4) AS mean, round(quantile_cont(other, 0.5), 4) AS median, min(other) AS low, max(other) AS high, round(stddev_samp(other), 4) AS sd, round(skewness_pop, 4) AS skew FROM
 (SELECT roi, label, other, NULL FROM {VOX} WHERE label <> 0) JOIN (SELECT roi, label, avg(pow(other - m, 3)) / pow(avg(pow(other - m, 2)), 1.5) AS skewness_pop FROM (SELECT *, avg(other) OVER (PARTITION BY roi, label) AS m FROM {VOX} WHERE label <> 0) GROUP BY ALL) USING (roi, label) GROUP BY roi, label, skewness_pop""")
-def intensity(spark, d):
+def intensity(spark, d, volume=volume):
     v = volume(spark, d)
     out = voxels.intensity_features(v.drop("value", "other"), v.select("roi", "z", "y", "x", F.col("other").alias("value")))
     return out.select("roi", "label", F.round("Mean", 4).alias("mean"), F.round("Median", 4).alias("median"), F.col("Minimum").alias("low"), F.col("Maximum").alias("high"), F.round("StandardDeviation", 4).alias("sd"), F.round("Skewness", 4).alias("skew"))
 
 
 @register("v05_weighted_moments", f"SELECT roi, label, round(sum(value * z) / sum(value), 6) AS gz, round(sum(value * x) / sum(value), 6) AS gx FROM {VOX} WHERE label <> 0 GROUP BY ALL")
-def weighted_moments(spark, d):
+def weighted_moments(spark, d, volume=volume):
     v = volume(spark, d)
     return voxels.weighted_moments(v.drop("value", "other"), v.select("roi", "z", "y", "x", "value")).select("roi", "label", F.round("`CenterOfGravity-z`", 6).alias("gz"), F.round("`CenterOfGravity-x`", 6).alias("gx"))
 
 
 @register("v06_pearson_spearman", f"""WITH r AS (SELECT roi, label, value AS u, other AS v, (rank() OVER (PARTITION BY roi, label ORDER BY value) + (count(*) OVER (PARTITION BY roi, label, value) - 1) / 2) AS ru, (rank() OVER (PARTITION BY roi, label ORDER BY other) + (count(*) OVER (PARTITION BY roi, label, other) - 1) / 2) AS rv FROM {VOX} WHERE label <> 0)
 SELECT roi, label, round(corr(u, v), 5) AS pearson, round(corr(ru, rv), 5) AS spearman FROM r GROUP BY ALL""")
-def colocalization(spark, d):
+def colocalization(spark, d, volume=volume):
     v = volume(spark, d)
     out = voxels.colocalization(v.drop("value", "other"), v.select("roi", "z", "y", "x", "value"), v.select("roi", "z", "y", "x", F.col("other").alias("value")))
     return out.select("roi", "label", F.round("PearsonR", 5).alias("pearson"), F.round("SpearmanR", 5).alias("spearman"))
@@ -230,7 +232,7 @@ def colocalization(spark, d):
 
 @register("v06_kendall", f"""WITH v AS (SELECT roi, label, value AS u, other AS v FROM {VOX} WHERE label <> 0), p AS (SELECT a.roi, a.label, sum(sign(a.u - b.u) * sign(a.v - b.v)) AS s, count(*) FILTER (WHERE a.u <> b.u) AS tu, count(*) FILTER (WHERE a.v <> b.v) AS tv FROM v a JOIN v b ON a.roi = b.roi AND a.label = b.label GROUP BY ALL)
 SELECT roi, label, round(s / sqrt(tu::DOUBLE * tv), 5) AS tau FROM p""")
-def kendall(spark, d):
+def kendall(spark, d, volume=volume):
     v = volume(spark, d)
     out = voxels.colocalization(v.drop("value", "other"), v.select("roi", "z", "y", "x", "value"), v.select("roi", "z", "y", "x", F.col("other").alias("value")))
     return out.select("roi", "label", F.round("KendallTau", 5).alias("tau"))
@@ -238,47 +240,66 @@ def kendall(spark, d):
 
 @register("v07_border_distance", f"""WITH v AS {VOX}, d AS (SELECT a.roi, a.z, a.y, a.x, CASE WHEN a.label = 0 THEN 0 ELSE min((a.z - b.z) * (a.z - b.z) + (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) END AS d FROM v a JOIN v b ON a.roi = b.roi AND b.label = 0 GROUP BY a.roi, a.z, a.y, a.x, a.label)
 SELECT roi, z, y, x, round(d::DOUBLE, 4) AS value FROM d""")
-def border(spark, d):
+def border(spark, d, volume=volume):
     dense = volume(spark, d)
     return voxels.border_distance(dense.select("roi", "z", "y", "x", "label"), squared=True).withColumn("value", F.round("value", 4))
 
 
 @register("v08_parents", f"""WITH n AS (SELECT roi, label, (floor(other) % 3)::INT AS parent, count(*) AS n FROM {VOX} WHERE label <> 0 GROUP BY ALL) SELECT roi, label, arg_max(parent, (n, parent)) AS parent FROM n GROUP BY ALL""")
-def parents(spark, d):
+def parents(spark, d, volume=volume):
     v = volume(spark, d)
     other = v.selectExpr("roi", "z", "y", "x", "cast(floor(other) % 3 as int) as label")
     return voxels.parents(v.select("roi", "z", "y", "x", "label"), other, "e").select("roi", "label", F.col("`parent.e`").alias("parent"))
 
 
 @register("v09_v10_keep_and_mask", f"SELECT roi, z, y, x, CASE WHEN label IN (1, 2) THEN label ELSE 0 END AS label, CASE WHEN label IN (1, 2) THEN value ELSE 0 END AS value FROM {VOX}")
-def keep_and_mask(spark, d):
+def keep_and_mask(spark, d, volume=volume):
     v = volume(spark, d)
     kept = voxels.keep_labels(v.select("roi", "z", "y", "x", "label"), v.where("label in (1, 2)").select("roi", "label"))
     return kept.join(voxels.masked(v.select("roi", "z", "y", "x", "value"), kept), ["roi", "z", "y", "x"])
 
 
 @register("v11_resample", f"SELECT roi, (z // 2)::INT AS z, (y // 2)::INT AS y, x, label FROM {VOX} WHERE z % 2 = 0 AND y % 2 = 0")
-def resample(spark, d):
+def resample(spark, d, volume=volume):
     return voxels.resampled(volume(spark, d).select("roi", "z", "y", "x", "label"), (2, 2, 1))
 
 
 @register("v12_block_mean", f"SELECT roi, (z // 2)::INT AS z, (y // 2)::INT AS y, (x // 2)::INT AS x, round(avg(value), 6) AS value FROM {VOX} GROUP BY ALL")
-def block_mean(spark, d):
+def block_mean(spark, d, volume=volume):
     return voxels.block_mean(volume(spark, d), (2, 2, 2)).withColumn("value", F.round("value", 6))
 
 
 @register("v14_crop", f"WITH b AS (SELECT roi, label AS object, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM {VOX} WHERE label = 3 GROUP BY ALL) SELECT v.roi, object, z - z0 AS z, y - y0 AS y, x - x0 AS x, label FROM {VOX} v JOIN b ON v.roi = b.roi WHERE z >= z0 AND z < z1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1")
-def crop(spark, d):
+def crop(spark, d, volume=volume, objects="label = 3"):
     v = volume(spark, d).select("roi", "z", "y", "x", "label")
-    box = v.where("label = 3").groupBy("roi", "label").agg(*[f for a in "zyx" for f in (F.min(a).alias(f"{a}_lower"), (F.max(a) + 1).alias(f"{a}_upper"))])
+    box = v.where(objects).groupBy("roi", "label").agg(*[f for a in "zyx" for f in (F.min(a).alias(f"{a}_lower"), (F.max(a) + 1).alias(f"{a}_upper"))])
     return voxels.crop(v, box).select("roi", "object", "z", "y", "x", "label")
 
 
 @register("v15_max_projection", f"SELECT roi, y, x, max(value) AS value FROM {VOX} GROUP BY ALL")
-def projection(spark, d):
+def projection(spark, d, volume=volume):
     return voxels.max_projection(volume(spark, d))
 
 
+def grown_volume(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines as voxels of one roi per supplier, so that rois and objects grow with the table."""
+    t = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("roi"), (F.col("l_partkey") % 8).cast("int").alias("z"), (F.col("l_orderkey") % 10).cast("int").alias("y"), F.col("l_linenumber").cast("int").alias("x")).agg(
+        F.max("l_quantity").alias("value"), F.max("l_extendedprice").alias("other"))
+    return t.withColumn("label", (F.col("value") % 4).cast("int"))
+
+
+GROWN = "(SELECT *, (value % 4)::INT AS label FROM (SELECT l_suppkey AS roi, (l_partkey % 8)::INT AS z, (l_orderkey % 10)::INT AS y, l_linenumber::INT AS x, max(l_quantity) AS value, max(l_extendedprice) AS other FROM lineitem GROUP BY ALL))"
+
+for _f in (touch, label_features, principal, perimeter, intensity, weighted_moments, colocalization, kendall, border, parents, keep_and_mask, resample, block_mean, projection):
+    _name = next(n for n, q in _QUERIES.items() if q is _f)
+    register(f"{_name}_grown", _SQL[_name].replace(VOX, GROWN) if _name in _SQL else None)(partial(_f, volume=grown_volume))
+
+
+@register("v14_crop_grown", f"WITH b AS (SELECT roi, label AS object, min(z) AS z0, max(z) + 1 AS z1, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM {GROWN} WHERE label <> 0 GROUP BY ALL) SELECT v.roi, object, z - z0 AS z, y - y0 AS y, x - x0 AS x, label FROM {GROWN} v JOIN b ON v.roi = b.roi WHERE z >= z0 AND z < z1 AND y >= y0 AND y < y1 AND x >= x0 AND x < x1")
+def crop_grown(spark, d):
+    return crop(spark, d, grown_volume, "label <> 0")
+
+
 @register("m02_m03_linear_fit", "SELECT l_returnflag AS channel, round(regr_slope(l_extendedprice / 10000, l_quantity), 4) AS slope, round(regr_intercept(l_extendedprice / 10000, l_quantity), 4) AS intercept FROM lineitem GROUP BY 1")
 def linear_fit(spark, d):
     t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("channel"), "l_quantity", (F.col("l_extendedprice") / 10000).alias("v"))
