@@ -249,3 +249,19 @@ def test_word_ids_equal_the_tokenizers():
         for i in range(len(texts)):
             got = [np.frombuffer(x, "<u2").tolist() for x in known.ids(pa.array(texts, pa.string()).slice(i, 2)).to_pylist()]
             assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[i : i + 2]]
+
+
+def test_pipeline_drops_near_copies(spark, odd, empty):
+    base = [f"word{i * 7919 % 1000}" for i in range(400)]
+    def changed(every, start=0):
+        return " ".join(f"new{i}" if i % every == start else w for i, w in enumerate(base))
+    def similarity(a, b):
+        a, b = ({tuple(x.split()[i : i + 5]) for i in range(len(x.split()) - 4)} for x in (a, b))
+        return len(a & b) / len(a | b)
+    near, far = changed(80, 7), changed(12)
+    assert similarity(" ".join(base), near) >= 0.8 > similarity(" ".join(base), far)
+    rows = [(1, " ".join(base)), (2, near), (3, far), (4, " ".join(base).upper()), (5, "one text"), (5, "another text"), (None, "one text"), (None, "unnamed"), (None, "unnamed")]
+    rows += [(100 + i, changed(400, i)) for i in range(90)]
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == sorted([(0, "unnamed"), (1, rows[0][1]), (3, far), (5, "one text"), (5, "another text")])
+    assert corpus_pipeline.drop_near_duplicates(spark, empty, "").count() == 0
