@@ -251,6 +251,16 @@ def test_word_ids_equal_the_tokenizers():
             assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[i : i + 2]]
 
 
+def test_spans_of_texts_without_marks(spark):
+    words = [f"w{i * 7919 % 1009}" for i in range(120)]
+    text, passage = " ".join(words[:60]), " ".join(words[60:])
+    rows = [(1, text), (2, text), (3, f"before this {passage} follows that"), (4, f"elsewhere stands {passage} and more"), (5, "一 二 三。" * 9), (6, "一 二 三。" * 9), (7, "lone"), (8, "lone")]
+    got = {r["id"]: r for r in sentence_spans.repeated_spans(spark.createDataFrame([(i, t, "", "", 0) for i, t in rows], DOCS)).collect()}
+    assert all(got[i]["n_removed"] == 0 for i in (1, 3, 7))
+    assert all(got[i]["n_removed"] == got[i]["n_sentences"] for i in (2, 6, 8))
+    assert sum(s["end"] - s["start"] for s in got[4]["spans"]) > len(passage) / 2
+
+
 def test_pipeline_drops_near_copies(spark, odd, empty):
     base = [f"word{i * 7919 % 1000}" for i in range(400)]
     def changed(every, start=0):

@@ -12,8 +12,23 @@ from pyspark.sql import functions as F
 
 from tissuemill.llm._shared import durable
 
-_SENTENCE = re.compile(r"[^.!?,;:\n]+[.!?,;:\n]*|[.!?,;:\n]+")
+#: Marks that end a sentence or clause: ASCII ones and those of other scripts.
+_MARKS = ".!?,;:\n\u037e\u0387\u0589\u055c-\u055e\u05c3\u060c\u061b\u061f\u06d4\u0700-\u070a\u0964\u0965\u104a\u104b\u1362-\u1368\u1802\u1803\u1808\u1809\u2026\u203c\u203d\u2047-\u2049\u3001\u3002\ufe50-\ufe52\ufe54-\ufe57\uff01\uff0c\uff0e\uff1a\uff1b\uff1f\uff61\uff64"
+_SENTENCE = re.compile(f"[^{_MARKS}]+[{_MARKS}]*|[{_MARKS}]+")
 _GAP = re.compile(r"[\x20\x09-\x0D]+")
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+#: Sentences of more words are cut further, on average every ``_EVERY`` words.
+_LONG, _EVERY = 12, 5
+
+
+def _cuts(words: list[re.Match]) -> list[int]:
+    """Numbers of the words of a long sentence before which it is cut.
+
+    A cut falls where the hash of two neighbouring words says so, hence alike wherever
+    the words stand, whatever lies around them.
+    """
+    keys = [m[0] for m in words]
+    return [i + 2 for i in range(len(keys) - 2) if xxhash.xxh3_64_intdigest(f"{keys[i]} {keys[i + 1]}".encode()) % _EVERY == 0]
 
 
 def sentences(text: str) -> list[tuple[int, int, str]]:
@@ -21,23 +36,33 @@ def sentences(text: str) -> list[tuple[int, int, str]]:
 
     A sentence runs up to and with the next punctuation marks or line ends; commas,
     semicolons and colons count, so that a long sentence is several and a passage that
-    begins within one still has whole ones. Stretches without a word belong to none.
+    begins within one still has whole ones. Sentences of over ``_LONG`` words are cut
+    at words that their content picks. Stretches without a word belong to none.
     """
     out = []
     for m in _SENTENCE.finditer(text):
-        if words := " ".join(_GAP.split(m[0])).strip(" "):
+        words = " ".join(_GAP.split(m[0])).strip(" ")
+        if not words:
+            continue
+        if words.count(" ") < _LONG:
             out.append((m.start(), m.end(), words))
+            continue
+        found = list(_WORD.finditer(text, m.start(), m.end()))
+        ends = [0, *_cuts(found), len(found)]
+        for i, j in zip(ends, ends[1:]):
+            start, end = m.start() if i == 0 else found[i].start(), m.end() if j == len(found) else found[j].start()
+            out.append((start, end, " ".join(w[0] for w in found[i:j])))
     return out
 
 
-def spans(text: str, least: int, words: int) -> list[tuple[int, int, int]]:
-    """(first sentence, one past the last, hash) of the run that starts at each sentence.
+def spans(found: list[tuple[int, int, str]], least: int, words: int) -> list[tuple[int, int, int]]:
+    """(first sentence, one past the last, hash) of the run that starts at each of a text's :func:`sentences`.
 
     A run takes the fewest consecutive sentences from its start on that are at least
     ``least`` and hold at least ``words`` words; so equal passages have equal runs
-    wherever they stand. Starts too near the end of the text have none.
+    wherever they stand. Starts too near the end of the text have none; a text without
+    any other run is one run as a whole.
     """
-    found = sentences(text)
     sizes = [s.count(" ") + 1 for _, _, s in found]
     digests = [xxhash.xxh3_64_digest(s.encode()) for _, _, s in found]
     out, end, total = [], 0, 0
@@ -49,6 +74,8 @@ def spans(text: str, least: int, words: int) -> list[tuple[int, int, int]]:
             break
         out.append((i, end, xxhash.xxh64_intdigest(b"".join(digests[i:end])) - (1 << 63)))
         total -= sizes[i]
+    if found and not out:
+        out.append((0, len(found), xxhash.xxh64_intdigest(b"".join(digests)) - (1 << 63)))
     return out
 
 
@@ -59,8 +86,8 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 texts = [t or "" for t in part.column("text").to_pylist()]
-                places = [[x[:2] for x in sentences(t)] for t in texts]
-                runs = [spans(t, least, words) for t in texts]
+                places = [sentences(t) for t in texts]
+                runs = [spans(x, least, words) for x in places]
                 pick = lambda rows, k, kind: pa.array([[r[k] for r in x] for x in rows], pa.list_(kind))
                 yield pa.RecordBatch.from_arrays([
                     part.column("id"), part.column("uid"), pa.array([len(t) for t in texts], pa.int64()), pick(places, 0, pa.int32()), pick(places, 1, pa.int32()),
@@ -73,7 +100,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str, least: int, words: int) -
 def repeated_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: int = 2, words: int = 16) -> DataFrame:
     """What each document repeats: ``(id, uid, n_chars, n_sentences, n_removed, spans)``.
 
-    Every run of several consecutive sentences is hashed; over all documents the first
+    Every run of several consecutive sentences, or a text too short for one, is hashed; over all documents the first
     place of each hash (by id, then row, then position; null ids last) stays, and the
     sentences under any other place are to be removed. ``spans`` are their character
     ranges ``(start, end)``, ends exclusive, neighbours joined. The first place is a
