@@ -251,6 +251,21 @@ def test_word_ids_equal_the_tokenizers():
             assert got == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[i : i + 2]]
 
 
+def _card(i):
+    body = f"4111 1111 1111 1{i:02d}"
+    digits = [int(c) for c in body if c.isdigit()][::-1]
+    return body + str(-sum(d if k % 2 else 2 * d - 9 * (d > 4) for k, d in enumerate(digits)) % 10)
+
+
+def test_pii_in_lists_and_beside_base_spans(spark):
+    unseen = ["1234 5678 9012 3456", "2345 6789 0123 4568", "3456 7890 1234 5679", "9876 5432 1098 7654"]
+    rows = [(i, f"hello there card no {_card(i)} thanks", "", "", 0) for i in range(40)]
+    rows += [(50, "all: " + " ".join(unseen) + " end", "", "", 0), (51, f"mail me@x.org {unseen[0]} there", "", "", 0), (52, "none 12 345 here", "", "", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = {r["doc_id"]: r["text"] for r in pii.redact(docs).where("doc_id >= 50").collect()}
+    assert got == {50: "all: " + " ".join(["[CARD]"] * 4) + " end", 51: "mail [EMAIL] [CARD] there", 52: "none 12 345 here"}
+
+
 def test_spans_of_texts_without_marks(spark):
     words = [f"w{i * 7919 % 1009}" for i in range(120)]
     text, passage = " ".join(words[:60]), " ".join(words[60:])

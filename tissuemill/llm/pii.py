@@ -92,20 +92,71 @@ def _trimmed(m: Column) -> Column:
     return F.named_struct(F.lit("start"), start, F.lit("end"), start + F.length(inner), F.lit("value"), inner, F.lit("left"), left, F.lit("right"), right)
 
 
-def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", longest: int = 64) -> DataFrame:
-    """Identifier-like stretches ``(id, text_hash, start, end, value, left, right, kind)``.
+def _uncovered(m: Column, base: Column) -> Column:
+    """What base spans leave of a candidate: array of ``(start, value, left, right)``; beside a base span the word is ``[]``."""
+    row = lambda start, end, left, right: F.array(F.named_struct(F.lit("start"), start, F.lit("value"), F.substring(m["value"], start - m["start"] + 1, end - start), F.lit("left"), left, F.lit("right"), right))
+
+    def add(acc: Column, b: Column) -> Column:
+        rows = F.when(b["start"] > acc["at"], F.concat(acc["rows"], row(acc["at"], b["start"], acc["left"], F.lit("[]")))).otherwise(acc["rows"])
+        return F.named_struct(F.lit("at"), F.greatest(acc["at"], b["end"]), F.lit("left"), F.lit("[]"), F.lit("rows"), rows)
+
+    none = F.array().cast("array<struct<start:int,value:string,left:string,right:string>>")
+    inside = F.filter(base, lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+    return F.aggregate(inside, F.named_struct(F.lit("at"), m["start"], F.lit("left"), m["left"], F.lit("rows"), none), add,
+                       lambda acc: F.when(m["end"] > acc["at"], F.concat(acc["rows"], row(acc["at"], m["end"], acc["left"], m["right"]))).otherwise(acc["rows"]))
+
+
+def _stripped(start: Column, value: Column, left: Column, right: Column) -> Column:
+    """``(start, end, value, left, right)`` without punctuation around the value."""
+    inner = F.regexp_extract(value, r"^[\"'(\[{<.,;:!?\s]*+(.*?)[.,;:!?\"')\]}>\s]*$", 1)
+    first = start + F.length(F.regexp_extract(value, r"^[\"'(\[{<.,;:!?\s]*+", 0))
+    return F.named_struct(F.lit("start"), first, F.lit("end"), first + F.length(inner), F.lit("value"), inner, F.lit("left"), F.lower(left), F.lit("right"), F.lower(right))
+
+
+def _parts(p: Column, most: int) -> Column:
+    """Runs of one to ``most`` words of a piece, each of which holds a digit or an at sign."""
+    def of(w: Column) -> Column:
+        def run(i: Column, k: int) -> Column:
+            a, z = F.get(w, i), F.get(w, i + k)
+            value = F.substring(p["value"], a["start"] + 1, z["end"] - a["start"])
+            good = F.forall(F.slice(w, i + 1, F.lit(k + 1)), lambda x: x["value"].rlike("[0-9@]"))
+            return F.when((i + k < F.size(w)) & good, _stripped(p["start"] + a["start"], value, F.coalesce(F.get(w, i - 1)["value"], p["left"]), F.coalesce(F.get(w, i + (k + 1))["value"], p["right"])))
+
+        return F.flatten(F.transform(w, lambda _, i: F.filter(F.array(*[run(i, k) for k in range(most)]), lambda x: x.isNotNull())))
+
+    return let(_found(p["value"], r"[^\x20\x09-\x0D]++"), of)
+
+
+def candidates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", longest: int = 64, most: int = 4) -> DataFrame:
+    """Identifier-like stretches ``(id, text_hash, start, end, value, left, right, kind, known, whole)``.
 
     A stretch is a run of words that hold a digit or an at sign, without punctuation
-    around it, of at most ``longest`` characters (an identifier is short by definition);
-    ``kind`` is that of a base span inside it, or null; ``left`` and ``right`` are the
-    words beside it, empty at the ends of the text.
+    around it; ``kind`` is that of a base span inside it, or null; ``known`` tells
+    whether it meets a base span; ``left`` and ``right`` are the words beside it, empty
+    at the ends of the text. A stretch of over ``longest`` characters and ``most`` words
+    is no candidate itself, but the base spans in any stretch, what they leave of it, and
+    (not ``whole``) the runs of up to ``most`` words therein are.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = F.when(text.rlike("[0-9@]"), F.transform(_found(text, _CANDIDATE), _trimmed))
     rows = docs.where(text.rlike("[0-9@]")).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), base_spans(text).alias("base"), F.explode(found).alias("m"))
-    seed = F.filter("base", lambda s: (s["start"] >= F.col("m.start")) & (s["end"] <= F.col("m.end")))
-    return rows.where(F.length("m.value").between(3, longest)).select("id", "text_hash", "m.*", F.get(seed, F.lit(0))["kind"].alias("kind"),
-                                                                     F.exists("base", lambda s: (s["start"] < F.col("m.end")) & (s["end"] > F.col("m.start"))).alias("known"))
+    m = F.col("m")
+    inside = F.filter("base", lambda b: (b["start"] >= m["start"]) & (b["end"] <= m["end"]))
+    seed = F.get(inside, F.lit(0))["kind"]
+    entry = lambda x, kind, known, whole: F.named_struct(*[y for n in ("start", "end", "value", "left", "right") for y in (F.lit(n), x[n])], F.lit("kind"), kind, F.lit("known"), known, F.lit("whole"), whole)
+    no_kind, yes, no = F.lit(None).cast("int"), F.lit(True), F.lit(False)
+    met = F.exists("base", lambda b: (b["start"] < m["end"]) & (b["end"] > m["start"]))
+    itself = F.array(entry(m, seed, met, yes))
+    beside = lambda at, end, word: F.when(at == end, word).otherwise(F.lit("[]"))
+    bases = F.transform(F.filter(inside, lambda b: (b["start"] != m["start"]) | (b["end"] != m["end"])), lambda b: entry(
+        {"start": b["start"], "end": b["end"], "value": F.substring(m["value"], b["start"] - m["start"] + 1, b["end"] - b["start"]), "left": beside(b["start"], m["start"], m["left"]), "right": beside(b["end"], m["end"], m["right"])}, b["kind"], yes, yes))
+    left_over = F.transform(F.filter("pieces", lambda p: p["value"].rlike("[0-9@]")), lambda p: entry(_stripped(p["start"], p["value"], p["left"], p["right"]), no_kind, no, yes))
+    parts = F.transform(F.flatten(F.transform("pieces", lambda p: _parts(p, most))), lambda x: entry(x, no_kind, no, no))
+    none = F.slice(itself, F.lit(1), F.lit(0))
+    fits = lambda x: (F.length(x["value"]) >= 3) & (~x["whole"] | (F.length(x["value"]) <= longest) | (F.size(F.split(x["value"], r"[\x20\x09-\x0D]++", most + 1)) <= most))
+    whole = rows.withColumn("pieces", _uncovered(m, F.col("base"))).withColumn("c", F.explode(F.filter(F.concat(itself, F.when(met, F.concat(bases, left_over)).otherwise(none), parts), fits)))
+    # a part that is also a whole stretch counts as that alone
+    return whole.groupBy("id", "text_hash", "c.start", "c.end", "c.value", "c.left", "c.right").agg(F.max("c.kind").alias("kind"), F.max("c.known").alias("known"), F.max("c.whole").alias("whole"), F.count_if("c.whole").alias("n"))
 
 
 def learn_identifiers(cands: DataFrame, *, rounds: int = 3, min_support: int = 5, confidence: float = 0.8) -> DataFrame:
@@ -117,16 +168,17 @@ def learn_identifiers(cands: DataFrame, *, rounds: int = 3, min_support: int = 5
     instances it meets, and an instance the noisy-or of its confident patterns; only
     patterns with ``min_support`` different instances and that ``confidence`` count.
     The graph holds one row per pattern and instance, with its number of meetings, and
-    every step is a grouped aggregate or an equi-join. Seeds are not returned.
+    every step is a grouped aggregate or an equi-join. Parts of stretches (``n`` 0) are
+    scored, but count in no pattern. Seeds are not returned.
     """
     letters = F.regexp_replace("value", r"\p{L}", "a")
     exact = F.regexp_replace(letters, "[0-9]", "9")
     coarse = F.regexp_replace(F.regexp_replace(exact, "a+", "a"), "9+", "9")
     patterns = F.array(F.concat(F.lit("s "), exact), F.concat(F.lit("l "), F.col("left"), F.lit(" "), coarse), F.concat(F.lit("r "), F.col("right"), F.lit(" "), coarse))
-    graph = durable(cands.select(F.xxhash64("value").alias("value_hash"), "kind", F.explode(patterns).alias("pattern")).groupBy("pattern", "value_hash")
-                    .agg(F.count(F.lit(1)).alias("n"), F.max("kind").alias("kind")), "pii-graph")
+    graph = durable(cands.select(F.xxhash64("value").alias("value_hash"), "kind", "n", F.explode(patterns).alias("pattern")).groupBy("pattern", "value_hash")
+                    .agg(F.sum("n").alias("n"), F.max("kind").alias("kind")), "pii-graph")
     seeds = durable(graph.where("kind is not null").groupBy("value_hash").agg(F.max("kind").alias("kind")), "pii-seeds")
-    size = graph.groupBy("pattern").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("support")).where(F.col("support") >= min_support)
+    size = graph.groupBy("pattern").agg(F.sum("n").alias("total"), F.count_if(F.col("n") > 0).alias("support")).where(F.col("support") >= min_support)
     scores = seeds.withColumn("score", F.lit(1.0))
     for _ in range(rounds):
         met = graph.drop("kind").join(scores, "value_hash").groupBy("pattern", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hit"))
@@ -138,17 +190,26 @@ def learn_identifiers(cands: DataFrame, *, rounds: int = 3, min_support: int = 5
     return best.groupBy("value_hash").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
 
 
+def _apart(found: Column) -> Column:
+    """Spans that do not overlap, from a set of ``(start, -end, kind)``: at each place the leftmost, then the longest."""
+    def add(acc: Column, s: Column) -> Column:
+        row = F.named_struct(F.lit("start"), s["start"], F.lit("kind"), s["kind"], F.lit("end"), -s["back"])
+        return F.when(s["start"] >= acc["at"], F.named_struct(F.lit("at"), -s["back"], F.lit("rows"), F.concat(acc["rows"], F.array(row)))).otherwise(acc)
+
+    return F.aggregate(F.array_sort(found), F.named_struct(F.lit("at"), F.lit(0), F.lit("rows"), F.array().cast(_SPAN)), add, lambda acc: acc["rows"])
+
+
 def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with ``base_spans`` and ``spans``: arrays of ``(start, kind, end)`` in code points.
 
     ``spans`` holds the base spans and the candidates that :func:`learn_identifiers`
-    accepts where no base span is. Learned spans are joined by id and text hash, so rows
+    accepts where no base span is, the leftmost and longest where they overlap. Learned spans are joined by id and text hash, so rows
     with equal ids or null ids are safe; null and empty texts have no spans.
     """
     cands = durable(candidates(docs, id_col=id_col, text_col=text_col), "pii-candidates")
     learned = learn_identifiers(cands, **options)
     extra = cands.where(~F.col("known")).withColumn("value_hash", F.xxhash64("value")).drop("kind").join(learned, "value_hash")
-    extra = durable(extra.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.struct("start", "kind", "end")).alias("_extra")), "pii-learned")
+    extra = durable(extra.groupBy(F.col("id").alias("_id"), F.col("text_hash").alias("_hash")).agg(_apart(F.collect_set(F.struct("start", (-F.col("end")).alias("back"), "kind"))).alias("_extra")), "pii-learned")
     joined = docs.withColumn("base_spans", base_spans(F.col(text_col))).join(
         extra, docs[id_col].eqNullSafe(extra["_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == extra["_hash"]), "left")
     return joined.withColumn("spans", F.sort_array(F.concat("base_spans", F.coalesce("_extra", F.array().cast(_SPAN))))).drop("_id", "_hash", "_extra")
