@@ -21,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not sc.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _own_dirs.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="spark-own-"))
+    if sc.applicationId not in _own_dirs:
+        _own_dirs[sc.applicationId] = tempfile.mkdtemp(prefix="spark-own-")
+    return _own_dirs[sc.applicationId]
 
 
 def durable(df: DataFrame, label: str) -> DataFrame:
