@@ -83,29 +83,28 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUND = """
-o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE q IS NOT NULL AND NOT drawn AND size <= left_),
+o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE NOT drawn AND size BETWEEN 1 AND left_ AND left_ > 0.001 * target),
 u{k} AS (SELECT source, max(q) FILTER (WHERE run <= left_) AS cut, coalesce(max(run) FILTER (WHERE run <= left_), 0) AS used FROM o{k} GROUP BY source),
 r{k} AS (SELECT r.* REPLACE (
-    r.drawn OR coalesce(r.q IS NOT NULL AND NOT r.drawn AND r.size <= r.left_ AND r.q <= u.cut, false) AS drawn, r.left_ - coalesce(u.used, 0) AS left_)
+    r.drawn OR coalesce(r.size BETWEEN 1 AND r.left_ AND r.q <= u.cut, false) AS drawn, r.left_ - coalesce(u.used, 0) AS left_)
   FROM r{j} r LEFT JOIN u{k} u ON r.source IS NOT DISTINCT FROM u.source),"""
 
+#: Targets are reshared step by step until none is above its limit: each step fixes the sources that are.
 OP3_SQL = r"""
-WITH d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM d GROUP BY source),
-w AS (SELECT *, [3, 1, 2][((rank - 1) % 3 + 1)::INT] AS w FROM s),
-f AS (SELECT *,
-    coalesce(sum(source_size) OVER (ORDER BY source_size / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-    sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size / w, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS w_left,
-    sum(source_size) OVER () AS total FROM w),
-l AS (SELECT *, (1.5::DOUBLE * total::DOUBLE - 2.0::DOUBLE * before::DOUBLE) / w_left::DOUBLE AS level FROM f),
-m AS (SELECT arg_min(level, (source_size / w, rank)) AS level FROM l WHERE level * w < 2.0::DOUBLE * source_size),
-t AS (SELECT source, source_size, CASE WHEN m.level IS NULL THEN 2.0::DOUBLE * source_size ELSE least(2.0::DOUBLE * source_size, m.level * w) END AS target FROM l LEFT JOIN m ON true),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t),
-q AS (SELECT *, floor(ratio)::BIGINT AS whole, ratio - floor(ratio) AS p, (ratio - floor(ratio)) * source_size AS left_ FROM p),
-u AS (SELECT d.*, q.source_size, q.target, q.whole, q.p, q.left_, false AS drawn,
-    (('0x' || substr(md5('17:' || id), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-r0 AS (SELECT *, CASE WHEN p > 0 THEN (u / (1.0::DOUBLE - u)) / (p / (1.0::DOUBLE - p)) END AS q FROM u),""" + "".join(_ROUND.format(k=k, j=k - 1) for k in (1, 2, 3)) + """
-z AS (SELECT * FROM r3)
+WITH RECURSIVE d AS (SELECT doc_id AS id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS h FROM documents),
+w AS (SELECT source, sum(size)::BIGINT AS source_size, [3, 1, 2][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w FROM d GROUP BY source),
+t(step, source, source_size, w, fixed, target) AS (
+  SELECT 0, source, source_size, w, false, 0::DOUBLE FROM w
+  UNION ALL
+  SELECT step + 1, source, source_size, w, fixed OR share >= 2.0::DOUBLE * source_size, CASE WHEN fixed OR share >= 2.0::DOUBLE * source_size THEN 2.0::DOUBLE * source_size ELSE share END
+  FROM (SELECT *, (1.5::DOUBLE * sum(source_size) OVER () - 2.0::DOUBLE * coalesce(sum(source_size) FILTER (WHERE fixed) OVER (), 0)) / sum(w) FILTER (WHERE NOT fixed) OVER () * w AS share FROM t)
+  WHERE step < (SELECT count(*) FROM w) + 1),
+p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS ratio FROM t WHERE step = (SELECT max(step) FROM t)),
+q AS (SELECT *, floor(ratio)::BIGINT AS whole, (ratio - floor(ratio)) * source_size AS left_ FROM p),
+u AS (SELECT d.*, q.source_size, q.target, q.whole, q.left_, false AS drawn,
+    (('0x' || substr(md5('17:' || coalesce(id::VARCHAR, '') || ':' || h), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+r0 AS (SELECT *, (u / (1.0::DOUBLE - u)) / sqrt(size::DOUBLE + 1) AS q FROM u),""" + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, 16)) + """
+z AS (SELECT * FROM r15)
 SELECT id AS doc_id, size, source_size, target, ((whole + drawn::INT) * size)::BIGINT AS taken FROM z"""
 
 
