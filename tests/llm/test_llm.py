@@ -242,6 +242,7 @@ def test_word_ids_equal_the_tokenizers():
     texts = [
         "", None, "  a  b\n\nC", "It's don't 'sx ab' ab's x_y_ ___ a_ A.B,c...", "İstanbul ΣΣ ΟΔΟΣ ẞ ǅ Å ﬁn naïve## 12ab ab12 ½ Ⅷ \U0001d400 \U0001f600a",
         "<|endoftext|> a<|startoftext|>b <|endoftext|>, END<|", "a\tb\rc\x0bd\x85e f　h \x00 \x1c", "가 é ʰ ªº µ ſ K", "word word. word, Word### WORD|",
+        "été, ÉTÉ! ×. ÷, a÷. Ã· à·! naïve's ñ) ÿ] …! é… q\u0301, <\u0338 a=\u0338", "a.b.c d_e. f_, g'll h'S i's, (j) k;l", "\n\nx,\n", ",", "é",
     ]
     tokenizer, known = Tokenizer.from_file(path), packing.WordIds(path, "<u2", most=5)
     assert known.bulk
