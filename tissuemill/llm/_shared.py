@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tissuemill.functions.durable import durable, shared_dir
 
-__all__ = ["BLANKS", "GAP", "connected_components", "durable", "fresh", "let", "shared_dir", "spread_join", "words"]
+__all__ = ["BLANKS", "GAP", "connected_components", "durable", "fresh", "let", "prefixes", "shared_dir", "spread_join", "words"]
 
 #: What separates words, as a character list and as a regular expression.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -25,6 +25,23 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def prefixes(values: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """At each place of an array, its values up to there put together by an associative ``add``.
+
+    Doubling steps: after the k-th, each place has what the 2^k places up to it hold, so
+    an array of n values takes n log n steps.
+    """
+    def of(a: Column) -> Column:
+        def step(acc: Column, k: Column) -> Column:
+            back = F.call_function("shiftleft", F.lit(1), k)
+            return F.transform(acc, lambda x, i: F.when(i >= back, add(F.get(acc, i - back), x)).otherwise(x))
+
+        steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(a))).cast("int") - 1)
+        return F.when(F.size(a) > 1, F.aggregate(steps, a, step)).otherwise(a)
+
+    return let(values, of)
+
+
 def words(text: Column) -> Column:
     """Array of the words of a text, empty for null."""
     inner = F.btrim(text, F.lit(BLANKS))
@@ -46,18 +63,20 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
 def spread_join(rows: DataFrame, found: DataFrame, on: str, part: Column, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``found(on, n, …)``, one row per key, ``n`` being about the rows that hold it (dropped).
 
-    Keys of more than ``_HOT`` of the ``total`` rows, hence no more than ``1 / _HOT`` of
-    them, are broadcast; their rows are dealt by ``part`` (a column that differs
-    within a key) over ``_PARTS`` copies of the found row. So no key is one task. Null
-    keys match nothing; they are dealt too.
+    Hashes of the keys of more than ``_HOT`` of the ``total`` rows, hence no more than
+    ``1 / _HOT``, are broadcast; rows of such keys are dealt by ``part`` (a column that
+    differs within a key) over ``_PARTS`` copies of the found row. So no key is one task.
+    Null keys match nothing; they are dealt too.
     """
     extra, spread, mark = fresh([*rows.columns, *found.columns], "hot_key", "spread", "is_hot")
-    is_hot = F.col("n") > max(total * _HOT, _MANY)
+    hot = F.broadcast(found.where(F.col("n") > max(total * _HOT, _MANY)).select(F.xxhash64(on).alias(extra), F.lit(True).alias(mark)).distinct())
+    # both sides go by the hash, so that keys which share one are dealt alike
+    left = rows.join(hot, F.xxhash64(rows[on]) == hot[extra], "left")
     deal = F.pmod(F.xxhash64(part), F.lit(_PARTS)).cast("int")
-    hot = found.where(is_hot).select(F.col(on).alias(extra), F.lit(True).alias(mark))
-    left = rows.join(F.broadcast(hot), rows[on] == hot[extra], "left").withColumn(spread, F.when(F.col(mark) | F.col(on).isNull(), deal).otherwise(F.lit(0))).drop(extra, mark)
-    parts = F.when(is_hot, F.sequence(F.lit(0), F.lit(_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    right = found.withColumn(spread, F.explode(parts)).drop("n")
+    left = left.withColumn(spread, F.when(F.col(mark) | F.col(on).isNull(), deal).otherwise(F.lit(0))).drop(extra, mark)
+    right = found.join(hot, F.xxhash64(found[on]) == hot[extra], "left")
+    parts = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    right = right.withColumn(spread, F.explode(parts)).drop("n", extra, mark)
     return left.join(right, [on, spread], how).drop(spread)
 
 

@@ -137,7 +137,7 @@ def _copies() -> Column:
 
 def plan_mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, within: float = 0.001, bucket_rows: int = 50_000,
+    weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, within: float = 0.01, bucket_rows: int = 50_000,
 ) -> DataFrame:
     """How many copies of each document a mix takes.
 
@@ -165,7 +165,7 @@ def plan_mix(
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, within: float = 0.001, bucket_rows: int = 50_000,
+    weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 17, within: float = 0.01, bucket_rows: int = 50_000,
 ) -> DataFrame:
     """The mixed documents, columns unchanged: each row of ``docs`` as often as :func:`plan_mix` says.
 

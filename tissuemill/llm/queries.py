@@ -38,8 +38,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    n_of = {f"n_{k}": _count_kind(i) for i, k in enumerate(pii.KINDS)}
-    return found.select("doc_id", *[c.alias(n) for n, c in n_of.items()], F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
+    n_of = {f"n_{k}": _count_kind(i) for i, k in enumerate(pii.BASE)}
+    return found.select("doc_id", *[c.alias(n) for n, c in n_of.items()], F.size("spans").cast("long").alias("n_spans"), F.sha2(pii.listed(F.col("base_spans")), 256).alias("base_sha256"), pii.listed(F.col("spans")).alias("spans"))
 
 
 def _count_kind(kind: int) -> Column:
@@ -83,7 +83,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUND = """
-o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE NOT drawn AND size BETWEEN 1 AND left_ AND left_ > 0.001 * target),
+o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE NOT drawn AND size BETWEEN 1 AND left_ AND left_ > 0.01 * target),
 u{k} AS (SELECT source, max(q) FILTER (WHERE run <= left_) AS cut, coalesce(max(run) FILTER (WHERE run <= left_), 0) AS used FROM o{k} GROUP BY source),
 r{k} AS (SELECT r.* REPLACE (
     r.drawn OR coalesce(r.size BETWEEN 1 AND r.left_ AND r.q <= u.cut, false) AS drawn, r.left_ - coalesce(u.used, 0) AS left_)
