@@ -8,10 +8,9 @@ import random
 import re
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
-from tissuemill.llm import metric_join, mixing, pii, quality_rules, queries, sentence_spans, simhash, url_filter
+from tissuemill.llm import metric_join, mixing, pii, quality_rules, queries, sentence_spans, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -237,3 +236,45 @@ def test_rules_are_those_enumeration_finds(spark):
             if enough and not any(set(w) <= set(items) for w in want):
                 want.add(items)
     assert got == want and ("t1", "t2") in got
+
+
+def test_conjunctions_are_grown(spark):
+    """Bad texts are those that both shout and repeat words; either alone is good."""
+    rows = []
+    for i in range(1200):
+        shout, stutter = i % 2, i // 2 % 2
+        words = [f"{'W' if shout and k % 2 else 'w'}{(i * 31 + k * k) % 997:03}" for k in range(40)]
+        rows.append((i, " ".join(f"{w} {w}" if stutter and k % 3 == 0 else w for k, w in enumerate(words))))
+    stats = spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", quality_rules.text_statistics(F.col("text")).alias("s"))
+    labels = spark.createDataFrame([(i, int(not (i % 2 and i // 2 % 2))) for i in range(1200)], "doc_id long, quality int")
+    rules = quality_rules.learn_rules(quality_rules.labelled_features(stats, labels).cache())
+    assert any(len(r.conditions) == 2 for r in rules.rules)
+    judged = quality_rules.judge(stats, rules).select("doc_id", "rule").collect()
+    assert np.mean([(r["rule"] is not None) == bool(r["doc_id"] % 2 and r["doc_id"] // 2 % 2) for r in judged]) > 0.98
+
+
+def test_arc_files_of_any_bytes(spark, tmp_path):
+    (tmp_path / "arc").mkdir()
+    bodies = [bytes(range(256)), b"\xff\xfe\r\n\r\nx", b"", "é".encode("latin-1") * 1000]
+    records = [warc.ArcRecord({"url": f"http://a/{i}", "ip": "1.1.1.1", "date": "20010203040506", "type": "text/html"}, b"HTTP/1.0 200 OK\r\n\r\n" + x) for i, x in enumerate(bodies)]
+    (tmp_path / "arc" / "one.arc").write_bytes(warc.arc_bytes(records))
+    warc.convert_arc_files(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), records_per_file=2)
+    got = {r["url"]: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert {u: r["payload_bytes"] for u, r in got.items()} == {f"http://a/{i}": len(x) for i, x in enumerate(bodies)}
+    assert all(r["payload_sha1_ok"] and r["payload_digest"] == warc.sha1_base32(bodies[int(u[-1])]) for u, r in got.items())
+    files = [f.read_bytes() for f in (tmp_path / "warc").glob("part-*")]
+    assert len(files) >= 2 and all(sum(bool(m) for m in warc.members(f)) <= 2 for f in files)
+
+
+def test_warc_equals_brute_force(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(i, None if i % 50 == 3 else f"http://h{i % 7}/p {i}%", rng.choice([None, "", "same", "ä" * 5, f"lone {i}"])) for i in range(200)]
+    d = tables(spark, tmp_path, pages=(rows, "page_id long, url string, html string"))
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(i, last.get(h or "", i))
+    for r in queries.op5_warc(spark, d).collect():
+        h = (rows[r["page_id"]][2] or "").encode()
+        to = last[h.decode()]
+        assert (r["payload_bytes"], r["payload_digest"]) == (len(h), warc.sha1_base32(h))
+        assert (r["record_type"], r["refers_to"]) == (("response", None) if to == r["page_id"] else ("revisit", to))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuemill.llm._shared import durable, let, prefixes, spread_join
+from tissuemill.llm._shared import BLANKS, durable, let, prefixes, spread_join
 
 #: Kinds in the order in which spans at one place are listed; the last has no base pattern, only seeds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -98,19 +98,28 @@ def _cut(text: Column, many: Column) -> Callable[[Callable[[Callable], Column]],
     return run
 
 
-_WORD, _BLANK = r"[^\x20\x09-\x0D]++", r"[\x20\x09-\x0D]"
+_WORD = r"[^\x20\x09-\x0D]++"
 _AROUND = r"\"'(\[{<.,;:!?)\]}>\s"
 
 
 def _words_before(text: Column, none: Column) -> Column:
     """The last two words of a text, lower-cased and joined by a space; ``none`` if it has none."""
-    found = F.regexp_extract(text, rf"(?<!{_WORD[:-2]})((?:{_WORD}{_BLANK}++)?+{_WORD}){_BLANK}*+\z", 1)
-    return F.when(found == "", none).otherwise(F.regexp_replace(F.lower(found), rf"{_BLANK}++", " "))
+    def of(t: Column) -> Column:
+        last = lambda x: F.substring_index(x, " ", -1)
+        two = let(F.struct(t.alias("t"), last(t).alias("w")), lambda x: F.struct(x["w"].alias("w"), F.rtrim(F.substring(x["t"], F.lit(1), F.length(x["t"]) - F.length(x["w"]))).alias("rest")))
+        return F.when(t == "", none).otherwise(let(two, lambda x: F.lower(F.when(x["rest"] == "", x["w"]).otherwise(F.concat_ws(" ", last(x["rest"]), x["w"])))))
+
+    return let(F.rtrim(F.translate(text, BLANKS, " " * len(BLANKS))), of)
 
 
 def _words_behind(text: Column, none: Column) -> Column:
-    found = F.regexp_extract(text, rf"\A{_BLANK}*+({_WORD}(?:{_BLANK}++{_WORD})?+)", 1)
-    return F.when(found == "", none).otherwise(F.regexp_replace(F.lower(found), rf"{_BLANK}++", " "))
+    """The first two words of a text, likewise."""
+    def of(t: Column) -> Column:
+        first = lambda x: F.substring_index(x, " ", 1)
+        two = let(F.struct(t.alias("t"), first(t).alias("w")), lambda x: F.struct(x["w"].alias("w"), F.ltrim(F.substring(x["t"], F.length(x["w"]) + 1, F.length(x["t"]))).alias("rest")))
+        return F.when(t == "", none).otherwise(let(two, lambda x: F.lower(F.when(x["rest"] == "", x["w"]).otherwise(F.concat_ws(" ", x["w"], first(x["rest"]))))))
+
+    return let(F.ltrim(F.translate(text, BLANKS, " " * len(BLANKS))), of)
 
 
 def _entry(start: Column, value: Column, left: Column, right: Column, kind: Column, known: bool, whole: bool) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuemill.llm._shared import BLANKS, durable, let, words
+from tissuemill.llm._shared import BLANKS, durable, fresh, let, words
 
 #: Statistics that rules may test; all are doubles in [0, inf), none depends on ids, source or language.
 FEATURES = ("n_words", "word_length", "symbol_share", "upper_share", "bang_share", "dup_line_share", "repeat_share", "stutter_share")
@@ -122,15 +122,15 @@ class RuleList:
 
 
 def learn_rules(
-    labelled: DataFrame, *, n_cuts: int = 64, max_rules: int = 12, max_conditions: int = 3, min_bad: int = 5, min_precision: float = 0.98,
+    labelled: DataFrame, *, n_cuts: int = 64, max_rules: int = 12, max_conditions: int = 3, min_bad: int = 2, bad_share: float = 0.02, min_precision: float = 0.98,
 ) -> RuleList:
     """Learn a rule list from ``labelled(id, bad 0/1, f struct)`` by sequential covering.
 
     Two thirds of the rows, by a hash of the id, grow rules and one third prunes them.
     A rule grows by the condition with the largest FOIL gain among each feature's quantiles
     in either class, loses trailing conditions that do not help on the pruning rows, and is
-    kept if there it holds for ``min_bad`` bad texts with ``min_precision``. Rows it
-    covers are then left out. Every count is one grouped aggregate over all labelled
+    kept if there it holds for ``bad_share`` of the bad texts, ``min_bad`` at least, with
+    ``min_precision``. Rows it covers are then left out. Every count is one grouped aggregate over all labelled
     rows; the driver sees only a table of features times cuts. No labels, or none that
     are bad: no rules.
     """
@@ -143,6 +143,7 @@ def learn_rules(
     bins = F.array(*[F.struct(F.lit(f).alias("feature"), bin_of(f).alias("bin")) for f in FEATURES])
     binned = labelled.select("bad", (F.pmod(F.xxhash64("id"), F.lit(3)) == 0).alias("prune"), "f", bins.alias("bins"))
     rows = durable(binned, "rule-rows")
+    needed = max(min_bad, math.ceil(bad_share * (rows.where("prune").agg(F.sum("bad")).first()[0] or 0)))
     out = RuleList()
     for _ in range(max_rules):
         open_ = rows.where(F.coalesce(~_any(out.rules), F.lit(True)))
@@ -157,7 +158,7 @@ def learn_rules(
         if not conditions:
             break
         rule = _pruned(open_.where("prune"), conditions)
-        if rule.bad < min_bad or rule.bad < min_precision * (rule.bad + rule.good):
+        if rule.bad < needed or rule.bad < min_precision * (rule.bad + rule.good):
             break
         out.rules.append(rule)
     return out
@@ -197,19 +198,20 @@ def _pruned(rows: DataFrame, conditions: list[Condition]) -> Rule:
     return max(scored, key=lambda r: ((r.bad - r.good) / max(1, r.bad + r.good), -len(r.conditions)))
 
 
-def labelled_features(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality") -> DataFrame:
-    """Training rows ``(id, bad, f)`` from ``stats(id_col, s struct)`` and a label table.
+def base_failed(stats: Column) -> Column:
+    """Fewer than 10 words, or over 20 % of the words in repeated five-word windows."""
+    return (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
+
+
+def labelled_features(stats: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", stats_col: str = "s") -> DataFrame:
+    """Training rows ``(id, bad, f)`` from ``stats(id_col, stats_col struct)`` and a label table.
 
     Label 0 is bad; an id with several labels is bad if any is; null ids and null
-    labels teach nothing.
+    labels teach nothing, nor do texts that the base rule rejects anyway.
     """
     bad = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max((F.col(label_col) == 0).cast("int")).alias("bad"))
-    return stats.select(F.col(id_col).alias("id"), features(F.col("s")).alias("f")).join(bad, "id")
-
-
-def base_failed(stats: Column) -> Column:
-    """Fewer than 10 words, or over 20 % of the words in repeated five-word windows."""
-    return (stats["n_words"] < 10) | (100 * stats["n_repeat_words"] > 20 * stats["n_words"])
+    kept = stats.where(~base_failed(F.col(stats_col)))
+    return kept.select(F.col(id_col).alias("id"), features(F.col(stats_col)).alias("f")).join(bad, "id")
 
 
 def judge(stats: DataFrame, rules: RuleList) -> DataFrame:
@@ -219,14 +221,16 @@ def judge(stats: DataFrame, rules: RuleList) -> DataFrame:
         "kept", ~F.col("base_failed") & F.col("rule").isNull()).drop("f")
 
 
-def filter_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def filter_quality(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", **options) -> DataFrame:
     """The documents that the base rule and the learned list keep, columns unchanged.
 
-    Statistics are computed beside the text, so documents are not shuffled; the copy
-    that is joined with the labels holds ids and counts alone. Null and empty texts
-    have no words and go. An empty label table leaves the base rule.
+    Statistics are computed once and written beside the documents, which are not
+    shuffled; what is joined with the labels holds ids and counts alone. Null and empty texts
+    have no words and go; a long text costs its length, and sorting its windows if one
+    repeats. An empty label table leaves the base rule.
     """
-    with_stats = docs.withColumn("s", text_statistics(F.col(text_col)))
-    rules = learn_rules(durable(labelled_features(with_stats.select(id_col, "s"), labels, id_col=id_col), "rule-train"), **options)
-    kept = ~base_failed(F.col("s")) & rules.fired(features(F.col("s"))).isNull()
+    (name,) = fresh(docs.columns, "quality_stats")
+    with_stats = durable(docs.withColumn(name, text_statistics(F.col(text_col))), "quality-stats")
+    rules = learn_rules(durable(labelled_features(with_stats, labels, id_col=id_col, label_col=label_col, stats_col=name), "rule-train"), **options)
+    kept = ~base_failed(F.col(name)) & rules.fired(features(F.col(name))).isNull()
     return with_stats.where(kept).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,12 +6,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tissuemill.llm._shared import connected_components, durable
+from tissuemill.llm._shared import connected_components, durable, fresh, spread_join
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -41,13 +41,14 @@ def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp long)`` for each row; a null text has the fingerprint of an empty one."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """``(id, text_hash, fp long)`` for each row; a null text has the fingerprint of an empty one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"], "fp": np.array([fingerprint(t) for t in b["text"]], "int64")})
+            found = pa.array([fingerprint(t.as_py()) for t in b.column("text")], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), found], names=["id", "text_hash", "fp"])
 
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return source.mapInPandas(run, "id long, fp long")
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
+    return source.mapInArrow(run, "id long, text_hash long, fp long")
 
 
 def _segments(bits: int, most: int) -> list[tuple[int, int]]:
@@ -102,23 +103,30 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     one row each. A null id takes part with its text's class but is never the smallest
     of it unless the class has no other (component null). An empty table gives no rows.
     """
-    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
-    classes = durable(prints.groupBy("fp").agg(F.min("id").alias("low")), "simhash-classes")
-    pairs = links(classes.select("fp"), most)
-    roots = connected_components(pairs)
-    of = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    lowest = of.groupBy("root").agg(F.min("low").alias("component"))
-    of = durable(of.join(lowest, "root").select("fp", "component"), "simhash-components")
-    return prints.join(of, "fp").select("id", "fp", "component")
+    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col).select("id", "fp"), "simhash")
+    return components(prints, most).select("id", "fp", "component")
+
+
+def components(prints: DataFrame, most: int) -> DataFrame:
+    """``prints(id, fp, …)`` with ``root``, one value per group, and ``component``, its smallest id; a frequent fingerprint is dealt over tasks."""
+    total = prints.count()
+    classes = durable(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-classes")
+    roots = connected_components(links(classes.select("fp"), most))
+    of = durable(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    lowest = of.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n"))
+    of = durable(spread_join(of, lowest, "root", F.col("fp"), total).select("fp", F.col("rows").alias("n"), "root", "component"), "simhash-components")
+    return spread_join(prints, of, "fp", F.coalesce("id", F.monotonically_increasing_id()), total)
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
-    """One document of each group: the row with the smallest id, columns unchanged.
+    """One document of each group: the row with the smallest id, null last, columns unchanged.
 
-    Of several rows with that id one stays, any of them. Rows with a null id cannot be
-    named and all stay.
+    Rows are told apart by id and text, so unlike texts under one id all count; of rows
+    that are equal in both one stays.
     """
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, most=most).where("id = component")
-    kept = kept.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col)).distinct()
-    unnamed = docs.where(F.col(id_col).isNull())
-    return docs.join(kept, id_col).dropDuplicates([id_col]).select(*docs.columns).union(unnamed)
+    prints = durable(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash")
+    low = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
+    key, text, own = fresh(docs.columns, "kept_id", "kept_hash", "own_hash")
+    kept = components(prints, most).groupBy("root").agg(low.alias("low")).select(F.col("low.id").alias(key), F.col("low.text_hash").alias(text))
+    out = docs.withColumn(own, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(key)) & (F.col(own) == F.col(text)))
+    return out.dropDuplicates([id_col, own]).select(*[F.col(f"`{c}`") for c in docs.columns])

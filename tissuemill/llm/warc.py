@@ -8,6 +8,7 @@ import hashlib
 import io
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tissuemill.llm._shared import durable, shared_dir
+from tissuemill.llm._shared import durable, shared_dir, spread_join
 
 #: Fields of a record's header line, by the version that the file's first record declares.
 ARC_FIELDS = {
@@ -123,13 +124,30 @@ def warc_record(fields: dict[str, str], block: bytes) -> bytes:
     return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields.items()) + f"Content-Length: {len(block)}\r\n\r\n").encode() + block
 
 
-def convert(r: ArcRecord, refers_to: str | None = None) -> bytes:
-    """The WARC record of an ARC record; with ``refers_to`` a revisit of that page's equal payload, headers only."""
+def convert(r: ArcRecord, response: ArcRecord | None = None, page: str | None = None) -> bytes:
+    """The WARC record of an ARC record; with a ``response`` of equal payload (that of ``page``) a revisit of it, headers only."""
     fields, payload = warc_headers(r)
-    if refers_to is None:
+    if response is None:
         return warc_record(fields, r.content)
-    head = r.content[: len(r.content) - len(payload)]
-    return warc_record(fields | {"WARC-Type": "revisit", "WARC-Profile": _IDENTICAL, "X-Refers-To-Page": refers_to, "X-Payload-Length": str(len(payload)), "WARC-Block-Digest": f"sha1:{sha1_base32(head)}"}, head)
+    head, of = r.content[: len(r.content) - len(payload)], warc_headers(response)[0]
+    fields |= {"WARC-Type": "revisit", "WARC-Profile": _IDENTICAL, "WARC-Refers-To": of["WARC-Record-ID"], "WARC-Refers-To-Target-URI": of["WARC-Target-URI"], "WARC-Refers-To-Date": of["WARC-Date"]}
+    return warc_record(fields | {"X-Refers-To-Page": page or "", "X-Payload-Length": str(len(payload)), "WARC-Block-Digest": f"sha1:{sha1_base32(head)}"}, head)
+
+
+def member(record: bytes) -> bytes:
+    """A closed WARC record as one gzip member, so that readers can seek to it."""
+    return gzip.compress(record + WARC_END.encode(), 1, mtime=0)
+
+
+def members(raw: bytes) -> Iterator[bytes]:
+    """The contents of a gzip file's members in turn, or of a plain file at once."""
+    if raw[:2] != b"\x1f\x8b":
+        yield raw
+        return
+    while raw:
+        one = zlib.decompressobj(31)
+        yield one.decompress(raw) + one.flush()
+        raw = one.unused_data
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -149,73 +167,84 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = stop + 4 + n
 
 
-def _arc_segment(rows: list[tuple[int | None, str | None, bytes]], version: str) -> bytes:
-    """An ARC file of pages; what a header line cannot hold in a URL is percent-encoded."""
-    def record(page: int | None, url: str | None, payload: bytes) -> ArcRecord:
-        head = "HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Page-Id: {page}\r\n" if page is not None else "") + "\r\n"
-        safe = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
-        return ArcRecord({"url": safe, "ip": "0.0.0.0", "date": "20200101000000", "type": "text/html", "status": "200"}, head.encode() + payload)
-
-    return arc_bytes([record(*r) for r in rows], version)
+def _page_record(page: int | None, url: str | None, payload: bytes) -> ArcRecord:
+    """A page as an ARC record; what a header line cannot hold in a URL is percent-encoded."""
+    head = "HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + (f"X-Page-Id: {page}\r\n" if page is not None else "") + "\r\n"
+    safe = _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", url or "") or "about:blank"
+    return ArcRecord({"url": safe, "ip": "0.0.0.0", "date": "20200101000000", "type": "text/html", "status": "200"}, head.encode() + payload)
 
 
 def with_revisits(pages: DataFrame, *, id_col: str, html_col: str, least_bytes: int) -> DataFrame:
-    """``pages`` as ``(page_id, url, html, refers_to)``: the largest id among equal payloads, for all rows but its own.
+    """``pages`` as ``(page_id, url, html, last, last_url)``: the largest id among equal payloads and its URL, for all rows but its own.
 
     Digests with one row are left out of the join, so what is joined is small unless
-    payloads repeat much; a payload under ``least_bytes`` refers to none.
+    payloads repeat much; a payload on many pages is dealt over tasks; one under
+    ``least_bytes`` refers to none. Of several rows with that id the smallest URL counts.
     """
     rows = pages.select(F.col(id_col).alias("page_id"), "url", F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    digest = F.sha1(F.encode("html", "UTF-8"))
-    many = rows.select("page_id", digest.alias("digest"), F.octet_length("html").alias("n")).where(F.col("n") >= least_bytes)
-    many = durable(many.groupBy("digest").agg(F.max("page_id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1 and last is not null").select("digest", "last"), "warc-revisits")
-    return rows.join(many, digest == many["digest"], "left").select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("last")), F.col("last")).alias("refers_to"))
+    rows = rows.withColumn("digest", F.when(F.octet_length("html") >= least_bytes, F.sha1(F.encode("html", "UTF-8"))))
+    many = rows.where("digest is not null and page_id is not null").groupBy("digest").agg(F.max("page_id").alias("last"), F.max_by(F.coalesce("url", F.lit("")), F.struct("page_id", F.coalesce("url", F.lit("")))).alias("last_url"), F.count(F.lit(1)).alias("n"))
+    lone = rows.where("digest is not null and page_id is null").select("digest").distinct().withColumn("alone", F.lit(True))
+    many = durable(many.join(lone, "digest", "left").where("n > 1 or alone").drop("alone"), "warc-revisits")
+    joined = spread_join(rows, many, "digest", F.xxhash64("page_id", "url"), pages.count(), "left")
+    own = F.col("page_id").eqNullSafe(F.col("last"))
+    return joined.select("page_id", "url", "html", F.when(~own, F.col("last")).alias("last"), F.when(~own, F.col("last_url")).alias("last_url"))
+
+
+def _write_members(records: DataFrame, path: str, records_per_file: int) -> None:
+    """Write ``records(value binary)``, gzip members, in files of at most ``records_per_file``.
+
+    The text sink writes the bytes as they are; what it puts behind each is an empty member.
+    """
+    text = records.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", records_per_file)
+    text.option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
 
 
 def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: str = "1", records_per_file: int = 1000, least_bytes: int = 0) -> None:
-    """Write ``pages`` as gzipped WARC files under ``path``, by way of ARC segments.
+    """Write ``pages`` as WARC files of gzip members under ``path``, by way of ARC segments.
 
     Pages go into ARC segments of a few hundred records, which are parsed by their
     header lines and lengths and converted record by record. Files hold at most
     ``records_per_file`` records. Null html is an empty payload, null URLs are
     ``about:blank``, a null id writes no id; of equal payloads of at least
     ``least_bytes`` bytes the rows with the largest id are responses, the others revisits.
+    Other columns, whatever their names, are left out.
     """
-    linked = with_revisits(pages.withColumnRenamed(url_col, "url"), id_col=id_col, html_col=html_col, least_bytes=least_bytes)
+    linked = with_revisits(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), id_col="page_id", html_col="html", least_bytes=least_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256).to_pydict()
-                segment = _arc_segment([(p, u, h.encode()) for p, u, h in zip(part["page_id"], part["url"], part["html"])], version)
-                records = parse_arc(segment)
+                payloads = [h.encode() for h in part["html"]]
+                records = parse_arc(arc_bytes([_page_record(*r) for r in zip(part["page_id"], part["url"], payloads)], version))
                 next(records)
-                out = [convert(r, None if to is None else str(to)).decode() for r, to in zip(records, part["refers_to"])]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                out = [member(convert(r) if to is None else convert(r, _page_record(to, url, h), str(to))) for r, to, url, h in zip(records, part["last"], part["last_url"], payloads)]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    text = linked.mapInArrow(run, "value string").write.option("lineSep", WARC_END).option("maxRecordsPerFile", records_per_file)
-    text.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").text(path)
+    _write_members(linked.mapInArrow(run, "value binary"), path, records_per_file)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records under ``path``: ``(page_id, payload_bytes, payload_digest, record_type, refers_to, url, payload_sha1_ok)``.
 
     For a revisit the size is the one its record states, and its digest that of the
-    record it revisits; for a response both are taken from the payload read.
+    record it revisits; for a response both are taken from the payload read. A file is read
+    whole and opened member by member.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                raw = content.as_buffer().to_pybytes()
                 rows = []
-                for f, block in parse_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                for f, block in (x for part in members(content.as_buffer().to_pybytes()) for x in parse_warc(part)):
                     if f["WARC-Type"] == "warcinfo":
                         continue
                     _, payload = _split_http(block)
                     revisit, stated = f["WARC-Type"] == "revisit", f["WARC-Payload-Digest"].removeprefix("sha1:")
                     digest = stated if revisit else sha1_base32(payload)
-                    to = int(f["X-Refers-To-Page"]) if revisit else None
-                    rows.append((int(f["X-Page-Id"]) if "X-Page-Id" in f else None, int(f["X-Payload-Length"]) if revisit else len(payload), digest, f["WARC-Type"], to, f.get("WARC-Target-URI"), digest == stated))
+                    to = int(f["X-Refers-To-Page"]) if revisit and f.get("X-Refers-To-Page") else None
+                    size = int(f["X-Payload-Length"]) if revisit and "X-Payload-Length" in f else len(payload)
+                    rows.append((int(f["X-Page-Id"]) if "X-Page-Id" in f else None, size, digest, f["WARC-Type"], to, f.get("WARC-Target-URI"), digest == stated))
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "payload_sha1_ok"])
 
@@ -224,19 +253,14 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def convert_arc_files(spark: SparkSession, source: str, path: str, *, records_per_file: int = 1000) -> None:
-    """Convert the ARC files under ``source``, plain or gzipped, to gzipped WARC files under ``path``.
-
-    Records whose bytes are not UTF-8 cannot be written by the text sink and raise an error.
-    """
+    """Convert the ARC files under ``source``, plain or gzipped, to WARC files of gzip members under ``path``; records may hold any bytes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for content in b.column("content"):
-                raw = content.as_buffer().to_pybytes()
-                out = [convert(r).decode() for r in parse_arc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
+                out = [member(convert(r)) for r in parse_arc(b"".join(members(content.as_buffer().to_pybytes())))]
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
 
-    files = spark.read.format("binaryFile").load(source).select("content")
-    files.mapInArrow(run, "value string").write.option("lineSep", WARC_END).option("maxRecordsPerFile", records_per_file).option("compression", "gzip").text(path)
+    _write_members(spark.read.format("binaryFile").load(source).select("content").mapInArrow(run, "value binary"), path, records_per_file)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
