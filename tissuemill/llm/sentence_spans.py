@@ -116,20 +116,25 @@ def _not_first(scanned: DataFrame, sample_every: int = 32, share: float = 1e-4)
 
     Runs meet by a shuffle on their hash. Hashes that hold over ``share`` of the runs of
     every ``sample_every``-th row, hence at most ``1 / share`` of them, go another way:
-    their first places are a grouped minimum, which is broadcast. The sample only picks
-    the way; either way sees all rows.
+    their first places are a grouped minimum, which is broadcast, and their runs are
+    dealt by row. The sample only picks the way; either way sees all rows.
     """
     runs = scanned.select("id", "uid", F.explode(F.arrays_zip("first", "past", "hash")).alias("r")).select("id", "uid", "r.first", "r.past", "r.hash")
     some = durable(runs.where(F.pmod(F.xxhash64("uid"), F.lit(sample_every)) == 0).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "span-sample")
     total = scanned.where(F.pmod(F.xxhash64("uid"), F.lit(sample_every)) == 0).agg(F.sum(F.size("hash"))).first()[0] or 0
-    often = F.broadcast(some.where(F.col("n") > max(share * total, 16)).select("hash"))
+    often = some.where(F.col("n") > max(share * total, 16)).select("hash", F.lit(True).alias("often"))
     place = F.struct(F.col("id").isNull().alias("unnamed"), "id", "uid", "first")
-    hot = runs.join(often, "hash", "left_semi")
-    firsts = durable(hot.groupBy("hash").agg(F.min(place).alias("kept")), "span-hot")
-    hot = hot.join(F.broadcast(firsts), "hash").where((F.col("uid") != F.col("kept.uid")) | (F.col("first") != F.col("kept.first")))
-    at = F.row_number().over(Window.partitionBy("hash").orderBy(F.col("id").asc_nulls_last(), "uid", "first"))
-    rest = runs.join(often, "hash", "left_anti").withColumn("at", at).where("at > 1")
-    return rest.select("uid", "first", "past").union(hot.select("uid", "first", "past"))
+    # every run leaves these joins once, whatever is frequent: those that are not share the null group
+    marked = runs.join(F.broadcast(often), "hash", "left").groupBy(F.when(F.col("often"), F.col("hash")).alias("frequent"))
+    firsts = durable(marked.agg(F.min(place).alias("kept")), "span-frequent").where("frequent is not null")
+    found = runs.join(F.broadcast(firsts), runs["hash"] == firsts["frequent"], "left")
+    # what is shuffled is narrow: a run's two ends are one number, and frequent runs know already whether they are first
+    again = (F.col("uid") != F.col("kept.uid")) | (F.col("first") != F.col("kept.first"))
+    ends = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("past").cast("long"))
+    rows = found.select("hash", "id", "uid", ends.alias("ends"), F.when(F.col("frequent").isNotNull(), F.xxhash64("uid")).alias("part"), F.when(F.col("frequent").isNotNull(), again).alias("again"))
+    at = F.row_number().over(Window.partitionBy("hash", "part").orderBy(F.col("id").asc_nulls_last(), "uid", "ends"))
+    late = rows.withColumn("late", F.when(F.col("part").isNull(), at > 1).otherwise(F.col("again"))).where("late")
+    return late.select("uid", F.shiftright("ends", 32).cast("int").alias("first"), F.col("ends").cast("int").alias("past"))
 
 
 def _joined(starts: pa.Array, ends: pa.Array, firsts: pa.Array, pasts: pa.Array) -> tuple[list[int], list[list[dict[str, int]]]]:
