@@ -134,7 +134,7 @@ def _not_first(scanned: DataFrame, sample_every: int = 32, share: float = 1e-4)
     rows = found.select("hash", "id", "uid", ends.alias("ends"), F.when(F.col("frequent").isNotNull(), F.xxhash64("uid")).alias("part"), F.when(F.col("frequent").isNotNull(), again).alias("again"))
     at = F.row_number().over(Window.partitionBy("hash", "part").orderBy(F.col("id").asc_nulls_last(), "uid", "ends"))
     late = rows.withColumn("late", F.when(F.col("part").isNull(), at > 1).otherwise(F.col("again"))).where("late")
-    return late.select("uid", F.shiftright("ends", 32).cast("int").alias("first"), F.col("ends").cast("int").alias("past"))
+    return late.select("uid", F.shiftright("ends", 32).cast("int").alias("first"), F.col("ends").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("past"))
 
 
 def _joined(starts: pa.Array, ends: pa.Array, firsts: pa.Array, pasts: pa.Array) -> tuple[list[int], list[list[dict[str, int]]]]:
