@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuemill.functions import names
-from tissuemill.operators import clean, decay, graph, reshape, voxels
+from tissuemill.functions import grids, index, names
+from tissuemill.operators import aggregate, clean, decay, graph, hoods, joins, learn, ranked, reshape, voxels, windows
 from tissuemill.operators import neighbours as near
 from tissuemill.plans import registry
 from tissuemill.sources import tables
@@ -58,11 +58,14 @@ def test_outlier_flags(spark):
 
 
 def test_globs():
-    channels = ["DAPI.0", "DAPI.1", "PCNA.0", "PCNA.1", "Pol-II-S2P.0", "Pol-II-S2P.1", "Pol-II-S5P.0", "Pol-II-S5P.1"]
-    assert len(names.glob(channels, ["DAPI.*"])) == 2 and len(names.glob(channels, ["!DAPI.*"])) == 6
-    assert names.glob(channels, ["!*"]) == [] and len(names.glob(channels, ["*-*"])) == 4
-    with pytest.raises(ValueError):
-        names.glob(channels, ["X*"])
+    stains = [f"{stain}.{n}" for stain in ("actin", "tubulin", "g-h2ax") for n in range(3)]
+    assert names.glob(stains, ["actin.*"]) == ["actin.0", "actin.1", "actin.2"]
+    assert names.glob(stains, ["*.1", "tub*"]) == ["actin.1", "tubulin.0", "tubulin.1", "tubulin.2", "g-h2ax.1"]
+    assert names.glob(stains, ["!*.0", "!*.2"]) == ["actin.1", "tubulin.1", "g-h2ax.1"]
+    assert names.glob_pairs(stains, ["actin.0"], ["g-*"]) == [("actin.0", f"g-h2ax.{n}") for n in range(3)]
+    for wrong in (["dapi*"], ["actin*", "!tubulin*"]):
+        with pytest.raises(ValueError):
+            names.glob(stains, wrong)
 
 
 def test_nest_round_trip(spark):
@@ -86,10 +89,10 @@ def test_voxel_touch_and_parent(spark):
     assert one["NumberOfPixels"] == 16 and one["Elongation"] >= 1
 
 
-@pytest.mark.parametrize("kind,p,loss", [("linear", [0.5, 3.0], "linear"), ("linear", [0.5, 3.0], "huber"), ("exponential", [-0.01, 5.0], "linear"), ("exponential_offset", [-0.02, 5.0, 1.0], "linear")])
+@pytest.mark.parametrize("kind,p,loss", [("linear", [0.5, 3.0], "linear"), ("linear", [0.5, 3.0], "huber"), ("exponential", [-0.01, 5.0], "linear"), ("exponential_offset", [-0.02, 5.0, 1.0], "linear"), ("power", [-0.4, 7.0], "linear"), ("power_offset", [0.5, 2.0, 3.0], "linear")])
 def test_fits_recover_parameters(spark, kind, p, loss):
     x = F.col("id").cast("double")
-    df = spark.range(0, 200, 2).select(F.lit("c").alias("channel"), x.alias("x"))
+    df = spark.range(2, 202, 2).select(F.lit("c").alias("channel"), x.alias("x"))
     df = df.withColumn("y", decay.predict(kind, F.array(*[F.lit(v) for v in p]), [F.col("x")]))
     got = decay.fit(df, "channel", ["x"], "y", kind, loss)["c"]
     assert all(abs(a - b) < 1e-2 * max(1, abs(b)) for a, b in zip(got, p))
@@ -154,3 +157,108 @@ def test_grown_voxel_queries_follow_the_table(spark):
 def test_border_distance_reaches_across_missing_voxels(spark):
     v = spark.createDataFrame([("r", 0, 0, 0, 1), ("r", 1, 1, 1, 0), ("r", 0, 3, 0, 0)], "roi string, z int, y int, x int, label int")
     assert {(r["z"], r["y"]): r["value"] for r in voxels.border_distance(v, squared=True).collect()} == {(0, 0): 3.0, (1, 1): 0.0, (0, 3): 0.0}
+
+
+def test_null_strategies(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1, 1.0, nan, None), (2, None, 2.0, None), (3, 3.0, 3.0, None)], "k int, a double, b double, c double")
+    kept = {n: clean.handle_nulls(df, ["a", "b"], n) for n in ("skip", "drop_cols", "drop_rows", "drop_feature_rows", "drop_all")}
+    assert kept["skip"].where("b is null").count() == 1 and kept["skip"].where(F.isnan("b")).count() == 0
+    assert kept["drop_cols"].columns == ["k", "c"] and kept["drop_cols"].count() == 3
+    assert kept["drop_rows"].count() == 0 and [r["k"] for r in kept["drop_feature_rows"].collect()] == [3]
+    assert kept["drop_all"].columns == ["k", "c"] and kept["drop_all"].count() == 0
+    with pytest.raises(ValueError):
+        clean.handle_nulls(df, ["a"], "none")
+
+
+def test_repeated_keys_fail_the_pivot(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "b", 2.0), (2, "a", 3.0)], "k long, ch string, v double")
+    assert {tuple(r) for r in reshape.to_wide(df, ["k"], ["ch"]).collect()} == {(1, 1.0, 2.0), (2, 3.0, None)}
+    with pytest.raises(Exception, match="repeats"):
+        reshape.to_wide(df.union(df.limit(1)), ["k"], ["ch"]).collect()
+    with pytest.raises(ValueError):
+        reshape.to_wide(df, ["k"], ["ch"], most_values=1)
+
+
+def test_order_statistics_of_few_large_groups(spark):
+    df = spark.range(3000).select((F.col("id") % 3 == 0).alias("g"), (F.col("id") * 7919 % 1000).cast("double").alias("v")).union(spark.createDataFrame([(None, 5.0), (None, None)], "g boolean, v double"))
+    rows = [(r["g"], r["v"]) for r in df.collect() if r["v"] is not None]
+    got = {r["g"]: r for r in ranked.values_at(df, ["g"], "v", {"low": F.lit(0), "mid": F.round((F.col("all") - 1) * 0.5), "out": F.col("all")}).collect()}
+    for g in (True, False, None):
+        v = sorted(x for k, x in rows if k == g)
+        assert (got[g]["low"], got[g]["mid"], got[g]["out"]) == (v[0], v[math.floor((len(v) - 1) * 0.5 + 0.5)], None)
+    assert {r["g"]: r["median"] for r in aggregate.medians(df, ["g"], "v").collect()}[True] == float(np.median([x for k, x in rows if k]))
+    numbers = ranked.numbered(df.where("g"), ["v"]).collect()
+    assert sorted(r["_row"] for r in numbers) == list(range(1000)) and [r["v"] for r in sorted(numbers, key=lambda r: r["_row"])] == sorted(x for k, x in rows if k)
+
+
+def test_no_task_holds_a_group(spark):
+    """One flag on nine tenths of the rows: quantiles, z-scores, samples, splits and curves leave no task with most of them."""
+    n = 40_000
+    df = spark.range(n).select("id", (F.col("id") % 10 == 0).cast("int").alias("flag"), (F.col("id") * 7919 % n).cast("double").alias("v"))
+    tracker = spark.sparkContext.statusTracker()
+    plans = {
+        "quantiles": aggregate.quantile_nearest_rows(df, ["flag"], "v", [0.25]), "z": windows.z_scored(df, "v", ["flag"]), "sample": windows.stratified_sample(df, ["flag"], 50, ["id"]),
+        "split": learn.train_test_split(df, "flag", 0.7, ["id"]), "curve": learn.roc_curve(df, "flag", "v"),
+    }
+    assert tracker is not None
+    for name, plan in plans.items():
+        windows_of_all = [line for line in plan._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange SinglePartition" in line]
+        assert name and len(windows_of_all) <= 1, (name, windows_of_all)
+    assert plans["z"].count() == n and plans["sample"].count() == 100 and plans["split"].where("is_train").count() == 28_000
+
+
+def test_merge_leaves_one_table(spark, tmp_path):
+    path = str(tmp_path / "t.parquet")
+    tables.write_merged(spark.createDataFrame([(1, 1)], "k int, a int"), path, ["k"])
+    tables.write_merged(spark.createDataFrame([(1, 2)], "k int, b int"), path, ["k"], "merge")
+    assert [tuple(r) for r in spark.read.parquet(path).select("k", "a", "b").collect()] == [(1, 1, 2)]
+    assert [x.name for x in tmp_path.iterdir()] == ["t.parquet"]
+
+
+def test_index_columns(spark):
+    df = spark.createDataFrame([(1.0, "r", 7, "o")], "x double, roi string, label long, object string")
+    only = index.set_index(df, ["label"])
+    assert only.columns == ["label", "x", "_roi", "_object"] and index.activate(only, ["roi"]).columns == ["label", "roi", "x", "_object"]
+    assert index.arranged(df).columns == ["roi", "object", "label", "x"] and index.deactivate(df, ["roi"]).columns == ["label", "object", "x", "_roi"]
+
+
+def test_grids(spark):
+    sites = spark.createDataFrame([(f"s{i}",) for i in range(5)], "site string")
+    place = lambda form, **k: {r["site"]: (r["iy"], r["ix"]) for r in grids.site_grid(sites, "site", form, **k).collect()}
+    assert place("line") == {f"s{i}": (0, i) for i in range(5)}
+    assert place("square") == {"s0": (0, 0), "s1": (1, 0), "s2": (2, 0), "s3": (0, 1), "s4": (1, 1)}
+    assert place("square", left_to_right=False)["s3"] == (1, 0)
+    assert grids.site_offsets(spark.createDataFrame([("B02_px+0010_py-0004",), ("B02",)], "roi string")).collect()[0][1:] == ("B02", 10, -4)
+
+
+def test_queries_by_name(points):
+    by = {k: hoods.neighbourhood(points, hoods.Hood(k, 3)).count() for k in ("knn_distance", "knn_adjacency", "knn_kernel")}
+    assert set(by.values()) == {30}
+    assert hoods.Hood("radius_distance", 5.0, True).label != hoods.Hood("radius_adjacency", 5.0).label
+    assert len(hoods.hoods(["knn_kernel", "knn_distance"], [1, 2], kernels=["gaussian", "uniform"])) == 6
+    with pytest.raises(ValueError):
+        hoods.Hood("delaunay", 1)
+    with pytest.raises(ValueError):
+        hoods.neighbourhood(points, hoods.Hood("touch", 1))
+
+
+def test_nesting_forms(spark):
+    df = spark.createDataFrame([(1, 2, 3, 4)], "`A_x_m` int, `A_x_n` int, `B_x_m` int, c int")
+    assert reshape.nest_at(df, "_", 0).schema["A"].dataType.names == ["x_m", "x_n"] and reshape.nest_at(df, "_", -1).schema["m"].dataType.names == ["A_x", "B_x"]
+    assert reshape.nest(df, "_", level=0).columns == ["A", "B_x_m", "c"] and reshape.nest(df, "_", keep="before").columns[0] == "A_x_"
+    assert joins.request_rows(spark.createDataFrame([("label", "o", ["a", "b"])], "family string, object string, features array<string>"), ["x"]).count() == 2
+
+
+def test_spline_basis_is_smooth_and_periodic(spark):
+    df = spark.range(1001).select((F.col("id") / 10).alias("x"))
+    out = clean.spline_basis(df.withColumn("at", F.col("x")), "x").orderBy("at").toPandas().drop(columns="at").to_numpy()
+    assert np.allclose(out.sum(1), 1) and (out >= 0).all() and np.allclose(out[0], out[-1]) and np.abs(np.diff(out, axis=0)).max() < 0.01
+
+
+def test_element_wise_and_sweep(spark):
+    def half(v):
+        return v / 2
+
+    assert hoods.element_wise(spark.range(3), "id", half, "h").agg(F.sum("h")).first()[0] == 1.5
+    assert learn.parameter_sweep(spark, a=[1, 2], b=["x", "y", "z"]).count() == 6

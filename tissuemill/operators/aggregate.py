@@ -27,13 +27,10 @@ def quantile_nearest(column: Column, q: float) -> Column:
 
 
 def quantile_nearest_rows(df: DataFrame, group: Sequence[str], column: str, qs: Sequence[float]) -> DataFrame:
-    """The same quantiles per group without collecting one: values are counted first, and only the running counts of different values are sorted."""
-    counted = df.where(c(column).isNotNull()).groupBy(*group, column).agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.partitionBy(*group)
-    ranked = counted.withColumns({"_upto": F.sum("_n").over(w.orderBy(column)), "_all": F.sum("_n").over(w)})
-    at = [F.round((F.col("_all") - 1) * F.lit(q)) for q in qs]
-    hit = [F.min(F.when(F.col("_upto") > a, c(column))).alias(f"{column}__Q({q})") for a, q in zip(at, qs)]
-    return ranked.groupBy(*group).agg(*hit)
+    """The same quantiles per group without collecting or sorting one whole (:func:`ranked.values_at`)."""
+    from tissuemill.operators.ranked import values_at
+
+    return values_at(df, group, column, {f"{column}__Q({q})": F.round((F.col("all") - 1) * F.lit(q)) for q in qs})
 
 
 Count: Aggregate = lambda names: [F.count(F.lit(1)).alias("Count")]
@@ -156,11 +153,25 @@ def circular(column: Column) -> dict[str, Column]:
     return {"circmean": F.pmod(F.atan2(s, k), F.lit(2 * math.pi)), "circr": r, "circvar": 1 - r, "circstd": F.sqrt(-2 * F.ln(r))}
 
 
+def medians(df: DataFrame, group: Sequence[str], column: str, name: str = "median") -> DataFrame:
+    """Medians per group from the two middle values (:func:`ranked.values_at`), for large groups."""
+    from tissuemill.operators.ranked import values_at
+
+    out = values_at(df, group, column, {"_low": F.floor((F.col("all") - 1) / 2), "_high": F.ceil((F.col("all") - 1) / 2)})
+    return out.select(*[c(k) for k in group], ((F.col("_low") + F.col("_high")) / 2).alias(name))
+
+
 def error_bars(df: DataFrame, group: Sequence[str], column: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
-    """Mean, median and nearest quantiles of a column per group."""
-    centre = df.groupBy(*group).agg(F.avg(column).alias("mean"), F.percentile(c(column), F.lit(0.5)).alias("median"))
-    q = quantile_nearest_rows(df, group, column, (low, high))
-    return centre.join(q.withColumnsRenamed({f"{column}__Q({low})": "low", f"{column}__Q({high})": "high"}), list(group))
+    """Mean, median and nearest quantiles of a column per group, null groups too."""
+    from tissuemill.operators.ranked import values_at
+
+    at = {"low": F.round((F.col("all") - 1) * F.lit(low)), "high": F.round((F.col("all") - 1) * F.lit(high)), "_a": F.floor((F.col("all") - 1) / 2), "_b": F.ceil((F.col("all") - 1) / 2)}
+    q = values_at(df, group, column, at)
+    q = q.select(*[c(k).alias(f"_key_{i}") for i, k in enumerate(group)], ((F.col("_a") + F.col("_b")) / 2).alias("median"), "low", "high")
+    on = F.lit(True)
+    for i, k in enumerate(group):
+        on = on & c(k).eqNullSafe(F.col(f"_key_{i}"))
+    return df.groupBy(*[c(k) for k in group]).agg(F.avg(c(column)).alias("mean")).join(q, on, "left").select(*[c(k) for k in group], "mean", "median", "low", "high")
 
 
 def score_table(df: DataFrame, group: Sequence[str]) -> DataFrame:
@@ -194,3 +205,21 @@ def bins_2d(df: DataFrame, x: Column, y: Column, dx: float, dy: float, value: Co
     """Counts, and the mean of ``value``, on a grid of ``dx`` by ``dy``, per category ``by`` if given."""
     keys = [F.floor(x / dx).alias("bx"), F.floor(y / dy).alias("by")] + ([by.alias("category")] if by is not None else [])
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *([F.avg(value).alias("mean")] if value is not None else []))
+
+
+def cell_counts(df: DataFrame, prefix: str) -> DataFrame:
+    """Objects per file prefix: ``cell_count``, its log2 and rounded log2 (``cycle``), the ``well`` (first part of the prefix) and ``embryo`` (third last and last part)."""
+    parts = F.split(c(prefix), "_")
+    third = F.when(F.size(parts) >= 3, F.element_at(parts, -3))
+    out = df.groupBy(c(prefix)).agg(F.count(F.lit(1)).alias("cell_count"))
+    return out.withColumns({"log2_cell_count": F.log2("cell_count"), "cycle": F.round(F.log2("cell_count")).cast("int"), "well": F.get(parts, F.lit(0)), "embryo": F.concat_ws("_", third, F.element_at(parts, -1))})
+
+
+def dataset_extents(sites: DataFrame, axes: Sequence[str] = ("z", "y", "x"), names: Sequence[str] = ()) -> DataFrame:
+    """One row for all sites: per axis the least lower and greatest upper end and the largest size, and the sorted union of each list column."""
+    ends = [x for a in axes for x in (F.min(f"{a}_lower").alias(f"{a}_min"), F.max(f"{a}_upper").alias(f"{a}_max"), F.max(F.col(f"{a}_upper") - F.col(f"{a}_lower")).alias(f"{a}_size"))]
+    out = sites.agg(*ends)
+    for n in names:
+        each = sites.select(F.explode(n).alias(n)).distinct().agg(F.array_sort(F.collect_list(n)).alias(n))
+        out = out.crossJoin(F.broadcast(each))
+    return out

@@ -36,7 +36,8 @@ def drop_null_rows(df: DataFrame, columns: Sequence[str], how: str = "any", shar
 
 
 def handle_nulls(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFrame:
-    """``skip``, ``drop_cols``, ``drop_rows``, ``drop_feature_rows`` or ``drop_all`` (columns that are all null, then rows)."""
+    """NaN becomes null in every column, then: ``skip``; ``drop_cols`` among ``columns`` with any null; ``drop_rows`` with any; ``drop_feature_rows`` with any in ``columns``; ``drop_all``, such columns and then such rows."""
+    df = nan_to_null(df, [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")])
     if strategy == "skip":
         return df
     if strategy == "drop_cols":
@@ -44,11 +45,10 @@ def handle_nulls(df: DataFrame, columns: Sequence[str], strategy: str) -> DataFr
     if strategy == "drop_rows":
         return df.dropna("any")
     if strategy == "drop_feature_rows":
-        return drop_null_rows(df, columns)
+        return df.dropna("any", subset=[f"`{x}`" for x in columns])
     if strategy == "drop_all":
-        out = drop_null_columns(df, columns, "all")
-        return drop_null_rows(out, [x for x in columns if x in out.columns])
-    raise ValueError(strategy)
+        return drop_null_columns(df, columns).dropna("any")
+    raise ValueError(f"no such strategy for nulls: {strategy}")
 
 
 @dataclass(frozen=True)
@@ -107,6 +107,22 @@ def iqr_bounds(df: DataFrame, columns: Sequence[str], low: float | None = 0.25,
     return out
 
 
+def iqr_fences(df: DataFrame, columns: Sequence[str], r: float = 1.5, low: float = 0.25, high: float = 0.75) -> list[Bounds]:
+    """Quantiles widened by ``r`` interquartile ranges each; a column without values has open bounds."""
+    out = []
+    for b in quantile_bounds(df, columns, low, high):
+        wide = None if b.lower is None or b.upper is None else r * (b.upper - b.lower)
+        out.append(b if wide is None else Bounds(b.column, b.lower - wide, b.upper + wide))
+    return out
+
+
+def handle_outliers(df: DataFrame, bounds: Sequence[Bounds], strategy: str = "drop") -> DataFrame:
+    """``skip``, ``drop`` the rows outside, or ``clip`` to the bounds."""
+    if strategy not in ("skip", "drop", "clip"):
+        raise ValueError(f"no such strategy for outliers: {strategy}")
+    return df if strategy == "skip" else drop_outliers(df, bounds) if strategy == "drop" else clip_outliers(df, bounds)
+
+
 def drop_outliers(df: DataFrame, bounds: Sequence[Bounds]) -> DataFrame:
     """Rows whose every flag is false; null flags go too."""
     for b in bounds:
@@ -169,3 +185,73 @@ def power_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def log1p_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({x: F.log1p(c(x)) for x in columns})
+
+
+def log1p_matching(df: DataFrame, pattern: str, but: str | None = None) -> DataFrame:
+    """log(1 + x) of the numeric columns whose names fit a pattern and not another."""
+    from tissuemill.functions import names
+
+    chosen = names.intersection(names.numeric(df), names.matching(df, pattern))
+    return log1p_columns(df, names.difference(chosen, names.matching(df, but) if but else []))
+
+
+def zero_one(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Columns from their minimum (0) to their maximum (1); constant columns are 0."""
+    ends = df.agg(*[f(c(x)).alias(f"_{e}_{x}") for x in columns for e, f in (("lo", F.min), ("hi", F.max))])
+    wide = lambda x: c(f"_hi_{x}") - c(f"_lo_{x}")
+    out = df.crossJoin(F.broadcast(ends))
+    return out.withColumns({x: F.when(wide(x) == 0, F.when(c(x).isNotNull(), F.lit(0.0))).otherwise((c(x) - c(f"_lo_{x}")) / wide(x)) for x in columns}).select(*[c(x) for x in df.columns])
+
+
+def reference_quantiles(df: DataFrame, column: str, n: int = 1000) -> list[float]:
+    """Values at ``n`` even steps of the column's order (at most one per value), linear between two ranks."""
+    from tissuemill.operators.ranked import values_at
+
+    total = df.where(c(column).isNotNull()).count()
+    k = min(n, total)
+    if not k:
+        return []
+    at = [i * (total - 1) / max(1, k - 1) for i in range(k)]
+    ranks = sorted({int(a) for a in at} | {min(int(a) + 1, total - 1) for a in at})
+    row = values_at(df.select(F.lit(1).alias("_g"), c(column).cast("double").alias("v")), ["_g"], "v", {str(r): F.lit(r) for r in ranks}).first()
+    return [row[str(int(a))] + (a - int(a)) * (row[str(min(int(a) + 1, total - 1))] - row[str(int(a))]) for a in at]
+
+
+def quantile_scaled(df: DataFrame, columns: Sequence[str], n: int = 1000) -> DataFrame:
+    """Columns as their places among :func:`reference_quantiles`, from 0 to 1; between two of them linear, on equal ones the middle."""
+    for x in columns:
+        q = reference_quantiles(df, x, n)
+        df = df.withColumn(x, F.when(c(x).isNotNull(), F.lit(0.0)) if len(q) < 2 else _place(c(x), q))
+    return df
+
+
+def _place(x: Column, q: list[float]) -> Column:
+    refs, steps = F.array(*[F.lit(float(v)) for v in q]), float(len(q) - 1)
+    below, upto = F.array_size(F.filter(refs, lambda r: r < x)), F.array_size(F.filter(refs, lambda r: r <= x))
+    lower, upper = F.get(refs, below - 1), F.get(refs, below)
+    place = F.when(upto > below, (below + upto - 1) / 2 / steps).otherwise((below - 1 + (x - lower) / (upper - lower)) / steps)
+    return F.when(x.isNull(), F.lit(None)).when(x <= q[0], F.lit(0.0)).when(x >= q[-1], F.lit(1.0)).otherwise(place)
+
+
+def spline_basis(df: DataFrame, column: str, n_knots: int = 5) -> DataFrame:
+    """Columns ``{column}_s0`` … : the periodic cubic B-spline basis on knots at even quantiles of a column, which it replaces.
+
+    The period runs from the first knot to the last; each row's values add up to 1.
+    Needs ``n_knots`` different quantiles.
+    """
+    t = reference_quantiles(df, column, n_knots)
+    if len(set(t)) < n_knots:
+        raise ValueError(f"{column} has fewer than {n_knots} different quantiles")
+    m, period = n_knots - 1, t[-1] - t[0]
+    knot = lambda i: t[i % m] + period * (i // m)
+    x = t[0] + F.pmod(c(column) - t[0], F.lit(period))
+
+    def piece(i: int, k: int, v: Column) -> Column:
+        if k == 0:
+            return F.when((v >= knot(i)) & (v < knot(i + 1)), 1.0).otherwise(0.0)
+        left, right = knot(i + k) - knot(i), knot(i + k + 1) - knot(i + 1)
+        return (v - knot(i)) / left * piece(i, k - 1, v) + (knot(i + k + 1) - v) / right * piece(i + 1, k - 1, v)
+
+    # a basis function that reaches over the end of the period comes back at its start
+    basis = [sum((piece(i, 3, x + s * period) for s in (1, 2)), piece(i, 3, x)) for i in range(m)]
+    return df.select(*[c(n) for n in df.columns if n != column], *[b.alias(f"{column}_s{i}") for i, b in enumerate(basis)])

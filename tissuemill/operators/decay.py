@@ -48,19 +48,36 @@ def _gradient(kind: str, p: list[Column], xs: Sequence[Column]) -> list[Column]:
     """Derivatives of a curve by its parameters."""
     if kind == "linear":
         return [*xs, F.lit(1.0)]
+    if kind.startswith("power"):
+        raised = F.pow(xs[0], p[0])
+        out = [p[1] * raised * F.ln(xs[0]), raised]
+        return [*out, F.lit(1.0)] if kind == "power_offset" else out
     e = F.exp(_dot(p, xs))
     out = [p[len(xs)] * x * e for x in xs] + [e]
     return out + [F.lit(1.0)] if kind == "exponential_offset" else out
 
 
-def fit(df: DataFrame, group: str, inputs: Sequence[str], target: str, kind: str = "linear", loss: str = "linear", start: dict | None = None, steps: int = 40, positive_offset: bool = False) -> dict:
+def fit(df: DataFrame, group: str, inputs: Sequence[str], target: str, kind: str = "linear", loss: str = "linear", start: dict | None = None, steps: int = 40, positive_offset: bool = False, most_groups: int = 100_000) -> dict:
     """Parameters per group, None where a fit does not converge.
 
+    A straight line without a loss of its own is solved from one aggregate. More than
+    ``most_groups`` groups raise ``ValueError``, as their parameters pass the driver.
+    Power curves need inputs above 0.
+
     Levenberg-Marquardt steps for all groups at once: each is one grouped aggregate of
     J'WJ and J'Wr at the current parameters, which come from a map of one small row per
     group, and a small solve in the driver. ``loss`` ``huber`` weighs a squared residual
     above 1 by its inverse root. Linear starts at 0; the others at the log-linear fit.
     """
+    if df.select(group).distinct().limit(most_groups + 1).count() > most_groups:
+        raise ValueError(f"over {most_groups} groups to fit")
+    if kind == "linear" and loss == "linear" and start is None:
+        return _solved(df, group, inputs, target)
+    if kind == "power" and start is None:
+        logs = df.where(F.col(inputs[0]) > 0).withColumns({"_t": F.ln(F.greatest(F.col(target), F.lit(1e-6))), "_x": F.ln(F.col(inputs[0]))})
+        start = {g: None if p is None else [p[0], math.exp(p[1])] for g, p in _solved(logs, group, ["_x"], "_t").items()}
+    if kind == "power_offset" and start is None:
+        start = {g: None if p is None else [*p, 0.0] for g, p in fit(df, group, inputs, target, "power", loss).items()}
     if kind == "exponential" and start is None:
         logs = fit(df.withColumn("_t", F.ln(F.greatest(F.col(target), F.lit(1e-6)))), group, inputs, "_t", "linear")
         start = {g: None if p is None else [*p[:-1], math.exp(p[-1])] for g, p in logs.items()}
@@ -117,6 +134,76 @@ def fit(df: DataFrame, group: str, inputs: Sequence[str], target: str, kind: str
     return {g: p if p is not None else (now[g].tolist() if g in cost and damp[g] < 1e12 else None) for g, p in best.items()}
 
 
+def _solved(df: DataFrame, group: str, inputs: Sequence[str], target: str) -> dict:
+    """Least-squares lines per group from centred sums in one aggregate; None where the inputs do not determine one."""
+    xs, y = [F.col(x).cast("double") for x in inputs], F.col(target).cast("double")
+    whole = y.isNotNull()
+    for x in xs:
+        whole = whole & x.isNotNull()
+    moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)] + [F.avg(y).alias("my"), F.count(F.lit(1)).alias("n")]
+    moments += [F.covar_pop(a, b).alias(f"c{i}_{k}") for i, a in enumerate(xs) for k, b in enumerate(xs) if k >= i] + [F.covar_pop(x, y).alias(f"b{i}") for i, x in enumerate(xs)]
+    out = {r[0]: None for r in df.select(group).distinct().collect()}
+    for r in df.where(whole).groupBy(group).agg(*moments).collect():
+        a = np.array([[r[f"c{min(i, k)}_{max(i, k)}"] for k in range(len(xs))] for i in range(len(xs))])
+        try:
+            slopes = np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(len(xs))]))
+        except np.linalg.LinAlgError:
+            continue
+        if np.isfinite(slopes).all():
+            out[r[group]] = [*slopes.tolist(), r["my"] - float(sum(s * r[f"m{i}"] for i, s in enumerate(slopes)))]
+    return out
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    """Write model tables as Parquet, one folder per kind; a kind that is there is replaced as a whole."""
+    models.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("kind").parquet(path)
+
+
+def load_models(spark, path: str, kind: str | None = None) -> DataFrame:
+    """Saved models, those of one kind if given."""
+    found = spark.read.parquet(path)
+    return found if kind is None else found.where(F.col("kind") == kind)
+
+
+def z_training_set(labels: DataFrame, intensity: DataFrame, correlation: DataFrame, distances: DataFrame, keys: Sequence[str] = ("roi", "object", "label"), bounds: Sequence = (), least_r: float = 0.9) -> DataFrame:
+    """Rows to fit z-decay on: objects within ``bounds`` with the paths their light takes, and one row per channel.
+
+    ``labels(keys, Centroid-z, DistanceAlongZ, …)`` give ``EmbryoPath``, the distance along z,
+    and ``MediumPath``, what is left of the centroid's z. Tall ``intensity(keys,
+    acquisition, …)`` and ``distances(keys, …)`` are joined, and ``correlation(keys,
+    acquisition, PearsonR)``, which is 1 where missing; rows below ``least_r`` go.
+    """
+    from tissuemill.operators import clean
+
+    kept = clean.drop_outliers(labels, bounds).withColumns({"EmbryoPath": F.col("DistanceAlongZ"), "MediumPath": F.col("`Centroid-z`") - F.col("DistanceAlongZ")})
+    on = list(keys)
+    out = kept.join(intensity, on, "left").join(correlation, [*on, "acquisition"], "left").join(distances, on, "left")
+    return out.withColumn("PearsonR", F.coalesce("PearsonR", F.lit(1.0))).where(F.col("PearsonR") >= least_r)
+
+
+def t_training_set(intensity: DataFrame, labels: DataFrame, alignment: DataFrame, times: DataFrame, meta: DataFrame, keys: Sequence[str] = ("roi", "object", "label"), radius: tuple[float, float] = (4.0, 8.0), least_cycle: int = 9, least_score: float = 0.85) -> DataFrame:
+    """Means per roi, channel and time to fit t-decay on, with their z-scores per channel, per channel and cycle, and over that group's mean.
+
+    Objects of a size within ``radius``, of rois past ``least_cycle`` in wells that are
+    no controls, aligned above ``least_score``.
+    """
+    from tissuemill.operators import windows
+
+    on = list(keys)
+    rows = intensity.join(labels.where(F.col("EquivalentSphericalRadius").between(*radius)).select(*on), on).join(alignment, [*on, "acquisition"])
+    rows = rows.join(times, ["roi", "acquisition"]).join(meta.where((F.col("cycle") > least_cycle) & ~F.col("is_control_well")).select("roi", "cycle"), "roi")
+    mean = rows.where(F.col("alignmentScore") > least_score).groupBy("roi", "channel", "minutes", "cycle").agg(F.avg("Mean").alias("Mean"))
+    mean = windows.z_scored(mean, "Mean", ["channel"], "Mean_ZScore")
+    mean = windows.z_scored(mean, "Mean", ["channel", "cycle"], "Mean_CycleZScore")
+    return windows.mean_normalised(mean, "Mean", ["channel", "cycle"], "Mean_CycleMeanNorm")
+
+
+def t_factors(times: DataFrame, models: DataFrame, kind: str) -> DataFrame:
+    """``times(roi, channel, minutes)`` with the correction ``factor`` of their channel's model, null where it has none."""
+    joined = times.join(models.select("channel", "parameters"), "channel", "left")
+    return joined.select("roi", "channel", "minutes", correction_factor(kind, F.col("parameters"), [F.col("minutes").cast("double")]).alias("factor"))
+
+
 def model_table(spark, models: dict, kind: str, key: str = "channel"):
     """Parameters as a table ``(key, kind, parameters)``, which Parquet persists."""
     return spark.createDataFrame([(g, kind, p) for g, p in models.items()], f"{key} string, kind string, parameters array<double>")

@@ -84,3 +84,54 @@ def layers(base: DataFrame, others: dict[str, DataFrame], on: Sequence[str], sep
         doubles = [f"{name}{sep}{v}" for v in values if dict(df.dtypes)[v] in ("double", "float")]
         out = out.withColumns({d: F.coalesce(F.col(f"`{d}`"), F.lit(float("nan"))) for d in doubles})
     return out
+
+
+def image_paths(images: DataFrame, sites: DataFrame, labels: DataFrame, z_models: DataFrame, t_models: DataFrame, channels: Sequence[str], level: int | None = 0,
+                masks: Sequence[str | None] | None = None, z_model: str | None = None, t_model: str | None = None) -> DataFrame:
+    """One row per site and channel with all the paths it needs: its image, its mask, its models and their mask.
+
+    ``images(m, roi, c, path)`` of the chosen channels and level in the channels' order,
+    joined with ``sites(roi, …)``; then, where there are any, the label image of the
+    channel's mask, the z-model of that name (``None``: those without one) with its own label image, and the site's factor
+    of the t-model. ``labels(m, roi, o, path, factors)``; ``z_models(c, z_model, o, path)``; ``t_models(c, roi, t_model, factor)``.
+    Model descriptions ``.json`` name their ``.pkl``.
+    """
+    if masks is not None and len(masks) != len(channels):
+        raise ValueError(f"{len(masks)} masks for {len(channels)} channels")
+    place = F.create_map(*[x for i, ch in enumerate(channels) for x in (F.lit(ch), F.lit(i))])
+    mask = F.create_map(*[x for ch, m in zip(channels, masks or [None] * len(channels)) for x in (F.lit(ch), F.lit(m).cast("string"))])
+    rows = images.where(F.col("c").isin(list(channels)))
+    rows = rows if level is None else rows.where(F.col("m") == level)
+    rows = rows.join(sites, "roi").withColumns({"channel_order": F.element_at(place, F.col("c")), "mask_o": F.element_at(mask, F.col("c"))})
+    named = lambda p: labels.select("m", "roi", F.col("o").alias(f"{p}_o"), F.col("path").alias(f"{p}_path"), F.col("factors").alias(f"{p}_factors"))
+    chosen = lambda t, column, name: t.where(F.col(column).isNull() if name is None else F.col(column) == name)
+    z = chosen(z_models, "z_model", z_model).select("c", "z_model", F.col("o").alias("z_o"), F.regexp_replace("path", r"\.json$", ".pkl").alias("z_model_path"))
+    t = chosen(t_models, "t_model", t_model).select("c", "roi", "t_model", "factor")
+    return rows.join(named("mask"), ["m", "roi", "mask_o"], "left").join(z, "c", "left").join(named("z"), ["m", "roi", "z_o"], "left").join(t, ["c", "roi"], "left")
+
+
+def boxes_with_channels(objects: DataFrame, channels: DataFrame, site: Sequence[str], key: Sequence[str]) -> DataFrame:
+    """Objects with a list ``channels`` of ``(c, label)`` in the site's channel order: the label where the channel is isolated, else null.
+
+    ``objects(site, key, label, …)``; ``channels(site, c, channel_order, isolate)``.
+    """
+    each = channels.groupBy(*site).agg(F.array_sort(F.collect_list(F.struct("channel_order", "c", "isolate"))).alias("_c"))
+    rows = objects.join(each, list(site))
+    listed = F.transform("_c", lambda x: F.struct(x["c"].alias("c"), F.when(x["isolate"], F.col("label")).alias("label")))
+    return rows.withColumn("channels", listed).drop("_c")
+
+
+def request_rows(requests: DataFrame, channels: Sequence[str], references: Sequence[str] = (), targets: Sequence[str] = ()) -> DataFrame:
+    """Extraction requests as one row per thing to compute: ``(family, object, c, c_ref, target, feature)``.
+
+    ``requests(family, object, features array)``: ``label`` and ``density`` give a row per feature,
+    ``intensity`` one per channel and feature, ``colocalization`` per pair of a channel and
+    another reference, ``distance`` per target other than the object. The lists are the caller's.
+    """
+    pair = lambda a, b: F.struct(F.lit(a).cast("string").alias("c"), F.lit(b).cast("string").alias("c_ref"))
+    single, pairs = F.array(*[pair(x, None) for x in channels]), F.array(*[pair(x, y) for x in channels for y in references if x != y])
+    none = F.array(pair(None, None))
+    rows = requests.withColumn("p", F.explode(F.when(F.col("family") == "intensity", single).when(F.col("family") == "colocalization", pairs).otherwise(none)))
+    goal = F.filter(F.array(*[F.lit(t) for t in targets]).cast("array<string>"), lambda t: t != F.col("object"))
+    rows = rows.withColumn("target", F.explode(F.when(F.col("family") == "distance", goal).otherwise(F.array(F.lit(None).cast("string")))))
+    return rows.select("family", "object", "p.c", "p.c_ref", "target", F.explode("features").alias("feature"))

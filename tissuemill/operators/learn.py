@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -11,9 +12,11 @@ from pyspark.ml.feature import PCA, Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Correlation
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tissuemill.operators import ranked
 from tissuemill.operators.reshape import c
 from tissuemill.operators.windows import random_order
 
@@ -25,10 +28,14 @@ def mapped(column: Column, mapping: dict, default: Column | None = None) -> Colu
 
 
 def train_test_split(df: DataFrame, label: str, share: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Column ``is_train``: of each class, ``round(n · share)`` rows in a pseudo-random order of the keys."""
-    w = Window.partitionBy(label)
-    k = F.row_number().over(w.orderBy(random_order(keys, seed), *keys))
-    return df.withColumn("is_train", k <= F.round(F.count(F.lit(1)).over(w) * F.lit(share)))
+    """Column ``is_train``: of each class, ``round(n · share)`` rows in a pseudo-random order of the keys.
+
+    The order's value at that rank is found per class and joined; rows with equal keys go together.
+    """
+    rows = df.withColumn("_order", random_order(keys, seed))
+    cut = ranked.values_at(rows, [label], "_order", {"_cut": F.round(F.col("all") * F.lit(share)) - 1}).select(c(label).alias("_class"), "_cut")
+    out = rows.join(cut, c(label).eqNullSafe(F.col("_class")), "left")
+    return out.withColumn("is_train", F.coalesce(F.col("_order") <= F.col("_cut"), F.lit(False))).drop("_order", "_class", "_cut")
 
 
 def balanced_weights(df: DataFrame, label: str) -> DataFrame:
@@ -96,31 +103,55 @@ def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequenc
     for x in columns:
         scores = []
         for r in range(repeats):
-            a = numbered(df, [random_order(keys, seed + r), *keys])
-            b = numbered(df.select(*keys, c(x)), [random_order(keys, seed + 1000 + r), *keys]).select("_row", c(x).alias("_dealt"))
+            a = ranked.numbered(df, [random_order(keys, seed + r), *keys])
+            b = ranked.numbered(df.select(*keys, c(x)), [random_order(keys, seed + 1000 + r), *keys]).select("_row", c(x).alias("_dealt"))
             scores.append(scorer.evaluate(model.transform(a.join(b, "_row").withColumn(x, F.col("_dealt")))))
         out.append((x, base - sum(scores) / repeats))
     return df.sparkSession.createDataFrame(out, "feature string, importance double")
 
 
-def numbered(df: DataFrame, order: Sequence) -> DataFrame:
-    """Column ``_row``: 0-based place in the order, by counts per range partition."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_id", F.monotonically_increasing_id()).persist()
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
-    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).select("_part", "_before", "_first")
-    return ranged.join(F.broadcast(starts), "_part").withColumn("_row", F.col("_id") - F.col("_first") + F.col("_before")).drop("_part", "_id", "_first", "_before")
-
-
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:
     """``(label, pred, n)``."""
     return df.groupBy(F.col(label).alias("label"), F.col(pred).alias("pred")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def roc_curve(df: DataFrame, label: str, score: str) -> DataFrame:
-    """True and false positive rates at each different score, over counts per score."""
-    per = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
-    down = Window.orderBy(F.desc("score"))
-    every = Window.partitionBy()
-    tp, fp = F.sum("p").over(down), F.sum(F.col("n") - F.col("p")).over(down)
-    return per.select("score", (tp / F.sum("p").over(every)).alias("tpr"), (fp / F.sum(F.col("n") - F.col("p")).over(every)).alias("fpr"))
+    """True and false positive rates at each different score, by running totals over counts per score."""
+    per = df.groupBy(c(score).alias("score")).agg(F.sum(c(label).cast("long")).alias("p"), F.count(F.lit(1)).alias("n"))
+    every = per.agg(F.sum("p").alias("all_p"), F.sum(F.col("n") - F.col("p")).alias("all_n"))
+    down = ranked.running(per, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("n") - F.col("p")})
+    return down.crossJoin(F.broadcast(every)).select("score", (F.col("tp") / F.col("all_p")).alias("tpr"), (F.col("fp") / F.col("all_n")).alias("fpr"))
+
+
+def training_set(annotations: DataFrame, features: DataFrame, keys: Sequence[str], columns: Sequence[str], share: float = 0.01, correlation: str = "_PearsonR|_SpearmanR|_KendallTau") -> DataFrame:
+    """Annotated rows with features fit to learn from: NaN is null; columns with over ``share`` nulls over non-nulls go, nulls of correlations are 0, and rows with a null left go."""
+    from tissuemill.functions import names
+    from tissuemill.operators import clean
+
+    joined = clean.nan_to_null(annotations.join(features, list(keys)), names.of_type(features, T.DoubleType, T.FloatType))
+    kept = clean.drop_null_columns(joined, columns, "perc", share)
+    left = [x for x in columns if x in kept.columns]
+    zero = [x for x in left if re.search(correlation, x)]
+    return clean.drop_null_rows(kept.withColumns({x: F.coalesce(c(x), F.lit(0.0)) for x in zero}), left)
+
+
+def rekeyed(annotations: DataFrame, features: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Annotations of the rows that a new feature set has, keys cast to its types."""
+    cast = annotations.withColumns({k: c(k).cast(features.schema[k].dataType) for k in keys})
+    return cast.join(features.select(*keys), list(keys), "left_semi")
+
+
+def tracking_table(frames: dict[int, DataFrame], renames: dict[str, str]) -> DataFrame:
+    """Frames' features under new names with their time point ``t``, united."""
+    from functools import reduce
+
+    parts = [f.select(*[c(a).alias(b) for a, b in renames.items()], F.lit(t).alias("t")) for t, f in frames.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def parameter_sweep(spark, **values: Sequence) -> DataFrame:
+    """Every combination of the given parameter values, one row each."""
+    one = spark.range(1)
+    for name, xs in values.items():
+        one = one.withColumn(name, F.explode(F.array(*[F.lit(x) for x in xs])))
+    return one.drop("id")

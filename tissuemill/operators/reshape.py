@@ -39,19 +39,46 @@ def unnest_to(df: DataFrame, level: int, sep: str = ".") -> DataFrame:
     return unnest(df, sep=sep, levels=max(0, -level if level < 0 else deepest - level))
 
 
-def nest(df: DataFrame, sep: str = ".", single: bool = False) -> DataFrame:
-    """Names that share the part before the last ``sep`` as one struct; groups of one stay flat unless ``single``."""
+def nest(df: DataFrame, sep: str = ".", single: bool = False, keep: str = "drop", level: int | None = None, whole: str | None = None) -> DataFrame:
+    """Names that share the part before a ``sep`` as one struct; groups of one stay flat unless ``single``.
+
+    The last ``sep`` parts, or the ``level``-th from the left (0 the first), if a name
+    has so many; ``keep`` leaves the separator ``before`` on the struct's name,
+    ``after`` on the fields' names, or drops it. Names that fit ``whole`` stay as they are.
+    """
+    def parts(name: str) -> tuple[str, str, str]:
+        if whole and re.search(whole, name):
+            return name, "", ""
+        if level is None:
+            return name.rpartition(sep) if sep in name else (name, "", "")
+        pieces = name.split(sep)
+        return (sep.join(pieces[: level + 1]), sep, sep.join(pieces[level + 1 :])) if len(pieces) > level + 1 else (name, "", "")
+
     groups: dict[str, list[str]] = {}
     for name in df.columns:
-        head, mark, _ = name.rpartition(sep)
-        groups.setdefault(head if mark else name, []).append(name)
+        groups.setdefault(parts(name)[0], []).append(name)
     out = []
     for head, names in groups.items():
-        nested = all(sep in n for n in names) and (single or len(names) > 1)
-        out += [F.struct(*[c(n).alias(n.rpartition(sep)[2]) for n in names]).alias(head)] if nested else [c(n) for n in names]
+        nested = all(parts(n)[1] for n in names) and (single or len(names) > 1)
+        field = lambda n: (sep if keep == "after" else "") + parts(n)[2]
+        out += [F.struct(*[c(n).alias(field(n)) for n in names]).alias(head + (sep if keep == "before" else ""))] if nested else [c(n) for n in names]
     return df.select(*out)
 
 
+def nest_at(df: DataFrame, sep: str = "_", at: int = -1) -> DataFrame:
+    """Names as structs by their ``at``-th part (negative: from the end), fields by the other parts; names with one part stay flat."""
+    groups: dict[str, list[tuple[str, str]]] = {}
+    flat = []
+    for name in df.columns:
+        pieces = name.split(sep)
+        if len(pieces) < 2 or not -len(pieces) <= at < len(pieces):
+            flat.append(name)
+            continue
+        head = pieces.pop(at)
+        groups.setdefault(head, []).append((sep.join(pieces), name))
+    return df.select(*[c(n) for n in flat], *[F.struct(*[c(n).alias(f) for f, n in fields]).alias(g) for g, fields in groups.items()])
+
+
 def nest_by(df: DataFrame, pattern: str, on: int = 1) -> DataFrame:
     """Names that fit ``pattern`` (two groups) as structs named by group ``on``, fields by the other."""
     groups: dict[str, list[tuple[str, str]]] = {}
@@ -64,19 +91,26 @@ def nest_by(df: DataFrame, pattern: str, on: int = 1) -> DataFrame:
     return df.select(*[c(n) for n in rest], *[F.struct(*[c(n).alias(f) for f, n in fields]).alias(g) for g, fields in groups.items()])
 
 
-def to_wide(df: DataFrame, key: Sequence[str], on: Sequence[str], sep: str = "_", prefix: bool = True, values: Sequence[str] | None = None) -> DataFrame:
+def to_wide(df: DataFrame, key: Sequence[str], on: Sequence[str], sep: str = "_", prefix: bool = True, values: Sequence[str] | None = None, most_values: int = 5000) -> DataFrame:
     """One row per key; each value of ``on`` (several joined by ``-``, nulls skipped) before every feature's name.
 
-    Rows whose pivot value is null vanish; a key must not repeat within a value. Without
-    rows: the key columns alone. ``values`` saves the scan for the distinct values.
+    Rows whose pivot value is null vanish; a key that repeats within a value fails the
+    query. Without rows: the key columns alone. ``values`` saves the scan for the
+    distinct values, of which more than ``most_values`` raise ``ValueError``.
     """
     features = [x for x in df.columns if x not in {*key, *on}]
     tall = df.withColumn("_on", F.when(F.coalesce(*[c(x) for x in on]).isNotNull(), F.concat_ws("-", *[c(x).cast("string") for x in on]))).where("_on is not null")
-    values = sorted(r[0] for r in tall.select("_on").distinct().collect()) if values is None else list(values)
+    values = sorted(r[0] for r in tall.select("_on").distinct().limit(most_values + 1).collect()) if values is None else list(values)
+    if len(values) > most_values:
+        raise ValueError(f"over {most_values} values to pivot on")
     if not values:
         return df.select(*[c(k) for k in key]).limit(0)
     name = lambda v, f: f"{v}{sep}{f}" if prefix else f"{f}{sep}{v}"
-    return tall.groupBy(*[c(k) for k in key]).agg(*[F.first(F.when(F.col("_on") == v, c(f)), ignorenulls=True).alias(name(v, f)) for v in values for f in features])
+    cells = [F.first(F.when(F.col("_on") == v, c(f)), ignorenulls=True).alias(name(v, f)) for v in values for f in features]
+    wide = tall.groupBy(*[c(k) for k in key]).agg(*cells, *[F.count(F.when(F.col("_on") == v, 1)).alias(f"_rows_{i}") for i, v in enumerate(values)])
+    once = F.greatest(*[F.col(f"_rows_{i}") for i in range(len(values))], F.lit(0)) <= 1
+    checked = F.when(once, c(key[0])).otherwise(F.raise_error(F.lit(f"a key of {list(key)} repeats within a value of {list(on)}")).cast(df.schema[key[0]].dataType))
+    return wide.select(checked.alias(key[0]), *[c(k) for k in key[1:]], *[c(name(v, f)) for v in values for f in features])
 
 
 def to_tall(df: DataFrame, key: Sequence[str], pattern: str = r"(.+?)_(.+)", name: str = "channel", drop_null: bool = False) -> DataFrame:

@@ -8,34 +8,35 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tissuemill.operators import ranked
+from tissuemill.operators.reshape import c
 
-def z_score(value: Column, by: Sequence[str]) -> Column:
-    """Distance from the group's mean in sample standard deviations."""
-    w = Window.partitionBy(*by)
-    return (value - F.avg(value).over(w)) / F.stddev_samp(value).over(w)
 
+def z_scored(df: DataFrame, value: str, by: Sequence[str], name: str = "z") -> DataFrame:
+    """Column ``name``: distance from the group's mean in sample standard deviations; groups' statistics are joined."""
+    out = ranked.with_statistics(df, by, {"_mean": F.avg(c(value)), "_sd": F.stddev_samp(c(value))})
+    return out.withColumn(name, (c(value) - F.col("_mean")) / F.col("_sd")).drop("_mean", "_sd")
 
-def mean_normalised(value: Column, by: Sequence[str]) -> Column:
-    return value / F.avg(value).over(Window.partitionBy(*by))
+
+def mean_normalised(df: DataFrame, value: str, by: Sequence[str], name: str = "m") -> DataFrame:
+    """Column ``name``: value over the group's mean."""
+    return ranked.with_statistics(df, by, {"_mean": F.avg(c(value))}).withColumn(name, c(value) / F.col("_mean")).drop("_mean")
 
 
 def random_order(keys: Sequence[str], seed: int) -> Column:
-    """A pseudo-random order that depends on the keys and the seed alone."""
-    return F.xxhash64(*[F.col(k) for k in keys], F.lit(seed))
+    """A pseudo-random order that depends on the keys and the seed alone: an MD5 of both."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(c(k).cast("string"), F.lit("")) for k in keys]))
 
 
 def stratified_sample(df: DataFrame, by: Sequence[str], n: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """At most ``n`` rows per stratum in :func:`random_order`."""
-    w = Window.partitionBy(*by).orderBy(random_order(keys, seed), *keys)
-    return df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n).drop("_k")
+    return ranked.lowest(df, by, [random_order(keys, seed), *[c(k) for k in keys]], n).drop("_k")
 
 
 def sliding_samples(df: DataFrame, stratum: str, n: int, overlap: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Samples per stratum named by it, and blocks ``a-b`` of the last rows of one and the first of the next; column ``window``."""
-    w = Window.partitionBy(stratum).orderBy(random_order(keys, seed), *keys)
-    rows = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= n)
-    size = Window.partitionBy(stratum)
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(size))
+    rows = ranked.lowest(df, [stratum], [random_order(keys, seed), *[c(k) for k in keys]], n)
+    rows = ranked.with_statistics(rows, [stratum], {"_n": F.count(F.lit(1))})
     order = df.select(stratum).distinct().withColumns({"_next": F.lead(stratum).over(Window.orderBy(stratum)), "_last": F.lag(stratum).over(Window.orderBy(stratum))})
     rows = rows.join(order, stratum)
     name = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
@@ -45,6 +46,21 @@ def sliding_samples(df: DataFrame, stratum: str, n: int, overlap: int, keys: Seq
     return own.union(tail).union(head).drop("_k", "_n", "_next", "_last")
 
 
+def subset(df: DataFrame, condition: str = "cycle between 8 and 12") -> DataFrame:
+    """Rows that meet a condition."""
+    return df.where(condition)
+
+
+def sorted_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows by several keys, each ascending or, with ``-`` before it, descending; ``#`` before a list's name means its length."""
+    order = []
+    for k in keys:
+        down, name = k.startswith("-"), k.lstrip("-")
+        x = F.size(c(name[1:])) if name.startswith("#") else c(name)
+        order.append(x.desc() if down else x.asc())
+    return df.orderBy(*order)
+
+
 def track_time(df: DataFrame, track: str, time: str) -> DataFrame:
     """``t`` from the track's start and ``phase`` in [0, 2π]."""
     w = Window.partitionBy(track)

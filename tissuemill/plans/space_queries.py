@@ -91,11 +91,13 @@ def touch(spark, d, volume=volume):
     return graph.touch(volume(spark, d).withColumnRenamed("roi", "site"), normalise=True).withColumn("weight", F.round("weight", 6))
 
 
-@register("h09_masked_share")
+@register("h09_masked_share", f"""WITH m AS (SELECT DISTINCT site, round(y)::INT AS y, round(x)::INT AS x FROM {PTS}),
+l AS (SELECT e.site, e.src, e.dst, round(a.y + (b.y - a.y) * (i / 49.0::DOUBLE))::INT AS y, round(a.x + (b.x - a.x) * (i / 49.0::DOUBLE))::INT AS x FROM {EDGES} e JOIN {PTS} a ON e.site = a.site AND e.src = a.id JOIN {PTS} b ON e.site = b.site AND e.dst = b.id, range(50) r(i))
+SELECT l.site, src, dst, round(avg(CASE WHEN m.site IS NULL THEN 0 ELSE 1 END), 6) AS weight FROM l LEFT JOIN m ON l.site = m.site AND l.y = m.y AND l.x = m.x GROUP BY ALL""")
 def masked_share(spark, d):
     p = points(spark, d).withColumn("z", F.lit(0.0))
     mask = p.select("site", F.lit(0).alias("z"), F.round("y").cast("int").alias("y"), F.round("x").cast("int").alias("x"), F.lit(1).alias("value")).distinct()
-    return graph.masked_share(edges(spark, d), p, mask, n=20)
+    return graph.masked_share(edges(spark, d), p, mask).withColumn("weight", F.round("weight", 6))
 
 
 _FN = {"Min": "min(f)", "Max": "max(f)", "Median": "quantile_cont(f, 0.5)", "Mean": "avg(f)", "Std": "stddev_pop(f)", "Var": "var_pop(f)"}
@@ -164,9 +166,9 @@ def density(spark, d):
 @register("g17_gradient", f"""WITH e AS (SELECT e.site, e.dst AS id, b.y - a.y AS dy, b.x - a.x AS dx, CASE WHEN m > pi() THEN m - 2 * pi() ELSE m END AS d FROM
   (SELECT e.*, a.f AS fa, b.f AS fb, ((b.f - a.f)::DOUBLE - 2 * pi() * floor((b.f - a.f)::DOUBLE / (2 * pi()))) AS m FROM {EDGES} e JOIN {PTS} a ON e.site = a.site AND e.src = a.id JOIN {PTS} b ON e.site = b.site AND e.dst = b.id) e
   JOIN {PTS} a ON e.site = a.site AND e.src = a.id JOIN {PTS} b ON e.site = b.site AND e.dst = b.id), g AS (SELECT site, id, sum(dy * d) AS gy, sum(dx * d) AS gx FROM e GROUP BY ALL)
-SELECT site, id, round(sqrt(gy * gy + gx * gx), 4) AS norm FROM g WHERE sqrt(gy * gy + gx * gx) > 0.001""")
+SELECT site, id, CASE WHEN sqrt(gy * gy + gx * gx) > 1e-9 THEN round(sqrt(gy * gy + gx * gx), 4) END AS norm FROM g""")
 def gradient(spark, d):
-    return near.gradient(edges(spark, d), points(spark, d), "f", XY).where("norm > 0.001 and not isnan(norm)").select("site", "id", F.round("norm", 4).alias("norm"))
+    return near.gradient(edges(spark, d), points(spark, d), "f", XY).select("site", "id", F.when(F.col("norm") > 1e-9, F.when(~F.isnan("norm"), F.round("norm", 4))).alias("norm"))
 
 
 @register("g18_on_grid", f"""WITH s AS (SELECT site, row_number() OVER (ORDER BY site) - 1 AS i, ceil(sqrt(count(*) OVER ())) AS w FROM (SELECT DISTINCT site FROM {PTS}))
@@ -175,14 +177,15 @@ def on_grid(spark, d):
     return near.on_grid(points(spark, d), 200, 100).select("site", "id", F.round("y", 6).alias("y"), F.round("x", 6).alias("x"))
 
 
-@register("g19_local_asynchrony")
+@register("g19_local_asynchrony", f"""WITH e AS (SELECT a.site, a.id, sqrt((a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x)) AS w, b.f AS f FROM {PTS} a JOIN {PTS} b ON a.site = b.site AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9)
+SELECT site, id, {", ".join(f"round(least(sqrt(pow(sum(sin(f)) FILTER (WHERE w <= {r}), 2) + pow(sum(cos(f)) FILTER (WHERE w <= {r}), 2)) / count(*) FILTER (WHERE w <= {r}), 1), 6) AS r{r}" for r in (1, 2, 3))} FROM e GROUP BY ALL""")
 def asynchrony(spark, d):
     p = points(spark, d)
     e = graph.radius_distance(p, 3.0, XY, self_loops=True)
     out = p.select("site", "id")
     for r in (1.0, 2.0, 3.0):
         out = out.join(near.aggregate(p, graph.within(e, r), p, ["f"], ["CircR"], f"RAD:{r}"), ["site", "id"])
-    return out
+    return out.select("site", "id", *[F.round(f"`RAD:{r}.0_CircR__f`", 6).alias(f"r{r}") for r in (1, 2, 3)])
 
 
 @register("v01_label_features", f"""SELECT roi, label, count(*) AS n, round(avg(z), 6) AS cz, round(avg(x), 6) AS cx, min(y) AS y0, max(y) AS y1, round(covar_pop(z, x), 6) AS mzx, round(pow(3 * count(*) / (4 * pi()), 1.0 / 3), 6) AS radius FROM {VOX} WHERE label <> 0 GROUP BY ALL""")
@@ -322,9 +325,10 @@ def t_factors(spark, d):
     return decay.apply_t_factors(t, factors).select("l_orderkey", "l_linenumber", "l_partkey", F.round("value", 4).alias("value"))
 
 
-@register("m05_grid")
+@register("m05_grid", """WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_discount) AS c, max(l_discount) AS d FROM lineitem)
+SELECT round(a + (b - a) * i / 9, 6) AS l_quantity, round(c + (d - c) * j / 9, 6) AS l_discount FROM e, range(10) x(i), range(10) y(j)""")
 def grid(spark, d):
-    return decay.grid(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], 10)
+    return decay.grid(table(spark, d, "lineitem"), ["l_quantity", "l_discount"], 10).select(F.round("l_quantity", 6).alias("l_quantity"), F.round("l_discount", 6).alias("l_discount"))
 
 
 @register("l04_l07_forest_predictions")

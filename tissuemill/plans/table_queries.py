@@ -105,9 +105,12 @@ def pooled(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", agg.pooled_cycle(F.col("l_quantity") / 4).alias("cycle"))
 
 
-@register("a16_counts_per_prefix", "SELECT split_part(p_name, ' ', 1) AS prefix, count(*) AS n, round(log2(count(*)), 6) AS log2 FROM part GROUP BY 1")
+@register("a16_counts_per_prefix", """WITH n AS (SELECT chr((65 + c_nationkey % 5)::INT) || '02_' || c_nationkey || '_x_s' || c_nationkey % 3 AS prefix FROM customer)
+SELECT prefix, count(*) AS cell_count, round(log2(count(*)), 6) AS log2_cell_count, round(log2(count(*)))::INT AS cycle, split_part(prefix, '_', 1) AS well, split_part(prefix, '_', 2) || '_' || split_part(prefix, '_', 4) AS embryo FROM n GROUP BY 1""")
 def prefix_counts(spark, d):
-    return table(spark, d, "part").groupBy(F.get(F.split("p_name", " "), F.lit(0)).alias("prefix")).agg(F.count(F.lit(1)).alias("n"), F.round(F.log2(F.count(F.lit(1))), 6).alias("log2"))
+    n = F.col("c_nationkey")
+    rows = table(spark, d, "customer").select(F.concat(F.char(65 + n % 5), F.lit("02_"), n.cast("string"), F.lit("_x_s"), (n % 3).cast("string")).alias("prefix"))
+    return agg.cell_counts(rows, "prefix").withColumn("log2_cell_count", F.round("log2_cell_count", 6))
 
 
 @register("a17_null_counts", """WITH t AS (SELECT CASE WHEN c_custkey % 3 <> 0 THEN c_acctbal END AS a, CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS b, c_name AS c FROM customer)
@@ -182,9 +185,10 @@ def mean_joined(spark, d):
     return per.join(n, per["c_nationkey"] == n["n_nationkey"]).select("n_name", "mean", "n")
 
 
-@register("a28_dataset_extents", "SELECT min(p_size) AS lo, max(p_size) AS hi, array_to_string(list_sort(list(DISTINCT p_brand)), ',') AS brands FROM part")
+@register("a28_dataset_extents", """SELECT min(l) AS x_min, max(u) AS x_max, max(u - l) AS x_size, (SELECT array_to_string(list_sort(list(DISTINCT l_returnflag)), ',') FROM lineitem) AS names FROM (SELECT l_suppkey, min(l_partkey) AS l, max(l_partkey) AS u FROM lineitem GROUP BY 1)""")
 def dataset_extents(spark, d):
-    return table(spark, d, "part").agg(F.min("p_size").alias("lo"), F.max("p_size").alias("hi"), F.array_join(F.array_sort(F.collect_set("p_brand")), ",").alias("brands"))
+    sites = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("x_lower"), F.max("l_partkey").alias("x_upper"), F.collect_set("l_returnflag").alias("names"))
+    return agg.dataset_extents(sites, ("x",), ("names",)).withColumn("names", F.array_join("names", ","))
 
 
 @register("r01_unnest", "SELECT c_custkey AS key, c_name AS \"s.name\", c_acctbal AS \"s.balance\" FROM customer")
@@ -199,16 +203,16 @@ def unnest_deep(spark, d):
     return reshape.unnest_to(t, 0)
 
 
-@register("r03_nest_round_trip", "SELECT c_custkey AS key, c_name AS \"a.x\", c_acctbal AS \"a.y\", c_nationkey AS b FROM customer")
+@register("r03_nest_round_trip", "SELECT c_custkey AS key, c_name AS x, c_acctbal AS y, c_nationkey AS b FROM customer")
 def nest(spark, d):
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("a.x"), F.col("c_acctbal").alias("a.y"), F.col("c_nationkey").alias("b"))
-    return reshape.unnest(reshape.nest(t))
+    return reshape.nest(t).select("key", F.col("a").getField("x").alias("x"), F.col("a").getField("y").alias("y"), "b")
 
 
-@register("r04_nest_by_pattern", "SELECT c_custkey AS key, c_name AS \"Box-x\", c_acctbal AS \"Box-y\" FROM customer")
+@register("r04_nest_by_pattern", "SELECT c_custkey AS key, c_name AS x, c_acctbal AS y FROM customer")
 def nest_by(spark, d):
     t = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("Box-x"), F.col("c_acctbal").alias("Box-y"))
-    return reshape.unnest(reshape.nest_by(t, r"([A-Za-z]+)-([a-z])"), sep="-")
+    return reshape.nest_by(t, r"([A-Za-z]+)-([a-z])").select("key", F.col("Box").getField("x").alias("x"), F.col("Box").getField("y").alias("y"))
 
 
 WIDE = f"""SELECT l_orderkey, {", ".join(f"max(\"Sum\") FILTER (WHERE l_returnflag = '{c}') AS \"{c}_Sum\", max(\"Mean\") FILTER (WHERE l_returnflag = '{c}') AS \"{c}_Mean\"" for c in "ANR")} FROM {TALL} GROUP BY 1"""
@@ -271,12 +275,14 @@ def horizontal(spark, d):
     return joins.join_all([o.select("o_orderkey", "o_totalprice"), o.select("o_orderkey", "o_orderstatus")], ["o_orderkey"], "inner")
 
 
-@register("j01_join_all", """SELECT coalesce(a.k, b.k, c.k) AS k, a.x, b.y, c.z FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, c_name AS y FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k
-FULL JOIN (SELECT c_custkey AS k, c_mktsegment AS z FROM customer WHERE c_custkey % 5 = 0) c ON coalesce(a.k, b.k) = c.k""")
+@register("j01_join_all", """SELECT coalesce(a.k, b.k, c.k) AS k, a.x, b.y, c.z FROM (SELECT c_custkey AS k, c_acctbal AS x FROM customer) a FULL JOIN (SELECT o_custkey AS k, count(*) AS y FROM orders GROUP BY 1) b ON a.k = b.k
+FULL JOIN (SELECT user_id AS k, count(*) AS z FROM events GROUP BY 1) c ON coalesce(a.k, b.k) = c.k""")
 def join_all(spark, d):
-    c = table(spark, d, "customer")
-    part = lambda m, x, y: c.where(F.col("c_custkey") % m == 0).select(F.col("c_custkey").alias("k"), F.col(x).alias(y))
-    return joins.join_all([part(2, "c_acctbal", "x"), part(3, "c_name", "y"), part(5, "c_mktsegment", "z")], ["k"])
+    """Customers, their orders and users' events by number: some have no orders, some no events."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("x"))
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("y"))
+    e = table(spark, d, "events").groupBy(F.col("user_id").alias("k")).agg(F.count(F.lit(1)).alias("z"))
+    return joins.join_all([c, o, e], ["k"])
 
 
 @register("j02_join_on_shared_keys", "SELECT c_custkey AS key_c, c_acctbal, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -306,11 +312,18 @@ def consistent(spark, d):
     return dims["n"].join(facts["c"].groupBy("nk").agg(F.count(F.lit(1)).alias("customers")), "nk").select("n_name", "customers")
 
 
-@register("j06_path_assembly", "SELECT o_orderkey, r_name || '/' || n_name || '/' || replace(o_orderpriority, '-', '.') || '.pkl' AS path FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+@register("j06_path_assembly", """WITH i AS (SELECT DISTINCT l_suppkey AS roi, l_returnflag AS c, 0 AS m FROM lineitem),
+l AS (SELECT 0 AS m, s_suppkey AS roi, CASE WHEN s_nationkey < 12 THEN 'cells' ELSE 'nuclei' END AS o, 'l/' || s_suppkey AS path FROM supplier)
+SELECT i.roi, i.c, CASE i.c WHEN 'R' THEN 0 ELSE 1 END AS channel_order, s_nationkey AS site_nation, a.path AS mask_path, CASE WHEN i.c = 'A' THEN 'z/A.pkl' END AS z_model_path, b.path AS z_path, CASE WHEN i.c = 'R' AND i.roi % 2 = 0 THEN 1.5 END AS factor
+FROM i JOIN supplier ON roi = s_suppkey LEFT JOIN l a ON a.roi = i.roi AND a.o = CASE i.c WHEN 'R' THEN 'cells' END LEFT JOIN l b ON b.roi = i.roi AND b.o = CASE i.c WHEN 'A' THEN 'nuclei' END WHERE i.c IN ('R', 'A')""")
 def paths(spark, d):
-    o, c, n, r = (table(spark, d, t) for t in ("orders", "customer", "nation", "region"))
-    rows = o.join(c, o["o_custkey"] == c["c_custkey"]).join(n, c["c_nationkey"] == n["n_nationkey"], "left").join(r, n["n_regionkey"] == r["r_regionkey"], "left")
-    return rows.select("o_orderkey", F.regexp_replace(F.concat(F.col("r_name"), F.lit("/"), F.col("n_name"), F.lit("/"), F.replace("o_orderpriority", F.lit("-"), F.lit(".")), F.lit(".json")), r"\.json$", ".pkl").alias("path"))
+    images = table(spark, d, "lineitem").select(F.lit(0).alias("m"), F.col("l_suppkey").alias("roi"), F.col("l_returnflag").alias("c")).distinct().withColumn("path", F.concat_ws("/", F.lit("i"), "roi", "c"))
+    s = table(spark, d, "supplier")
+    labels = s.select(F.lit(0).alias("m"), F.col("s_suppkey").alias("roi"), F.when(F.col("s_nationkey") < 12, "cells").otherwise("nuclei").alias("o"), F.concat(F.lit("l/"), "s_suppkey").alias("path"), F.lit(1.0).alias("factors"))
+    z = spark.createDataFrame([("A", "m1", "nuclei", "z/A.json"), ("R", "m2", "cells", "z/R.json")], "c string, z_model string, o string, path string")
+    t = s.where("s_suppkey % 2 = 0").select(F.lit("R").alias("c"), F.col("s_suppkey").alias("roi"), F.lit("t").alias("t_model"), F.lit(1.5).alias("factor"))
+    out = joins.image_paths(images, s.select(F.col("s_suppkey").alias("roi"), F.col("s_nationkey").alias("site_nation")), labels, z, t, ["R", "A"], 0, ["cells", None], "m1", "t")
+    return out.select("roi", "c", "channel_order", "site_nation", "mask_path", "z_model_path", "z_path", "factor")
 
 
 @register("j07_correlation_queries", """WITH s AS (SELECT DISTINCT l_suppkey AS site FROM lineitem), a AS (SELECT DISTINCT l_suppkey AS site, l_returnflag AS c FROM lineitem WHERE l_quantity > 45),
@@ -321,10 +334,15 @@ def correlation_queries(spark, d):
     return joins.pair_queries(rows.select("site").distinct(), rows.where("l_quantity > 45").select("site", "channel").distinct(), ["A", "N", "R"])
 
 
-@register("j08_boxes_with_channels", "SELECT l_orderkey, count(*) AS n, array_to_string(list_sort(list(l_returnflag || ':' || l_linenumber)), ',') AS channels FROM lineitem GROUP BY 1")
+@register("j08_boxes_with_channels", """WITH c AS (SELECT l_suppkey AS site, l_returnflag AS c, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS o, max(l_discount) > 0.09 AS iso FROM lineitem GROUP BY ALL),
+o AS (SELECT DISTINCT l_suppkey AS site, l_orderkey AS label FROM lineitem)
+SELECT site, label, array_to_string(list(c || ':' || CASE WHEN iso THEN label::VARCHAR ELSE '-' END ORDER BY o), ',') AS channels FROM o JOIN c USING (site) GROUP BY ALL""")
 def boxes_with_channels(spark, d):
-    rows = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(F.concat_ws(":", "l_returnflag", "l_linenumber"))).alias("c"))
-    return rows.select("l_orderkey", "n", F.array_join("c", ",").alias("channels"))
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("site"), F.col("l_orderkey").alias("label"), F.col("l_returnflag").alias("c"), "l_discount")
+    order = F.when(F.col("c") == "R", 0).when(F.col("c") == "A", 1).otherwise(2)
+    channels = t.groupBy("site", "c").agg(F.max(order).alias("channel_order"), (F.max("l_discount") > 0.09).alias("isolate"))
+    out = joins.boxes_with_channels(t.select("site", "label").distinct(), channels, ["site"], ["label"])
+    return out.select("site", "label", F.array_join(F.transform("channels", lambda x: F.concat_ws(":", x["c"], F.coalesce(x["label"].cast("string"), F.lit("-")))), ",").alias("channels"))
 
 
 @register("j09_layers", "SELECT c_custkey, c_acctbal, coalesce(p, 'nan'::DOUBLE) AS \"orders:p\" FROM customer LEFT JOIN (SELECT o_custkey, round(max(o_totalprice), 2) AS p FROM orders GROUP BY 1) ON c_custkey = o_custkey")
@@ -346,15 +364,22 @@ def globbed(spark, d):
     return t.where(F.col("p_brand").isin(keep)).select("p_partkey", "p_brand")
 
 
-@register("c11_missing_resources", "SELECT DISTINCT o_custkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 <> 0)")
+@register("c11_missing_resources", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def missing(spark, d):
-    there = table(spark, d, "customer").where("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("o_custkey"))
-    return joins.missing_names(table(spark, d, "orders"), there, "o_custkey")
+    """Customers without a pending order."""
+    there = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey"))
+    return joins.missing_names(table(spark, d, "customer"), there, "c_custkey")
 
 
-@register("c12_request_rows", "SELECT n_name AS object, f AS feature FROM nation, (VALUES ('Mean'), ('Sum'), ('Max')) v(f) WHERE n_regionkey = 1")
+@register("c12_request_rows", """WITH r AS (SELECT p_partkey::VARCHAR AS object, CASE p_size % 5 WHEN 0 THEN 'label' WHEN 1 THEN 'intensity' WHEN 2 THEN 'colocalization' WHEN 3 THEN 'distance' ELSE 'density' END AS family FROM part), f(feature) AS (VALUES ('Mean'), ('Sum'))
+SELECT family, object, NULL::VARCHAR AS c, NULL::VARCHAR AS c_ref, NULL::VARCHAR AS target, feature FROM r, f WHERE family IN ('label', 'density')
+UNION ALL SELECT family, object, c, NULL, NULL, feature FROM r, f, (VALUES ('a.0'), ('b.0'), ('b.1')) c(c) WHERE family = 'intensity'
+UNION ALL SELECT family, object, c, c_ref, NULL, feature FROM r, f, (VALUES ('a.0'), ('b.0'), ('b.1')) c(c), (VALUES ('a.0'), ('d.0')) x(c_ref) WHERE family = 'colocalization' AND c <> c_ref
+UNION ALL SELECT family, object, NULL, NULL, target, feature FROM r, f, (VALUES ('7'), ('8')) t(target) WHERE family = 'distance' AND target <> object""")
 def requests(spark, d):
-    return table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_name").alias("object"), F.explode(F.array(*[F.lit(x) for x in ("Mean", "Sum", "Max")])).alias("feature"))
+    families = F.element_at(F.array(*[F.lit(x) for x in ("label", "intensity", "colocalization", "distance", "density")]), (F.col("p_size") % 5 + 1).cast("int"))
+    rows = table(spark, d, "part").select(families.alias("family"), F.col("p_partkey").cast("string").alias("object"), F.array(F.lit("Mean"), F.lit("Sum")).alias("features"))
+    return joins.request_rows(rows, ["a.0", "b.0", "b.1"], ["a.0", "d.0"], ["7", "8"])
 
 
 @register("c13_predicates", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT (l_discount = 0 OR l_tax > 0.06)")
@@ -366,16 +391,20 @@ def predicates(spark, d):
 @register("w01_z_scores", """SELECT l_orderkey, l_linenumber, l_partkey, round((l_extendedprice - avg(l_extendedprice) OVER w) / stddev_samp(l_extendedprice) OVER w, 4) AS z, round(l_extendedprice / avg(l_extendedprice) OVER v, 4) AS m FROM lineitem
 WINDOW w AS (PARTITION BY l_returnflag), v AS (PARTITION BY l_returnflag, l_linestatus)""")
 def z_scores(spark, d):
-    p = F.col("l_extendedprice")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.round(windows.z_score(p, ["l_returnflag"]), 4).alias("z"), F.round(windows.mean_normalised(p, ["l_returnflag", "l_linestatus"]), 4).alias("m"))
+    t = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_linestatus", "l_extendedprice")
+    out = windows.mean_normalised(windows.z_scored(t, "l_extendedprice", ["l_returnflag"]), "l_extendedprice", ["l_returnflag", "l_linestatus"])
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", F.round("z", 4).alias("z"), F.round("m", 4).alias("m"))
 
 
-@register("w02_stratified_sample")
+@register("w02_stratified_sample", "SELECT o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY md5('42:' || o_orderkey), o_orderkey) AS k FROM orders) WHERE k <= 50")
 def stratified(spark, d):
     return windows.stratified_sample(table(spark, d, "orders"), ["o_orderstatus"], 50, ["o_orderkey"]).select("o_orderkey", "o_orderstatus")
 
 
-@register("w03_sliding_samples")
+@register("w03_sliding_samples", """WITH s AS (SELECT o_orderkey, o_orderpriority, row_number() OVER (PARTITION BY o_orderpriority ORDER BY md5('42:' || o_orderkey), o_orderkey) AS k FROM orders),
+t AS (SELECT *, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM s WHERE k <= 40), p AS (SELECT o_orderpriority, lead(o_orderpriority) OVER (ORDER BY o_orderpriority) AS nx, lag(o_orderpriority) OVER (ORDER BY o_orderpriority) AS pv FROM (SELECT DISTINCT o_orderpriority FROM orders))
+SELECT o_orderkey, o_orderpriority, o_orderpriority AS "window" FROM t UNION ALL SELECT o_orderkey, o_orderpriority, o_orderpriority || '-' || nx FROM t JOIN p USING (o_orderpriority) WHERE k > n - 10 AND nx IS NOT NULL
+UNION ALL SELECT o_orderkey, o_orderpriority, pv || '-' || o_orderpriority FROM t JOIN p USING (o_orderpriority) WHERE k <= 10 AND pv IS NOT NULL""")
 def sliding(spark, d):
     return windows.sliding_samples(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", 40, 10, ["o_orderkey"])
 
@@ -404,7 +433,7 @@ def best(spark, d):
     return windows.best(table(spark, d, "orders"), F.col("o_totalprice"), 100, ["o_orderkey"]).select("o_orderkey", "o_totalprice")
 
 
-@register("o04_sample_rows")
+@register("o04_sample_rows", "SELECT o_orderkey FROM orders ORDER BY md5('42:' || o_orderkey), o_orderkey LIMIT 100")
 def sample_rows(spark, d):
     return windows.sample_rows(table(spark, d, "orders"), 100, ["o_orderkey"]).select("o_orderkey")
 
@@ -433,10 +462,33 @@ def scalars(spark, d):
                                               F.get(F.split(F.concat_ws("-", "l_returnflag", "l_linestatus"), "-"), F.lit(1)).alias("e"), clean.Bounds("l_quantity", 5, 45).clipped().alias("f"))
 
 
-@register("p01_p03_nulls", """SELECT c_custkey, CASE WHEN c_custkey % 50 <> 0 THEN c_acctbal END AS few FROM customer WHERE c_custkey % 50 <> 0""")
+_GAPS = """(SELECT c_custkey, p AS few, e AS many FROM customer LEFT JOIN (SELECT o_custkey, max(o_totalprice) AS p FROM orders GROUP BY 1) ON c_custkey = o_custkey LEFT JOIN (SELECT user_id, max(value) AS e FROM events WHERE event_type = 'click' AND value > 60 GROUP BY 1) ON c_custkey = user_id)"""
+
+
+def with_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Customers with their dearest order and highest click; either may be missing."""
+    o = table(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("few"))
+    e = table(spark, d, "events").where("event_type = 'click' and value > 60").groupBy(F.col("user_id").alias("c_custkey")).agg(F.max("value").alias("many"))
+    return table(spark, d, "customer").select("c_custkey").join(o, "c_custkey", "left").join(e, "c_custkey", "left")
+
+
+@register("p01_p03_nulls", f"""WITH t AS {_GAPS}, n AS (SELECT (count(*) - count(many)) > 0.05 * count(many) AS gone, (count(*) - count(few)) > 0.05 * count(few) AS few_gone FROM t)
+SELECT c_custkey, CASE WHEN NOT few_gone THEN few END AS few, CASE WHEN NOT gone THEN many END AS many FROM t, n WHERE (few_gone OR few IS NOT NULL) AND (gone OR many IS NOT NULL)""")
 def null_strategies(spark, d):
-    t = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 50 != 0, F.col("c_acctbal")).alias("few"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).alias("many"))
-    return clean.drop_null_rows(clean.drop_null_columns(t, ["few", "many"], "perc", 0.05), ["few"])
+    kept = clean.drop_null_columns(with_gaps(spark, d), ["few", "many"], "perc", 0.05)
+    out = clean.drop_null_rows(kept, [x for x in ("few", "many") if x in kept.columns])
+    return out.select("c_custkey", *[F.col(x) if x in out.columns else F.lit(None).cast("double").alias(x) for x in ("few", "many")])
+
+
+@register("p03_null_strategies", f"""WITH t AS {_GAPS} SELECT 'skip' AS strategy, count(*) AS n, 3 AS columns FROM t UNION ALL SELECT 'drop_cols', count(*), 1 + (count(*) = count(few))::INT + (count(*) = count(many))::INT FROM t
+UNION ALL SELECT 'drop_rows', count(*) FILTER (WHERE few IS NOT NULL AND many IS NOT NULL), 3 FROM t UNION ALL SELECT 'drop_feature_rows', count(few), 3 FROM t UNION ALL SELECT 'drop_all', count(*), 1 + (count(*) = count(few))::INT + (count(*) = count(many))::INT FROM t""")
+def all_null_strategies(spark, d):
+    t, out = with_gaps(spark, d), None
+    for name in ("skip", "drop_cols", "drop_rows", "drop_feature_rows", "drop_all"):
+        kept = clean.handle_nulls(t, ["few"] if name == "drop_feature_rows" else ["few", "many"], name)
+        row = kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("strategy"), "n", F.lit(len(kept.columns)).alias("columns"))
+        out = row if out is None else out.union(row)
+    return out
 
 
 @register("p04_p08_fixed_outliers", "SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE log2(l_quantity) >= 2 AND log2(l_quantity) <= 5 AND l_extendedprice <= 60000")
@@ -504,9 +556,8 @@ def roc(spark, d):
     return learn.roc_curve(t, "quality", "n_chars").select("score", F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
 
 
-@register("l03_train_test_split", "SELECT quality, count(*) AS n, round(count(*) * 0.7)::BIGINT AS train FROM labels GROUP BY 1")
+@register("l03_train_test_split", "SELECT doc_id, quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id)) <= round(count(*) OVER (PARTITION BY quality) * 0.7) AS is_train FROM labels")
 def split(spark, d):
     from tissuemill.operators import learn
 
-    t = learn.train_test_split(table(spark, d, "labels"), "quality", 0.7, ["doc_id"])
-    return t.groupBy("quality").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_train").cast("long")).alias("train"))
+    return learn.train_test_split(table(spark, d, "labels"), "quality", 0.7, ["doc_id"]).select("doc_id", "quality", "is_train")

@@ -73,23 +73,44 @@ def compact(spark: SparkSession, root: str, target: str, casts: dict[str, str] |
     """Fragments as one table per object under ``target``, in files of a bounded number of rows."""
     df = read_fragments(spark, root)
     df = df.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in (casts or {}).items() if c in df.columns})
-    df.repartition("object").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("object").parquet(target)
+    # ranges of object and roi: a large object is several tasks', a small one shares one
+    df.repartitionByRange("object", "roi", F.xxhash64(*[F.col(f"`{x}`") for x in df.columns])).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("object").parquet(target)
 
 
-def scan_features(features: DataFrame, keys: list[str], annotations: DataFrame | None = None, predictions: DataFrame | None = None, keep: str = "debris_proba < 0.3") -> DataFrame:
-    """Features with annotations and predictions joined on the keys, whose types are aligned, and filtered."""
+def scan_features(features: DataFrame, keys: list[str], annotations: DataFrame | None = None, predictions: DataFrame | None = None, keep: str = "debris_proba < 0.3", meta: DataFrame | None = None) -> DataFrame:
+    """Features with annotations and predictions joined on the keys, whose types are aligned, and filtered; ``meta(roi, …)`` is joined if given."""
     out = features
     for extra in (annotations, predictions):
         if extra is not None:
             cast = extra.withColumns({k: F.col(k).cast(features.schema[k].dataType) for k in keys})
             out = out.join(cast, keys, "left")
-    return out.where(keep) if keep else out
+    out = out.where(keep) if keep else out
+    return out if meta is None else out.join(meta, "roi", "left")
+
+
+def scan_resources(spark: SparkSession, root: str, names: Iterable[str], renames: dict[str, str]) -> dict[str, DataFrame]:
+    """Tables of a folder with columns renamed where they are there."""
+    return {n: t.withColumnsRenamed({a: b for a, b in renames.items() if a in t.columns}) for n, t in read_tables(spark, root, names).items()}
+
+
+def write_fragments(df: DataFrame, root: str, name: str = "{object}.parquet", form: str = "parquet") -> None:
+    """Write ``df(roi, object, …)`` as one file per roi and object, ``root/{roi}/{name}``; the driver renames the files."""
+    spark, staged = df.sparkSession, f"{root}.staged-{uuid.uuid4().hex}"
+    df.repartition("roi", "object").write.format(form).option("header", True).partitionBy("roi", "object").save(staged)
+    fs, top = _fs(spark, staged)
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    for s in fs.globStatus(path(f"{staged}/roi=*/object=*/part-*")):
+        roi, obj = (s.getPath().getParent().getParent().getName()[4:], s.getPath().getParent().getName()[7:])
+        fs.mkdirs(path(f"{root}/{roi}"))
+        fs.rename(s.getPath(), path(f"{root}/{roi}/{name.format(roi=roi, object=obj)}"))
+    fs.delete(top, True)
 
 
 def write_merged(df: DataFrame, path: str, keys: list[str], strategy: str = "raise") -> None:
     """Write a table where one may be: ``raise``, ``overwrite``, or ``merge`` — old columns that are also new are dropped, the rest joined on the keys.
 
-    A merge goes to a staging folder that then takes the old one's place.
+    A merge goes to a staging folder; the old table is renamed aside, the new one takes
+    its place, and only then is the old one deleted, so one of them is always there.
     """
     spark = df.sparkSession
     if not exists(spark, path) or strategy == "overwrite":
@@ -102,8 +123,10 @@ def write_merged(df: DataFrame, path: str, keys: list[str], strategy: str = "rai
     staged = f"{path}.staged-{uuid.uuid4().hex}"
     merged.write.parquet(staged)
     fs, p = _fs(spark, path)
-    fs.delete(p, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    fs.rename(p, aside)
     fs.rename(spark._jvm.org.apache.hadoop.fs.Path(staged), p)
+    fs.delete(aside, True)
 
 
 def read_annotations(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -113,6 +136,19 @@ def read_annotations(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return df.select(F.regexp_extract(name, r"^(.*)_([^_]+)_annotation\.csv$", 1).alias("roi"), F.regexp_extract(name, r"^(.*)_([^_]+)_annotation\.csv$", 2).alias("object"), *df.columns)
 
 
+def read_features(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV features of a folder as one table, with ``filename_prefix`` and ``structure`` from names like ``{prefix}__{structure}.csv``."""
+    name = F.col("_metadata.file_name")
+    df = spark.read.schema(schema).option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(path)
+    return df.select(F.regexp_extract(name, r"^(.*)__([^_.]+)\.csv$", 1).alias("filename_prefix"), F.regexp_extract(name, r"^(.*)__([^_.]+)\.csv$", 2).alias("structure"), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def read_channels(spark: SparkSession, path: str) -> DataFrame:
+    """Channel map ``(channel, wavelength, stain)`` of a measurement description in XML."""
+    df = spark.read.format("xml").option("rowTag", "MeasurementChannel").option("ignoreNamespace", "true").load(path)
+    return df.select(F.col("_Ch").cast("int").alias("channel"), F.col("_Wavelength").cast("int").alias("wavelength"), F.col("_Fluorophore").alias("stain")).distinct()
+
+
 def read_acquisitions(spark: SparkSession, paths: list[str]) -> DataFrame:
     """Measurement records ``(well, site, channel, time, priority)`` of XML folders; a later folder replaces the whole of a site it has."""
     rows = None
@@ -144,6 +180,51 @@ def write_batches(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     return named
 
 
+def select(tables: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
+    """The named tables; an unknown name is an error."""
+    return {n: tables[n] for n in names}
+
+
+def reduced(tables: dict[str, DataFrame], f: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """One table from pairwise steps over all of them, in order."""
+    from functools import reduce
+
+    return reduce(f, tables.values())
+
+
+def take(tables: dict[str, DataFrame], name: str, column: str | None = None) -> DataFrame:
+    """One table, or one of its columns."""
+    return tables[name] if column is None else tables[name].select(f"`{column}`")
+
+
+def sel(df: DataFrame, **wanted) -> DataFrame:
+    """Rows by coordinate: each column equal to a value or in a list of values."""
+    for name, value in wanted.items():
+        df = df.where(F.col(name).isin(list(value)) if isinstance(value, list | tuple | set) else F.col(name) == value)
+    return df
+
+
+def drop_sel(df: DataFrame, **unwanted) -> DataFrame:
+    """Rows that no given coordinate names; a row with a null coordinate stays."""
+    for name, value in unwanted.items():
+        gone = F.col(name).isin(list(value)) if isinstance(value, list | tuple | set) else F.col(name) == value
+        df = df.where(~F.coalesce(gone, F.lit(False)))
+    return df
+
+
+def isel(df: DataFrame, **places: int | list[int]) -> DataFrame:
+    """Rows whose coordinate stands at given places of its sorted different values, from 0; negative: from the end."""
+    from tissuemill.operators.ranked import values_at
+
+    for name, place in places.items():
+        wanted = list(place) if isinstance(place, list | tuple) else [place]
+        different = df.select(F.lit(1).alias("_g"), F.col(name)).distinct()
+        found = values_at(different, ["_g"], name, {f"p{i}": F.lit(k) if k >= 0 else F.col("all") + k for i, k in enumerate(wanted)})
+        chosen = found.select(F.explode(F.array(*[f"p{i}" for i in range(len(wanted))])).alias(name)).where(F.col(name).isNotNull())
+        df = df.join(F.broadcast(chosen.distinct()), name, "left_semi")
+    return df
+
+
 def pipe(tables: dict[str, DataFrame], f: Callable[[DataFrame], DataFrame], include: Iterable[str] | None = None, exclude: Iterable[str] = ()) -> dict[str, DataFrame]:
     """Apply a function to chosen tables."""
     chosen = set(tables if include is None else include) - set(exclude)
