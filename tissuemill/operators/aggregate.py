@@ -186,6 +186,17 @@ def bounding_box(axes: Sequence[str] = ("z", "y", "x")) -> list[Column]:
     return [f(f"{a}_{e}").alias(f"{a}_{e}") for a in axes for e, f in (("lower", F.min), ("upper", F.max))]
 
 
+def box_lists(df: DataFrame, group: Sequence[str], key: str, axes: Sequence[str] = ("z", "y", "x")) -> DataFrame:
+    """Per group a list ``boxes`` of ``(key, (lower, upper) per axis)``, in the keys' order."""
+    box = F.struct(c(key).alias(key), *[F.struct(F.col(f"{a}_lower").alias("lower"), F.col(f"{a}_upper").alias("upper")).alias(a) for a in axes])
+    return df.groupBy(*group).agg(F.array_sort(F.collect_list(box)).alias("boxes"))
+
+
+def quantile_extents(df: DataFrame, group: Sequence[str], q: float, axes: Sequence[str] = ("z", "y", "x")) -> DataFrame:
+    """Quantile of the box extent per axis and group, linear between ranks and rounded up; exact, a group's extents are few values."""
+    return df.groupBy(*group).agg(*[F.ceil(F.percentile(F.col(f"{a}_upper") - F.col(f"{a}_lower"), F.lit(q))).cast("int").alias(a) for a in axes])
+
+
 def extents(df: DataFrame, group: Sequence[str], axes: Sequence[str] = ("z", "y", "x"), padding: int = 0) -> DataFrame:
     """Largest box extent per axis and group, padded and rounded up to even, x and y alike."""
     out = df.groupBy(*group).agg(*[F.max(F.col(f"{a}_upper") - F.col(f"{a}_lower")).alias(a) for a in axes])
@@ -201,8 +212,10 @@ def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), c(f"{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("p")).select("p.*")
 
 
-def bins_2d(df: DataFrame, x: Column, y: Column, dx: float, dy: float, value: Column | None = None, by: Column | None = None) -> DataFrame:
-    """Counts, and the mean of ``value``, on a grid of ``dx`` by ``dy``, per category ``by`` if given."""
+def bins_2d(df: DataFrame, x: Column, y: Column, dx: float, dy: float, value: Column | None = None, by: Column | None = None, log_x: bool = False, log_y: bool = False) -> DataFrame:
+    """Counts, and the mean of ``value``, on a grid of ``dx`` by ``dy``, per category ``by`` if given; steps of a logarithmic axis are in powers of ten, and values of 0 or less are in no bin."""
+    x, y = F.log10(x) if log_x else x, F.log10(y) if log_y else y
+    df = df.where(x.isNotNull() & y.isNotNull()) if log_x or log_y else df
     keys = [F.floor(x / dx).alias("bx"), F.floor(y / dy).alias("by")] + ([by.alias("category")] if by is not None else [])
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *([F.avg(value).alias("mean")] if value is not None else []))
 

@@ -170,3 +170,13 @@ def label(kind: str, value: float | int, self_loops: bool = False, threshold: fl
 def queries(kinds: dict[str, Sequence], self_loops: Sequence[bool] = (False,)) -> list[tuple[str, float | int, bool]]:
     """Product of query kinds, their values and loops."""
     return [(k, v, s) for k, values in kinds.items() for v in values for s in self_loops]
+
+
+def stacked(points: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sites put together: points with one running ``index`` over all of them, site by site, and edges between such indices."""
+    from tissuemill.operators.ranked import numbered
+
+    placed = durable(numbered(points, ["site", "id"], "index"), "stacked-points")
+    end = lambda side: placed.select("site", F.col("id").alias(side), F.col("index").alias(f"{side}_index"))
+    moved = edges.join(end("src"), ["site", "src"]).join(end("dst"), ["site", "dst"])
+    return placed, moved.select(F.col("src_index").alias("src"), F.col("dst_index").alias("dst"), "weight")

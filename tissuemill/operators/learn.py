@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -27,6 +28,13 @@ def mapped(column: Column, mapping: dict, default: Column | None = None) -> Colu
     return F.coalesce(F.element_at(F.create_map(*pairs), column), F.lit(None) if default is None else default)
 
 
+def first_ordinals(df: DataFrame, column: str, order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Column ``name``: 0-based place of a row's value among the different values, by where each first occurs in the order."""
+    seen = df.where(c(column).isNotNull()).groupBy(c(column).alias("_value")).agg(F.min(F.struct(*[c(o) for o in order])).alias("_first"))
+    places = ranked.numbered(seen, ["_first"], name).select("_value", name)
+    return df.join(places, c(column) == F.col("_value"), "left").drop("_value")
+
+
 def train_test_split(df: DataFrame, label: str, share: float, keys: Sequence[str], seed: int = 42) -> DataFrame:
     """Column ``is_train``: of each class, ``round(n · share)`` rows in a pseudo-random order of the keys.
 
@@ -82,13 +90,15 @@ def uncorrelated(df: DataFrame, columns: Sequence[str], threshold: float = 0.95,
 
 
 def impurity_importance(model: PipelineModel, columns: Sequence[str]) -> DataFrame:
-    """Mean and deviation over trees of each column's impurity importance."""
+    """Each column's impurity importance, and its deviation, standard error and quartiles over trees."""
     from pyspark.sql import SparkSession
 
     forest, spark = model.stages[-1], SparkSession.active()
-    per = [t.featureImportances.toArray() for t in forest.trees]
-    rows = [(x, float(forest.featureImportances[i]), float(sum((p[i] - sum(q[i] for q in per) / len(per)) ** 2 for p in per) / len(per)) ** 0.5) for i, x in enumerate(columns)]
-    return spark.createDataFrame(rows, "feature string, importance double, std double")
+    per = np.array([t.featureImportances.toArray() for t in forest.trees])
+    low, mid, high = np.quantile(per, (0.25, 0.5, 0.75), axis=0)
+    sd = per.std(axis=0)
+    rows = [(x, *(float(v) for v in (forest.featureImportances[i], sd[i], sd[i] / len(per) ** 0.5, low[i], mid[i], high[i]))) for i, x in enumerate(columns)]
+    return spark.createDataFrame(rows, "feature string, importance double, std double, sem double, q25 double, median double, q75 double")
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], keys: Sequence[str], label: str = "label", repeats: int = 3, seed: int = 42) -> DataFrame:

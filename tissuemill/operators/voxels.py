@@ -150,6 +150,24 @@ def weighted_moments(labels: DataFrame, image: DataFrame, scale: Sequence[float]
                                      *[(F.sum(w * p[a] * p[b]) / total - mean[a] * mean[b]).alias(f"m_{a}{b}") for i, a in enumerate(AXES) for b in AXES[i:]])
 
 
+def weighted_principal(moments: DataFrame) -> DataFrame:
+    """Principal moments, axes, elongation and flatness beside :func:`weighted_moments`, named ``Weighted…``; null without weight."""
+    sized = moments.withColumn("EquivalentSphericalRadius", F.lit(1.0))
+    out = with_principal(sized)
+    wanted = [n for n in out.columns if n.startswith(("PrincipalMoments", "PrincipalAxes")) or n in ("Elongation", "Flatness")]
+    named = [F.when(F.col("m_zz").isNotNull(), F.col(f"`{n}`")).alias(f"Weighted{n}") for n in wanted]
+    return out.select(*[F.col(f"`{n}`") for n in moments.columns], *named)
+
+
+def path_along(labels: DataFrame, target: DataFrame, axis: str = "z", spacing: float = 1.0) -> DataFrame:
+    """For each voxel of an object, the length of the way through ``target(roi, z, y, x)`` voxels from the start of its line along an axis, itself included."""
+    rest = [a for a in AXES if a != axis]
+    both = labels.select("roi", *AXES, "label").join(target.select("roi", *AXES).distinct().withColumn("_on", F.lit(1)), ["roi", *AXES], "full")
+    w = Window.partitionBy("roi", *rest).orderBy(axis).rowsBetween(Window.unboundedPreceding, 0)
+    out = both.withColumn("value", F.sum(F.coalesce("_on", F.lit(0))).over(w) * F.lit(float(spacing)))
+    return out.where("label <> 0").select("roi", *AXES, "label", "value")
+
+
 def _bin(x: str, n: int) -> Column:
     w = Window.partitionBy(*OBJECT)
     lo, hi = F.min(x).over(w), F.max(x).over(w)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tissuemill.functions import grids, index, names
 from tissuemill.functions.durable import durable
-from tissuemill.operators import clean, decay, hoods, learn, ranked, reshape, windows
+from tissuemill.operators import aggregate as agg
+from tissuemill.operators import clean, decay, hoods, learn, ranked, reshape, voxels, windows
 from tissuemill.operators import neighbours as near
 from tissuemill.plans.registry import register, table
 from tissuemill.plans.source_queries import folder
@@ -280,3 +281,77 @@ def dense(spark, d):
     p = points(spark, d)
     out = near.aggregate(p, graph.radius_distance(p, 3.0, XY).where("weight > 0"), p, ["f"], ["Mean"], "N")
     return out.select("site", "id", F.round("N_Mean__f", 6).alias("m"))
+
+
+@register("a22_box_lists", """SELECT l_suppkey AS roi, array_to_string(list(l_orderkey || ':' || lo || '-' || hi ORDER BY l_orderkey, lo, hi), ',') AS boxes FROM (SELECT l_suppkey, l_orderkey, min(l_partkey) AS lo, max(l_partkey) + 1 AS hi FROM lineitem GROUP BY ALL) GROUP BY 1""")
+def box_lists(spark, d):
+    boxes = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("x_lower"), (F.max("l_partkey") + 1).alias("x_upper"))
+    listed = agg.box_lists(boxes, ["l_suppkey"], "l_orderkey", ("x",))
+    return listed.select(F.col("l_suppkey").alias("roi"), F.array_join(F.transform("boxes", lambda b: F.concat(b["l_orderkey"], F.lit(":"), b["x"]["lower"], F.lit("-"), b["x"]["upper"])), ",").alias("boxes"))
+
+
+@register("a23_quantile_extents", "SELECT l_suppkey, ceil(quantile_cont(w, 0.9))::INT AS x FROM (SELECT l_suppkey, max(l_partkey) - min(l_partkey) AS w FROM lineitem GROUP BY l_suppkey, l_orderkey) GROUP BY 1")
+def quantile_extents(spark, d):
+    boxes = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("x_lower"), F.max("l_partkey").alias("x_upper"))
+    return agg.quantile_extents(boxes, ["l_suppkey"], 0.9, ("x",))
+
+
+@register("a25_bins_log", "SELECT floor(log10(l_extendedprice) / 0.25)::BIGINT AS bx, floor(l_quantity / 5)::BIGINT AS by, count(*) AS n FROM lineitem WHERE l_extendedprice > 0 GROUP BY ALL")
+def log_bins(spark, d):
+    return agg.bins_2d(table(spark, d, "lineitem"), F.col("l_extendedprice"), F.col("l_quantity"), 0.25, 5, log_x=True)
+
+
+@register("a11_one_to_one_branch", "SELECT 'customer' AS o_parent, o_custkey AS label_parent, max(o_totalprice) AS price FROM orders GROUP BY o_custkey HAVING count(*) = 1")
+def one_child(spark, d):
+    """A hierarchy in which every parent has one child: features are copied."""
+    o = table(spark, d, "orders")
+    single = o.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"), F.max("o_orderkey").alias("label"), F.max("o_totalprice").alias("price")).where("n = 1")
+    h = single.select(F.lit("order").alias("o_child"), F.col("label").alias("label_child"), F.lit("customer").alias("o_parent"), F.col("o_custkey").alias("label_parent"))
+    out = agg.aggregate_hierarchy(single.select(F.lit("order").alias("o"), "label", "price"), h, ["price"], [agg.Sum])
+    return out.select("o_parent", "label_parent", F.col("order_price").alias("price"))
+
+
+@register("f06_first_ordinals", "SELECT o_orderkey, o_orderpriority, dense_rank() OVER (ORDER BY f) - 1 AS ordinal FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_orderpriority) AS f FROM orders)")
+def first_ordinals(spark, d):
+    return learn.first_ordinals(table(spark, d, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", ["o_orderkey"])
+
+
+@register("h13_stacked_edges", f"""WITH i AS (SELECT site, id, row_number() OVER (ORDER BY site, id) - 1 AS i FROM {PTS}) SELECT a.i AS src, b.i AS dst, round(weight, 6) AS weight FROM {EDGES} e JOIN i a ON e.site = a.site AND e.src = a.id JOIN i b ON e.site = b.site AND e.dst = b.id""")
+def stacked(spark, d):
+    from tissuemill.operators import graph
+
+    p = points(spark, d)
+    return graph.stacked(p, graph.radius_distance(p, 3.0, XY))[1].withColumn("weight", F.round("weight", 6))
+
+
+@register("g16_touch_counts", f"""WITH v AS (SELECT * FROM {GROWN}), e AS (SELECT a.roi, a.label AS l, b.label AS k FROM v a JOIN v b ON a.roi = b.roi AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label <> 0 AND b.label <> 0)
+SELECT p.roi AS site, p.label AS id, count(DISTINCT k) AS n FROM (SELECT DISTINCT roi, label FROM v WHERE label <> 0) p LEFT JOIN e ON p.roi = e.roi AND p.label = e.l GROUP BY ALL""")
+def touch_counts(spark, d):
+    from tissuemill.operators import graph
+
+    p, touching = hoods.points_of_labels(grown_volume(spark, d).select("roi", "z", "y", "x", "label"))
+    out = near.density(p, graph.radius_distance(p, 1.0), graph.knn_distance(p, 1), [1.0], [1], touching)
+    return out.select("site", "id", F.col("`TOUCH:1_Count`").alias("n"))
+
+
+@register("v05_weighted_principal", f"""WITH m AS (SELECT roi, label, sum(value) AS w, {", ".join(f"sum(value * {a}) / sum(value) AS g{a}" for a in "zyx")}, {", ".join(f"sum(value * {a} * {a}) / sum(value) AS q{a}" for a in "zyx")} FROM {GROWN} WHERE label <> 0 GROUP BY ALL)
+SELECT roi, label, round(qz - gz * gz + qy - gy * gy + qx - gx * gx, 5) AS trace FROM m""")
+def weighted_principal(spark, d):
+    """The principal moments add up to the trace of the weighted covariance."""
+    v = grown_volume(spark, d)
+    out = voxels.weighted_principal(voxels.weighted_moments(v.drop("value", "other"), v.select("roi", "z", "y", "x", "value")))
+    return out.select("roi", "label", F.round(sum((F.col(f"`WeightedPrincipalMoments-{i}`") for i in range(3)), F.lit(0.0)), 5).alias("trace"))
+
+
+@register("v07_path_along", f"SELECT roi, z, y, x, label, 0.5 * sum(CASE WHEN label IN (2, 3) THEN 1 ELSE 0 END) OVER (PARTITION BY roi, y, x ORDER BY z) AS value FROM {GROWN} QUALIFY label <> 0")
+def path_along(spark, d):
+    """The way through objects 2 and 3 up to each voxel."""
+    v = grown_volume(spark, d).select("roi", "z", "y", "x", "label")
+    return voxels.path_along(v, v.where("label in (2, 3)"), "z", 0.5)
+
+
+@register("v13_scaled_boxes", f"SELECT roi, label, round(min(z) * 0.5)::INT AS z_lower, round((max(z) + 1) * 0.5)::INT AS z_upper FROM {GROWN} WHERE label <> 0 GROUP BY ALL")
+def scaled_boxes(spark, d):
+    v = grown_volume(spark, d).where("label <> 0")
+    boxes = v.groupBy("roi", "label").agg(*[x for a in "zyx" for x in (F.min(a).alias(f"{a}_lower"), (F.max(a) + 1).alias(f"{a}_upper"))])
+    return voxels.scale_boxes(boxes, (0.5, 0.5, 0.5)).select("roi", "label", "z_lower", "z_upper")
