@@ -262,3 +262,18 @@ def test_element_wise_and_sweep(spark):
 
     assert hoods.element_wise(spark.range(3), "id", half, "h").agg(F.sum("h")).first()[0] == 1.5
     assert learn.parameter_sweep(spark, a=[1, 2], b=["x", "y", "z"]).count() == 6
+
+
+def test_scratch_tables_are_deleted(spark):
+    from pathlib import Path
+
+    from tissuemill.functions import durable as d
+
+    with d.scratch(spark) as outer:
+        with d.scratch(spark) as inner:
+            gone = d.durable(spark.range(3), "gone").inputFiles()
+            kept = outer(spark.range(5), "kept")
+            later = inner(spark.range(4), "later")
+        assert later.count() == 4 and not any(Path(f.removeprefix("file://")).exists() for f in gone)
+        middle = later.inputFiles()
+    assert kept.count() == 5 and not any(Path(f.removeprefix("file://")).exists() for f in middle)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
+_scopes: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,4 +36,33 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _scopes:
+        _scopes[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """Delete, at the end, the tables that :func:`durable` wrote inside.
+
+    What is given to the yielded function is written, as by :func:`durable`, and stays
+    (until the end of the scope around this one, if there is one).
+    """
+    scope: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        inside = _scopes[_scopes.index(scope) :]
+        del _scopes[_scopes.index(scope) :]
+        try:
+            return durable(df, label)
+        finally:
+            _scopes.extend(inside)
+
+    _scopes.append(scope)
+    try:
+        yield keep
+    finally:
+        _scopes.remove(scope)
+        for path in scope:
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
