@@ -277,3 +277,21 @@ def test_scratch_tables_are_deleted(spark):
         assert later.count() == 4 and not any(Path(f.removeprefix("file://")).exists() for f in gone)
         middle = later.inputFiles()
     assert kept.count() == 5 and not any(Path(f.removeprefix("file://")).exists() for f in middle)
+
+
+def test_nearest_of_clustered_points(spark):
+    """Two sites of unlike density, one with a dense clump and repeated places."""
+    rng = np.random.default_rng(4)
+    far, clump = rng.random((150, 2)) * 1e4, rng.random((350, 2)) * 1e-3
+    clump[300:] = clump[300]
+    rows = [("a", i, float(y), float(x)) for i, (y, x) in enumerate(np.concatenate((far, clump)))] + [("b", i, float(i), 0.0) for i in range(4)] + [("c", 0, 1.0, 1.0)]
+    got = {}
+    for r in graph.knn_distance(spark.createDataFrame(rows, "site string, id long, y double, x double"), 5, ("y", "x")).collect():
+        got.setdefault((r["site"], r["src"]), []).append((r["weight"], r["dst"]))
+    for s, n in (("a", 5), ("b", 3)):
+        p = np.array([(y, x) for k, _, y, x in rows if k == s])
+        d = np.sqrt((p[:, None, 0] - p[None, :, 0]) ** 2 + (p[:, None, 1] - p[None, :, 1]) ** 2)
+        for i in range(len(p)):
+            want = sorted((d[i, j], j) for j in range(len(p)) if j != i)[:n]
+            assert [j for _, j in sorted(got[s, i])] == [j for _, j in want]
+    assert ("c", 0) not in got

@@ -52,42 +52,72 @@ def within(edges: DataFrame, r: float) -> DataFrame:
     return edges.where(F.col("weight") <= r)
 
 
+def _levels(points: DataFrame, axes: Sequence[str], most: int) -> DataFrame:
+    """Points with the ``_level`` of the cells they start in, halvings of the site's cell ``_c0``.
+
+    A cell of over ``most`` points that do not all coincide is cut: into halves, or at once into
+    cells as wide as what its points span, if that is less.
+    """
+    open_, out = points.withColumn("_level", F.lit(0)), None
+    while True:
+        size = F.col("_c0") * F.pow(F.lit(2.0), -F.col("_level").cast("double"))
+        keyed = open_.withColumns({f"g_{x}": F.floor(F.col(x) / size) for x in axes})
+        keys = ["site", "_level", *[f"g_{x}" for x in axes]]
+        span = F.greatest(*[F.max(x) - F.min(x) for x in axes], F.lit(0.0), F.lit(0.0))
+        dense = keyed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), span.alias("span"), F.max("_c0").alias("c0")).where((F.col("n") > most) & (F.col("span") > 0) & (F.col("_level") < 60))
+        deeper = F.greatest(F.col("_level") + 1, F.floor(F.log2(F.col("c0") / F.col("span"))).cast("int"))
+        dense = durable(dense.select(*[F.col(x).alias(f"d_{x}") for x in keys], F.least(deeper, F.lit(60)).alias("d_next")), "knn-dense")
+        if dense.isEmpty():
+            return open_ if out is None else out.unionByName(open_)
+        on = functools.reduce(lambda p, q: p & q, [F.col(x).eqNullSafe(F.col(f"d_{x}")) for x in keys])
+        both = durable(keyed.join(dense, on, "left").select(*points.columns, "_level", "d_next"), "knn-level")
+        part = both.where("d_next is null").drop("d_next")
+        out = part if out is None else out.unionByName(part)
+        open_ = both.where("d_next is not null").withColumn("_level", F.col("d_next")).drop("d_next")
+
+
 def knn_distance(points: DataFrame, k: int, axes: Sequence[str] = AXES, self_loops: bool = False, cell: float | None = None) -> DataFrame:
     """The ``k`` nearest others of each point (of ``k + 1`` with itself if ``self_loops``), ties by id, weight the distance; fewer where a site has fewer.
 
-    Rounds look in the grid cells around the points that are not done, and the cell
-    doubles each round: a point is done when its k-th neighbour is no farther than a
-    cell, or when its cells have met its whole site. The first cell holds about ``k``
-    points on average. Rounds are written to the shared folder, so plans stay short.
+    Rounds look in the grid cells around the points that are not done, and a point's cell
+    doubles each round: it is done when its k-th neighbour is no farther than a
+    cell, or when its cells cover its whole site. A site's first cell holds about ``k`` of
+    its points on average and is halved where it holds over 16 times as many, so dense
+    places are searched in small cells. Rounds are written to the shared folder, so plans stay short.
     """
     k = k + 1 if self_loops else k
     points = points.select("site", "id", *axes)
-    box = points.groupBy("site").agg(F.count(F.lit(1)).alias("n"), *[(F.max(x) - F.min(x)).alias(f"w_{x}") for x in axes])
-    if cell is None:
-        volume = F.lit(1.0)
-        for x in axes:
-            volume = volume * F.greatest(F.col(f"w_{x}"), F.lit(1e-6))
-        cell = float(box.agg(F.max(F.pow(volume * k / F.col("n"), F.lit(1 / len(axes))))).first()[0] or 1.0)
-    per_site = durable(box.select("site", F.col("n").alias("_n")), "knn-sites")
-    todo, done = points, []
-    order = Window.partitionBy("site", "src").orderBy("d2", "dst")
+    wide = F.greatest(*[F.max(x) - F.min(x) for x in axes], F.lit(0.0), F.lit(0.0))
+    volume = functools.reduce(lambda p, q: p * q, [F.greatest(F.max(x) - F.min(x), F.lit(1e-6)) for x in axes])
+    own = F.pow(volume * k / F.count(F.lit(1)), F.lit(1 / len(axes))) if cell is None else F.lit(float(cell))
+    box = durable(points.groupBy("site").agg(wide.alias("_w"), own.alias("_c0"), F.count(F.lit(1)).alias("_n")), "knn-sites")
+    box = box.select(F.col("site").alias("_site"), "_w", "_c0", "_n")
+    placed = points.join(box.where(F.col("_n") > (0 if self_loops else 1)), F.col("site").eqNullSafe(F.col("_site"))).drop("_site", "_n")
+    placed = durable(placed, "knn-points")
+    todo = durable(_levels(placed, axes, 16 * k), "knn-open")
+    done: list[DataFrame] = []
+    size = F.col("_c0") * F.pow(F.lit(2.0), -F.col("_level").cast("double"))
+    steps = F.array(*[F.struct(*[F.lit(s).alias(f"s_{x}") for s, x in zip(step, axes)]) for step in itertools.product((-1, 0, 1), repeat=len(axes))])
     other = [] if self_loops else [F.col("src") != F.col("dst")]
-    while True:
-        left, right = _sides(todo, axes, cell, 1)[0], _sides(points, axes, cell, 1)[1]
-        keys = ["site", *[f"g_{x}" for x in axes]]
-        met = left.join(right, [left[x].eqNullSafe(right[x]) for x in keys] + other).select(left["site"], "src", "dst", _squared(axes).alias("d2"))
+    while not todo.isEmpty():
+        used = todo.select(F.col("site").alias("_site"), "_level").distinct()
+        right = placed.join(used, F.col("site").eqNullSafe(F.col("_site"))).select(F.col("site").alias("r_site"), F.col("_level").alias("r_level"), F.col("id").alias("dst"), *[F.col(x).alias(f"b_{x}") for x in axes], *[F.floor(F.col(x) / size).alias(f"r_{x}") for x in axes])
+        left = todo.select("site", F.col("id").alias("src"), "_level", "_w", size.alias("_cell"), *[F.col(x).alias(f"a_{x}") for x in axes], *[F.floor(F.col(x) / size).alias(f"g_{x}") for x in axes], F.explode(steps).alias("s"))
+        near = functools.reduce(lambda p, q: p & q, [F.col(f"g_{x}") + F.col(f"s.s_{x}") == F.col(f"r_{x}") for x in axes])
+        met = left.join(right, [F.col("site").eqNullSafe(F.col("r_site")), F.col("_level") == F.col("r_level"), near, *other])
+        met = met.select("site", "src", "dst", "_w", "_cell", _squared(axes).alias("d2"))
+        first = met.withColumn("k", F.row_number().over(Window.partitionBy("site", "src").orderBy("d2", "dst"))).where(F.col("k") <= k)
         every = Window.partitionBy("site", "src")
-        ranked = met.withColumns({"k": F.row_number().over(order), "seen": F.count(F.lit(1)).over(every)}).where(F.col("k") <= k)
-        ranked = ranked.withColumns({"far": F.max("d2").over(every), "got": F.count(F.lit(1)).over(every)}).join(per_site, "site")
-        whole = F.col("seen") >= F.col("_n") - (0 if self_loops else 1)
-        ready = ranked.where(whole | ((F.col("got") == k) & (F.col("far") <= cell * cell)))
+        first = first.withColumns({"far": F.max("d2").over(every), "got": F.count(F.lit(1)).over(every)})
+        ready = first.where((F.col("_cell") >= F.col("_w")) | ((F.col("got") == k) & (F.col("far") <= F.col("_cell") * F.col("_cell"))))
         found = durable(ready.select("site", "src", "dst", F.sqrt("d2").alias("weight")), "knn-found")
         done.append(found)
-        rest = todo.join(found.select("site", F.col("src").alias("id")).distinct(), ["site", "id"], "left_anti").join(per_site.where(F.col("_n") > (0 if self_loops else 1)), "site", "left_semi")
-        todo = durable(rest, "knn-open")
-        if todo.isEmpty():
-            return functools.reduce(DataFrame.union, done)
-        cell *= 2
+        ends = found.select(F.col("site").alias("f_site"), F.col("src").alias("f_src")).distinct()
+        rest = todo.where(size < F.col("_w")).join(ends, F.col("site").eqNullSafe(F.col("f_site")) & (F.col("id") == F.col("f_src")), "left_anti")
+        todo = durable(rest.withColumn("_level", F.col("_level") - 1), "knn-open")
+    if not done:
+        return points.select("site", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight")).limit(0)
+    return functools.reduce(DataFrame.union, done)
 
 
 # Kernels of the relative distance z in [0, 1].
