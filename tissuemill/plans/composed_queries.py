@@ -355,3 +355,12 @@ def scaled_boxes(spark, d):
     v = grown_volume(spark, d).where("label <> 0")
     boxes = v.groupBy("roi", "label").agg(*[x for a in "zyx" for x in (F.min(a).alias(f"{a}_lower"), (F.max(a) + 1).alias(f"{a}_upper"))])
     return voxels.scale_boxes(boxes, (0.5, 0.5, 0.5)).select("roi", "label", "z_lower", "z_upper")
+
+
+@register("v02_principal_invariants", f"""WITH m AS (SELECT roi, label, var_pop(z) AS a, var_pop(y) AS b, var_pop(x) AS c, covar_pop(z, y) AS d, covar_pop(z, x) AS e, covar_pop(y, x) AS f FROM {GROWN} WHERE label <> 0 GROUP BY ALL)
+SELECT roi, label, round(a + b + c, 5) AS trace, round(a * (b * c - f * f) - d * (d * c - f * e) + e * (d * f - b * e), 3) AS determinant, round(a * a + b * b + c * c + 2 * (d * d + e * e + f * f), 4) AS squares FROM m""")
+def principal_invariants(spark, d):
+    """Principal moments by what does not depend on the axes: sum, product and sum of squares."""
+    out = voxels.with_principal(voxels.label_features(grown_volume(spark, d)))
+    m = [F.col(f"`PrincipalMoments-{i}`") for i in range(3)]
+    return out.select("roi", "label", F.round(m[0] + m[1] + m[2], 5).alias("trace"), F.round(m[0] * m[1] * m[2], 3).alias("determinant"), F.round(m[0] * m[0] + m[1] * m[1] + m[2] * m[2], 4).alias("squares"))
