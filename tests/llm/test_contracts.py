@@ -10,7 +10,7 @@ import re
 import numpy as np
 from pyspark.sql import functions as F
 
-from tissuemill.llm import metric_join, mixing, pii, quality_rules, queries, sentence_spans, url_filter, warc
+from tissuemill.llm import metric_join, mixing, near_copies, pii, quality_rules, queries, sentence_spans, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -278,3 +278,28 @@ def test_warc_equals_brute_force(spark, tmp_path):
         to = last[h.decode()]
         assert (r["payload_bytes"], r["payload_digest"]) == (len(h), warc.sha1_base32(h))
         assert (r["record_type"], r["refers_to"]) == (("response", None) if to == r["page_id"] else ("revisit", to))
+
+
+def test_near_copies_by_all_pairs(spark):
+    """Groups of near copies that meet in large buckets, among them chains whose ends are unlike, against all pairs."""
+    rng = random.Random(12)
+    texts = []
+    for g in range(4):
+        words = [f"g{g}w{k}" for k in range(120)]
+        for _ in range(45):
+            changed = list(words)
+            for k in rng.sample(range(120), rng.choice((0, 1, 2, 4, 6))):
+                changed[k] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(changed))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for _ in texts:
+        before = list(root)
+        for i in range(len(texts)):
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                    root[i] = root[j] = min(root[i], root[j])
+        if root == before:
+            break
+    got = {r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=16).collect()}
+    assert got == {i for i, r in enumerate(root) if i == r}
