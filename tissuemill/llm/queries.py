@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tissuemill.llm import knn_quality, metric_join, mixing, packing, pii, quality_rules, sentence_spans, simhash, url_filter, warc
-from tissuemill.llm._shared import durable
+from tissuemill.llm import knn_quality, main_text, metric_join, mixing, packing, pii, quality_rules, sentence_spans, simhash, spelling, url_filter, warc, word_runs
+from tissuemill.llm._shared import durable, let, words
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -78,6 +78,50 @@ def op10_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(F.col("id").alias("doc_id"), (knn_quality.remainder(F.col("id")) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    # the url goes through beside the text, as a second row of a page may have another
+    found = main_text.main_texts(pages, keep=["url"])
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def _with_planted_run(doc_id: Column, text: Column) -> Column:
+    """The text with its words from some place on repeating, in one of ten documents."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def of(w: Column) -> Column:
+        n = F.size(w)
+        a = (g % n).cast("int")
+        p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+        return F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(w, F.when(i < a, i).otherwise(a + (i - a) % p))))
+
+    chosen = (F.coalesce(h % 10, F.lit(1)) == 0) & (F.size(words(text)) > 0)
+    return F.when(chosen, let(words(text), of)).otherwise(text)
+
+
+def op12_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", _with_planted_run(F.col("doc_id"), F.col("text")).alias("text"))
+    found = word_runs.periodic_runs(docs)
+    # runs come by start, then period, so the first of equal exponent stays
+    none = F.lit(None).cast("struct<start: bigint, length: bigint, period: bigint>")
+    best = F.aggregate("runs", none, lambda acc, r: F.when(acc.isNull() | (r["length"] * acc["period"] > acc["length"] * r["period"]), r).otherwise(acc))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))))
+    rows = found.select("id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("r"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    exponent = F.floor(1000 * F.col("r.length") / F.col("r.period"))
+    return rows.select(F.col("id").alias("doc_id"), "n_words", "n_runs", "r.start", "r.length", "r.period", exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = _table(spark, sf_dir, "documents").select("doc_id", F.explode(spelling.letter_runs(F.col("text"))).alias("run"))
+    runs = runs.where(F.char_length("run") >= 6).select("doc_id", spelling.lowered(F.col("run")).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.col("run")))
+    at = (F.col("h") % F.char_length("run")).cast("int")
+    cut = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.char_length("run")))
+    occurrences = runs.withColumn("h", h).select(F.when(F.col("h") % 199 == 0, cut).otherwise(F.col("run")).alias("word"))
+    return spelling.group_variants(spelling.vocabulary(occurrences))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -109,7 +153,7 @@ SELECT id AS doc_id, size, source_size, target, ((whole + drawn::INT) * size)::B
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing, op4_pii, op5_warc, op6_url_filter, op7_sentence_spans, op8_metric_join, op9_packing, op10_knn_quality, pipeline)
+    found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing, op4_pii, op5_warc, op6_url_filter, op7_sentence_spans, op8_metric_join, op9_packing, op10_knn_quality, op11_main_text, op12_word_runs, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in found}
 
 
