@@ -260,7 +260,7 @@ def _siblings(nodes: list[Node], kept: list[Block], best: int) -> set[int]:
     for i in found:
         n = nodes[i]
         if n.tag in _CONTAINERS:
-            prose = n.score >= max(10, nodes[best].score / 5)
+            prose = 5 * n.score >= nodes[best].score
         elif n.tag in _HEADINGS:
             prose = i < best
         else:
