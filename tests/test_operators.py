@@ -238,9 +238,10 @@ def test_queries_by_name(points):
     assert hoods.Hood("radius_distance", 5.0, True).label != hoods.Hood("radius_adjacency", 5.0).label
     assert len(hoods.hoods(["knn_kernel", "knn_distance"], [1, 2], kernels=["gaussian", "uniform"])) == 6
     with pytest.raises(ValueError):
-        hoods.Hood("delaunay", 1)
-    with pytest.raises(ValueError):
-        hoods.neighbourhood(points, hoods.Hood("touch", 1))
+        hoods.Hood("voronoi", 1)
+    for given in ("touch", "delaunay"):
+        with pytest.raises(ValueError):
+            hoods.neighbourhood(points, hoods.Hood(given, 1))
 
 
 def test_nesting_forms(spark):
@@ -295,3 +296,66 @@ def test_nearest_of_clustered_points(spark):
             want = sorted((d[i, j], j) for j in range(len(p)) if j != i)[:n]
             assert [j for _, j in sorted(got[s, i])] == [j for _, j in want]
     assert ("c", 0) not in got
+
+
+def test_border_distance_is_the_nearest_background(spark):
+    """Against all pairs, with gaps in the grid and unlike spacings; no plan joins or fills the grid."""
+    rng = np.random.default_rng(0)
+    rows = [(roi, 2 * z, y, x - 3, int(rng.random() < 0.97)) for roi, n in (("a", 9), ("b", 5)) for z in range(n) for y in range(n + 3) for x in range(n + 1) if rng.random() < 0.6]
+    df = spark.createDataFrame([*rows, ("c", 0, 0, 0, 1)], "roi string, z int, y int, x int, label int")
+    for scale in ((1, 1, 1), (2.0, 0.325, 0.5)):
+        got = {tuple(r)[:4]: r["value"] for r in voxels.border_distance(df, scale, squared=True).collect()}
+        assert len(got) == len(rows) + 1 and got["c", 0, 0, 0] == math.inf
+        for roi in "ab":
+            p = np.array([r[1:] for r in rows if r[0] == roi], float)
+            q, inside = p[:, :3] * np.array(scale), p[:, 3] == 1
+            for at, c, i in zip(p, q, inside):
+                want = ((q[~inside] - c) ** 2).sum(1).min() if i else 0
+                assert abs(got[(roi, *map(int, at[:3]))] - want) < 1e-9
+
+
+def test_lower_envelope():
+    rng = np.random.default_rng(1)
+    f = np.where(rng.random((40, 30)) < 0.5, np.inf, rng.random((40, 30)) * 200)
+    f[3] = np.inf
+    at, to = np.cumsum(rng.random(30) + 0.1), np.sort(rng.random(25) * 20)
+    want = (f[:, :, None] + (to[None, None] - at[None, :, None]) ** 2).min(1)
+    assert np.allclose(voxels._lower_envelope(f, at, to), want)
+
+
+def test_pyramid_schedule():
+    assert voxels.pyramid_schedule((1, 0.325, 0.325), 3) == [(1, 2, 2), (1, 4, 4), (2, 8, 8)]
+    assert voxels.pyramid_schedule((1.8, 1, 1), 2) == [(1, 2, 2), (2, 4, 4)]
+    assert voxels.pyramid_schedule((1, 1, 1), 2) == [(2, 2, 2), (4, 4, 4)]
+
+
+def test_boxes_meet_voxels_of_their_cubes_alone(spark):
+    v = spark.range(4000).selectExpr("'r' as roi", "cast(id % 20 as int) as z", "cast(id div 20 % 20 as int) as y", "cast(id div 400 as int) as x", "1 as label")
+    box = spark.createDataFrame([("r", 1, 3, 7, 0, 20, 2, 5), ("r", 2, 16, 18, 16, 17, 0, 1), ("r", 3, 5, 5, 0, 9, 0, 9)], "roi string, label int, z_lower int, z_upper int, y_lower int, y_upper int, x_lower int, x_upper int")
+    out = voxels.crop(v, box, cell=8)
+    assert {(r["object"], r["count"]) for r in out.groupBy("object").count().collect()} == {(1, 4 * 20 * 3), (2, 2)}
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner" in plan and all(f"_{a}#" in plan.split("Join Inner")[1].split("\n")[0] for a in "zyx")
+
+
+def test_scopes_of_equal_content_are_told_apart(spark):
+    from pathlib import Path
+
+    from tissuemill.functions import durable as d
+
+    with d.scratch(spark):
+        with d.scratch(spark):
+            pass
+        path = d.durable(spark.range(3), "late").inputFiles()[0].removeprefix("file://")
+    assert not Path(path).exists()
+
+
+def test_all_channel_pairs_scan_the_images_once(spark):
+    v = spark.range(60).selectExpr("'r' as roi", "0 as z", "cast(id div 10 as int) as y", "cast(id % 10 as int) as x", "cast(id % 2 + 1 as int) as label")
+    names = [f"c{i}" for i in range(5)]
+    images = v.crossJoin(spark.createDataFrame([(n, i) for i, n in enumerate(names)], "c string, i int")).selectExpr("roi", "z", "y", "x", "c", "cast((x + 1) * (i + 1) + pow(y, i % 3) as double) as value")
+    out = hoods.batch_correlations(v, images.where("c <> 'c4' or x > 3"), keep=["PearsonR", "SpearmanR"])
+    assert out.count() == 20 and out.where("PearsonR is null").count() == 0
+    one = voxels.colocalization(v, images.where("c = 'c0'").drop("c", "i"), images.where("c = 'c2'").drop("c", "i")).select("label", "PearsonR", "KendallTau", "MutualInfo").orderBy("label").collect()
+    two = out.where("c0 = 'c0' and c1 = 'c2'").orderBy("label").collect()
+    assert all(abs(a["PearsonR"] - b["PearsonR"]) < 1e-12 for a, b in zip(one, two, strict=True)) and all(r["KendallTau"] is not None for r in one)

@@ -4,13 +4,22 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dirs: dict[str, str] = {}
-_scopes: list[list[str]] = []
+
+class _Scope(threading.local):
+    """The open scopes of a thread, each a list of paths, the innermost last."""
+
+    def __init__(self) -> None:
+        self.open: list[list[str]] = []
+
+
+_scopes = _Scope()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,8 +45,8 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    if _scopes.open:
+        _scopes.open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,20 +58,20 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFram
     (until the end of the scope around this one, if there is one).
     """
     scope: list[str] = []
+    depth = len(_scopes.open)
 
     def keep(df: DataFrame, label: str) -> DataFrame:
-        inside = _scopes[_scopes.index(scope) :]
-        del _scopes[_scopes.index(scope) :]
+        inside, _scopes.open = _scopes.open[depth:], _scopes.open[:depth]
         try:
             return durable(df, label)
         finally:
-            _scopes.extend(inside)
+            _scopes.open = [*_scopes.open, *inside]
 
-    _scopes.append(scope)
+    _scopes.open.append(scope)
     try:
         yield keep
     finally:
-        _scopes.remove(scope)
+        del _scopes.open[depth:]
         for path in scope:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

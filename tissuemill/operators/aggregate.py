@@ -193,8 +193,13 @@ def box_lists(df: DataFrame, group: Sequence[str], key: str, axes: Sequence[str]
 
 
 def quantile_extents(df: DataFrame, group: Sequence[str], q: float, axes: Sequence[str] = ("z", "y", "x")) -> DataFrame:
-    """Quantile of the box extent per axis and group, linear between ranks and rounded up; exact, a group's extents are few values."""
-    return df.groupBy(*group).agg(*[F.ceil(F.percentile(F.col(f"{a}_upper") - F.col(f"{a}_lower"), F.lit(q))).cast("int").alias(a) for a in axes])
+    """Quantile of the box extent per axis and group: the nearest rank's (:func:`quantile_nearest_rows`), rounded up; no group is held whole."""
+    sizes = df.withColumns({f"_{a}": F.col(f"{a}_upper") - F.col(f"{a}_lower") for a in axes})
+    parts = [quantile_nearest_rows(sizes.select(*group, f"_{a}"), group, f"_{a}", [q]) for a in axes]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.join(p, list(group), "full")
+    return out.select(*group, *[F.ceil(c(f"_{a}__Q({q})")).cast("int").alias(a) for a in axes])
 
 
 def extents(df: DataFrame, group: Sequence[str], axes: Sequence[str] = ("z", "y", "x"), padding: int = 0) -> DataFrame:

@@ -93,18 +93,22 @@ def weighted_mean(value: Column, weight: Column) -> Column:
     return F.avg(value * weight) / F.sum(weight)
 
 
-def density(points: DataFrame, within_r: DataFrame, nearest: DataFrame, radii: Sequence[float], ks: Sequence[int], touching: DataFrame | None = None) -> DataFrame:
-    """Counts within radii, distance to the closest, mean and largest distance of k nearest, and counts of touching objects if edges are given: one edge table at the largest radius and one at the largest k serve all."""
-    per_r = within_r.groupBy("site", F.col("src").alias("id")).agg(*[F.count_if(F.col("weight") <= r).alias(f"RAD:{r}_Count") for r in radii])
-    ranked = nearest.withColumn("k", F.row_number().over(Window.partitionBy("site", "src").orderBy("weight", "dst")))
-    per_k = ranked.groupBy("site", F.col("src").alias("id")).agg(
-        F.min("weight").alias("KNNd:1_Max"), *[x for k in ks for x in (F.avg(F.when(F.col("k") <= k, F.col("weight"))).alias(f"KNNd:{k}_Mean"), F.max(F.when(F.col("k") <= k, F.col("weight"))).alias(f"KNNd:{k}_Max_"))])
-    out = points.select("site", "id").join(per_r, ["site", "id"], "left").join(per_k, ["site", "id"], "left")
-    out = out.withColumns({f"RAD:{r}_Count": F.coalesce(c(f"RAD:{r}_Count"), F.lit(0)) for r in radii})
-    if touching is None:
-        return out
-    per_t = touching.groupBy("site", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("TOUCH:1_Count"))
-    return out.join(per_t, ["site", "id"], "left").withColumn("TOUCH:1_Count", F.coalesce(c("TOUCH:1_Count"), F.lit(0)))
+def density(points: DataFrame, within_r: DataFrame | None, nearest: DataFrame | None, radii: Sequence[float], ks: Sequence[int], touching: DataFrame | None = None, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Counts within radii, distance to the closest, mean and largest distance of k nearest, and counts of neighbours in given edge tables by their names (``DEL:1``, ``TOUCH:1``): one edge table at the largest radius and one at the largest k serve all."""
+    out, counted = points.select("site", "id"), []
+    if within_r is not None:
+        per_r = within_r.groupBy("site", F.col("src").alias("id")).agg(*[F.count_if(F.col("weight") <= r).alias(f"RAD:{r}_Count") for r in radii])
+        out = out.join(per_r, ["site", "id"], "left")
+        counted += [f"RAD:{r}_Count" for r in radii]
+    if nearest is not None:
+        ranked = nearest.withColumn("k", F.row_number().over(Window.partitionBy("site", "src").orderBy("weight", "dst")))
+        first = {f"KNNd:{k}_{n}": f(F.when(F.col("k") <= k, F.col("weight"))) for k in dict.fromkeys((1, *ks)) for n, f in (("Mean", F.avg), ("Max", F.max)) if k in ks or n == "Max"}
+        out = out.join(ranked.groupBy("site", F.col("src").alias("id")).agg(*[e.alias(n) for n, e in first.items()]), ["site", "id"], "left")
+    for name, edges in {**({"TOUCH:1": touching} if touching is not None else {}), **(given or {})}.items():
+        per = edges.groupBy("site", F.col("src").alias("id")).agg(F.count(F.lit(1)).alias(f"{name}_Count"))
+        out = out.join(per, ["site", "id"], "left")
+        counted.append(f"{name}_Count")
+    return out.withColumns({n: F.coalesce(c(n), F.lit(0)) for n in counted}) if counted else out
 
 
 def circular_difference(a: Column, b: Column) -> Column:

@@ -290,7 +290,7 @@ def box_lists(spark, d):
     return listed.select(F.col("l_suppkey").alias("roi"), F.array_join(F.transform("boxes", lambda b: F.concat(b["l_orderkey"], F.lit(":"), b["x"]["lower"], F.lit("-"), b["x"]["upper"])), ",").alias("boxes"))
 
 
-@register("a23_quantile_extents", "SELECT l_suppkey, ceil(quantile_cont(w, 0.9))::INT AS x FROM (SELECT l_suppkey, max(l_partkey) - min(l_partkey) AS w FROM lineitem GROUP BY l_suppkey, l_orderkey) GROUP BY 1")
+@register("a23_quantile_extents", "SELECT l_suppkey, ceil(list_sort(list(w))[round((count(*) - 1) * 0.9)::INT + 1])::INT AS x FROM (SELECT l_suppkey, max(l_partkey) - min(l_partkey) AS w FROM lineitem GROUP BY l_suppkey, l_orderkey) GROUP BY 1")
 def quantile_extents(spark, d):
     boxes = table(spark, d, "lineitem").groupBy("l_suppkey", "l_orderkey").agg(F.min("l_partkey").alias("x_lower"), F.max("l_partkey").alias("x_upper"))
     return agg.quantile_extents(boxes, ["l_suppkey"], 0.9, ("x",))

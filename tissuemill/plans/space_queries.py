@@ -188,11 +188,11 @@ def asynchrony(spark, d):
     return out.select("site", "id", *[F.round(f"`RAD:{r}.0_CircR__f`", 6).alias(f"r{r}") for r in (1, 2, 3)])
 
 
-@register("v01_label_features", f"""SELECT roi, label, count(*) AS n, round(avg(z), 6) AS cz, round(avg(x), 6) AS cx, min(y) AS y0, max(y) AS y1, round(covar_pop(z, x), 6) AS mzx, round(pow(3 * count(*) / (4 * pi()), 1.0 / 3), 6) AS radius FROM {VOX} WHERE label <> 0 GROUP BY ALL""")
+@register("v01_label_features", f"""SELECT roi, label, count(*) AS n, round(avg(z), 6) AS cz, round(avg(x), 6) AS cx, min(y) AS y0, max(y) AS y1, (count(*) * sum(z * x) - sum(z) * sum(x))::DOUBLE / (count(*) * count(*))::DOUBLE AS mzx, round(pow(3 * count(*) / (4 * pi()), 1.0 / 3), 6) AS radius FROM {VOX} WHERE label <> 0 GROUP BY ALL""")
 def label_features(spark, d, volume=volume):
     out = voxels.label_features(volume(spark, d))
     return out.select("roi", "label", F.col("NumberOfPixels").alias("n"), F.round("`Centroid-z`", 6).alias("cz"), F.round("`Centroid-x`", 6).alias("cx"), F.col("`BoundingBox-y-lower`").alias("y0"), F.col("`BoundingBox-y-upper`").alias("y1"),
-                      F.round("m_zx", 6).alias("mzx"), F.round("EquivalentSphericalRadius", 6).alias("radius"))
+                      F.col("m_zx").alias("mzx"), F.round("EquivalentSphericalRadius", 6).alias("radius"))
 
 
 @register("v01_v02_principal_axes")
