@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuemill.llm import main_text, queries, spelling, word_runs
+from tissuemill.llm import main_text, queries, simhash, spelling, word_runs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
@@ -213,3 +213,52 @@ def test_op11_rows(spark, tmp_path):
     assert sorted(map(tuple, queries.op11_main_text(spark, d).collect()), key=str) == sorted([(1, "u", "a", 1), (1, "v", "a", 1), (None, None, "", 0), (2, "w", "b", 1)], key=str)
     e = tables(spark, tmp_path / "none", pages=([], PAGES))
     assert queries.op11_main_text(spark, e).select(F.count("*")).first()[0] == 0
+
+
+# fingerprints that many share
+
+
+def plain_components(values, most):
+    group = {v: v for v in values}
+
+    def top(v):
+        while group[v] != v:
+            v = group[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[i + 1 :]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= most:
+                group[top(a)] = top(b)
+    return {frozenset(v for v in values if top(v) == r) for r in values if group[r] == r}
+
+
+def test_crowded_fingerprints(spark, monkeypatch):
+    from tissuemill.llm._shared import connected_components
+
+    monkeypatch.setattr(simhash, "_CROWD", 8)
+    rng = random.Random(9)
+    flip = lambda v, n: v ^ sum(1 << b for b in rng.sample(range(62), n))
+    # dense groups, chains and values that share a third of their bits with a group but are far from it
+    values = {0}
+    for centre in [rng.getrandbits(62) for _ in range(3)]:
+        values |= {flip(centre, rng.randint(0, 5)) for _ in range(60)} | {centre & ((1 << 22) - 1) | rng.getrandbits(40) << 22 for _ in range(60)}
+    values |= {flip(v, 3) for v in rng.sample(sorted(values), 60)}
+    values = sorted(values)
+    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"), block=16)
+    assert all(bin(r["a"] ^ r["b"]).count("1") <= 4 for r in edges.collect())
+    groups = {}
+    for r in connected_components(edges).collect():
+        groups.setdefault(r["component"], {r["component"]}).add(r["node"])
+    assert {frozenset(g) for g in groups.values()} == {g for g in plain_components(values, 4) if len(g) > 1}
+
+
+def test_dense_group_gives_few_links(spark):
+    import itertools
+
+    values = [sum(1 << b for b in bits) for n in (0, 1, 2) for bits in itertools.combinations(range(0, 63), n)] + [sum(1 << b for b in bits) for bits in itertools.islice(itertools.combinations(range(63), 3), 3000)]
+    edges = simhash.links(spark.createDataFrame([(v,) for v in values], "fp long"))
+    n = edges.count()
+    nodes = edges.selectExpr("a as v").union(edges.selectExpr("b as v")).distinct().count()
+    # all pairs within four bits would be about a million, and each value has 64 keys
+    assert nodes == len(values) and n < 64 * len(values)

@@ -93,9 +93,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen, total = None, max(1, 2 * now.count())
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        low = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "edges-low")
         large = spread_join(both, low, "u", F.col("v"), total).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        root = large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+        large = durable(large, "edges-large")
+        root = durable(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "edges-root")
         small = spread_join(large, root, "hi", F.col("lo"), total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = durable(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()

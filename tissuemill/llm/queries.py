@@ -127,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _ROUND = """
-o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE NOT drawn AND size BETWEEN 1 AND left_ AND left_ > 0.01 * target),
+o{k} AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, id) AS run FROM r{j} WHERE NOT drawn AND size BETWEEN 1 AND left_ AND left_ > 0.001 * target),
 u{k} AS (SELECT source, max(q) FILTER (WHERE run <= left_) AS cut, coalesce(max(run) FILTER (WHERE run <= left_), 0) AS used FROM o{k} GROUP BY source),
 r{k} AS (SELECT r.* REPLACE (
     r.drawn OR coalesce(r.size BETWEEN 1 AND r.left_ AND r.q <= u.cut, false) AS drawn, r.left_ - coalesce(u.used, 0) AS left_)
@@ -147,8 +147,8 @@ p AS (SELECT source, source_size, target, CASE WHEN source_size > 0 THEN target
 q AS (SELECT *, floor(ratio)::BIGINT AS whole, (ratio - floor(ratio)) * source_size AS left_ FROM p),
 u AS (SELECT d.*, q.source_size, q.target, q.whole, q.left_, false AS drawn,
     (('0x' || substr(md5('17:' || coalesce(id::VARCHAR, '') || ':' || h), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-r0 AS (SELECT *, (u / (1.0::DOUBLE - u)) / sqrt(size::DOUBLE + 1) AS q FROM u),""" + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, 16)) + """
-z AS (SELECT * FROM r15)
+r0 AS (SELECT *, (u / (1.0::DOUBLE - u)) / sqrt(size::DOUBLE + 1) AS q FROM u),""" + "".join(_ROUND.format(k=k, j=k - 1) for k in range(1, 31)) + """
+z AS (SELECT * FROM r30)
 SELECT id AS doc_id, size, source_size, target, ((whole + drawn::INT) * size)::BIGINT AS taken FROM z"""
 
 
