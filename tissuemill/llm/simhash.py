@@ -16,7 +16,7 @@ from tissuemill.llm._shared import connected_components, durable, fresh, spread_
 _GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Keys of more values than this, and than four times the usual, are compared through a leader.
-_CROWD = 256
+_CROWD = 32
 
 
 def fingerprint(text: str | None, shingle: int = 4, seed: int = 42) -> int:
