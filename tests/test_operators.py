@@ -202,7 +202,7 @@ def test_no_task_holds_a_group(spark):
     }
     for name, plan in plans.items():
         lines = plan._jdf.queryExecution().executedPlan().toString().split("\n")
-        over = [line for line in lines if "Window [" in line and not any(x in line for x in ("_range", "_deal", "_before_"))]
+        over = [line for line in lines if "Window [" in line and not any(x in line for x in ("_range", "_deal", "_before_", "_bracket"))]
         # a sample is taken per part of a stratum first, and only then among what is left of them
         assert len(over) == (1 if name == "sample" else 0), (name, over)
     assert plans["z"].count() == n and plans["sample"].count() == 100 and plans["split"].where("is_train").count() == 28_000
@@ -359,3 +359,39 @@ def test_all_channel_pairs_scan_the_images_once(spark):
     one = voxels.colocalization(v, images.where("c = 'c0'").drop("c", "i"), images.where("c = 'c2'").drop("c", "i")).select("label", "PearsonR", "KendallTau", "MutualInfo").orderBy("label").collect()
     two = out.where("c0 = 'c0' and c1 = 'c2'").orderBy("label").collect()
     assert all(abs(a["PearsonR"] - b["PearsonR"]) < 1e-12 for a, b in zip(one, two, strict=True)) and all(r["KendallTau"] is not None for r in one)
+
+
+def test_quantiles_of_many_columns_and_groups(spark, monkeypatch):
+    """Against numpy, with brackets (a small accuracy), ties, NaN, null groups and columns without values."""
+    monkeypatch.setattr(ranked, "_ACCURACY", 200)
+    rng = np.random.default_rng(3)
+    rows = [(g, float(a), int(b), None) for g, n in ((None, 700), (1, 5000), (2, 3)) for a, b in zip(rng.normal(size=n).round(2), rng.integers(0, 40, n))] + [(1, float("nan"), 5, None), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "g int, a double, b int, z double")
+    qs = [0.0, 0.1, 0.5, 0.93, 1.0]
+    for linear in (True, False):
+        got = {(r["g"], r["column"]): r for r in ranked.quantiles(df, ["g"], ["a", "b", "z"], qs, linear).collect()}
+        assert set(got) == {(g, x) for g in (None, 1, 2) for x in "ab"}
+        for (g, x), r in got.items():
+            v = np.sort([row["ab".index(x) + 1] for row in rows if row[0] == g and row["ab".index(x) + 1] is not None])
+            at = [(len(v) - 1) * q for q in qs]
+            want = [v[int(p)] + (v[math.ceil(p)] - v[int(p)]) * (p - int(p)) if p > int(p) else v[int(p)] for p in at] if linear else [v[math.floor(p + 0.5)] for p in at]
+            assert r["n"] == len(v) and np.allclose(r["values"], want, equal_nan=True)
+    whole = ranked.quantiles(df, [], ["b"], [0.5]).collect()
+    assert len(whole) == 1 and whole[0]["values"][0] == float(np.median([r[2] for r in rows if r[2] is not None]))
+
+
+def test_quantiles_read_all_columns_in_two_passes(spark, tmp_path):
+    spark.range(1000).select(*[((F.col("id") * (i + 3)) % 101).cast("double").alias(f"c{i}") for i in range(50)]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    bounds = clean.quantile_bounds(df, df.columns, 0.1, 0.9)
+    assert [b.column for b in bounds] == df.columns and all(b.lower < b.upper for b in bounds)
+    plan = ranked.quantiles(df, [], df.columns, [0.1, 0.9])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [c0#") == 1 and plan.count("Relation [_e_0#") == 1
+
+
+def test_scalers_by_name(spark):
+    df = spark.createDataFrame([(g, float(v), 7.0) for g in "ab" for v in (1, 2, 4, 8, 100)], "g string, v double, k double")
+    out = clean.scaled(df, ["v", "k"], ["power", "standard"], ["g"]).collect()
+    assert abs(sum(r["v"] for r in out)) < 1e-6 and all(r["k"] == 0 for r in out) and len(out) == 10
+    with pytest.raises(ValueError):
+        clean.scaled(df, ["v"], ["none"])

@@ -27,10 +27,12 @@ def quantile_nearest(column: Column, q: float) -> Column:
 
 
 def quantile_nearest_rows(df: DataFrame, group: Sequence[str], column: str, qs: Sequence[float]) -> DataFrame:
-    """The same quantiles per group without collecting or sorting one whole (:func:`ranked.values_at`)."""
-    from tissuemill.operators.ranked import values_at
+    """The same quantiles per group without collecting or sorting one whole (:func:`ranked.quantiles`)."""
+    from tissuemill.operators.ranked import quantiles
 
-    return values_at(df, group, column, {f"{column}__Q({q})": F.round((F.col("all") - 1) * F.lit(q)) for q in qs})
+    kind = df.schema[column].dataType
+    found = quantiles(df, group, [column], qs, linear=False)
+    return found.select(*[c(k) for k in group], *[F.get("values", F.lit(k)).cast(kind).alias(f"{column}__Q({q})") for k, q in enumerate(qs)])
 
 
 Count: Aggregate = lambda names: [F.count(F.lit(1)).alias("Count")]
@@ -56,6 +58,15 @@ def many_to_one(children: DataFrame, hierarchy: DataFrame, features: Sequence[st
     return joined.groupBy("o_parent", "label_parent", "o_child").agg(*[x for a in aggregates for x in a(features)])
 
 
+def many_to_one_quantiles(children: DataFrame, hierarchy: DataFrame, features: Sequence[str], qs: dict[str, float], linear: bool = True) -> DataFrame:
+    """Quantiles of all features per parent and child type in one pair of passes (:func:`ranked.quantiles`), whatever the number of children: ``{feature}__{name}`` for each name of ``qs``."""
+    from tissuemill.operators.ranked import quantiles_wide
+
+    h = hierarchy.where("label_parent <> 0")
+    joined = h.join(children, (h["o_child"] == children["o"]) & (h["label_child"] == children["label"])).select("o_parent", "label_parent", "o_child", *[c(f) for f in features])
+    return quantiles_wide(joined, ["o_parent", "label_parent", "o_child"], features, {f"__{n}": q for n, q in qs.items()}, linear)
+
+
 def many_to_one_wide(children: DataFrame, hierarchy: DataFrame, features: Sequence[str], aggregates: Sequence[Aggregate], types: Sequence[str] | None = None) -> DataFrame:
     """:func:`many_to_one` with one column per child type and aggregate, joined by ``__``."""
     return to_wide(many_to_one(children, hierarchy, features, aggregates), ["o_parent", "label_parent"], ["o_child"], sep="__", values=types)
@@ -85,6 +96,26 @@ def cardinality(hierarchy: DataFrame) -> DataFrame:
     return per_parent.join(per_child, ["o_child", "o_parent"]).select("o_child", "o_parent", F.concat_ws(":", mark("children"), mark("parents")).alias("cardinality"))
 
 
+def type_lists(objects: DataFrame, hierarchy: DataFrame) -> DataFrame:
+    """``(o, level, parents, cardinality, place)`` per type of ``objects(o, level, parents array)``: its parent types with the cardinality of each pair (:func:`cardinality`), in the given order.
+
+    Null parents, and cardinalities of pairs without rows, are left out. ``place`` numbers types from 0
+    by level, the number of parents (most first) and name. Types are few: one row each.
+    """
+    given = objects.select("o", "level", F.posexplode_outer("parents").alias("_at", "parent"))
+    pairs = cardinality(hierarchy).withColumnsRenamed({"o_child": "o", "o_parent": "parent"})
+    rows = given.join(F.broadcast(pairs), ["o", "parent"], "left")
+    entry = F.array_sort(F.collect_list(F.when(F.col("parent").isNotNull(), F.struct("_at", "parent", "cardinality"))))
+    lists = rows.groupBy("o").agg(F.first("level").alias("level"), entry.alias("e"))
+    lists = lists.select("o", "level", F.transform("e", lambda x: x["parent"]).alias("parents"), F.filter(F.transform("e", lambda x: x["cardinality"]), lambda x: x.isNotNull()).alias("cardinality"))
+    return lists.withColumn("place", F.row_number().over(Window.orderBy("level", F.desc(F.size("parents")), "o")) - 1)
+
+
+def hierarchy_features(objects: DataFrame, parent: Sequence[str], features: Sequence[str], types: Sequence[str], function: Callable[[Column], Column] = F.avg, name: str = "Mean") -> DataFrame:
+    """Features of each type's objects per parent as ``{type}_{name}.{feature}``, in one aggregate; types a parent lacks are null."""
+    return objects.groupBy(*[c(k) for k in parent]).agg(*[function(F.when(F.col("object") == t, c(f))).alias(f"{t}_{name}.{f}") for t in types for f in features])
+
+
 def hierarchy_counts(objects: DataFrame, parent: Sequence[str], types: Sequence[str]) -> DataFrame:
     """Objects of each type per parent as ``{type}_Count``; types a parent lacks are null."""
     return objects.groupBy(*parent).agg(*[F.nullif(F.count(F.when(F.col("object") == t, 1)), F.lit(0)).alias(f"{t}_Count") for t in types])
@@ -154,20 +185,18 @@ def circular(column: Column) -> dict[str, Column]:
 
 
 def medians(df: DataFrame, group: Sequence[str], column: str, name: str = "median") -> DataFrame:
-    """Medians per group from the two middle values (:func:`ranked.values_at`), for large groups."""
-    from tissuemill.operators.ranked import values_at
+    """Medians per group (:func:`ranked.quantiles`), for large groups."""
+    from tissuemill.operators.ranked import quantiles
 
-    out = values_at(df, group, column, {"_low": F.floor((F.col("all") - 1) / 2), "_high": F.ceil((F.col("all") - 1) / 2)})
-    return out.select(*[c(k) for k in group], ((F.col("_low") + F.col("_high")) / 2).alias(name))
+    return quantiles(df, group, [column], [0.5]).select(*[c(k) for k in group], F.get("values", F.lit(0)).alias(name))
 
 
 def error_bars(df: DataFrame, group: Sequence[str], column: str, low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Mean, median and nearest quantiles of a column per group, null groups too."""
-    from tissuemill.operators.ranked import values_at
+    from tissuemill.operators.ranked import quantiles
 
-    at = {"low": F.round((F.col("all") - 1) * F.lit(low)), "high": F.round((F.col("all") - 1) * F.lit(high)), "_a": F.floor((F.col("all") - 1) / 2), "_b": F.ceil((F.col("all") - 1) / 2)}
-    q = values_at(df, group, column, at)
-    q = q.select(*[c(k).alias(f"_key_{i}") for i, k in enumerate(group)], ((F.col("_a") + F.col("_b")) / 2).alias("median"), "low", "high")
+    q = quantiles(df, group, [column], [0.5, low, high], [True, False, False])
+    q = q.select(*[c(k).alias(f"_key_{i}") for i, k in enumerate(group)], *[F.get("values", F.lit(i)).alias(n) for i, n in enumerate(("median", "low", "high"))])
     on = F.lit(True)
     for i, k in enumerate(group):
         on = on & c(k).eqNullSafe(F.col(f"_key_{i}"))

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tissuemill.functions.durable import durable
 from tissuemill.operators.reshape import c
 
 TRANSFORMS: dict[str, Callable[[Column], Column]] = {"identity": lambda x: x, "log": F.ln, "log2": F.log2, "log10": F.log10, "log1p": F.log1p, "sqrt": F.sqrt, "cbrt": F.cbrt}
@@ -81,16 +82,12 @@ class Bounds:
 
 
 def quantile_bounds(df: DataFrame, columns: Sequence[str], low: float | None = 0.01, high: float | None = 0.99) -> list[Bounds]:
-    """Nearest quantiles of each column as bounds, by counts of its different values: nothing is collected but the bounds."""
-    from tissuemill.operators.aggregate import quantile_nearest_rows
+    """Nearest quantiles of all columns as bounds, from one pair of passes (:func:`ranked.quantiles`); nothing is collected but the bounds."""
+    from tissuemill.operators.ranked import quantiles
 
-    out = []
-    for x in columns:
-        qs = [q for q in (low, high) if q is not None]
-        row = quantile_nearest_rows(df.select(F.lit(1).alias("_g"), c(x).alias("v")), ["_g"], "v", qs).first()
-        get = lambda q: None if q is None or row is None else row[f"v__Q({q})"]
-        out.append(Bounds(x, get(low), get(high)))
-    return out
+    qs = [q for q in (low, high) if q is not None]
+    found = {r["column"]: dict(zip(qs, r["values"])) for r in quantiles(df, [], columns, qs, linear=False).collect()} if qs else {}
+    return [Bounds(x, found.get(x, {}).get(low), found.get(x, {}).get(high)) for x in columns]
 
 
 def iqr_bounds(df: DataFrame, columns: Sequence[str], low: float | None = 0.25, high: float | None = 0.75, m: float = 4.0) -> list[Bounds]:
@@ -149,38 +146,77 @@ def standard_scaled(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (
     return joined.withColumns({n: (c(n) - c(f"_m_{n}")) / unit(n) for n in columns}).select(*[c(x) for x in df.columns])
 
 
+def _with_parameters(df: DataFrame, parameters: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``df`` with the parameters of its groups, null groups too; a single row without ``by``."""
+    if not by:
+        return df.crossJoin(F.broadcast(parameters))
+    named = parameters.withColumnsRenamed({k: f"_by_{i}" for i, k in enumerate(by)})
+    on = F.lit(True)
+    for i, k in enumerate(by):
+        on = on & c(k).eqNullSafe(F.col(f"_by_{i}"))
+    return df.join(named, on).drop(*[f"_by_{i}" for i in range(len(by))])
+
+
 def robust_scaled(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Columns less their median over their quartile range (1 if zero)."""
-    stats = df.groupBy(*by).agg(*[F.percentile(c(n), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{n}") for n in columns])
-    joined = df.join(stats, list(by)) if by else df.crossJoin(F.broadcast(stats))
-    wide = lambda n: c(f"_q_{n}")[2] - c(f"_q_{n}")[0]
-    return joined.withColumns({n: (c(n) - c(f"_q_{n}")[1]) / F.when(wide(n) == 0, F.lit(1.0)).otherwise(wide(n)) for n in columns}).select(*[c(x) for x in df.columns])
+    """Columns less their median over their quartile range (1 if zero); all columns' quantiles are found together."""
+    from tissuemill.operators.ranked import quantiles_wide
 
+    stats = quantiles_wide(df, list(by), columns, {"__low": 0.25, "__mid": 0.5, "__high": 0.75})
+    joined = _with_parameters(df, stats, by)
+    wide = lambda n: c(f"{n}__high") - c(f"{n}__low")
+    return joined.withColumns({n: (c(n) - c(f"{n}__mid")) / F.when(wide(n) == 0, F.lit(1.0)).otherwise(wide(n)) for n in columns}).select(*[c(x) for x in df.columns])
 
-def yeo_johnson(x: Column, p: float) -> Column:
-    up = F.log1p(x) if abs(p) < 1e-9 else (F.pow(x + 1, F.lit(p)) - 1) / p
-    down = -F.log1p(-x) if abs(p - 2) < 1e-9 else -(F.pow(1 - x, F.lit(2 - p)) - 1) / (2 - p)
-    return F.when(x >= 0, up).otherwise(down)
 
+def yeo_johnson(x: Column, p: Column | float) -> Column:
+    p = p if isinstance(p, Column) else F.lit(float(p))
+    up = F.when(F.abs(p) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, p) - 1) / p)
+    down = F.when(F.abs(p - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - p) - 1) / (2 - p))
+    return F.when(x >= 0, up).otherwise(down)
 
-def fit_power(df: DataFrame, columns: Sequence[str], steps: int = 24, low: float = -3.0, high: float = 5.0) -> dict[str, float]:
-    """Yeo-Johnson exponents by maximum likelihood: golden-section steps, each one aggregate over all columns."""
-    g = (5**0.5 - 1) / 2
-    span = {x: (low, high) for x in columns}
-    for _ in range(steps):
-        probes = {x: (b - g * (b - a), a + g * (b - a)) for x, (a, b) in span.items()}
-        score = lambda x, p: -0.5 * F.count(c(x)) * F.ln(F.var_pop(yeo_johnson(c(x), p))) + (p - 1) * F.sum(F.signum(c(x)) * F.log1p(F.abs(c(x))))
-        row = df.agg(*[score(x, p).alias(f"{x}{i}") for x, ps in probes.items() for i, p in enumerate(ps)]).first()
-        for x, (p, q) in probes.items():
-            a, b = span[x]
-            span[x] = (a, q) if (row[f"{x}0"] or 0) >= (row[f"{x}1"] or 0) else (p, b)
-    return {x: (a + b) / 2 for x, (a, b) in span.items()}
 
+def power_exponents(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), *, low: float = -3.0, high: float = 5.0, probes: int = 15, passes: int = 6) -> DataFrame:
+    """Yeo-Johnson exponents of each column by maximum likelihood, ``(by…, {column}__power)``, per group if given.
 
-def power_scaled(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Yeo-Johnson transform, then :func:`standard_scaled`."""
-    p = fit_power(df, columns)
-    return standard_scaled(df.withColumns({x: yeo_johnson(c(x), p[x]) for x in columns}), columns)
+    The likelihood has one maximum, so each pass tries ``probes`` exponents inside the
+    interval of every group and column, and keeps the two steps around the best: one aggregate, which
+    narrows the intervals eightfold. Intervals are a table that the next pass joins; none comes to the driver.
+    """
+    keys = [f"_key_{i}" for i in range(len(by))]
+    tall = df.select(*[c(k).alias(b) for k, b in zip(by, keys)], F.explode(F.array(*[F.struct(F.lit(i).alias("i"), c(x).cast("double").alias("x")) for i, x in enumerate(columns)])).alias("v")).select(*keys, "v.*")
+    tall = durable(tall.where("x is not null and not isnan(x)"), "power-values")
+    ends = tall.select(*keys, "i").distinct().withColumns({"low": F.lit(low), "step": F.lit((high - low) / (probes + 1))})
+    for _ in range(passes):
+        rows = _with_parameters(tall, durable(ends, "power-ends"), [*keys, "i"])
+        rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(probes))))
+        p = F.col("low") + F.col("step") * F.col("k")
+        score = -0.5 * F.count(F.lit(1)) * F.ln(F.var_pop(yeo_johnson(F.col("x"), p))) + F.sum((p - 1) * F.signum("x") * F.log1p(F.abs("x")))
+        scored = rows.groupBy(*keys, "i", "low", "step", "k").agg(score.alias("score"))
+        # a constant column has no maximum; the middle of its interval stays
+        best = scored.groupBy(*keys, "i", "low", "step").agg(F.coalesce(F.max_by("k", F.when(~F.isnan("score"), F.struct("score", -F.abs(F.col("k") - probes // 2 - 1)))), F.lit(probes // 2 + 1)).alias("k"))
+        ends = best.select(*keys, "i", (F.col("low") + F.col("step") * (F.col("k") - 1)).alias("low"), (F.col("step") * 2 / (probes + 1)).alias("step"))
+    middle = F.col("low") + F.col("step") * ((probes + 1) / 2)
+    wide = ends.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, middle)).alias(f"{x}__power") for i, x in enumerate(columns)])
+    return wide.withColumnsRenamed(dict(zip(keys, by)))
+
+
+def power_scaled(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), exponents: DataFrame | None = None) -> DataFrame:
+    """Yeo-Johnson transform at the given :func:`power_exponents` (found here by default), then :func:`standard_scaled`, per group if given."""
+    joined = _with_parameters(df, durable(power_exponents(df, columns, by), "powers") if exponents is None else exponents, by)
+    return standard_scaled(joined.withColumns({x: yeo_johnson(c(x), c(f"{x}__power")) for x in columns}).select(*[c(x) for x in df.columns]), columns, by)
+
+
+#: Scalers by name, for :func:`scaled`.
+SCALERS: dict[str, Callable[..., DataFrame]] = {}
+
+
+def scaled(df: DataFrame, columns: Sequence[str], scalers: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """Columns through several scalers (names of ``SCALERS``) one after another, over the whole table or per group; other columns pass."""
+    unknown = [s for s in scalers if s not in SCALERS]
+    if unknown:
+        raise ValueError(f"no such scaler: {', '.join(unknown)}; known are {', '.join(SCALERS)}")
+    for s in scalers:
+        df = SCALERS[s](df, columns, by)
+    return df
 
 
 def log1p_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -221,16 +257,26 @@ def quantile_scaled(df: DataFrame, columns: Sequence[str], n: int = 1000) -> Dat
     """Columns as their places among :func:`reference_quantiles`, from 0 to 1; between two of them linear, on equal ones the middle."""
     for x in columns:
         q = reference_quantiles(df, x, n)
-        df = df.withColumn(x, F.when(c(x).isNotNull(), F.lit(0.0)) if len(q) < 2 else _place(c(x), q))
+        df = df.withColumn(x, F.when(c(x).isNotNull(), F.lit(0.0)) if len(q) < 2 else _place(c(x), F.array(*[F.lit(float(v)) for v in q])))
     return df
 
 
-def _place(x: Column, q: list[float]) -> Column:
-    refs, steps = F.array(*[F.lit(float(v)) for v in q]), float(len(q) - 1)
+def quantile_scaled_by(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (), n: int = 100) -> DataFrame:
+    """:func:`quantile_scaled` per group, with ``n`` reference quantiles that are found for all columns and groups together and joined as arrays."""
+    from tissuemill.operators.ranked import quantiles
+
+    tall = quantiles(df, list(by), columns, [i / (n - 1) for i in range(n)])
+    refs = tall.groupBy(*by).agg(*[F.max(F.when(F.col("column") == x, F.col("values"))).alias(f"{x}__refs") for x in columns])
+    joined = _with_parameters(df, durable(refs, "reference-quantiles"), by)
+    return joined.withColumns({x: F.when(F.element_at(f"{x}__refs", 1) == F.element_at(f"{x}__refs", -1), F.when(c(x).isNotNull(), F.lit(0.0))).otherwise(_place(c(x), F.col(f"`{x}__refs`"))) for x in columns}).select(*[c(x) for x in df.columns])
+
+
+def _place(x: Column, refs: Column) -> Column:
+    steps, first, last = F.size(refs) - 1.0, F.element_at(refs, 1), F.element_at(refs, -1)
     below, upto = F.array_size(F.filter(refs, lambda r: r < x)), F.array_size(F.filter(refs, lambda r: r <= x))
     lower, upper = F.get(refs, below - 1), F.get(refs, below)
     place = F.when(upto > below, (below + upto - 1) / 2 / steps).otherwise((below - 1 + (x - lower) / (upper - lower)) / steps)
-    return F.when(x.isNull(), F.lit(None)).when(x <= q[0], F.lit(0.0)).when(x >= q[-1], F.lit(1.0)).otherwise(place)
+    return F.when(x.isNull(), F.lit(None)).when(x <= first, F.lit(0.0)).when(x >= last, F.lit(1.0)).otherwise(place)
 
 
 def spline_basis(df: DataFrame, column: str, n_knots: int = 5) -> DataFrame:
@@ -255,3 +301,6 @@ def spline_basis(df: DataFrame, column: str, n_knots: int = 5) -> DataFrame:
     # a basis function that reaches over the end of the period comes back at its start
     basis = [sum((piece(i, 3, x + s * period) for s in (1, 2)), piece(i, 3, x)) for i in range(m)]
     return df.select(*[c(n) for n in df.columns if n != column], *[b.alias(f"{column}_s{i}") for i, b in enumerate(basis)])
+
+
+SCALERS.update({"standard": standard_scaled, "robust": robust_scaled, "power": power_scaled, "quantile": quantile_scaled_by})

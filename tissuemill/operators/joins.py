@@ -74,6 +74,26 @@ def pair_queries(sites: DataFrame, available: DataFrame, channels: Sequence[str]
     return rows.join(per, "site")
 
 
+def correlation_queries(sites: DataFrame, images: DataFrame, label_images: DataFrame, levels: Sequence[int], objects: Sequence[str], pairs: Sequence[tuple[str, str]], wells: Sequence[str] | None = None, keep: str = "invalid") -> DataFrame:
+    """Every level, object type and channel pair asked of each site, ``(m, roi, o, c0, c1, valid, any_valid, all_valid)``; the lists are the caller's.
+
+    A query is valid if its level has an image of both channels and a label image of the object
+    type at that site: ``images(m, roi, c)``, ``label_images(m, roi, o)``. ``any_valid`` and ``all_valid``
+    tell of all queries of a level and site. ``keep``: ``invalid`` returns every query, ``any_valid`` the valid ones,
+    ``all_valid`` those of levels and sites where all are. ``sites(roi, well)`` are bounded by ``wells`` if given.
+    """
+    if keep not in ("invalid", "any_valid", "all_valid"):
+        raise ValueError(f"no such choice of queries: {keep}")
+    asked = sites if wells is None else sites.where(F.col("well").isin(list(wells)))
+    each = lambda name, values: F.explode(F.array(*[F.lit(v) for v in values])).alias(name)
+    rows = asked.select("roi", each("m", levels)).select("*", each("o", objects)).select("*", F.explode(F.array(*[F.struct(F.lit(a).alias("c0"), F.lit(b).alias("c1")) for a, b in pairs])).alias("p")).select("m", "roi", "o", "p.*")
+    have = images.groupBy("m", "roi").agg(F.collect_set("c").alias("_c")).join(label_images.groupBy("m", "roi").agg(F.collect_set("o").alias("_o")), ["m", "roi"])
+    valid = F.array_contains("_c", F.col("c0")) & F.array_contains("_c", F.col("c1")) & F.array_contains("_o", F.col("o"))
+    rows = rows.join(have, ["m", "roi"], "left").withColumn("valid", F.coalesce(valid, F.lit(False))).drop("_c", "_o")
+    out = rows.join(rows.groupBy("m", "roi").agg(F.bool_or("valid").alias("any_valid"), F.bool_and("valid").alias("all_valid")), ["m", "roi"])
+    return out if keep == "invalid" else out.where("valid") if keep == "any_valid" else out.where("valid and all_valid")
+
+
 def layers(base: DataFrame, others: dict[str, DataFrame], on: Sequence[str], sep: str = ":") -> DataFrame:
     """Base rows with each other structure's features prefixed; objects without a match get NaN in doubles."""
     out = base

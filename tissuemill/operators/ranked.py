@@ -80,6 +80,63 @@ def values_at(df: DataFrame, group: Sequence[str], value: str, ranks: dict[str,
     return found.select(*[k.alias(g) for k, g in zip(keys, group)], *[F.col(f"_at_{i}").alias(n) for i, n in enumerate(ranks)])
 
 
+#: Accuracy of the sketches that bracket a quantile; smaller groups are counted whole.
+_ACCURACY = 10_000
+
+
+def quantiles(df: DataFrame, group: Sequence[str], columns: Sequence[str], qs: Sequence[float], linear: bool | Sequence[bool] = True) -> DataFrame:
+    """Exact quantiles of many columns per group, found together: ``(group…, column, n, values array<double>)``, a row per group and column with values.
+
+    Two passes over the table, and no row of it is shuffled. The first sketches every column per group, which
+    brackets each quantile between two values a few in ten thousand ranks apart; the
+    second counts what lies below a bracket and, per different value, what lies inside. So a task gets
+    six in ``_ACCURACY`` of a group's values to put in order, or all of a group of no more than that many.
+    ``linear`` interpolates between two ranks (one flag for each of ``qs``, or for all); else it is the nearest rank's, half away from zero. Null groups count, null values do not.
+    """
+    lines = [linear] * len(qs) if isinstance(linear, bool) else list(linear)
+    keys, margin = [f"_by_{i}" for i in range(len(group))], 3 / _ACCURACY
+    rows = df.select(*[c(k).alias(b) for k, b in zip(group, keys)], *[c(x).cast("double").alias(f"_x_{i}") for i, x in enumerate(columns)])
+    at = F.array(*[F.lit(float(min(1.0, max(0.0, q + s * margin)))) for q in qs for s in (-1, 1)])
+    ends = rows.groupBy(*keys).agg(*[F.struct(F.count(f"_x_{i}").alias("n"), F.percentile_approx(f"_x_{i}", at, F.lit(_ACCURACY)).alias("b")).alias(f"_e_{i}") for i in range(len(columns))])
+    ends = durable(ends, "quantile-ends").withColumnsRenamed({k: f"{k}_" for k in keys})
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"{k}_"))
+    joined = rows.join(ends, on) if keys else rows.crossJoin(F.broadcast(ends))
+
+    def cells(i: int) -> list[Column]:
+        x, e = F.col(f"_x_{i}"), F.col(f"_e_{i}")
+        cell = lambda k, v, keep: F.when(keep, F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), e["n"].alias("all"), v.alias("v")))
+        small = e["n"] <= _ACCURACY
+        bracketed = [cell(k, F.when(x >= e["b"][2 * k], x), ~small & x.isNotNull() & (x <= e["b"][2 * k + 1])) for k in range(len(qs))]
+        return [cell(-1, x, small & x.isNotNull()), *bracketed]
+
+    each = F.filter(F.array(*[x for i in range(len(columns)) for x in cells(i)]), lambda x: x.isNotNull())
+    counted = joined.select(*keys, F.explode(each).alias("c")).groupBy(*keys, "c.i", "c.k", "c.all", "c.v").agg(F.count(F.lit(1)).alias("_n"))
+    run = F.sum("_n").over(Window.partitionBy(*keys, "i", "k").orderBy(F.asc_nulls_first("v")).rowsBetween(Window.unboundedPreceding, 0))
+    counted = counted.withColumn("_bracket_run", run).where("v is not null")
+
+    def value(k: int, q: float, line: bool) -> Column:
+        place = (F.col("all") - 1) * F.lit(float(q))
+        own = F.col("k").isin(-1, k)
+        pick = lambda rank: F.min(F.when(own & (F.col("_bracket_run") > rank), F.col("v")))
+        low, high = (F.floor(place), F.ceil(place)) if line else (F.round(place), F.round(place))
+        found = pick(low) * (1 - (F.first(place) - F.first(low))) + pick(high) * (F.first(place) - F.first(low)) if line else pick(low)
+        held = (F.min(F.when(own, F.col("_bracket_run") - F.col("_n"))) <= F.first(low)) & (F.max(F.when(own, F.col("_bracket_run"))) > F.first(high))
+        return F.when(held, found).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")))
+
+    out = counted.groupBy(*keys, "i", "all").agg(F.array(*[value(k, q, line) for k, (q, line) in enumerate(zip(qs, lines))]).alias("values"))
+    name = F.get(F.array(*[F.lit(x) for x in columns]), F.col("i"))
+    return out.select(*[F.col(b).alias(k) for b, k in zip(keys, group)], name.alias("column"), F.col("all").alias("n"), "values")
+
+
+def quantiles_wide(df: DataFrame, group: Sequence[str], columns: Sequence[str], qs: dict[str, float], linear: bool | Sequence[bool] = True) -> DataFrame:
+    """:func:`quantiles` with one row per group and a column ``{column}{suffix}`` for each suffix of ``qs``."""
+    tall = quantiles(df, group, columns, list(qs.values()), linear)
+    pick = [F.max(F.when(F.col("column") == x, F.get("values", F.lit(k)))).alias(f"{x}{suffix}") for x in columns for k, suffix in enumerate(qs)]
+    return tall.groupBy(*[c(k) for k in group]).agg(*pick)
+
+
 def lowest(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, name: str = "_k", parts: int = 64) -> DataFrame:
     """The ``n`` first rows of each group in an order, numbered from 1: first those of each of its parts, then of all of them."""
     deal = F.pmod(F.xxhash64(*order), F.lit(parts))
