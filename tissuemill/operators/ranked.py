@@ -97,7 +97,7 @@ def quantiles(df: DataFrame, group: Sequence[str], columns: Sequence[str], qs: S
     keys, margin = [f"_by_{i}" for i in range(len(group))], 3 / _ACCURACY
     rows = df.select(*[c(k).alias(b) for k, b in zip(group, keys)], *[c(x).cast("double").alias(f"_x_{i}") for i, x in enumerate(columns)])
     at = F.array(*[F.lit(float(min(1.0, max(0.0, q + s * margin)))) for q in qs for s in (-1, 1)])
-    ends = rows.groupBy(*keys).agg(*[F.struct(F.count(f"_x_{i}").alias("n"), F.percentile_approx(f"_x_{i}", at, F.lit(_ACCURACY)).alias("b")).alias(f"_e_{i}") for i in range(len(columns))])
+    ends = rows.groupBy(*keys).agg(*[F.struct(F.count(f"_x_{i}").alias("n"), F.percentile_approx(F.nanvl(f"_x_{i}", F.lit(float("inf"))), at, F.lit(_ACCURACY)).alias("b")).alias(f"_e_{i}") for i in range(len(columns))])
     ends = durable(ends, "quantile-ends").withColumnsRenamed({k: f"{k}_" for k in keys})
     on = F.lit(True)
     for k in keys:
@@ -108,7 +108,10 @@ def quantiles(df: DataFrame, group: Sequence[str], columns: Sequence[str], qs: S
         x, e = F.col(f"_x_{i}"), F.col(f"_e_{i}")
         cell = lambda k, v, keep: F.when(keep, F.struct(F.lit(i).alias("i"), F.lit(k).alias("k"), e["n"].alias("all"), v.alias("v")))
         small = e["n"] <= _ACCURACY
-        bracketed = [cell(k, F.when(x >= e["b"][2 * k], x), ~small & x.isNotNull() & (x <= e["b"][2 * k + 1])) for k in range(len(qs))]
+        # an end of the order is open, and so is a bracket that ends with infinity, which stands for NaN in the sketch
+        above = lambda k: F.lit(True) if qs[k] <= margin else x >= e["b"][2 * k]
+        below = lambda k: F.lit(True) if qs[k] >= 1 - margin else (x <= e["b"][2 * k + 1]) | (e["b"][2 * k + 1] == float("inf"))
+        bracketed = [cell(k, F.when(above(k), x), ~small & x.isNotNull() & below(k)) for k in range(len(qs))]
         return [cell(-1, x, small & x.isNotNull()), *bracketed]
 
     each = F.filter(F.array(*[x for i in range(len(columns)) for x in cells(i)]), lambda x: x.isNotNull())
