@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tissuemill.functions.durable import durable
+from tissuemill.operators import lines
 
 # Curves of one or two inputs; p is the parameter array of a model row.
 CURVES = {
     "linear": lambda p, xs: p[len(xs)] + _dot(p, xs),
+    "log_linear": lambda p, xs: F.exp(p[len(xs)] + _dot(p, xs)),
     "exponential": lambda p, xs: p[len(xs)] * F.exp(_dot(p, xs)),
+    "exp_fit_linear": lambda p, xs: p[len(xs)] * F.exp(_dot(p, xs)),
     "exponential_offset": lambda p, xs: p[len(xs)] * F.exp(_dot(p, xs)) + p[len(xs) + 1],
     "power": lambda p, xs: p[1] * F.pow(xs[0], p[0]),
     "power_offset": lambda p, xs: p[1] * F.pow(xs[0], p[0]) + p[2],
@@ -57,101 +64,132 @@ def _gradient(kind: str, p: list[Column], xs: Sequence[Column]) -> list[Column]:
     return out + [F.lit(1.0)] if kind == "exponential_offset" else out
 
 
-def fit(df: DataFrame, group: str, inputs: Sequence[str], target: str, kind: str = "linear", loss: str = "linear", start: dict | None = None, steps: int = 40, positive_offset: bool = False, most_groups: int = 100_000) -> dict:
-    """Parameters per group, None where a fit does not converge.
+def _solve_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Solutions of many small systems; NaN where there is none."""
+    try:
+        return np.linalg.solve(a, b[..., None])[..., 0]
+    except np.linalg.LinAlgError:
+        out = np.full(b.shape, np.nan)
+        for i in range(len(b)):
+            try:
+                out[i] = np.linalg.solve(a[i], b[i])
+            except np.linalg.LinAlgError:
+                pass
+        return out
 
-    A straight line without a loss of its own is solved from one aggregate. More than
-    ``most_groups`` groups raise ``ValueError``, as their parameters pass the driver.
-    Power curves need inputs above 0.
 
-    Levenberg-Marquardt steps for all groups at once: each is one grouped aggregate of
-    J'WJ and J'Wr at the current parameters, which come from a map of one small row per
-    group, and a small solve in the driver. ``loss`` ``huber`` weighs a squared residual
-    above 1 by its inverse root. Linear starts at 0; the others at the log-linear fit.
+def _straight(df: DataFrame, group: str, inputs: Sequence[str], target: str) -> DataFrame:
+    """``(group, parameters)`` of least-squares lines from centred sums in one aggregate, solved in executors; null where the inputs do not determine one."""
+    xs, y, n = [F.col(x).cast("double") for x in inputs], F.col(target).cast("double"), len(inputs)
+    whole = y.isNotNull()
+    for x in xs:
+        whole = whole & x.isNotNull()
+    of = lambda x: F.when(whole, x)
+    mean = F.array(*[F.avg(of(x)) for x in xs], F.avg(of(y)))
+    cov = F.array(*[F.covar_pop(of(a), of(b)) for a in xs for b in [*xs, y]])
+    sums = df.where(F.col(group).isNotNull()).groupBy(group).agg(mean.alias("m"), cov.alias("c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value = lambda name, k: np.array([[np.nan if v is None else v for v in r] for r in b.column(name).to_pylist()], float).reshape(-1, k)  # noqa: B023, E731
+            m, c = value("m", n + 1), value("c", n * (n + 1)).reshape(-1, n, n + 1)
+            slopes = _solve_rows(c[:, :, :n], c[:, :, n])
+            p = np.concatenate((slopes, (m[:, n] - (slopes * m[:, :n]).sum(1))[:, None]), axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(group), pa.array([r.tolist() if np.isfinite(r).all() else None for r in p], pa.list_(pa.float64()))], names=[group, "parameters"])
+
+    return sums.mapInArrow(run, T.StructType([df.schema[group], T.StructField("parameters", T.ArrayType(T.DoubleType()))]))
+
+
+def fit_table(df: DataFrame, group: str, inputs: Sequence[str], target: str, kind: str = "linear", loss: str = "linear", start: DataFrame | None = None, steps: int = 40, positive_offset: bool = False, share: float | None = None) -> DataFrame:
+    """``(group, parameters)`` of every group, null where a fit does not converge; no parameters pass the driver, whatever the number of groups.
+
+    A straight line without a loss of its own is solved from one aggregate; ``log_linear`` and ``exp_fit_linear`` are lines
+    through ``log(max(target, 1e-6))``. The others, and any with the loss ``huber``, take Levenberg-Marquardt steps for all groups
+    together: the parameters are a table that is joined, each step is one grouped aggregate of J'WJ, J'Wr and the cost, and the small
+    systems are solved where their rows are. Groups that are done are left out of later steps. ``huber`` weighs a squared residual above 1
+    by its inverse root. Each curve starts from a simpler one: exponential from the log-linear fit, with an offset
+    from that without, power from the line through logarithms. Power curves need inputs above 0. ``start(group, parameters)`` overrides that.
+    ``share`` fits a sample of rows. Null groups are left out.
     """
-    if df.select(group).distinct().limit(most_groups + 1).count() > most_groups:
-        raise ValueError(f"over {most_groups} groups to fit")
+    n, xs = n_parameters(kind, len(inputs)), [F.col(x).cast("double") for x in inputs]
+    df = df.where(F.col(group).isNotNull())
+    df = df if share is None else df.sample(share, seed=17)
+    nested = lambda k, t=target, rows=df, x=inputs: fit_table(rows, group, x, t, k, loss)
+    logs = lambda: df.withColumn("_t", F.ln(F.greatest(F.col(target), F.lit(1e-6))))
+    changed = lambda table, e: table.withColumn("parameters", F.when(F.col("parameters").isNotNull(), e))
+    last = F.element_at("parameters", -1)
+    head = F.slice("parameters", F.lit(1), F.greatest(F.size("parameters") - 1, F.lit(0)))
+    if kind in ("log_linear", "exp_fit_linear"):
+        line = nested("linear", "_t", logs())
+        return line if kind == "log_linear" else changed(line, F.concat(head, F.array(F.exp(last))))
     if kind == "linear" and loss == "linear" and start is None:
-        return _solved(df, group, inputs, target)
-    if kind == "power" and start is None:
-        logs = df.where(F.col(inputs[0]) > 0).withColumns({"_t": F.ln(F.greatest(F.col(target), F.lit(1e-6))), "_x": F.ln(F.col(inputs[0]))})
-        start = {g: None if p is None else [p[0], math.exp(p[1])] for g, p in _solved(logs, group, ["_x"], "_t").items()}
-    if kind == "power_offset" and start is None:
-        start = {g: None if p is None else [*p, 0.0] for g, p in fit(df, group, inputs, target, "power", loss).items()}
-    if kind == "exponential" and start is None:
-        logs = fit(df.withColumn("_t", F.ln(F.greatest(F.col(target), F.lit(1e-6)))), group, inputs, "_t", "linear")
-        start = {g: None if p is None else [*p[:-1], math.exp(p[-1])] for g, p in logs.items()}
-    if kind == "exponential_offset" and start is None:
-        base = fit(df, group, inputs, target, "exponential", loss)
-        start = {g: None if p is None else [*p, 0.0] for g, p in base.items()}
-    n = n_parameters(kind, len(inputs))
-    if start is None:
-        start = {r[0]: [0.0] * n for r in df.select(group).distinct().collect()}
-    now = {g: np.array(p, float) for g, p in start.items() if p is not None}
-    best: dict = {g: None for g in start}
-    damp = dict.fromkeys(now, 1e-3)
-    cost: dict = {}
-    system: dict = {}
-    trial = dict(now)
-    xs = [F.col(x).cast("double") for x in inputs]
-    spark = df.sparkSession
+        return _straight(df, group, inputs, target)
+    if start is None and kind == "power":
+        positive = logs().where(F.col(inputs[0]) > 0).withColumn("_x", F.ln(F.col(inputs[0])))
+        start = changed(_straight(positive, group, ["_x"], "_t"), F.concat(head, F.array(F.exp(last))))
+    elif start is None and kind == "exponential":
+        start = changed(_straight(logs(), group, inputs, "_t"), F.concat(head, F.array(F.exp(last))))
+    elif start is None and kind.endswith("_offset"):
+        start = changed(nested(kind.removesuffix("_offset")), F.concat("parameters", F.array(F.lit(0.0))))
+    elif start is None:
+        start = df.select(group).distinct().withColumn("parameters", F.array(*[F.lit(0.0)] * n))
+    state_type = T.StructType([df.schema[group], *[T.StructField(x, T.ArrayType(T.DoubleType())) for x in ("now", "trial", "a", "b")], *[T.StructField(x, T.DoubleType()) for x in ("cost", "damp")], T.StructField("done", T.BooleanType())])
+    nothing = F.lit(None).cast("array<double>")
+    state = start.select(group, nothing.alias("now"), F.col("parameters").alias("trial"), nothing.alias("a"), nothing.alias("b"), F.lit(None).cast("double").alias("cost"), F.lit(1e-3).alias("damp"), F.col("parameters").isNull().alias("done"))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.to_pylist()
+            for r in rows:
+                if r["done"]:
+                    continue
+                ok = r["new_cost"] is not None and math.isfinite(r["new_cost"])
+                if ok and (r["cost"] is None or r["new_cost"] <= r["cost"]):
+                    small = r["cost"] is not None and r["cost"] - r["new_cost"] <= 1e-12 * max(r["cost"], 1e-12)
+                    r["now"], r["a"], r["b"], r["cost"], r["damp"] = r["trial"], r["new_a"], r["new_b"], r["new_cost"], r["damp"] / 5
+                    r["done"] = small or r["cost"] < 1e-20
+                else:
+                    r["damp"] *= 7
+                    r["done"] = r["now"] is None or r["damp"] > 1e12
+            open_ = [r for r in rows if not r["done"]]
+            if open_:
+                a, b = np.array([r["a"] for r in open_], float).reshape(-1, n, n), np.array([r["b"] for r in open_], float)
+                rise = np.array([r["damp"] for r in open_])[:, None] * np.maximum(np.diagonal(a, axis1=1, axis2=2), 1e-12)
+                trial = np.array([r["now"] for r in open_], float) - _solve_rows(a + rise[:, :, None] * np.eye(n), b)
+                for r, t in zip(open_, trial):
+                    if np.isfinite(t).all():
+                        r["trial"] = t.tolist()
+                    else:
+                        r["damp"] *= 7
+                    if positive_offset and kind == "exponential_offset":
+                        r["trial"][-1] = max(r["trial"][-1], 0.0)
+            columns = [[r[c] for r in rows] for c in state_type.names[1:]]
+            kinds = [*[pa.list_(pa.float64())] * 4, pa.float64(), pa.float64(), pa.bool_()]
+            yield pa.RecordBatch.from_arrays([batch.column(group), *[pa.array(v, k) for v, k in zip(columns, kinds)]], names=state_type.names)
+
+    p = [F.get("trial", F.lit(i)) for i in range(n)]
     for _ in range(steps):
-        open_ = {g: p for g, p in trial.items() if best[g] is None}
-        if not open_:
+        state = durable(state, "fit-state")
+        open_ = state.where(~F.col("done"))
+        if open_.isEmpty():
             break
-        table = spark.createDataFrame([(g, [float(v) for v in p]) for g, p in open_.items()], f"{group} {df.schema[group].dataType.simpleString()}, _p array<double>")
-        p = [F.get("_p", F.lit(i)) for i in range(n)]
         r = CURVES[kind](p, xs) - F.col(target)
         w = F.when(r * r <= 1, F.lit(1.0)).otherwise(1 / F.abs(r)) if loss == "huber" else F.lit(1.0)
         rho = F.when(r * r <= 1, r * r).otherwise(2 * F.abs(r) - 1) if loss == "huber" else r * r
-        rows = df.join(F.broadcast(table), group).select(group, *[g.alias(f"j{i}") for i, g in enumerate(_gradient(kind, p, xs))], r.alias("r"), w.alias("w"), rho.alias("rho"))
-        sums = [F.sum(F.col("w") * F.col(f"j{i}") * F.col(f"j{k}")).alias(f"a{i}_{k}") for i in range(n) for k in range(i, n)]
-        sums += [F.sum(F.col("w") * F.col(f"j{i}") * F.col("r")).alias(f"b{i}") for i in range(n)] + [(F.sum("rho") / 2).alias("cost")]
-        for row in rows.groupBy(group).agg(*sums).collect():
-            g = row[group]
-            c = row["cost"]
-            ok = c is not None and math.isfinite(c)
-            if ok and (g not in cost or c <= cost[g]):
-                done = g in cost and cost[g] - c <= 1e-12 * max(cost[g], 1e-12)
-                a = np.array([[row[f"a{min(i, k)}_{max(i, k)}"] for k in range(n)] for i in range(n)], float)
-                now[g], cost[g], system[g], damp[g] = trial[g], c, (a, np.array([row[f"b{i}"] for i in range(n)], float)), damp[g] / 5
-                if done or c < 1e-20:
-                    best[g] = now[g].tolist()
-                    continue
-            else:
-                damp[g] *= 7
-                if g in cost and damp[g] > 1e12:
-                    best[g] = now[g].tolist()
-                    continue
-            if g in system:
-                a, b = system[g]
-                try:
-                    trial[g] = now[g] - np.linalg.solve(a + damp[g] * np.diag(np.maximum(np.diag(a), 1e-12)), b)
-                except np.linalg.LinAlgError:
-                    damp[g] *= 7
-                if positive_offset and kind == "exponential_offset":
-                    trial[g][-1] = max(trial[g][-1], 0.0)
-    return {g: p if p is not None else (now[g].tolist() if g in cost and damp[g] < 1e12 else None) for g, p in best.items()}
-
-
-def _solved(df: DataFrame, group: str, inputs: Sequence[str], target: str) -> dict:
-    """Least-squares lines per group from centred sums in one aggregate; None where the inputs do not determine one."""
-    xs, y = [F.col(x).cast("double") for x in inputs], F.col(target).cast("double")
-    whole = y.isNotNull()
-    for x in xs:
-        whole = whole & x.isNotNull()
-    moments = [F.avg(x).alias(f"m{i}") for i, x in enumerate(xs)] + [F.avg(y).alias("my"), F.count(F.lit(1)).alias("n")]
-    moments += [F.covar_pop(a, b).alias(f"c{i}_{k}") for i, a in enumerate(xs) for k, b in enumerate(xs) if k >= i] + [F.covar_pop(x, y).alias(f"b{i}") for i, x in enumerate(xs)]
-    out = {r[0]: None for r in df.select(group).distinct().collect()}
-    for r in df.where(whole).groupBy(group).agg(*moments).collect():
-        a = np.array([[r[f"c{min(i, k)}_{max(i, k)}"] for k in range(len(xs))] for i in range(len(xs))])
-        try:
-            slopes = np.linalg.solve(a, np.array([r[f"b{i}"] for i in range(len(xs))]))
-        except np.linalg.LinAlgError:
-            continue
-        if np.isfinite(slopes).all():
-            out[r[group]] = [*slopes.tolist(), r["my"] - float(sum(s * r[f"m{i}"] for i, s in enumerate(slopes)))]
-    return out
+        rows = df.join(open_.select(F.col(group).alias("_group"), "trial"), F.col(group) == F.col("_group")).select(group, *[g.alias(f"j{i}") for i, g in enumerate(_gradient(kind, p, xs))], r.alias("r"), w.alias("w"), rho.alias("rho"))
+        product = lambda i, k: F.sum(F.col("w") * F.col(f"j{i}") * F.col(f"j{k}"))
+        sums = rows.groupBy(F.col(group).alias("_group")).agg(F.array(*[product(min(i, k), max(i, k)) for i in range(n) for k in range(n)]).alias("new_a"), F.array(*[F.sum(F.col("w") * F.col(f"j{i}") * F.col("r")) for i in range(n)]).alias("new_b"), (F.sum("rho") / 2).alias("new_cost"))
+        state = state.join(sums, F.col(group) == F.col("_group"), "left").drop("_group").mapInArrow(step, state_type)
+    return durable(state, "fit").select(group, F.col("now").alias("parameters"))
+
+
+def fit(df: DataFrame, group: str, inputs: Sequence[str], target: str, kind: str = "linear", loss: str = "linear", start: dict | None = None, steps: int = 40, positive_offset: bool = False, most_groups: int = 100_000) -> dict:
+    """:func:`fit_table` as a dictionary, for a few groups: more than ``most_groups`` raise ``ValueError``."""
+    begin = None if start is None else df.sparkSession.createDataFrame([(g, None if p is None else [float(v) for v in p]) for g, p in start.items()], T.StructType([df.schema[group], T.StructField("parameters", T.ArrayType(T.DoubleType()))]))
+    found = fit_table(df, group, inputs, target, kind, loss, begin, steps, positive_offset).limit(most_groups + 1).collect()
+    if len(found) > most_groups:
+        raise ValueError(f"over {most_groups} groups to fit")
+    return {r[0]: r["parameters"] for r in found}
 
 
 def save_models(models: DataFrame, path: str) -> None:
@@ -223,6 +261,12 @@ def corrected(df: DataFrame, models: DataFrame, kind: str, inputs: Sequence[str]
     return df.join(models.select(key, "parameters"), key, "left").withColumn(value, (F.col(value) * F.coalesce(f, F.lit(1.0))).cast(kind_of)).select(*df.columns)
 
 
+def corrected_by_paths(image: DataFrame, mask: DataFrame, models: DataFrame, kind: str, clip: tuple[float, float] | None = (0.0, 50.0), spacing: float = 1.0, first: int = 0, key: str = "c") -> DataFrame:
+    """``image(roi, c, z, y, x, value)`` corrected by models of two inputs: the ways of light outside and inside a mask, from place ``first`` along z to each voxel (:func:`lines.with_paths`)."""
+    out = corrected(lines.with_paths(image, mask, "z", spacing, first), models, kind, ["MediumPath", "EmbryoPath"], "value", key, clip)
+    return out.select(*[F.col(f"`{x}`") for x in image.columns])
+
+
 def apply_t_factors(image: DataFrame, factors: DataFrame, keys: Sequence[str] = ("roi", "channel")) -> DataFrame:
     """Values times the factor of their roi and channel, 1 if none, type kept."""
     kind = image.schema["value"].dataType

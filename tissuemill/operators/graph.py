@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tissuemill.functions.durable import durable
+from tissuemill.operators import lines
 
 AXES = ("z", "y", "x")
 
@@ -32,12 +33,31 @@ def _sides(points: DataFrame, axes: Sequence[str], cell: float | Column, ring: i
     return left.select("site", "src", *[f"a_{x}" for x in axes], *[(F.col(f"g_{x}") + F.col(f"s.s_{x}")).alias(f"g_{x}") for x in axes]), right
 
 
-def radius_distance(points: DataFrame, r: float, axes: Sequence[str] = AXES, self_loops: bool = False) -> DataFrame:
-    """All pairs at most ``r`` apart, weight the distance: an equi-join on grid cells of that size with the distance checked in the join."""
+def _dealt(left: DataFrame, right: DataFrame, keys: Sequence[str], most: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a join on cells with the points of dense cells dealt over blocks: ``n / most`` blocks of each side, every one of which meets every one of the other.
+
+    So no key has more than about ``most`` points on the right, nor a dense cell's own points on the left. Without dense cells
+    nothing changes.
+    """
+    dense = right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*[F.col(k).alias(f"d_{k}") for k in keys], F.ceil(F.col("n") / most).cast("int").alias("k"))
+    dense = durable(dense, "dense-cells")
+    if dense.isEmpty():
+        return left, right, list(keys)
+    on = lambda: functools.reduce(lambda p, q: p & q, [F.col(k).eqNullSafe(F.col(f"d_{k}")) for k in keys])
+    every = lambda: F.explode(F.sequence(F.lit(0), F.coalesce("k", F.lit(1)) - 1))
+    own = lambda x: F.pmod(F.xxhash64(x), F.coalesce("k", F.lit(1))).cast("int")
+    drop = ["k", *[f"d_{k}" for k in keys]]
+    a = left.join(dense, on(), "left").withColumn("_bl", own("src")).withColumn("_br", every()).drop(*drop)
+    b = right.join(dense, on(), "left").withColumn("_br", own("dst")).withColumn("_bl", every()).drop(*drop)
+    return a, b, [*keys, "_bl", "_br"]
+
+
+def radius_distance(points: DataFrame, r: float, axes: Sequence[str] = AXES, self_loops: bool = False, most: int = 4096) -> DataFrame:
+    """All pairs at most ``r`` apart, weight the distance: an equi-join on grid cells of that size with the distance checked in the join; cells of over ``most`` points are dealt over blocks."""
     if not self_loops and r <= 0:
         return points.select("site", F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(0.0).alias("weight")).limit(0)
     left, right = _sides(points, axes, float(r) if r > 0 else 1.0, 1)
-    keys = ["site", *[f"g_{x}" for x in axes]]
+    left, right, keys = _dealt(left, right, ["site", *[f"g_{x}" for x in axes]], most)
     joined = left.join(right, [left[k].eqNullSafe(right[k]) for k in keys] + [_squared(axes) <= F.lit(float(r) * float(r))] + ([] if self_loops else [F.col("src") != F.col("dst")]))
     return joined.select(left["site"], "src", "dst", F.sqrt(_squared(axes)).alias("weight"))
 
@@ -162,21 +182,8 @@ def n_step(edges: DataFrame, n: int, threshold: float | None = None, self_loops:
 
 
 def touch(voxels: DataFrame, scale: Sequence[float] = (1.0, 1.0, 1.0), normalise: bool = False) -> DataFrame:
-    """Touch area of label pairs from ``voxels(site, z, y, x, label)``, background (label 0) included in shares but not in the result.
-
-    Neighbours along an axis come from ``lead`` within each line of voxels, so a line is
-    the largest group; absent voxels are background that touches nothing.
-    """
-    sz, sy, sx = scale
-    area = {"z": sy * sx, "y": sx * sz, "x": sy * sz}
-    faces = None
-    for axis in AXES:
-        w = Window.partitionBy("site", *[a for a in AXES if a != axis]).orderBy(axis)
-        near = voxels.select("site", "label", F.when(F.lead(axis).over(w) == F.col(axis) + 1, F.lead("label").over(w)).alias("other"), F.lit(area[axis]).alias("area")).where("other is not null and other <> label")
-        faces = near if faces is None else faces.union(near)
-    half = faces.groupBy("site", "label", "other").agg(F.sum("area").alias("area"))
-    both = half.select("site", F.col("label").alias("src"), F.col("other").alias("dst"), "area").union(half.select("site", "other", "label", "area"))
-    both = both.groupBy("site", "src", "dst").agg(F.sum("area").alias("weight"))
+    """Touch area of label pairs from ``voxels(site, z, y, x, label)`` (:func:`lines.touch_areas`), background (label 0) included in shares but not in the result; absent voxels are background that touches nothing."""
+    both = lines.touch_areas(voxels, scale)
     if normalise:
         both = both.withColumn("weight", F.col("weight") / F.sum("weight").over(Window.partitionBy("site", "src")))
     return both.where("src <> 0 and dst <> 0")

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tissuemill.functions.durable import durable
 from tissuemill.operators import ranked
 from tissuemill.operators.reshape import c
 from tissuemill.operators.windows import random_order
@@ -73,6 +74,27 @@ def grid_search(pipeline: Pipeline, train: DataFrame, depths: Sequence[int], lab
     return model.bestModel, list(zip(depths, model.avgMetrics))
 
 
+def forest_search(train: DataFrame, columns: Sequence[str], keys: Sequence[str], label: str = "label", *, trees: Sequence[int] = (20,), components: Sequence[int | None] = (None,), depths: Sequence[int] = (5,), folds: int = 3, seed: int = 42) -> tuple[PipelineModel, DataFrame]:
+    """The pipeline with the best mean accuracy over folds, fit on all rows, and ``(trees, components, depth, fold, n, score)`` of every combination and fold.
+
+    A row's fold is a hash of its keys, so reruns agree; each fold is written once, and all combinations are scored on it.
+    Ties go to the combination given first.
+    """
+    fold = F.pmod(F.xxhash64(F.lit(seed), *[c(k) for k in keys]), F.lit(folds)).cast("int")
+    rows = durable(train.withColumn("_fold", fold), "search-folds")
+    table, settings = [], [(t, k, d) for t in trees for k in components for d in depths]
+    for f in range(folds):
+        rest, held = rows.where(F.col("_fold") != f), rows.where(F.col("_fold") == f)
+        for t, k, d in settings:
+            scored = forest_pipeline(columns, label, k, t, d, seed).fit(rest).transform(held)
+            hit = scored.agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("prediction") == c(label)).cast("double")).alias("score")).first()
+            table.append((t, k, d, f, hit["n"], hit["score"]))
+    mean = {s: np.mean([r[5] for r in table if r[:3] == s and r[5] is not None]) for s in settings}
+    t, k, d = max(settings, key=lambda s: mean[s])
+    schema = "trees int, components int, depth int, fold int, n long, score double"
+    return forest_pipeline(columns, label, k, t, d, seed).fit(rows.drop("_fold")), train.sparkSession.createDataFrame(table, schema)
+
+
 def predictions(model: PipelineModel, df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``(keys, pred, probas)``."""
     return model.transform(df).select(*keys, F.col("prediction").cast("int").alias("pred"), vector_to_array("probability").alias("probas"))
@@ -102,22 +124,32 @@ def impurity_importance(model: PipelineModel, columns: Sequence[str]) -> DataFra
 
 
 def permutation_importance(model: PipelineModel, df: DataFrame, columns: Sequence[str], keys: Sequence[str], label: str = "label", repeats: int = 3, seed: int = 42) -> DataFrame:
-    """Accuracy less the mean accuracy when a column is dealt anew among the rows.
+    """``(feature, importance, deviation)``: the accuracy less the mean accuracy, over repeats, when a column is dealt anew among the rows.
 
-    Rows are numbered in two pseudo-random orders by range partitions, and the column is
-    joined from one order to the other.
+    Rows are numbered once in a pseudo-random order; repeat ``r`` (from 1) gives each row the values of the one
+    ``r / (repeats + 1)`` of all rows further on. One join brings them to every repeat, one
+    transform scores all columns and repeats stacked, and one aggregate counts.
     """
-    scorer = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    base = scorer.evaluate(model.transform(df))
-    out = []
-    for x in columns:
-        scores = []
-        for r in range(repeats):
-            a = ranked.numbered(df, [random_order(keys, seed + r), *keys])
-            b = ranked.numbered(df.select(*keys, c(x)), [random_order(keys, seed + 1000 + r), *keys]).select("_row", c(x).alias("_dealt"))
-            scores.append(scorer.evaluate(model.transform(a.join(b, "_row").withColumn(x, F.col("_dealt")))))
-        out.append((x, base - sum(scores) / repeats))
-    return df.sparkSession.createDataFrame(out, "feature string, importance double")
+    names = list(dict.fromkeys([*columns, label]))
+    rows = durable(ranked.numbered(df, [random_order(keys, seed), *keys]).select("_row", *[c(x) for x in model_inputs(model, names, df)]), "permutation-rows")
+    n = rows.count()
+    given = rows.withColumn("_repeat", F.explode(F.array(*[F.lit(r) for r in range(1, repeats + 1)])))
+    given = given.withColumn("_at", (F.col("_row") + F.floor(F.col("_repeat") * F.lit(n) / (repeats + 1))) % F.lit(max(n, 1)))
+    dealt = rows.select(F.col("_row").alias("_at"), F.struct(*[c(x) for x in columns]).alias("_dealt"))
+    which = F.explode(F.array(F.lit(None).cast("int"), *[F.lit(i) for i in range(len(columns))]))
+    stacked = given.join(dealt, "_at").withColumn("_which", which)
+    stacked = stacked.withColumns({x: F.when(F.col("_which") == i, F.col("_dealt")[x]).otherwise(c(x)) for i, x in enumerate(columns)})
+    hits = model.transform(stacked).groupBy("_which", "_repeat").agg(F.avg((F.col("prediction") == c(label)).cast("double")).alias("score"))
+    per = hits.groupBy("_which").agg(F.avg("score").alias("mean"), F.stddev_pop("score").alias("deviation"))
+    base = per.where("_which is null").select(F.col("mean").alias("base"))
+    feature = F.get(F.array(*[F.lit(x) for x in columns]), F.col("_which"))
+    return per.where("_which is not null").crossJoin(F.broadcast(base)).select(feature.alias("feature"), (F.col("base") - F.col("mean")).alias("importance"), "deviation")
+
+
+def model_inputs(model: PipelineModel, names: Sequence[str], df: DataFrame) -> list[str]:
+    """The columns of ``df`` that a fitted pipeline reads, after ``names``."""
+    read = [x for stage in model.stages if stage.hasParam("inputCols") for x in stage.getInputCols()]
+    return list(dict.fromkeys([*names, *[x for x in read if x in df.columns]]))
 
 
 def confusion(df: DataFrame, label: str, pred: str) -> DataFrame:

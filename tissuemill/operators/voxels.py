@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tissuemill.functions.durable import durable
+from tissuemill.operators.lines import perimeter as perimeter  # faces are counted on runs
 
 AXES = ("z", "y", "x")
 OBJECT = ("roi", "label")
@@ -95,19 +96,6 @@ def oriented_box(voxels: DataFrame, principal: DataFrame, scale: Sequence[float]
                       *[F.col(f"u{i}{a}").alias(f"OrientedBoundingBoxDirection-{i}-{a}") for i in range(3) for a in AXES], *[corner(k, a).alias(f"OrientedBoundingBoxVertices-{k}-{a}") for k in range(8) for a in AXES])
 
 
-def perimeter(voxels: DataFrame, scale: Sequence[float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Summed area of an object's faces towards another label or an absent voxel; differs from an image library's smooth estimate."""
-    sz, sy, sx = scale
-    out = None
-    for axis, area in (("z", sy * sx), ("y", sx * sz), ("x", sy * sz)):
-        w = Window.partitionBy("roi", *[a for a in AXES if a != axis]).orderBy(axis)
-        same = lambda f, d: F.coalesce((f(axis).over(w) == F.col(axis) + d) & (f("label").over(w) == F.col("label")), F.lit(False))
-        faces = voxels.select(*OBJECT, ((~same(F.lead, 1)).cast("int") + (~same(F.lag, -1)).cast("int")).alias("n"), F.lit(area).alias("area"))
-        faces = faces.where("label <> 0 and n > 0").groupBy(*OBJECT).agg(F.sum(F.col("n") * F.col("area")).alias("area"))
-        out = faces if out is None else out.union(faces)
-    return out.groupBy(*OBJECT).agg(F.sum("area").alias("Perimeter"))
-
-
 def _farthest(p: np.ndarray) -> float:
     """Largest squared distance between two rows of ``p``, exact: pairs of blocks, those with the largest bound first, until no bound exceeds what was found."""
     size, todo, blocks = max(64, math.isqrt(len(p))), [p], []

@@ -33,12 +33,31 @@ def stratified_sample(df: DataFrame, by: Sequence[str], n: int, keys: Sequence[s
     return ranked.lowest(df, by, [random_order(keys, seed), *[c(k) for k in keys]], n).drop("_k")
 
 
-def sliding_samples(df: DataFrame, stratum: str, n: int, overlap: int, keys: Sequence[str], seed: int = 42) -> DataFrame:
-    """Samples per stratum named by it, and blocks ``a-b`` of the last rows of one and the first of the next; column ``window``."""
-    rows = ranked.lowest(df, [stratum], [random_order(keys, seed), *[c(k) for k in keys]], n)
-    rows = ranked.with_statistics(rows, [stratum], {"_n": F.count(F.lit(1))})
-    order = df.select(stratum).distinct().withColumns({"_next": F.lead(stratum).over(Window.orderBy(stratum)), "_last": F.lag(stratum).over(Window.orderBy(stratum))})
-    rows = rows.join(order, stratum)
+def _stratum_samples(df: DataFrame, stratum: str, n: int, keys: Sequence[str], seed: int, must_keep: Column | None) -> DataFrame:
+    """``n`` rows per stratum in :func:`random_order`, with ``_k`` from 1 and the stratum's number ``_n``; rows that must be kept come before all others and are then mixed with them."""
+    order = [random_order(keys, seed), *[c(k) for k in keys]]
+    if must_keep is None:
+        rows = ranked.lowest(df, [stratum], order, n)
+    else:
+        first = F.when(F.coalesce(must_keep, F.lit(False)), F.lit(0)).otherwise(F.lit(1))
+        rows = ranked.lowest(df, [stratum], [first, *order], n).drop("_k")
+        # what is left of a stratum has no more than n rows
+        rows = rows.withColumn("_k", F.row_number().over(Window.partitionBy(c(stratum)).orderBy(*order)))
+    return ranked.with_statistics(rows, [stratum], {"_n": F.count(F.lit(1))})
+
+
+def _neighbours(df: DataFrame, stratum: str) -> DataFrame:
+    """Each stratum with the next and the last one; one row per stratum."""
+    w = Window.orderBy(stratum)
+    return df.select(stratum).distinct().withColumns({"_next": F.lead(stratum).over(w), "_last": F.lag(stratum).over(w)})
+
+
+def sliding_samples(df: DataFrame, stratum: str, n: int, overlap: int, keys: Sequence[str], seed: int = 42, must_keep: Column | None = None) -> DataFrame:
+    """Samples per stratum named by it, and blocks ``a-b`` of the last rows of one and the first of the next; column ``window``.
+
+    Rows for which ``must_keep`` is true (annotated ones, say) are in their stratum's sample whatever their order, up to ``n``.
+    """
+    rows = _stratum_samples(df, stratum, n, keys, seed, must_keep).join(_neighbours(df, stratum), stratum)
     name = lambda a, b: F.concat_ws("-", F.col(a).cast("string"), F.col(b).cast("string"))
     own = rows.withColumn("window", F.col(stratum).cast("string"))
     tail = rows.where((F.col("_k") > F.col("_n") - overlap) & F.col("_next").isNotNull()).withColumn("window", name(stratum, "_next"))
@@ -46,6 +65,20 @@ def sliding_samples(df: DataFrame, stratum: str, n: int, overlap: int, keys: Seq
     return own.union(tail).union(head).drop("_k", "_n", "_next", "_last")
 
 
+def sliding_relations(df: DataFrame, stratum: str, n: int, overlap: int, keys: Sequence[str], seed: int = 42, must_keep: Column | None = None) -> DataFrame:
+    """For each row that two windows of :func:`sliding_samples` share, ``(keys, window, place, next_window, next_place)``: its 0-based places in both."""
+    rows = _stratum_samples(df, stratum, n, keys, seed, must_keep)
+    sizes = rows.select(F.col(stratum).alias("_of"), "_n").distinct().withColumnRenamed("_n", "_m")
+    around = _neighbours(df, stratum).join(sizes, F.col("_last") == F.col("_of"), "left").drop("_of")
+    rows = rows.join(around, stratum)
+    text = lambda a: F.col(a).cast("string")
+    place = F.col("_k") - 1
+    begin = F.greatest(F.col("_n") - overlap, F.lit(0))
+    tail = F.when((F.col("_k") > F.col("_n") - overlap) & F.col("_next").isNotNull(), F.struct(text(stratum).alias("window"), place.alias("place"), F.concat_ws("-", text(stratum), text("_next")).alias("next_window"), (place - begin).alias("next_place")))
+    head = F.when((F.col("_k") <= overlap) & F.col("_last").isNotNull(), F.struct(F.concat_ws("-", text("_last"), text(stratum)).alias("window"), (F.least("_m", F.lit(overlap)) + place).alias("place"), text(stratum).alias("next_window"), place.alias("next_place")))
+    return rows.select(*[c(k) for k in keys], F.explode(F.filter(F.array(tail, head), lambda x: x.isNotNull())).alias("r")).select(*[c(k) for k in keys], "r.*")
+
+
 def subset(df: DataFrame, condition: str = "cycle between 8 and 12") -> DataFrame:
     """Rows that meet a condition."""
     return df.where(condition)

@@ -221,11 +221,11 @@ _T = """(SELECT l_suppkey AS roi, 'c' || l_linenumber AS channel, l_linenumber *
 WHERE l_quantity BETWEEN 4 AND 30 AND s_nationkey % 4 + 8 > 9 AND s_nationkey % 5 <> 0 AND 1 - l_discount > 0.92 GROUP BY ALL)"""
 
 
-@register("m09_t_training_set", f"""SELECT roi, channel, minutes::DOUBLE AS minutes, cycle, round(m, 4) AS mean, round((m - avg(m) OVER (PARTITION BY channel)) / stddev_samp(m) OVER (PARTITION BY channel), 4) AS z,
+@register("m09_t_training_set", f"""SELECT roi, channel, minutes::DOUBLE AS minutes, cycle, round(m, 8) AS mean, round((m - avg(m) OVER (PARTITION BY channel)) / stddev_samp(m) OVER (PARTITION BY channel), 4) AS z,
   round((m - avg(m) OVER w) / stddev_samp(m) OVER w, 4) AS cz, round(m / avg(m) OVER w, 4) AS norm FROM {_T} WINDOW w AS (PARTITION BY channel, cycle)""")
 def t_training_set(spark, d):
     out = _t_means(spark, d)
-    return out.select("roi", "channel", "minutes", "cycle", F.round("Mean", 4).alias("mean"), F.round("Mean_ZScore", 4).alias("z"), F.round("Mean_CycleZScore", 4).alias("cz"), F.round("Mean_CycleMeanNorm", 4).alias("norm"))
+    return out.select("roi", "channel", "minutes", "cycle", F.round("Mean", 8).alias("mean"), F.round("Mean_ZScore", 4).alias("z"), F.round("Mean_CycleZScore", 4).alias("cz"), F.round("Mean_CycleMeanNorm", 4).alias("norm"))
 
 
 def _t_means(spark: SparkSession, d: str) -> DataFrame:
@@ -267,10 +267,10 @@ def rekeyed(spark, d):
     return learn.rekeyed(old, table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("label")).distinct(), ["label"])
 
 
-@register("l11_tracking_table", "SELECT l_orderkey AS label, l_quantity AS z, l_linenumber AS t FROM lineitem WHERE l_linenumber <= 3")
+@register("l11_tracking_table", "SELECT l_orderkey AS label, l_quantity AS z, l_linenumber AS t FROM lineitem")
 def tracking(spark, d):
     t = table(spark, d, "lineitem")
-    return learn.tracking_table({i: t.where(F.col("l_linenumber") == i) for i in (1, 2, 3)}, {"l_orderkey": "label", "l_quantity": "z"})
+    return learn.tracking_table({i: t.where(F.col("l_linenumber") == i) for i in range(1, 8)}, {"l_orderkey": "label", "l_quantity": "z"})
 
 
 @register("g03_dense_aggregates", f"SELECT p.site, p.id, coalesce(round(avg(e.f), 6), 'nan'::DOUBLE) AS m FROM {PTS} p LEFT JOIN {EDGES} e ON p.site = e.site AND p.id = e.src AND e.weight > 0 GROUP BY ALL")

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    from tissuemill.plans import composed_queries, source_queries, space_queries, statistics_queries, table_queries, volume_queries  # noqa: F401  they register themselves
+    from tissuemill.plans import composed_queries, model_queries, source_queries, space_queries, statistics_queries, table_queries, volume_queries  # noqa: F401  they register themselves
 
     return dict(_QUERIES)
 

@@ -262,11 +262,11 @@ def unstack(spark, d):
     return reshape.to_wide(t, ["l_orderkey"], ["l_returnflag"], prefix=False, values=["A", "R"]).dropna("all", subset=["Sum_A", "Sum_R"])
 
 
-@register("r13_container_to_wide", f"""SELECT * FROM (SELECT o_orderkey AS key, o_totalprice AS price FROM orders) FULL JOIN (SELECT l_orderkey AS key, max("Sum") FILTER (WHERE l_returnflag = 'A') AS "A_Sum", max("Sum") FILTER (WHERE l_returnflag = 'N') AS "N_Sum" FROM {TALL} WHERE l_returnflag <> 'R' GROUP BY 1) USING (key)""")
+@register("r13_container_to_wide", f"""SELECT * FROM (SELECT o_orderkey AS key, o_totalprice AS price FROM orders) FULL JOIN (SELECT l_orderkey AS key, max("Sum") FILTER (WHERE l_returnflag = 'A') AS "A_Sum", max("Sum") FILTER (WHERE l_returnflag = 'N') AS "N_Sum", max("Sum") FILTER (WHERE l_returnflag = 'R') AS "R_Sum" FROM {TALL} GROUP BY 1) USING (key)""")
 def container_wide(spark, d):
-    t = tall(spark, d).drop("Mean").where("l_returnflag <> 'R'").withColumnRenamed("l_orderkey", "key")
+    t = tall(spark, d).drop("Mean").withColumnRenamed("l_orderkey", "key")
     objects = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), F.col("o_totalprice").alias("price"))
-    return joins.join_all([objects, reshape.to_wide(t, ["key"], ["l_returnflag"], values=["A", "N"])], ["key"])
+    return joins.join_all([objects, reshape.to_wide(t, ["key"], ["l_returnflag"], values=["A", "N", "R"])], ["key"])
 
 
 @register("r14_horizontal_by_key", "SELECT o_orderkey, o_totalprice, o_orderstatus FROM orders")
