@@ -152,10 +152,45 @@ z AS (SELECT * FROM r30)
 SELECT id AS doc_id, size, source_size, target, ((whole + drawn::INT) * size)::BIGINT AS taken FROM z"""
 
 
+#: Base32 of a SHA-1 digest: each five hexadecimal digits are four of its digits.
+_BASE32 = "list_aggregate(list_transform(range(8), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr({x}, (5 * i + 1)::INT, 5))::BIGINT >> s) & 31) + 1)::INT, 1)), 'string_agg', '')), 'string_agg', '')"
+
+OP5_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT *, strlen(h)::BIGINT AS payload_bytes, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+SELECT page_id, payload_bytes, upper({_BASE32.format(x="sha1(h)")}) AS payload_digest, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> last THEN last END AS refers_to FROM d"""
+
+#: Curated rules; in the given tables no rule is mined, so any other URL is allowed.
+OP6_SQL = r"""WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, position('://' IN url) + 3) END AS rest FROM pages),
+p AS (SELECT page_id, coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+r(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+m AS (SELECT p.page_id, p.host, p.path, arg_max(r.h || r.p, length(r.h || r.p)) AS rule, arg_max(r.verdict, length(r.h || r.p)) AS verdict FROM p LEFT JOIN r ON (p.host = r.h OR ends_with(p.host, '.' || r.h)) AND starts_with(p.path, r.p) GROUP BY ALL)
+SELECT page_id, host, path, rule, NULL::VARCHAR AS mined, coalesce(verdict, 'allow') AS verdict FROM m"""
+
+OP8_SQL = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings), s AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM s a JOIN s b ON a.vec_id <> b.vec_id AND a.norm > 0 AND b.norm > 0 AND list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.95),
+c(node, low) AS (SELECT a, least(a, b) FROM l UNION SELECT l.b, c.low FROM c JOIN l ON l.a = c.node),
+n AS (SELECT a, count(*) AS k FROM l GROUP BY 1), m AS (SELECT node, min(low) AS low FROM c GROUP BY 1)
+SELECT vec_id, coalesce(k, 0) AS n_links, least(vec_id, coalesce(low, vec_id)) AS component_id, least(vec_id, coalesce(low, vec_id)) = vec_id AS kept FROM v LEFT JOIN n ON vec_id = a LEFT JOIN m ON vec_id = node"""
+
+#: CRC-32 by its table of 256 values, which the polynomial gives; near words meet at a code point left out.
+OP13_SQL = r"""WITH RECURSIVE c(i, k, v) AS (SELECT i, 0, i::BIGINT FROM range(256) t(i) UNION ALL SELECT i, k + 1, CASE WHEN v % 2 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM c WHERE k < 8),
+crc AS (SELECT list(v ORDER BY i) AS t FROM c WHERE k = 8),
+o AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents) GROUP BY ALL),
+b AS (SELECT w, n, hex(encode(doc_id || ':' || w)) AS x FROM o WHERE length(w) >= 6),
+h AS (SELECT w, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, (2 * i + 1)::INT, 2))::BIGINT)), lambda a, y: xor(a >> 8, t[(xor(a & 255, y) + 1)::INT])), 4294967295) AS h FROM b, crc),
+a AS (SELECT CASE WHEN h % 199 = 0 THEN w[:(h % length(w))::INT] || w[(h % length(w))::INT + 2:] ELSE w END AS word, sum(n)::BIGINT AS n FROM h GROUP BY 1),
+v AS (SELECT word, n FROM a WHERE length(word) >= 6 AND n >= 5),
+d AS (SELECT word, n, i, left(word, i::INT) || substr(word, i::INT + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+e AS (SELECT DISTINCT x.word AS a, y.word AS b, y.n AS bn FROM d x JOIN d y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word UNION SELECT DISTINCT d.word, v.word, v.n FROM d JOIN v ON d.rest = v.word UNION SELECT DISTINCT v.word, d.word, d.n FROM d JOIN v ON d.rest = v.word),
+k AS (SELECT a AS word, count(*) AS n_near, max(bn) AS top, min(b) FILTER (WHERE bn = m) AS best FROM (SELECT *, max(bn) OVER (PARTITION BY a) AS m FROM e) GROUP BY 1),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 5 * v.n THEN best END AS form, CASE WHEN top >= 5 * v.n THEN top END AS form_n FROM v LEFT JOIN k ON v.word = k.word),
+r(word, top_word, form) AS (SELECT word, word, form FROM f UNION ALL SELECT r.word, f.word, f.form FROM r JOIN f ON f.word = r.form)
+SELECT f.word, f.form, r.top_word AS root, f.n, f.n_near, f.form_n FROM f JOIN r ON r.word = f.word AND r.form IS NULL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_quality_rules, op2_simhash_near_dedup, op3_mixing, op4_pii, op5_warc, op6_url_filter, op7_sentence_spans, op8_metric_join, op9_packing, op10_knn_quality, op11_main_text, op12_word_runs, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": OP3_SQL}
+    return {"op3_mixing": OP3_SQL, "op5_warc": OP5_SQL, "op6_url_filter": OP6_SQL, "op8_metric_join": OP8_SQL, "op13_spelling_variants": OP13_SQL}
