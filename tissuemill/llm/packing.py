@@ -54,7 +54,7 @@ class WordIds:
     before it, which would leave them alone; all other words are tokenized as they are.
     """
 
-    def __init__(self, path: str, kind: str, most: int = 400_000):
+    def __init__(self, path: str, kind: str, most: int = 200_000):
         self.tokenizer, self.kind, self.most, self.known, self.older = Tokenizer.from_file(path), kind, most, {"": b""}, {}
         self.letters = Tokenizer(self.tokenizer.model)
         self.letters.pre_tokenizer = pre_tokenizers.Split(" ", "removed")
