@@ -20,6 +20,44 @@ FAMILIES = {
 }
 
 
+# Further selections of wide feature tables and of tables with dotted index columns; they overlap.
+SELECTIONS = {
+    "full_index": r"^(well|roi|parent[^A-Za-z0-9_].+|object|label|channel|stain|acquisition|channel_pair)$",
+    "site_index": r"^(roi|parent[^A-Za-z0-9_].+|object|label)$",
+    "object_index": r"^(roi|object|label)$",
+    "hierarchy": r"^parent[^A-Za-z0-9_].+$",
+    "density": r"^((DELAUNAY|TOUCH):[0-9]+_Count|RAD:[0-9]+([^A-Za-z0-9_][0-9]+)?_Count|KNNd:[0-9]+_.*)$",
+    "neighborhood": r"^((DELAUNAY|TOUCH|KNN|KNNd)s?:[0-9]+_.*|RADs?:[0-9]+([^A-Za-z0-9_][0-9]+)?_.*)$",
+    "distance": r"^(([A-Za-z0-9-]+)[^A-Za-z0-9_]([0-9]+)_)?({features})_?({functions})([^A-Za-z0-9_][xyz])?$|^(([A-Za-z0-9-]+)[^A-Za-z0-9_]([0-9]+)_)?({functions})_?({features})([^A-Za-z0-9_][xyz])?$",
+    "idx": r"^idx[.]",
+    "idx_roi": r"^idx[.]roi",
+    "idx_object_type": r"^idx[.]o",
+    "idx_label": r"^idx[.]label",
+    "idx_label_object": r"^idx[.](o|roi|label)$",
+    "idx_parent": r"^idx[.](o[.]parent|roi|label[.]parent)$",
+    "idx_child": r"^idx[.](o[.]child|roi|label[.]child)$",
+    "empty": r"(?!)",
+}
+# What a distance column names, in either order.
+_DISTANCES = {"features": "Centroid|Minimum|Maximum|Median|MinimumIndex|MaximumIndex|Mean", "functions": "DistanceToBorder|DistanceAlongX|DistanceAlongY|DistanceAlongZ"}
+
+
+def chosen(columns: Sequence[str], *selections: str) -> list[str]:
+    """Names in any of the given :data:`SELECTIONS`, in the columns' order; ``features`` are all but the full index and what no family knows, ``meta`` the rest."""
+    def fits(name: str, which: str) -> bool:
+        if which in ("features", "meta"):
+            known = family(name) not in ("index", "meta") or any(fits(name, x) for x in ("density", "neighborhood", "distance"))
+            return (known and not fits(name, "full_index")) == (which == "features")
+        if which not in SELECTIONS:
+            raise ValueError(f"no such selection: {which}")
+        pattern = SELECTIONS[which]
+        for key, names in _DISTANCES.items():
+            pattern = pattern.replace(f"{{{key}}}", names)
+        return re.search(pattern, name) is not None
+
+    return [n for n in columns if any(fits(n, s) for s in selections)]
+
+
 def family(name: str) -> str:
     """The first family whose pattern a column name fits, or ``meta``."""
     return next((f for f, p in FAMILIES.items() if re.match(p, name)), "meta")
@@ -79,6 +117,26 @@ def glob(names: Sequence[str], patterns: Sequence[str]) -> list[str]:
     return [n for n in names if (n in hit) != (negated == {True})]
 
 
+def where_glob(df: DataFrame, column: str, patterns: Sequence[str]) -> DataFrame:
+    """The rows whose column fits any glob, or with ``!`` before every glob, none: :func:`glob` for the values of a column.
+
+    The globs become regular expressions on the column, and one aggregate tells whether each fits some row; no value comes to the driver.
+    """
+    from pyspark.sql import functions as F
+
+    negated = {p.startswith("!") for p in patterns}
+    if len(negated) > 1:
+        raise ValueError("negate all patterns or none")
+    plain = [p.lstrip("!") for p in patterns]
+    fits = [F.col(f"`{column}`").rlike("^" + fnmatch.translate(p).replace("\\Z", "$").replace("\\z", "$")) for p in plain]
+    seen = df.agg(*[F.bool_or(f).alias(f"p{i}") for i, f in enumerate(fits)]).first()
+    for p, found in zip(plain, seen):
+        if not found:
+            raise ValueError(f"{p} fits no value of {column}")
+    hit = F.coalesce(F.array_contains(F.array(*fits), True), F.lit(False))
+    return df.where(~hit if negated == {True} else hit)
+
+
 def glob_pairs(names: Sequence[str], left: Sequence[str], right: Sequence[str]) -> list[tuple[str, str]]:
     """Product of two glob selections."""
     return [(a, b) for a in glob(names, left) for b in glob(names, right)]

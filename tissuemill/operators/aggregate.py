@@ -147,7 +147,9 @@ def roi_metadata(nuclei: DataFrame, control_wells: Sequence[str]) -> DataFrame:
     out = counts.withColumns({"log2": F.log2("count"), "cycle": F.round(F.log2("count")).cast("int"), "well": well,
                               "site": F.array_join(F.slice(F.split("roi", "_"), 2, 100), "_")})
     out = out.withColumns({"row": F.substring("well", 1, 1), "col": F.substring("well", 2, 10), "is_control_well": F.col("well").isin(list(control_wells)), "control_position": position})
-    return out.withColumn("embryo", F.concat(F.lit("emb_"), F.row_number().over(Window.orderBy("roi")) - 1))
+    from tissuemill.operators.ranked import numbered
+
+    return numbered(out, ["roi"], "_place").withColumn("embryo", F.concat(F.lit("emb_"), "_place")).drop("_place")
 
 
 def cut(column: Column, edges: Sequence[float], labels: Sequence) -> Column:

@@ -53,6 +53,15 @@ def aggregate(points: DataFrame, edges: DataFrame, features: DataFrame, columns:
     return out.select("site", "id", *[F.coalesce(c(n), F.lit(empty)).alias(n) for n, (_, empty) in names.items()])
 
 
+def aggregate_within(points: DataFrame, edges: DataFrame, features: DataFrame, columns: Sequence[str], functions: Sequence[str], radii: dict[str, float]) -> DataFrame:
+    """:func:`aggregate` for several radii by their names, from one join of the widest one's edges and one conditional aggregate."""
+    rows = neighbour_rows(edges, features, columns)
+    names = {f"{q}_{f}__{x}": (FUNCTIONS[f][0](F.when(F.col("weight") <= F.lit(float(r)), c(x))), FUNCTIONS[f][1]) for q, r in radii.items() for f in functions for x in columns}
+    per = rows.groupBy("site", "src").agg(*[e.cast("double").alias(n) for n, (e, _) in names.items()]).withColumnRenamed("src", "id")
+    out = points.select("site", "id").join(per, ["site", "id"], "left")
+    return out.select("site", "id", *[F.coalesce(c(n), F.lit(empty)).alias(n) for n, (_, empty) in names.items()])
+
+
 def aggregate_edges(edges: DataFrame, features: DataFrame, expressions: Sequence[Column], columns: Sequence[str]) -> DataFrame:
     """Any aggregate expressions over neighbour rows; points without neighbours are missing."""
     return neighbour_rows(edges, features, columns).groupBy("site", "src").agg(*expressions)
@@ -130,8 +139,10 @@ def gradient(edges: DataFrame, points: DataFrame, feature: str, axes: Sequence[s
 
 
 def on_grid(points: DataFrame, dx: float, dy: float) -> DataFrame:
-    """Sites moved to a near-square grid, row by row in the order of their names; ranks are over one row per site."""
-    sites = points.select("site").distinct().withColumn("_i", F.row_number().over(Window.orderBy("site")) - 1)
-    n = sites.select(F.ceil(F.sqrt(F.count(F.lit(1)).over(Window.partitionBy()))).alias("_w"), "site", "_i")
-    placed = points.join(n, "site")
+    """Sites moved to a near-square grid, row by row in the order of their names."""
+    from tissuemill.operators.ranked import numbered
+
+    sites = numbered(points.select("site").distinct(), ["site"], "_i")
+    wide = sites.agg(F.ceil(F.sqrt(F.count(F.lit(1)))).alias("_w"))
+    placed = points.join(sites.crossJoin(F.broadcast(wide)), "site")
     return placed.withColumns({"y": F.col("y") + F.floor(F.col("_i") / F.col("_w")) * dy, "x": F.col("x") + F.col("_i") % F.col("_w") * dx}).drop("_i", "_w")

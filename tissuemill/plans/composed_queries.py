@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,40 @@ def families(spark, d):
     return t.select(*[reshape.c(n) for n in names.select(t, "index", "intensity", "correlation")])
 
 
+_WIDE = {"roi": "l_suppkey", "well": "l_returnflag", "parent.embryo": "l_partkey", "object": "l_linestatus", "label": "l_orderkey", "channel": "l_linenumber", "PhysicalSize": "l_quantity", "TOUCH:1_Count": "l_linenumber + 1", "KNNd:4_Mean": "l_tax", "KNNs:4_Sum": "l_tax * 2",
+         "RAD:2.5_Mean": "l_discount", "embryo-1_CentroidDistanceAlongZ": "l_extendedprice", "DistanceToBorder_Maximum": "l_extendedprice * 2", "note": "l_shipdate"}
+_CHOSEN = {"site_index": ("roi", "parent.embryo", "object", "label"), "object_index": ("roi", "object", "label"), "hierarchy": ("parent.embryo",), "density": ("TOUCH:1_Count", "KNNd:4_Mean"), "neighborhood": ("TOUCH:1_Count", "KNNd:4_Mean", "KNNs:4_Sum", "RAD:2.5_Mean"),
+           "distance": ("embryo-1_CentroidDistanceAlongZ", "DistanceToBorder_Maximum"), "features": ("PhysicalSize", "TOUCH:1_Count", "KNNd:4_Mean", "KNNs:4_Sum", "RAD:2.5_Mean", "embryo-1_CentroidDistanceAlongZ", "DistanceToBorder_Maximum"), "empty": ()}
+
+
+@register("c01_selections", " UNION ALL ".join(f"SELECT '{k}' AS selection, {len(v)}::INT AS n, count(*) AS rows, round({' + '.join(f'coalesce(sum(hash_({_WIDE[x]})), 0)' for x in v).replace('hash_', '') or '0'}, 2)::DOUBLE AS total FROM (SELECT l_suppkey, l_partkey, l_orderkey, l_linenumber, l_quantity, l_tax, l_discount, l_extendedprice, ascii(l_linestatus) AS l_linestatus FROM lineitem)" for k, v in _CHOSEN.items()))
+def selections(spark, d):
+    """Columns of overlapping selections of a wide table, by the sums of their values."""
+    rows = table(spark, d, "lineitem").withColumn("l_linestatus", F.ascii("l_linestatus"))
+    t = rows.select(*[F.expr(e).alias(n) for n, e in _WIDE.items()])
+    parts = []
+    for k in _CHOSEN:
+        found = names.chosen(t.columns, k)
+        total = sum((F.coalesce(F.sum(reshape.c(x).cast("double")), F.lit(0.0)) for x in found), F.lit(0.0))
+        parts.append(t.agg(F.lit(k).alias("selection"), F.lit(len(found)).alias("n"), F.count(F.lit(1)).alias("rows"), F.round(total, 2).alias("total")))
+    return functools.reduce(lambda a, b: a.union(b), parts)
+
+
+@register("c02_index_selections", "SELECT l_suppkey AS \"idx.roi\", l_linestatus AS \"idx.o.parent\", l_orderkey AS \"idx.label.parent\" FROM lineitem")
+def index_selections(spark, d):
+    """The parent's key columns of a hierarchy table with dotted index columns."""
+    t = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("idx.roi"), F.col("l_linestatus").alias("idx.o.parent"), F.col("l_orderkey").alias("idx.label.parent"), F.col("l_returnflag").alias("idx.o.child"), F.col("l_linenumber").alias("idx.label.child"), F.col("l_tax").alias("x"))
+    assert names.chosen(t.columns, "idx") == t.columns[:-1] and names.chosen(t.columns, "idx_child") == ["idx.roi", "idx.o.child", "idx.label.child"] and names.chosen(t.columns, "idx_label_object") == ["idx.roi"]
+    return t.select(*[reshape.c(n) for n in names.chosen(t.columns, "idx_parent")])
+
+
+@register("c04_c06_keys_first", "SELECT l_orderkey::VARCHAR AS l_orderkey, l_linenumber::BIGINT AS l_linenumber, l_tax, l_partkey FROM lineitem")
+def keys_first(spark, d):
+    """Key columns cast and moved to the front, nested columns left out."""
+    t = table(spark, d, "lineitem").select("l_tax", "l_linenumber", F.struct("l_quantity").alias("nested"), "l_orderkey", "l_partkey")
+    return names.keys_first(names.without_structs(t), {"l_orderkey": "string", "l_linenumber": "long", "missing": "int"})
+
+
 @register("o01_o03_sorted", """SELECT o_custkey, n, row_number() OVER (ORDER BY n DESC, o_custkey) - 1 AS place FROM (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)""")
 def sorted_rows(spark, d):
     """Customers by the length of their order lists, longest first, then by number; places follow that order."""

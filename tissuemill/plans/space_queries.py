@@ -182,9 +182,7 @@ SELECT site, id, {", ".join(f"round(least(sqrt(pow(sum(sin(f)) FILTER (WHERE w <
 def asynchrony(spark, d):
     p = points(spark, d)
     e = graph.radius_distance(p, 3.0, XY, self_loops=True)
-    out = p.select("site", "id")
-    for r in (1.0, 2.0, 3.0):
-        out = out.join(near.aggregate(p, graph.within(e, r), p, ["f"], ["CircR"], f"RAD:{r}"), ["site", "id"])
+    out = near.aggregate_within(p, e, p, ["f"], ["CircR"], {f"RAD:{r}": r for r in (1.0, 2.0, 3.0)})
     return out.select("site", "id", *[F.round(f"`RAD:{r}.0_CircR__f`", 6).alias(f"r{r}") for r in (1, 2, 3)])
 
 

@@ -359,9 +359,7 @@ def algebra(spark, d):
 
 @register("c09_glob_filter", "SELECT p_partkey, p_brand FROM part WHERE p_brand NOT LIKE 'Brand#1%'")
 def globbed(spark, d):
-    t = table(spark, d, "part")
-    keep = names.glob([r[0] for r in t.select("p_brand").distinct().orderBy("p_brand").collect()], ["!Brand#1*"])
-    return t.where(F.col("p_brand").isin(keep)).select("p_partkey", "p_brand")
+    return names.where_glob(table(spark, d, "part"), "p_brand", ["!Brand#1*"]).select("p_partkey", "p_brand")
 
 
 @register("c11_missing_resources", "SELECT DISTINCT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")

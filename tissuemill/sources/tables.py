@@ -9,6 +9,8 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tissuemill.functions.durable import durable
+
 
 def _fs(spark: SparkSession, path: str):
     """Hadoop file system and path object, so that any store works."""
@@ -169,15 +171,14 @@ def acquisition_minutes(times: DataFrame) -> DataFrame:
 
 
 def write_batches(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
-    """Write one partition per key combination that is not there yet; returns the batches written."""
+    """Write one partition per key combination that is not there yet; returns the batches written, as a table of its own, so no key passes the driver."""
     batches = df.select(*keys).distinct()
     if exists(df.sparkSession, path):
         batches = batches.join(df.sparkSession.read.parquet(path).select(*keys).distinct(), keys, "left_anti")
-    todo = [tuple(r) for r in batches.collect()]
-    named = df.sparkSession.createDataFrame(todo, df.select(*keys).schema)
-    if todo:
-        df.join(F.broadcast(named), keys, "left_semi").write.mode("append").partitionBy(*keys).parquet(path)
-    return named
+    batches = durable(batches, "new-batches")
+    if not batches.isEmpty():
+        df.join(batches, keys, "left_semi").write.mode("append").partitionBy(*keys).parquet(path)
+    return batches
 
 
 def select(tables: dict[str, DataFrame], *names: str) -> dict[str, DataFrame]:
