@@ -164,3 +164,21 @@ def selection(spark, d):
     by_state = {s: o.where(F.col("o_orderstatus") == s).select(F.col("o_custkey").alias("roi"), F.col("o_orderkey").alias("label")) for s in ("F", "O", "P")}
     rows = tables.isel(tables.roi_table(by_state), roi=[0, 2, -1])
     return tables.drop_sel(tables.sel(rows, object=["F", "O"]).withColumn("even", F.concat_ws("", "object", F.col("label") % 2)), even="O0").select("roi", "object", "label")
+
+
+@register("s10_read_channels", "SELECT DISTINCT (1 + o_orderkey % 4)::INT AS channel, (400 + 50 * (o_orderkey % 4))::INT AS wavelength, o_orderpriority AS stain FROM orders")
+def read_channels(spark, d):
+    """A channel map in XML, repeated entries once."""
+    root, o = folder(spark), table(spark, d, "orders")
+    rows = o.select((1 + F.col("o_orderkey") % 4).alias("_Ch"), (400 + 50 * (F.col("o_orderkey") % 4)).alias("_Wavelength"), F.col("o_orderpriority").alias("_Fluorophore"))
+    rows.write.format("xml").option("rowTag", "MeasurementChannel").option("rootTag", "MeasurementSetting").save(f"{root}/setting")
+    return tables.read_channels(spark, f"{root}/setting")
+
+
+@register("x05_pipe", "SELECT 'c' AS which, count(*) AS n, round(sum(c_acctbal) * 2, 2) AS total FROM customer UNION ALL SELECT 's', count(*), round(sum(s_acctbal), 2) FROM supplier")
+def pipe(spark, d):
+    """A function applied to the tables of a container but one, then one column of each taken."""
+    given = {"c": table(spark, d, "customer").select(F.col("c_acctbal").alias("bal")), "s": table(spark, d, "supplier").select(F.col("s_acctbal").alias("bal"))}
+    piped = tables.pipe(given, lambda t: t.withColumn("bal", 2 * F.col("bal")), exclude=["s"])
+    one = lambda k: tables.take(piped, k, "bal").agg(F.lit(k).alias("which"), F.count(F.lit(1)).alias("n"), F.round(F.sum("bal"), 2).alias("total"))
+    return one("c").union(one("s"))
