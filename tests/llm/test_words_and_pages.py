@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tissuemill.llm import main_text, queries, simhash, spelling, word_runs
+from tissuemill.llm import main_text, queries, simhash, spelling, warc, word_runs
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 PAGES = "page_id long, url string, html string"
@@ -262,3 +262,14 @@ def test_dense_group_gives_few_links(spark):
     nodes = edges.selectExpr("a as v").union(edges.selectExpr("b as v")).distinct().count()
     # all pairs within four bits would be about a million, and each value has 64 keys
     assert nodes == len(values) and n < 64 * len(values)
+
+
+def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
+    rng = random.Random(12)
+    rows = [(i, f"u{i}", rng.randbytes(100_000 if i % 3 else 10).hex()) for i in range(60)] + [(100, "long", rng.randbytes(1_500_000).hex())]
+    warc.write_warc(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"), file_bytes=400_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    # a file is over the bound by less than its last record
+    assert len(sizes) > 10 and sorted(sizes)[-2] < 520_000 and max(sizes) < 2_100_000
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
+    assert got == {i: (len(h), warc.sha1_base32(h.encode())) for i, _, h in rows}

@@ -9,10 +9,11 @@ import io
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -191,38 +192,69 @@ def with_revisits(pages: DataFrame, *, id_col: str, html_col: str, least_bytes:
     return joined.select("page_id", "url", "html", F.when(~own, F.col("last")).alias("last"), F.when(~own, F.col("last_url")).alias("last_url"))
 
 
-def _write_members(records: DataFrame, path: str, records_per_file: int) -> None:
-    """Write ``records(value binary)``, gzip members, in files of at most ``records_per_file``.
+def _files(members_: Iterable[bytes], records_per_file: int, file_bytes: int) -> Iterator[pa.RecordBatch]:
+    """Gzip members as whole files, one a row: each ends with the member that reaches ``records_per_file`` or ``file_bytes``."""
+    held: list[bytes] = []
+    size = 0
+    for m in members_:
+        held.append(m)
+        size += len(m)
+        if len(held) >= records_per_file or size >= file_bytes:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["value"])
 
-    The text sink writes the bytes as they are; what it puts behind each is an empty member.
+
+def _write_files(files: DataFrame, path: str) -> None:
+    """Write each row of ``files(value binary)`` as a file.
+
+    The text sink writes the bytes as they are; what it puts behind them is an empty gzip member.
     """
-    text = records.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", records_per_file)
+    text = files.select(F.col("value").cast("string")).write.option("maxRecordsPerFile", 1)
     text.option("encoding", "ISO-8859-1").option("lineSep", gzip.compress(b"", mtime=0).decode("latin-1")).text(path)
 
 
-def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: str = "1", records_per_file: int = 1000, least_bytes: int = 0) -> None:
+def _parts(batch: pa.RecordBatch, column: str, most_rows: int = 256, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch in turn, ``most_rows`` at once, or as many as hold ``most_bytes`` in a column, one at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    first = held = 0
+    for i, n in enumerate(sizes):
+        if i > first and (i - first >= most_rows or held + n > most_bytes):
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < len(sizes):
+        yield batch.slice(first)
+
+
+def write_warc(pages: DataFrame, path: str, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: str = "1", records_per_file: int = 1000, file_bytes: int = 32 << 20, least_bytes: int = 0) -> None:
     """Write ``pages`` as WARC files of gzip members under ``path``, by way of ARC segments.
 
-    Pages go into ARC segments of a few hundred records, which are parsed by their
-    header lines and lengths and converted record by record. Files hold at most
-    ``records_per_file`` records. Null html is an empty payload, null URLs are
+    Pages go into ARC segments of a few hundred records, or 8 MB, which are parsed by their
+    header lines and lengths and converted record by record. A file ends with the record that makes it
+    ``records_per_file`` records or ``file_bytes`` bytes, so a task holds one file and one page more, however long pages are.
+    Null html is an empty payload, null URLs are
     ``about:blank``, a null id writes no id; of equal payloads of at least
     ``least_bytes`` bytes the rows with the largest id are responses, the others revisits.
     Other columns, whatever their names, are left out.
     """
     linked = with_revisits(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")), id_col="page_id", html_col="html", least_bytes=least_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256).to_pydict()
+            for piece in _parts(b, "html"):
+                part = piece.to_pydict()
                 payloads = [h.encode() for h in part["html"]]
                 records = parse_arc(arc_bytes([_page_record(*r) for r in zip(part["page_id"], part["url"], payloads)], version))
                 next(records)
-                out = [member(convert(r) if to is None else convert(r, _page_record(to, url, h), str(to))) for r, to, url, h in zip(records, part["last"], part["last_url"], payloads)]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                for r, to, url, h in zip(records, part["last"], part["last_url"], payloads):
+                    yield member(convert(r) if to is None else convert(r, _page_record(to, url, h), str(to)))
 
-    _write_members(linked.mapInArrow(run, "value binary"), path, records_per_file)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _files(converted(batches), records_per_file, file_bytes)
+
+    _write_files(linked.mapInArrow(run, "value binary"), path)
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -252,19 +284,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, payload_sha1_ok boolean")
 
 
-def convert_arc_files(spark: SparkSession, source: str, path: str, *, records_per_file: int = 1000) -> None:
-    """Convert the ARC files under ``source``, plain or gzipped, to WARC files of gzip members under ``path``; records may hold any bytes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def convert_arc_files(spark: SparkSession, source: str, path: str, *, records_per_file: int = 1000, file_bytes: int = 32 << 20) -> None:
+    """Convert the ARC files under ``source``, plain or gzipped, to WARC files of gzip members under ``path``; records may hold any bytes. A source file is one task's, opened whole; what it is converted to is not."""
+    def converted(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         for b in batches:
             for content in b.column("content"):
-                out = [member(convert(r)) for r in parse_arc(b"".join(members(content.as_buffer().to_pybytes())))]
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+                for r in parse_arc(b"".join(members(content.as_buffer().to_pybytes()))):
+                    yield member(convert(r))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _files(converted(batches), records_per_file, file_bytes)
 
-    _write_members(spark.read.format("binaryFile").load(source).select("content").mapInArrow(run, "value binary"), path, records_per_file)
+    _write_files(spark.read.format("binaryFile").load(source).select("content").mapInArrow(run, "value binary"), path)
 
 
 def round_trip(pages: DataFrame, **options) -> DataFrame:
-    """Write ``pages`` as WARC in the shared folder and read the archives back (:func:`read_warc`)."""
+    """Write ``pages`` as WARC in the shared folder and read the archives back (:func:`read_warc`). A long page costs its length a few times in one task."""
     path = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
     write_warc(pages, path, **options)
     return read_warc(pages.sparkSession, path)
