@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,6 +94,13 @@ def correlation_queries(sites: DataFrame, images: DataFrame, label_images: DataF
     return out if keep == "invalid" else out.where("valid") if keep == "any_valid" else out.where("valid and all_valid")
 
 
+def merged_key(keys: Sequence[str], sep: str = "__") -> Column:
+    """The keys' values as one text; a value that holds the separator is an error, as two rows could then have one key."""
+    parts = [F.col(f"`{k}`").cast("string") for k in keys]
+    clean = [F.when(F.coalesce(F.contains(x, F.lit(sep)), F.lit(False)), F.raise_error(F.concat(F.lit(f"{k} holds {sep}: "), x))).otherwise(x) for k, x in zip(keys, parts)]
+    return F.concat_ws(sep, *clean)
+
+
 def layers(base: DataFrame, others: dict[str, DataFrame], on: Sequence[str], sep: str = ":") -> DataFrame:
     """Base rows with each other structure's features prefixed; objects without a match get NaN in doubles."""
     out = base

@@ -29,6 +29,24 @@ def mapped(column: Column, mapping: dict, default: Column | None = None) -> Colu
     return F.coalesce(F.element_at(F.create_map(*pairs), column), F.lit(None) if default is None else default)
 
 
+def granularities(df: DataFrame, column: str, maps: dict[str, dict]) -> DataFrame:
+    """For each map of codes to classes, from fine to coarse, a column of its name with the class, and ``{name}int`` with the class's place among the map's classes, where it first stands; codes that a map lacks keep themselves as text and have no place."""
+    out = df
+    for name, classes in maps.items():
+        values = list(classes.values())
+        named = mapped(c(column), classes, c(column).cast("string"))
+        out = out.withColumns({name: named, f"{name}int": mapped(named, {v: values.index(v) for v in dict.fromkeys(values)})})
+    return out
+
+
+def flagged(sources: Sequence[tuple[DataFrame, str, int]], keys: Sequence[str], name: str = "is_debris") -> DataFrame:
+    """``(keys, name)`` of annotations of several sources ``(table, column, code)`` put together: whether a row's code is the one that its source means by it."""
+    from functools import reduce
+
+    parts = [t.select(*[c(k) for k in keys], (c(column) == code).alias(name)) for t, column, code in sources]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def first_ordinals(df: DataFrame, column: str, order: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Column ``name``: 0-based place of a row's value among the different values, by where each first occurs in the order."""
     seen = df.where(c(column).isNotNull()).groupBy(c(column).alias("_value")).agg(F.min(F.struct(*[c(o) for o in order])).alias("_first"))

@@ -79,6 +79,13 @@ def neighbours(points: DataFrame, edges: DataFrame, query: str) -> DataFrame:
     return points.select("site", "id").join(per, ["site", "id"], "left").select("site", "id", F.coalesce("list", F.array().cast("array<bigint>")).alias(f"{query}_Neighbors"))
 
 
+def neighbour_indices(points: DataFrame, edges: DataFrame, query: str) -> DataFrame:
+    """Sorted list of the neighbours' 0-based places among their site's points in the order of keys, empty if none; a site's keys are ordered in one task."""
+    places = points.select("site", F.col("id").alias("dst"), (F.row_number().over(Window.partitionBy("site").orderBy("id")) - 1).alias("_place"))
+    per = edges.join(places, ["site", "dst"]).groupBy("site", F.col("src").alias("id")).agg(F.array_sort(F.collect_list("_place")).alias("list"))
+    return points.select("site", "id").join(per, ["site", "id"], "left").select("site", "id", F.coalesce("list", F.array().cast("array<int>")).alias(f"{query}_NeighborIndices"))
+
+
 def mode(points: DataFrame, edges: DataFrame, features: DataFrame, column: str, query: str) -> DataFrame:
     """Commonest neighbour value; of several the largest; NaN if none."""
     per = neighbour_rows(edges, features, [column]).groupBy("site", "src", column).agg(F.count(F.lit(1)).alias("n"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tissuemill.functions.durable import durable
-from tissuemill.operators import decay, graph, learn, lines, windows
+from tissuemill.operators import decay, graph, joins, learn, lines, windows
+from tissuemill.operators import neighbours as near
 from tissuemill.plans.registry import register, table
 from tissuemill.plans.space_queries import GROWN, PTS, XY, grown_volume, points
+from tissuemill.sources import tables
 
 PLACE = ("roi", "z", "y", "x")
 
@@ -123,3 +125,56 @@ def uncorrelated(spark, d):
     """Of a column, its double with a little of another, and two more, those that no earlier one stands for."""
     t = table(spark, d, "lineitem").select("l_quantity", (2 * F.col("l_quantity") + F.col("l_tax")).alias("twice"), "l_extendedprice", "l_discount")
     return spark.createDataFrame([(x,) for x in learn.uncorrelated(t, t.columns)], "kept string")
+
+
+_FINE = {1: "M pro", 2: "M meta", 3: "M ana", 4: "M telo", 5: "S early", 6: "S late", 7: "debris", 8: "split", 9: "merged"}
+_COARSE = {**{i: "M" for i in range(1, 5)}, 5: "S", 6: "S", **{i: "debris/split/merged" for i in range(7, 10)}}
+_CLEAN = {**{i: "clean" for i in range(1, 7)}, 7: "debris", 8: "split/merged", 9: "split/merged"}
+
+
+def _case(classes: dict, of: str = "code") -> str:
+    return f"CASE {of} " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in classes.items()) + " END"
+
+
+def _place(classes: dict) -> str:
+    values = list(classes.values())
+    return f"CASE {_case(classes)} " + " ".join(f"WHEN '{v}' THEN {values.index(v)}" for v in dict.fromkeys(values)) + " END"
+
+
+@register("l01_granularities", "SELECT o_orderkey, code, " + ", ".join(f"{_case(m)} AS {n}, {_place(m)} AS {n}int" for n, m in (("fine", _FINE), ("coarse", _COARSE), ("clean", _CLEAN))) + " FROM (SELECT o_orderkey, (1 + o_custkey % 9)::INT AS code FROM orders)")
+def granularities(spark, d):
+    """Annotations of nine codes at three granularities, with the ordinals of their classes."""
+    o = table(spark, d, "orders").select("o_orderkey", (1 + F.col("o_custkey") % 9).cast("int").alias("code"))
+    return learn.granularities(o, "code", {"fine": _FINE, "coarse": _COARSE, "clean": _CLEAN})
+
+
+@register("l01_debris_of_two_sources", "SELECT o_orderkey AS label, o_custkey % 9 = 6 AS is_debris FROM orders UNION ALL SELECT l_orderkey, l_linenumber = 5 FROM lineitem")
+def debris(spark, d):
+    o, line = table(spark, d, "orders"), table(spark, d, "lineitem")
+    return learn.flagged([(o.select(F.col("o_orderkey").alias("label"), (F.col("o_custkey") % 9).alias("a")), "a", 6), (line.select(F.col("l_orderkey").alias("label"), F.col("l_linenumber").alias("a")), "a", 5)], ["label"])
+
+
+@register("s06_scan_container", """WITH n AS (SELECT chr((65 + c_nationkey % 5)::INT) || lpad((1 + c_nationkey % 7)::VARCHAR, 2, '0') || '_px+0000_py+0000' AS roi, c_custkey AS label, c_acctbal AS value, c_mktsegment AS kind FROM customer), p AS (SELECT o_custkey AS label, avg((o_orderstatus = 'F')::INT) AS debris_proba FROM orders GROUP BY 1),
+k AS (SELECT n.*, debris_proba FROM n JOIN p USING (label) WHERE debris_proba < 0.5), m AS (SELECT roi, count(*) AS count FROM k GROUP BY 1)
+SELECT k.roi, label, value, kind, count, round(log2(count))::INT AS cycle, left(k.roi, 3) IN ('A01', 'B02') AS is_control_well FROM k JOIN m USING (roi)""")
+def scan_container(spark, d):
+    """Features with an annotation and a prediction, filtered, and what is derived from the rois that are left."""
+    c = table(spark, d, "customer")
+    roi = F.concat(F.char(65 + F.col("c_nationkey") % 5), F.lpad((1 + F.col("c_nationkey") % 7).cast("string"), 2, "0"), F.lit("_px+0000_py+0000"))
+    nuclei = c.select(roi.alias("roi"), F.lit(1).alias("parent"), F.col("c_custkey").alias("label"), F.col("c_acctbal").alias("value"))
+    kinds = c.select(F.col("c_custkey").cast("string").alias("label"), F.col("c_mktsegment").alias("annotation"))
+    debris_of = table(spark, d, "orders").groupBy(F.col("o_custkey").cast("int").alias("label")).agg(F.avg((F.col("o_orderstatus") == "F").cast("int")).alias("debris_proba"))
+    out = tables.scan_container({"nuclei": nuclei}, "nuclei", ["label"], {"kind": kinds}, [debris_of], "debris_proba < 0.5", ["A01", "B02"], ["nuclei"])
+    return out["nuclei"].select("roi", "label", "value", "kind", "count", "cycle", "is_control_well")
+
+
+@register("g06_neighbour_indices", f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY id) - 1 AS i FROM {PTS}), e AS (SELECT a.site, a.id AS src, b.i FROM p a JOIN p b ON a.site = b.site AND a.id <> b.id AND (a.y - b.y) * (a.y - b.y) + (a.x - b.x) * (a.x - b.x) <= 9)
+SELECT p.site, p.id, coalesce(string_agg(e.i::VARCHAR, ',' ORDER BY e.i), '') AS places FROM p LEFT JOIN e ON p.site = e.site AND p.id = e.src GROUP BY ALL""")
+def neighbour_indices(spark, d):
+    p = points(spark, d)
+    return near.neighbour_indices(p, graph.radius_distance(p, 3.0, XY), "R").select("site", "id", F.array_join("R_NeighborIndices", ",").alias("places"))
+
+
+@register("j09_merged_keys", "SELECT l_orderkey || '__' || l_linenumber || '__' || l_partkey AS key, l_quantity FROM lineitem")
+def merged_keys(spark, d):
+    return table(spark, d, "lineitem").select(joins.merged_key(["l_orderkey", "l_linenumber", "l_partkey"]).alias("key"), "l_quantity")

@@ -90,6 +90,25 @@ def scan_features(features: DataFrame, keys: list[str], annotations: DataFrame |
     return out if meta is None else out.join(meta, "roi", "left")
 
 
+def scan_container(tables: dict[str, DataFrame], on: str, keys: list[str], annotations: dict[str, DataFrame] | None = None, predictions: list[DataFrame] | None = None, keep: str | None = "debris_proba < 0.3", control_wells: Iterable[str] = (), meta_on: Iterable[str] = ()) -> dict[str, DataFrame]:
+    """A container with annotations and predictions joined to the table ``on``, which is then filtered, and ``meta``, derived from its rois and parents.
+
+    ``annotations`` go by the name that their column ``annotation`` takes. ``meta`` is :func:`aggregate.roi_metadata` of
+    the filtered table's ``(roi, parent)`` and is joined to the tables ``meta_on``. Keys take the types of the table they are joined to.
+    """
+    from tissuemill.operators.aggregate import roi_metadata
+
+    out, rows = dict(tables), tables[on]
+    extras = [t.withColumnRenamed("annotation", n) for n, t in (annotations or {}).items()] + list(predictions or [])
+    for extra in extras:
+        rows = rows.join(extra.withColumns({k: F.col(k).cast(rows.schema[k].dataType) for k in keys}), keys, "left")
+    out[on] = rows.where(keep) if keep else rows
+    out["meta"] = durable(roi_metadata(out[on].select("roi", "parent"), list(control_wells)).drop("parent"), "scan-meta")
+    for name in meta_on:
+        out[name] = out[name].join(out["meta"], "roi")
+    return out
+
+
 def scan_resources(spark: SparkSession, root: str, names: Iterable[str], renames: dict[str, str]) -> dict[str, DataFrame]:
     """Tables of a folder with columns renamed where they are there."""
     return {n: t.withColumnsRenamed({a: b for a, b in renames.items() if a in t.columns}) for n, t in read_tables(spark, root, names).items()}
