@@ -117,24 +117,25 @@ def image_paths(images: DataFrame, sites: DataFrame, labels: DataFrame, z_models
                 masks: Sequence[str | None] | None = None, z_model: str | None = None, t_model: str | None = None) -> DataFrame:
     """One row per site and channel with all the paths it needs: its image, its mask, its models and their mask.
 
-    ``images(m, roi, c, path)`` of the chosen channels and level in the channels' order,
-    joined with ``sites(roi, …)``; then, where there are any, the label image of the
-    channel's mask, the z-model of that name (``None``: those without one) with its own label image, and the site's factor
-    of the t-model. ``labels(m, roi, o, path, factors)``; ``z_models(c, z_model, o, path)``; ``t_models(c, roi, t_model, factor)``.
+    ``images(m, roi, c, path)``; ``labels(m, roi, o, path, factors)``, one per level, site and object type; ``z_models(c, z_model, o, path)``; ``t_models(c, roi, t_model, factor)``.
+    A lookup of one row per channel (its place, its mask's object type, the z-model of that name, or the one without, and that model's object type) is joined
+    once, and so are a site's label images, as a map by object type, and its factors, as a map by channel; what is not there is null.
     Model descriptions ``.json`` name their ``.pkl``.
     """
     if masks is not None and len(masks) != len(channels):
         raise ValueError(f"{len(masks)} masks for {len(channels)} channels")
-    place = F.create_map(*[x for i, ch in enumerate(channels) for x in (F.lit(ch), F.lit(i))])
-    mask = F.create_map(*[x for ch, m in zip(channels, masks or [None] * len(channels)) for x in (F.lit(ch), F.lit(m).cast("string"))])
-    rows = images.where(F.col("c").isin(list(channels)))
-    rows = rows if level is None else rows.where(F.col("m") == level)
-    rows = rows.join(sites, "roi").withColumns({"channel_order": F.element_at(place, F.col("c")), "mask_o": F.element_at(mask, F.col("c"))})
-    named = lambda p: labels.select("m", "roi", F.col("o").alias(f"{p}_o"), F.col("path").alias(f"{p}_path"), F.col("factors").alias(f"{p}_factors"))
-    chosen = lambda t, column, name: t.where(F.col(column).isNull() if name is None else F.col(column) == name)
-    z = chosen(z_models, "z_model", z_model).select("c", "z_model", F.col("o").alias("z_o"), F.regexp_replace("path", r"\.json$", ".pkl").alias("z_model_path"))
-    t = chosen(t_models, "t_model", t_model).select("c", "roi", "t_model", "factor")
-    return rows.join(named("mask"), ["m", "roi", "mask_o"], "left").join(z, "c", "left").join(named("z"), ["m", "roi", "z_o"], "left").join(t, ["c", "roi"], "left")
+    spark = images.sparkSession
+    wanted = spark.createDataFrame([(ch, i, m) for i, (ch, m) in enumerate(zip(channels, masks or [None] * len(channels)))], "c string, channel_order int, mask_o string")
+    of = z_models.where(F.col("z_model").eqNullSafe(F.lit(z_model))).select("c", "z_model", F.col("o").alias("z_o"), F.regexp_replace("path", r"\.json$", ".pkl").alias("z_model_path"))
+    lookup = wanted.join(of, "c", "left")
+    by = lambda t, keys, key, value, name: t.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(key, value))).alias(name))
+    site_labels = by(labels, ["m", "roi"], F.col("o"), F.struct("path", "factors"), "_labels")
+    site_factors = by(t_models.where(F.col("t_model").eqNullSafe(F.lit(t_model))), ["roi"], F.col("c"), F.struct("t_model", "factor"), "_t")
+    chosen = images if level is None else images.where(F.col("m") == level)
+    rows = chosen.join(F.broadcast(lookup), "c").join(sites, "roi").join(site_labels, ["m", "roi"], "left").join(site_factors, "roi", "left")
+    label = lambda p: F.try_element_at("_labels", F.col(f"{p}_o"))
+    found = {f"{p}_{x}": label(p)[x] for p in ("mask", "z") for x in ("path", "factors")}
+    return rows.withColumns(found | {x: F.try_element_at("_t", F.col("c"))[x] for x in ("t_model", "factor")}).drop("_labels", "_t")
 
 
 def boxes_with_channels(objects: DataFrame, channels: DataFrame, site: Sequence[str], key: Sequence[str]) -> DataFrame:
