@@ -188,6 +188,7 @@ LINE = PROSE[3:-4]
     (f"<div><a href=1>one</a> <a href=2>two, three</a></div><div><h2>Head</h2><div>{PROSE * 3}</div><div>{PROSE * 2}</div></div><div><a href=9>nine</a></div>", "\n".join(["Head", *[LINE] * 5])),
     (f"<div hidden>{PROSE * 3}</div><div style='display: none'>{PROSE}</div><main><p>kept</main>", "kept"), ("<nav><article><p>inside</article>", "inside"),
     ("<head><title>t</title><p>no body</p>", "no body"), ("<table><tr><td>a<td>b<tr><td>c</table>", "a\nb\nc"), ("<a title='>' href=\"a>b\">z</a> y", "z y"), ("<ul><li>one<li>two</ul>", "one\ntwo"),
+    (f"<div class='topnav'>{PROSE * 2}</div><div id=cookieBar>{PROSE * 2}</div><div class='commentary content'>{PROSE}<div class='user-comments'>{PROSE * 4}</div></div><div id=pageFooter>{PROSE * 3}</div>", LINE),
     ("<article><header><h1>T</h1></header><p>&amp;lt;</p><noscript>no</noscript></article>", "T\n&lt;"),
 ])
 def test_main_text(page, text):

@@ -26,9 +26,9 @@ _ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "table"}), "dt": ({"dt", "dd"}, {"d
 _ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "form", "menu", "menubar", "navigation", "search", "toolbar"}
 #: Words of class names and ids that mark what is no part of an article; the second list does not where the name also says that it belongs to one.
 _ASIDE = {
-    "ad", "ads", "adsbygoogle", "adslot", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "commentlist", "comments", "consent", "cookie", "cookies", "disclaimer", "discussion", "disqus", "footer", "gdpr",
-    "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notices", "notification", "outbrain", "overlay", "pager", "pagination", "paywall", "popup", "promo", "promotion", "recommendations", "recommended",
-    "related", "replies", "reply", "respond", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar", "widget"}
+    "ad", "ads", "adsbygoogle", "adsense", "adslot", "banner", "consent", "copyright", "disclaimer", "discussion", "disqus", "gdpr", "login", "masthead", "modal", "notice", "notices", "notification", "outbrain", "overlay", "pager",
+    "pagination", "paywall", "recommendations", "recommended", "related", "replies", "reply", "respond", "share", "sharing", "signup", "social", "subscribe", "subscription", "taboola", "teaser", "toolbar", "topbar"}
+_ASIDE_LIKE = re.compile(r"^(advert|breadcrumb|comment(?!ar)|cookie|footer|navbar|newsletter|popup|promo|sidebar|sponsor|(site|page|top)header)|(banner|comments|footer|menu|nav|navigation|sidebar|widget)$")
 _UNLESS_OWN = {"header", "meta", "tags", "alert", "author", "byline", "skip"}
 _OWN = {"article", "articlebody", "blogpost", "body", "content", "entry", "main", "post", "story", "text"}
 #: A class name with such a word tells of a state, not of a part.
@@ -73,7 +73,7 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool, bool]:
             for word in value.split():
                 words = {w.lower() for w in _NAME_WORD.findall(word)}
                 belongs = bool(words & _OWN)
-                aside |= not words & _STATE and (bool(words & _ASIDE) or (bool(words & _UNLESS_OWN) and not belongs))
+                aside |= not words & _STATE and (bool(words & _ASIDE) or any(map(_ASIDE_LIKE.search, words)) or (bool(words & _UNLESS_OWN) and not belongs))
                 own |= belongs
         elif name == "role":
             aside, own = aside or value.lower() in _ROLES, own or value.lower() in ("main", "article")
