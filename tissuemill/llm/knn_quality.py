@@ -134,7 +134,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col:
 
 
 def score(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score)`` for each row; null and empty texts get the share of label 1 among the labelled."""
+    """``(id, score)`` for each row; null and empty texts get the share of label 1 among the labelled; an empty table gives no row.
+
+    Rows stay apart, repeated ids too. A long text costs its length in one task. Of labelled
+    vectors that are equally near at the edge of the neighbourhood any may vote, the same in every run.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

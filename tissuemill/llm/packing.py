@@ -290,7 +290,8 @@ def pack(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", text_col: s
     their token pairs, so texts that share much meet; a shard's BM25 index uses token
     frequencies of all documents. Rows are spread by ranges of that hash and a row
     number, so no group of copies sits in one task, and a shard is all a task holds.
-    The pieces are written, so all who read them see one packing. Sequence ids are unique but not dense. Null and empty texts are one token; repeated
+    A long text is tokenized in one task and takes a few times its length there. Tails of equal length seed in the order of their rows;
+    neighbours of equal score follow in that order too. The pieces are written, so all who read them see one packing. Sequence ids are unique but not dense. Null and empty texts are one token; repeated
     rows are packed each; an empty table gives no rows.
     """
     vocabulary = Tokenizer.from_file(tokenizer).get_vocab_size()

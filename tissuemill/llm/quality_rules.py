@@ -131,8 +131,10 @@ def learn_rules(
     in either class, loses trailing conditions that do not help on the pruning rows, and is
     kept if there it holds for ``bad_share`` of the bad texts, ``min_bad`` at least, with
     ``min_precision``. Rows it covers are then left out. Every count is one grouped aggregate over all labelled
-    rows; the driver sees only a table of features times cuts. No labels, or none that
-    are bad: no rules.
+    rows; the driver sees only a table of features times cuts. ``max_rules`` and
+    ``max_conditions`` bound the length of the list and of a rule, ``n_cuts`` the thresholds that are tried per feature
+    and class; rows are never left out. Of conditions of equal gain the first feature's lowest cut counts. No labels, or none
+    that are bad: no rules.
     """
     cuts_of = F.array(*[F.lit(i / n_cuts) for i in range(1, n_cuts)])
     quantiles = labelled.groupBy("bad").agg(*[F.percentile_approx(F.col("f")[f], cuts_of, F.lit(10_000)).alias(f) for f in FEATURES]).collect()

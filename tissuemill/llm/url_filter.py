@@ -114,7 +114,9 @@ def judge_urls(pages: DataFrame, labels: DataFrame, *, rules: Sequence[tuple[str
     ``labels`` of the document whose number the URL's path holds (0 is bad); a URL that
     fits a mined rule is blocked, ``mined`` naming its tokens; any other is allowed.
     Tokens are handled once per different host and path. Null URLs have empty host and
-    path, fit nothing and are allowed; repeated rows get equal answers.
+    path, fit nothing and are allowed; repeated rows get equal answers; an empty table gives no row. A long URL costs
+    its length, and its tokens' item sets if it is labelled and many URLs share them. Of rules of equal confidence the
+    one with the greater list of tokens counts.
     """
     # a path is empty or begins with the sign at which hosts end, so the two in a row tell them apart
     rows = pages.select(F.col(id_col).alias("id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
