@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tissuemill.functions import grids, index, names
-from tissuemill.operators import aggregate, clean, decay, graph, hoods, joins, learn, ranked, reshape, voxels, windows
+from tissuemill.operators import aggregate, clean, decay, graph, hoods, joins, learn, lines, ranked, reshape, voxels, windows
 from tissuemill.operators import neighbours as near
 from tissuemill.plans import registry
 from tissuemill.sources import tables
@@ -395,3 +395,58 @@ def test_scalers_by_name(spark):
     assert abs(sum(r["v"] for r in out)) < 1e-6 and all(r["k"] == 0 for r in out) and len(out) == 10
     with pytest.raises(ValueError):
         clean.scaled(df, ["v"], ["none"])
+
+
+def test_dense_cells_are_dealt_over_blocks(spark):
+    """A clump of 10,000 points in one cell: no key of the join holds more than a block of either side, and every pair meets at one key."""
+    p = spark.range(10_000).select(F.lit("s").alias("site"), "id", (F.col("id") % 100 / 1000).alias("y"), (F.floor(F.col("id") / 100) / 1000).alias("x")).union(spark.createDataFrame([("s", 20_000, 5.0, 5.0)], "site string, id long, y double, x double"))
+    left, right, keys = graph._dealt(*graph._sides(p, ("y", "x"), 1.0, 1), ["site", "g_y", "g_x"], 1000)
+    # what looks into cells without points is left as it is, as it meets nothing
+    for side, name in ((left.where("g_y = 0 and g_x = 0"), "src"), (right, "dst")):
+        assert side.groupBy(*keys).count().agg(F.max("count")).first()[0] < 1200, name
+    own = left.where("g_y = 0 and g_x = 0").select("src", "_bl", "_br").where("src in (3, 7777)")
+    met = own.join(right.where("g_y = 0 and g_x = 0").select("dst", "_bl", "_br"), ["_bl", "_br"]).groupBy("src").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("dst").alias("different")).collect()
+    assert [(r["n"], r["different"]) for r in met] == [(10_000, 10_000)] * 2
+    few = p.where("id < 400 or id = 20000")
+    edges = {k: {tuple(r) for r in graph.radius_distance(few, 0.05, ("y", "x"), most=k).select("src", "dst").collect()} for k in (20, 4096)}
+    assert edges[20] == edges[4096] and edges[20]
+
+
+def test_runs_give_faces_touch_and_paths(spark):
+    rng = np.random.default_rng(8)
+    v = {(z, y, x): int(rng.integers(0, 3)) for z in range(5) for y in range(6) for x in range(7) if rng.random() < 0.8}
+    df = spark.createDataFrame([("r", *p, k) for p, k in v.items()], "roi string, z int, y int, x int, label int")
+    area, faces, touching = {0: 6.0, 1: 3.0, 2: 2.0}, {}, {}
+    for p, k in v.items():
+        for a in range(3):
+            for s in (-1, 1):
+                other = v.get(tuple(c + s * (i == a) for i, c in enumerate(p)))
+                if other != k:
+                    faces[k] = faces.get(k, 0) + area[a]
+                    if other is not None:
+                        touching[k, other] = touching.get((k, other), 0) + area[a]
+    scale = (1.0, 2.0, 3.0)
+    assert {r["label"]: r["Perimeter"] for r in lines.perimeter(df, scale).collect()} == {k: a for k, a in faces.items() if k}
+    assert {(r["src"], r["dst"]): r["weight"] for r in lines.touch_areas(df.withColumnRenamed("roi", "site"), scale).collect()} == touching
+    for r in lines.with_paths(df, df.where("label = 2"), "x", 0.5).collect():
+        n = sum(v.get((r["z"], r["y"], x)) == 2 for x in range(r["x"] + 1))
+        assert (r["EmbryoPath"], r["MediumPath"]) == (n / 2, (r["x"] + 1 - n) / 2)
+
+
+def test_fits_of_many_groups(spark):
+    df = spark.range(600_000).select((F.col("id") % 200_000).alias("g"), F.floor(F.col("id") / 200_000).cast("double").alias("x")).withColumn("y", F.col("x") * (F.col("g") % 7) + F.col("g") % 11)
+    out = decay.fit_table(df, "g", ["x"], "y")
+    assert out.where((F.abs(F.get("parameters", F.lit(0)) - F.col("g") % 7) < 1e-9) & (F.abs(F.get("parameters", F.lit(1)) - F.col("g") % 11) < 1e-9)).count() == 200_000
+    few = df.where("g < 5").union(spark.createDataFrame([(9, 1.0, 2.0), (None, 1.0, 2.0)], "g long, x double, y double"))
+    assert {r["g"]: r["parameters"] is None for r in decay.fit_table(few, "g", ["x"], "y").collect()} == {**dict.fromkeys(range(5), False), 9: True}
+
+
+def test_queries_of_unknown_choices(spark):
+    empty = spark.createDataFrame([], "m int, roi string, c string, o string")
+    with pytest.raises(ValueError):
+        joins.correlation_queries(empty, empty, empty, [0], ["a"], [("x", "y")], keep="most")
+    with pytest.raises(ValueError):
+        names.where_glob(spark.createDataFrame([("a",)], "v string"), "v", ["b*"])
+    assert [r["v"] for r in names.where_glob(spark.createDataFrame([("a.b",), ("axb",), (None,)], "v string"), "v", ["!a.*"]).collect()] == ["axb", None]
+    with pytest.raises(Exception, match="holds"):
+        spark.createDataFrame([("a__b", "c")], "k string, l string").select(joins.merged_key(["k", "l"])).collect()

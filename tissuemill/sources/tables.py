@@ -75,8 +75,8 @@ def compact(spark: SparkSession, root: str, target: str, casts: dict[str, str] |
     """Fragments as one table per object under ``target``, in files of a bounded number of rows."""
     df = read_fragments(spark, root)
     df = df.withColumns({c: F.col(f"`{c}`").cast(k) for c, k in (casts or {}).items() if c in df.columns})
-    # ranges of object and roi: a large object is several tasks', a small one shares one
-    df.repartitionByRange("object", "roi", F.xxhash64(*[F.col(f"`{x}`") for x in df.columns])).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("object").parquet(target)
+    # one shuffle by object, whose large partitions are split and small ones put together as they come out
+    df.hint("rebalance", "object").write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).partitionBy("object").parquet(target)
 
 
 def scan_features(features: DataFrame, keys: list[str], annotations: DataFrame | None = None, predictions: DataFrame | None = None, keep: str = "debris_proba < 0.3", meta: DataFrame | None = None) -> DataFrame:
