@@ -217,10 +217,10 @@ def element_wise(spark, d):
     return hoods.element_wise(table(spark, d, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", twice, "x").select("o_orderkey", F.round("x", 4).alias("x"))
 
 
-@register("x04_group_mean", "SELECT o_custkey, round(avg(o_totalprice), 4) AS mean FROM orders GROUP BY 1")
+@register("x04_group_mean", "SELECT o_custkey, round(avg(o_totalprice), 6) AS mean FROM orders GROUP BY 1")
 def group_mean(spark, d):
     lists = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_totalprice")).alias("v"))
-    return lists.select("o_custkey", F.round(hoods.mean_of(F.col("v")), 4).alias("mean"))
+    return lists.select("o_custkey", F.round(hoods.mean_of(F.col("v")), 6).alias("mean"))
 
 
 @register("v16_batch_correlations", f"SELECT roi, label, 'a' AS c0, 'b' AS c1, round(corr(value, other), 5) AS r FROM {GROWN} WHERE label <> 0 GROUP BY ALL UNION ALL SELECT roi, label, 'a', 'c', round(corr(value, z), 5) FROM {GROWN} WHERE label <> 0 GROUP BY ALL")
@@ -257,11 +257,11 @@ _T = """(SELECT l_suppkey AS roi, 'c' || l_linenumber AS channel, l_linenumber *
 WHERE l_quantity BETWEEN 4 AND 30 AND s_nationkey % 4 + 8 > 9 AND s_nationkey % 5 <> 0 AND 1 - l_discount > 0.92 GROUP BY ALL)"""
 
 
-@register("m09_t_training_set", f"""SELECT roi, channel, minutes::DOUBLE AS minutes, cycle, round(m, 8) AS mean, round((m - avg(m) OVER (PARTITION BY channel)) / stddev_samp(m) OVER (PARTITION BY channel), 4) AS z,
+@register("m09_t_training_set", f"""SELECT roi, channel, minutes::DOUBLE AS minutes, cycle, round(m, 7) AS mean, round((m - avg(m) OVER (PARTITION BY channel)) / stddev_samp(m) OVER (PARTITION BY channel), 4) AS z,
   round((m - avg(m) OVER w) / stddev_samp(m) OVER w, 4) AS cz, round(m / avg(m) OVER w, 4) AS norm FROM {_T} WINDOW w AS (PARTITION BY channel, cycle)""")
 def t_training_set(spark, d):
     out = _t_means(spark, d)
-    return out.select("roi", "channel", "minutes", "cycle", F.round("Mean", 8).alias("mean"), F.round("Mean_ZScore", 4).alias("z"), F.round("Mean_CycleZScore", 4).alias("cz"), F.round("Mean_CycleMeanNorm", 4).alias("norm"))
+    return out.select("roi", "channel", "minutes", "cycle", F.round("Mean", 7).alias("mean"), F.round("Mean_ZScore", 4).alias("z"), F.round("Mean_CycleZScore", 4).alias("cz"), F.round("Mean_CycleMeanNorm", 4).alias("norm"))
 
 
 def _t_means(spark: SparkSession, d: str) -> DataFrame:
