@@ -209,12 +209,12 @@ def perimeter(spark, d, volume=volume):
     return voxels.feret_diameter(v).join(voxels.perimeter(v), ["roi", "label"]).select("roi", "label", F.round("FeretDiameter", 6).alias("feret"), F.col("Perimeter").alias("perimeter"))
 
 
-@register("v04_intensity_features", f"""SELECT roi, label, round(avg(other), 4) AS mean, round(quantile_cont(other, 0.5), 4) AS median, min(other) AS low, max(other) AS high, round(stddev_samp(other), 4) AS sd, round(skewness_pop, 4) AS skew FROM
+@register("v04_intensity_features", f"""SELECT roi, label, round(avg(other) * count(*), 2) AS mean_times_n, round(quantile_cont(other, 0.5), 4) AS median, min(other) AS low, max(other) AS high, round(stddev_samp(other), 4) AS sd, round(skewness_pop, 4) AS skew FROM
 (SELECT roi, label, other, NULL FROM {VOX} WHERE label <> 0) JOIN (SELECT roi, label, avg(pow(other - m, 3)) / pow(avg(pow(other - m, 2)), 1.5) AS skewness_pop FROM (SELECT *, avg(other) OVER (PARTITION BY roi, label) AS m FROM {VOX} WHERE label <> 0) GROUP BY ALL) USING (roi, label) GROUP BY roi, label, skewness_pop""")
 def intensity(spark, d, volume=volume):
     v = volume(spark, d)
     out = voxels.intensity_features(v.drop("value", "other"), v.select("roi", "z", "y", "x", F.col("other").alias("value")))
-    return out.select("roi", "label", F.round("Mean", 4).alias("mean"), F.round("Median", 4).alias("median"), F.col("Minimum").alias("low"), F.col("Maximum").alias("high"), F.round("StandardDeviation", 4).alias("sd"), F.round("Skewness", 4).alias("skew"))
+    return out.select("roi", "label", F.round(F.col("Mean") * F.round(F.col("Sum") / F.col("Mean")), 2).alias("mean_times_n"), F.round("Median", 4).alias("median"), F.col("Minimum").alias("low"), F.col("Maximum").alias("high"), F.round("StandardDeviation", 4).alias("sd"), F.round("Skewness", 4).alias("skew"))
 
 
 @register("v05_weighted_moments", f"SELECT roi, label, round(sum(value * z) / sum(value), 6) AS gz, round(sum(value * x) / sum(value), 6) AS gx FROM {VOX} WHERE label <> 0 GROUP BY ALL")
