@@ -21,8 +21,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more.
 
-    Fingerprints of 64 bits differ by about 10 at that similarity, too many for deletion
-    variants, so candidates come from min-hashes; the README gives figures.
+    Candidates come from SimHash fingerprints by deletion variants of their segments and are verified over whole
+    shingle sets. At that similarity 64 bits are too few, so fingerprints are longer; the README gives figures.
     """
     return near_copies.drop_near_copies(docs)
 

@@ -303,3 +303,48 @@ def test_near_copies_by_all_pairs(spark):
             break
     got = {r["doc_id"] for r in near_copies.drop_near_copies(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=16).collect()}
     assert got == {i for i, r in enumerate(root) if i == r}
+
+
+def test_near_copies_meet_in_deletion_variants(spark):
+    """Links by variants connect what all pairs within both conditions connect, also where runs are dense and halves are cut."""
+    rng = np.random.default_rng(8)
+    width, usual, _ = near_copies.plan(0)
+    prints = []
+    for _ in range(12):
+        base = rng.integers(0, 1 << 62, 120, dtype=np.uint64)
+        for _ in range(rng.choice((1, 3, 70))):
+            changed = base.copy()
+            changed[: rng.choice((0, 2, 8, 20))] = rng.integers(0, 1 << 62)
+            prints.append(near_copies._parts(np.unique(changed), width, usual, usual))
+    parts = np.array(prints)
+    apart = np.bitwise_count((parts[:, None] ^ parts[None]).view(np.uint64))
+    near = (apart[:, :, : near_copies.SKETCH].sum(-1, dtype=int) <= near_copies.MOST) & (apart[:, :, near_copies.SKETCH :] <= 1).any(-1)
+
+    def groups(pairs):
+        root = list(range(len(parts)))
+        for _ in root:
+            before = list(root)
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+            if root == before:
+                return root
+
+    table = spark.createDataFrame([(i, p) for i, p in enumerate(prints)], "node long, parts array<long>")
+    want = groups([(int(a), int(b)) for a, b in np.argwhere(near) if a < b])
+    for block in (1 << 17, 20):
+        got = [(r["a"], r["b"]) for r in near_copies.variant_links(table, width, task_rows=500, block=block).collect()]
+        assert all(near[a, b] for a, b in got) and groups(got) == want
+
+
+def test_near_copies_recall_at_the_threshold():
+    """Fingerprints of sets at a similarity of 0.8, few shingles and many, nearly always share a variant."""
+    rng = np.random.default_rng(3)
+    sizes = near_copies.plan(100_000)
+    for common, own in ((4, (1, 0)), (12, (3, 0)), (80, (10, 10)), (400, (50, 50))):
+        met = 0
+        for _ in range(400):
+            v = rng.integers(0, 1 << 63, common + sum(own), dtype=np.uint64) * np.uint64(2)
+            a, b = near_copies._parts(v[: common + own[0]], *sizes), near_copies._parts(np.concatenate((v[:common], v[common + own[0] :])), *sizes)
+            apart = [(x ^ y).bit_count() if x ^ y >= 0 else ((x ^ y) + (1 << 64)).bit_count() for x, y in zip(a, b)]
+            met += sum(apart[: near_copies.SKETCH]) <= near_copies.MOST and min(apart[near_copies.SKETCH :]) <= 1
+        assert met >= 0.985 * 400

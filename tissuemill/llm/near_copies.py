@@ -1,7 +1,9 @@
-"""Near copies by word shingles: min-hash candidates, verified over whole shingle sets."""
+"""Near copies by word shingles: SimHash fingerprints, deletion variants of their segments, verified over whole shingle sets."""
 
 from __future__ import annotations
 
+import functools
+import math
 import re
 from collections.abc import Iterator
 
@@ -16,11 +18,14 @@ from tissuemill.llm._shared import connected_components, durable, fresh, spread_
 
 _GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Words of a shingle; bands and min-hashes of a band: a pair of similarity 0.8 shares a band with probability 0.998.
-SHINGLE, BANDS, ROWS = 5, 12, 4
-_rng = np.random.default_rng(5)
-_FACTORS = _rng.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-#: Buckets of more members have a leader and are compared in blocks.
+#: Words of a shingle.
+SHINGLE = 5
+#: Words of 64 bits that are compared in whole, and bits of them in which near copies may differ.
+SKETCH, MOST = 3, 52
+#: Share of bits in which two texts at a similarity of 0.8 differ at most, and the same for up to ``_SHORT`` shingles.
+_APART, _APART_SHORT, _SHORT = 0.162, 0.1875, 5
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+#: Groups of more members have a leader and are compared in blocks.
 _SMALL = 32
 
 
@@ -38,28 +43,133 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(line[a : b - 1]) for a, b in zip(starts, starts[SHINGLE:])], np.uint64))
 
 
-def _bands(found: np.ndarray) -> list[int]:
-    """One key per band, from the least of each of the products' high parts."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max)
-    for at in range(0, len(found), 4096):
-        mixed = found[at : at + 4096, None] * _FACTORS
-        mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
-        least = np.minimum(least, mixed.min(0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), i) - (1 << 63) for i, row in enumerate(least.reshape(BANDS, ROWS))]
+def plan(rows: int, miss: float = 0.002) -> tuple[int, int, int]:
+    """Width of a segment, and how many of them usual texts and the shortest need.
 
+    Two fingerprints meet if they differ by at most one bit in some segment; at a
+    similarity of 0.8 all segments fail with probability ``miss``. Wider segments for more rows keep chance meetings to
+    some 16 a key.
+    """
+    width = max(16, 2 * math.ceil((math.log2(max(rows, 1)) - 3) / 2))
+
+    def segments(p: float) -> int:
+        return math.ceil(math.log(miss) / math.log1p(-((1 - p) ** width) - width * p * (1 - p) ** (width - 1)))
+
+    return width, segments(_APART), segments(_APART_SHORT)
+
+
+def fingerprint(found: np.ndarray, bits: int) -> np.ndarray:
+    """SimHash of a set of shingle hashes: each bit is 1 if it is set in over half of the hashes; ``bits`` of 0 or 1."""
+    n = -(-bits // 64)
+    total = np.zeros(64 * n, np.int64)
+    for at in range(0, len(found), 255):
+        mixed = found[at : at + 255, None] * _FACTORS[:n]
+        for shift, factor in ((32, 0x9E3779B97F4A7C15), (29, 0xBF58476D1CE4E5B9)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(factor)
+        mixed ^= mixed >> np.uint64(32)
+        total += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return (2 * total > len(found))[:bits]
 
-def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, text_hash, key, bands)`` per row; ``key`` is that of the lower-cased words."""
+
+def _parts(found: np.ndarray, width: int, usual: int, short: int) -> list[int]:
+    """``SKETCH`` whole words of the fingerprint, then its segments."""
+    n = short if len(found) <= _SHORT else usual
+    bits = fingerprint(found, 64 * SKETCH + n * width)
+    sketch = np.packbits(bits[: 64 * SKETCH], bitorder="little").view("<i8")
+    return [*sketch.tolist(), *(bits[64 * SKETCH :].reshape(n, width) @ (1 << np.arange(width))).tolist()]
+
+
+def _prints(docs: DataFrame, id_col: str, text_col: str, sizes: tuple[int, int, int]) -> DataFrame:
+    """``(id, text_hash, key, parts)`` per row; ``key`` is that of the lower-cased words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 words = [_words(t) for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("id"), part.column("text_hash"), pa.array([xxhash.xxh3_128_hexdigest(b" ".join(w)) for w in words]),
-                                                  pa.array([_bands(shingles(w)) if w else [] for w in words], pa.list_(pa.int64()))], names=["id", "text_hash", "key", "bands"])
+                                                  pa.array([_parts(shingles(w), *sizes) if w else [] for w in words], pa.list_(pa.int64()))], names=["id", "text_hash", "key", "parts"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, text_hash long, key string, bands array<long>")
+    return rows.mapInArrow(run, "id long, text_hash long, key string, parts array<long>")
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(-1, dtype=np.int64)
+
+
+def _reach(sketches: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of places within ``most`` bits that connect all that such pairs connect: few comparisons per place of a dense group."""
+    rest = np.arange(len(sketches))
+    while len(rest):
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            by = np.full(len(rest), -1)
+            if len(front) <= len(rest):
+                for i in front:
+                    by[(by < 0) & (_apart(sketches[i], sketches[rest]) <= most)] = i
+                    if by.min() >= 0:
+                        break
+            else:
+                for n, j in enumerate(rest):
+                    near = np.flatnonzero(_apart(sketches[j], sketches[front]) <= most)
+                    by[n] = front[near[0]] if len(near) else -1
+            yield by[by >= 0], rest[by >= 0]
+            front, rest = rest[by >= 0], rest[by < 0]
+
+
+def _meet(rows: pa.Table, half: int, most: int) -> pa.Table:
+    """Links of rows equal in ``fixed`` and, one bit masked, in ``free``, whose sketches are within ``most`` bits."""
+    fixed, free, node = (rows[c].to_numpy() for c in ("fixed", "free", "node"))
+    sketches = np.stack([rows[f"s{k}"].to_numpy() for k in range(SKETCH)], 1).view(np.uint64)
+    found = [(node[:0], node[:0])]
+    for k in range(half):
+        variant = fixed << half | free & ~(1 << k)
+        order = np.argsort(variant, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(variant[order])) + 1, len(order))
+        sizes = np.diff(ends, prepend=0)
+        for end, size in zip(ends[sizes > _SMALL], sizes[sizes > _SMALL]):
+            run = order[end - size : end]
+            found.extend((node[run[i]], node[run[j]]) for i, j in _reach(sketches[run], most))
+        end, at, step = np.repeat(ends, sizes), np.flatnonzero(np.repeat(sizes <= _SMALL, sizes)), 1
+        while len(at := at[at + step < end[at]]):
+            i, j = order[at], order[at + step]
+            near = _apart(sketches[i], sketches[j]) <= most
+            found.append((node[i[near]], node[j[near]]))
+            step += 1
+    a, b = (np.concatenate(x) for x in zip(*found))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def variant_links(prints: DataFrame, width: int, *, most: int = MOST, task_rows: int = 1 << 14, block: int = 1 << 17) -> DataFrame:
+    """Links ``(a, b)`` between the nodes of ``prints(node, parts)`` that connect what two conditions connect: some segment
+    of ``width`` bits differs by at most one bit, and the sketches by at most ``most``.
+
+    The deletion variants of a segment are the segment with one bit masked. The bit lies in
+    one half, so a row is shuffled once per half by the other one, and the half's variants are made and
+    matched where the rows are. Halves with over ``block`` rows are cut, and each two cuts meet.
+    """
+    half = width // 2
+    sketch = [F.get("parts", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]
+    prints = prints.where(F.size("parts") > 0)
+    rows = prints.select("node", *sketch, F.posexplode(F.slice("parts", SKETCH + 1, F.greatest(F.size("parts") - SKETCH, F.lit(0)))).alias("at", "segment"))
+    upper, lower = F.shiftright("segment", half), F.col("segment").bitwiseAND(F.lit((1 << half) - 1))
+    place = lambda h, x: (F.shiftleft((2 * F.col("at") + h).cast("long"), half) + x).alias("fixed")
+    rows = rows.select("node", *[f"s{k}" for k in range(SKETCH)], F.inline(F.array(F.struct(place(0, upper), lower.alias("free")), F.struct(place(1, lower), upper.alias("free")))))
+    counts = durable(rows.groupBy("fixed").agg(F.count(F.lit(1)).alias("n")), "copies-halves")
+    tasks = max(1, (counts.agg(F.sum("n")).first()[0] or 0) // task_rows)
+    # no more than a row in `block`
+    cuts = F.broadcast(counts.where(F.col("n") > block).select("fixed", F.ceil(F.col("n") / block).alias("cuts")))
+    rows = rows.join(cuts, "fixed", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), "cuts")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cuts") - 1)))
+    task = F.pmod(F.xxhash64("fixed"), F.lit(tasks)).alias("task")
+    rows = rows.select(task, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "fixed", "free", "node", *[f"s{k}" for k in range(SKETCH)])
+    meet = functools.partial(_meet, half=half, most=most)
+
+    def run(table: pa.Table) -> pa.Table:
+        return meet(table)
+
+    return rows.groupBy("task", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def _sets(docs: DataFrame) -> DataFrame:
@@ -88,7 +198,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _link_block(rows: pa.Table) -> pa.Table:
-    """Links of one block of a bucket's open texts with one chunk of its texts: a spanning forest, as ``(a, b)`` keys."""
+    """Links of one block of a band's open texts with one chunk of its texts: a spanning forest, as ``(a, b)`` keys."""
     rows = rows.combine_chunks()
     own, other = rows.filter(rows["own"]), rows.filter(pc.invert(rows["own"]))
     links: list[tuple[str, str]] = []
@@ -119,7 +229,7 @@ def _link_block(rows: pa.Table) -> pa.Table:
 
 
 def _in_blocks(members: DataFrame, sets: DataFrame, block: int, block_shingles: int = 1_000_000) -> DataFrame:
-    """Links ``(a, b)`` that connect what the open texts of ``members(band, key, open)`` match in their buckets.
+    """Links ``(a, b)`` that connect what the open texts of ``members(band, key, open)`` match in their bands.
 
     Open texts are cut into blocks and all texts into chunks by hash, of about ``block``
     texts or ``block_shingles`` each; a task compares one block with one chunk and gives a
@@ -140,22 +250,26 @@ def drop_near_copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts with the same words, letter case aside, are copies. Others are linked if their
     sets of five-word shingles have a Jaccard similarity of 0.8 or more, computed on the
-    whole sets of every pair that shares a band; groups are connected components. In a
-    bucket of over ``_SMALL`` texts one leads; those linked to it are of one group, so
-    only the others are compared with all of the bucket, in blocks. So a group of near
+    whole sets of candidates; groups are connected components. Candidates come from SimHash
+    fingerprints of those sets through deletion variants (:func:`variant_links`): what they connect is
+    compared. Of over ``_SMALL`` such texts one leads; those linked to it are of one group, so
+    only the others are compared with all, in blocks. So a group of near
     copies costs little more than one comparison per text, and no link that joins two
-    groups is lost. Rows are told apart by id and text, so unlike texts under one id all count.
+    groups of candidates is lost. Rows are told apart by id and text, so unlike texts under one id all count.
     Null, empty and blank texts have the same (no) words, so one of them stays; an empty table
     gives no row. A long text costs its length and 16 bytes a word in one task.
     """
-    prints = durable(_prints(docs, id_col, text_col), "copies-prints")
+    sizes = plan(docs.count())
+    prints = durable(_prints(docs, id_col, text_col, sizes), "copies-prints")
     low = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash"))
-    classes = durable(prints.groupBy("key").agg(low.alias("low"), F.first("bands").alias("bands")), "copies-classes")
-    members = classes.select("key", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key").alias("turn"), "key")).alias("first")).where("n > 1")
+    classes = durable(prints.groupBy("key").agg(low.alias("low"), F.first("parts").alias("parts")).withColumn("node", F.xxhash64("key")), "copies-classes")
+    met = durable(connected_components(variant_links(classes.select("node", "parts"), sizes[0])), "copies-near")
+    met = met.union(met.select("component", "component").distinct())
+    members = durable(classes.select("key", "node").join(met, "node").select("key", F.col("component").alias("band")), "copies-met")
+    shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("key").alias("turn"), "key")).alias("first"))
     placed = spread_join(members, durable(shared.withColumn("size", F.col("n")), "copies-buckets"), "band", F.col("key"), members.count())
     placed = durable(placed.select("band", "key", "size", F.col("first.key").alias("leader")), "copies-members")
-    texts = classes.join(placed.select("key").distinct(), "key").select("key", F.col("low.id").alias("_id"), F.col("low.text_hash").alias("_hash"))
+    texts = classes.join(placed.select("key"), "key").select("key", F.col("low.id").alias("_id"), F.col("low.text_hash").alias("_hash"))
     found = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("text_hash"), F.col(text_col).alias("text"))
     found = found.join(texts, F.col("id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("key", "text")
     sets = durable(_sets(found).dropDuplicates(["key"]), "copies-sets")
