@@ -336,6 +336,39 @@ def test_near_copies_meet_in_deletion_variants(spark):
         assert all(near[a, b] for a, b in got) and groups(got) == want
 
 
+def test_near_copies_dense_group_gives_few_links(spark):
+    """Near copies that meet in most segments, each time with others first, have few links a text, whatever the group's size."""
+    rng = np.random.default_rng(21)
+    width, usual, _ = near_copies.plan(0)
+    base, prints = rng.integers(0, 1 << 62, 120, dtype=np.uint64), []
+    for _ in range(600):
+        changed = base.copy()
+        changed[rng.choice(120, 5, replace=False)] = rng.integers(0, 1 << 62, 5)
+        prints.append(near_copies._parts(np.unique(changed), width, usual, usual))
+    nodes = rng.permutation(10**6)[:600].tolist()
+    for n in (300, 600):
+        table = spark.createDataFrame(list(zip(nodes[:n], prints)), "node long, parts array<long>")
+        links = [(r["a"], r["b"]) for r in near_copies.variant_links(table, width, task_rows=500).collect()]
+        group, grown = {min(nodes[:n])}, True
+        while grown:
+            more = {x for pair in links if not group.isdisjoint(pair) for x in pair} - group
+            grown, group = bool(more), group | more
+        assert group == set(nodes[:n]) and len(links) <= 20 * n
+
+
+def test_near_copies_forest():
+    """The pairs that stay are those that no lower ones connect, as Kruskal takes them one by one."""
+    rng = np.random.default_rng(2)
+    for n, m in ((1, 0), (2, 3), (30, 25), (30, 200), (500, 400), (500, 6000)):
+        a, b = rng.integers(0, n, m), rng.integers(0, n, m)
+        root, want = list(range(n)), []
+        for x, y in sorted({(min(p), max(p)) for p in zip(a.tolist(), b.tolist())}):
+            if root[x] != root[y]:
+                root = [root[x] if r == root[y] else r for r in root]
+                want.append((x, y))
+        assert sorted((int(v) // n, int(v) % n) for v in near_copies._forest(a, b, n)) == want
+
+
 def test_near_copies_recall_at_the_threshold():
     """Fingerprints of sets at a similarity of 0.8, few shingles and many, nearly always share a variant."""
     rng = np.random.default_rng(3)

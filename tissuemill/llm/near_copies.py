@@ -117,28 +117,57 @@ def _reach(sketches: np.ndarray, most: int) -> Iterator[tuple[np.ndarray, np.nda
             front, rest = rest[by >= 0], rest[by < 0]
 
 
+def _forest(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Pairs ``(a, b)`` of places below ``n``, as ``a * n + b``, that connect all that the given ones connect: a spanning
+    forest, in which no pair stays whose ends lower pairs connect (Borůvka), so equal groups keep equal pairs."""
+    pairs = np.unique(np.minimum(a, b) * n + np.maximum(a, b))
+    every, kept, rest = np.arange(n), [pairs[:0]], np.arange(len(pairs))
+    label = every
+    while True:
+        x, y = label[pairs[rest] // n], label[pairs[rest] % n]
+        apart = x != y
+        if not apart.any():
+            return np.concatenate(kept)
+        rest, x, y = rest[apart], x[apart], y[apart]
+        lowest = np.full(n, len(pairs))
+        np.minimum.at(lowest, x, rest)
+        np.minimum.at(lowest, y, rest)
+        mine = np.flatnonzero(lowest < len(pairs))
+        taken = pairs[lowest[mine]]
+        kept.append(np.unique(taken))
+        to = every.copy()
+        to[mine] = label[taken // n] + label[taken % n] - mine
+        # two that took the same pair point at each other
+        to = np.where((to[to] == every) & (every < to), every, to)
+        while (to[to] != to).any():
+            to = to[to]
+        label = to[label]
+
+
 def _meet(rows: pa.Table, half: int, most: int) -> pa.Table:
-    """Links of rows equal in ``fixed`` and, one bit masked, in ``free``, whose sketches are within ``most`` bits."""
-    fixed, free, node = (rows[c].to_numpy() for c in ("fixed", "free", "node"))
-    sketches = np.stack([rows[f"s{k}"].to_numpy() for k in range(SKETCH)], 1).view(np.uint64)
-    found = [(node[:0], node[:0])]
+    """Links of rows equal in ``fixed`` and, one bit masked, in ``free``, whose sketches are within ``most`` bits: a spanning forest."""
+    rows = rows.sort_by("node")
+    fixed, free = (rows[c].to_numpy() for c in ("fixed", "free"))
+    nodes, place = np.unique(rows["node"].to_numpy(), return_inverse=True)
+    sketches, n = np.stack([rows[f"s{k}"].to_numpy() for k in range(SKETCH)], 1).view(np.uint64), len(nodes)
+    links = place[:0]
     for k in range(half):
         variant = fixed << half | free & ~(1 << k)
         order = np.argsort(variant, kind="stable")
         ends = np.append(np.flatnonzero(np.diff(variant[order])) + 1, len(order))
         sizes = np.diff(ends, prepend=0)
+        found = [(links // n, links % n)]
         for end, size in zip(ends[sizes > _SMALL], sizes[sizes > _SMALL]):
             run = order[end - size : end]
-            found.extend((node[run[i]], node[run[j]]) for i, j in _reach(sketches[run], most))
+            found.extend((place[run[i]], place[run[j]]) for i, j in _reach(sketches[run], most))
         end, at, step = np.repeat(ends, sizes), np.flatnonzero(np.repeat(sizes <= _SMALL, sizes)), 1
         while len(at := at[at + step < end[at]]):
             i, j = order[at], order[at + step]
             near = _apart(sketches[i], sketches[j]) <= most
-            found.append((node[i[near]], node[j[near]]))
+            found.append((place[i[near]], place[j[near]]))
             step += 1
-    a, b = (np.concatenate(x) for x in zip(*found))
-    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+        links = _forest(*(np.concatenate(x) for x in zip(*found)), n)
+    return pa.table({"a": pa.array(nodes[links // n], pa.int64()), "b": pa.array(nodes[links % n], pa.int64())})
 
 
 def variant_links(prints: DataFrame, width: int, *, most: int = MOST, task_rows: int = 1 << 14, block: int = 1 << 17) -> DataFrame:
@@ -148,6 +177,8 @@ def variant_links(prints: DataFrame, width: int, *, most: int = MOST, task_rows:
     The deletion variants of a segment are the segment with one bit masked. The bit lies in
     one half, so a row is shuffled once per half by the other one, and the half's variants are made and
     matched where the rows are. Halves with over ``block`` rows are cut, and each two cuts meet.
+    Each task gives a spanning forest of the links it finds, by the order of the nodes; so a dense group, whose members
+    meet in most segments, has few different links.
     """
     half = width // 2
     sketch = [F.get("parts", F.lit(k)).alias(f"s{k}") for k in range(SKETCH)]
