@@ -274,3 +274,11 @@ def test_warc_files_are_bounded_by_bytes(spark, tmp_path):
     assert len(sizes) > 10 and sorted(sizes)[-2] < 520_000 and max(sizes) < 2_100_000
     got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in warc.read_warc(spark, str(tmp_path / "w")).collect()}
     assert got == {i: (len(h), warc.sha1_base32(h.encode())) for i, _, h in rows}
+
+
+def test_simhash_never_broadcasts_its_index(spark):
+    """Spark sizes the index by the file of fingerprints, from which its 64 keys a value are made."""
+    values = spark.range(3000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(values)._jdf.queryExecution().executedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join" in x and "(a#" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)

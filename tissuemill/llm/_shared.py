@@ -60,12 +60,13 @@ def fresh(columns: Iterable[str], *names: str) -> list[str]:
     return out
 
 
-def spread_join(rows: DataFrame, found: DataFrame, on: str, part: Column, total: int, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, found: DataFrame, on: str, part: Column, total: int, how: str = "inner", shuffled: bool = False) -> DataFrame:
     """``rows`` joined with ``found(on, n, …)``, one row per key, ``n`` being about the rows that hold it (dropped).
 
     Hashes of the keys of more than ``_HOT`` of the ``total`` rows, hence no more than
     ``1 / _HOT``, are broadcast; rows of such keys are dealt by ``part`` (a column that
     differs within a key) over ``_PARTS`` copies of the found row. So no key is one task.
+    With ``shuffled`` the found rows are never broadcast, for which Spark may size them too low.
     Null keys match nothing; they are dealt too.
     """
     extra, spread, mark = fresh([*rows.columns, *found.columns], "hot_key", "spread", "is_hot")
@@ -77,10 +78,10 @@ def spread_join(rows: DataFrame, found: DataFrame, on: str, part: Column, total:
     right = found.join(hot, F.xxhash64(found[on]) == hot[extra], "left")
     parts = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(_PARTS - 1))).otherwise(F.array(F.lit(0)))
     right = right.withColumn(spread, F.explode(parts)).drop("n", extra, mark)
-    return left.join(right, [on, spread], how).drop(spread)
+    return left.join(right.hint("merge") if shuffled else right, [on, spread], how).drop(spread)
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
+def connected_components(edges: DataFrame, shuffled: bool = False) -> DataFrame:
     """Smallest node reachable from each node of ``edges(a, b)``, as ``(node, component)``.
 
     Alternates large-star and small-star steps (Kiveris et al., 2014): each is a
@@ -94,10 +95,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = durable(both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "edges-low")
-        large = spread_join(both, low, "u", F.col("v"), total).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
+        large = spread_join(both, low, "u", F.col("v"), total, shuffled=shuffled).where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         large = durable(large, "edges-large")
         root = durable(large.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n")), "edges-root")
-        small = spread_join(large, root, "hi", F.col("lo"), total).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = spread_join(large, root, "hi", F.col("lo"), total, shuffled=shuffled).where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         now = durable(small.union(root.select("hi", F.col("m").alias("lo"))).distinct(), "edges")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:

@@ -100,12 +100,12 @@ def _crowded(index: DataFrame, total: int, most: int, block: int) -> tuple[DataF
     open_slots = slots.where(F.col("n") > bound).select("slot")
     keys = index.withColumn("slot", slot).join(open_slots, "slot", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("leader")).where(F.col("n") > bound)
     keys = durable(keys, "simhash-keys")
-    rows = durable(spread_join(index, keys, "key", F.col("fp"), total).select("key", "fp", "leader"), "simhash-crowded")
+    rows = durable(spread_join(index, keys, "key", F.col("fp"), total, shuffled=True).select("key", "fp", "leader"), "simhash-crowded")
     led = F.bit_count(F.col("fp").bitwiseXOR(F.col("leader"))) <= most
     links_ = rows.where(led & (F.col("fp") != F.col("leader"))).select(F.col("leader").alias("a"), F.col("fp").alias("b"))
     left = rows.where(~led).groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks"))
-    sizes = durable(left.join(keys, "key").select("key", "n", "blocks", F.ceil(F.col("n") / block).alias("chunks")), "simhash-blocks")
-    placed = spread_join(rows.withColumn("own", ~led), sizes, "key", F.col("fp"), total)
+    sizes = durable(left.join(keys.hint("merge"), "key").select("key", "n", "blocks", F.ceil(F.col("n") / block).alias("chunks")), "simhash-blocks")
+    placed = spread_join(rows.withColumn("own", ~led), sizes, "key", F.col("fp"), total, shuffled=True)
     upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     place = lambda n: F.pmod(F.xxhash64("fp"), F.col(n))
     own = placed.where("own").select("key", place("blocks").alias("b"), upto("chunks").alias("c"), "own", "fp")
@@ -141,8 +141,8 @@ def links(prints: DataFrame, most: int = 4, block: int = 2048) -> DataFrame:
 
     index = prints.select("fp", F.explode(F.array(*[key(*x) for x in keys])).alias("key"))
     crowded, many = _crowded(index, len(keys) * prints.count(), most, block)
-    # a value's keys are few, so the crowded ones are taken out before the join; Spark broadcasts their table if it is small
-    index = index.join(many.select("key"), "key", "left_anti")
+    # all by shuffle: Spark sizes the index by the file of fingerprints, not by their keys, and would broadcast it
+    index = index.join(many.select("key").hint("merge"), "key", "left_anti")
     a, b = index.select("key", F.col("fp").alias("a")), index.select(F.col("key").alias("same"), F.col("fp").alias("b"))
     diff = F.col("a").bitwiseXOR(F.col("b"))
     place = F.shiftright("key", wide)
@@ -154,7 +154,7 @@ def links(prints: DataFrame, most: int = 4, block: int = 2048) -> DataFrame:
         only = (d == 0) & (at == 0) | (d == F.call_function("shiftleft", F.lit(1).cast("long"), (at + first).cast("int")))
         accepted = accepted | ((F.floor(place / 64) == s) & far & only)
         far = far & (F.bit_count(d) >= 2)
-    pairs = a.join(b, (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= most) & accepted).select("a", "b")
+    pairs = a.join(b.hint("merge"), (F.col("key") == F.col("same")) & (F.col("a") < F.col("b")) & (F.bit_count(diff) <= most) & accepted).select("a", "b")
     return pairs.union(crowded)
 
 
@@ -173,11 +173,11 @@ def components(prints: DataFrame, most: int) -> DataFrame:
     """``prints(id, fp, …)`` with ``root``, one value per group, and ``component``, its smallest id; a frequent fingerprint is dealt over tasks."""
     total = prints.count()
     classes = durable(prints.groupBy("fp").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")), "simhash-classes")
-    roots = connected_components(links(classes.select("fp"), most))
-    of = durable(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("root")), "simhash-roots")
+    roots = connected_components(links(classes.select("fp"), most), shuffled=True)
+    of = durable(classes.join(roots.hint("merge"), classes["fp"] == roots["node"], "left").select("fp", "low", F.col("n").alias("rows"), F.coalesce("component", "fp").alias("root")), "simhash-roots")
     lowest = of.groupBy("root").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("n"))
-    of = durable(spread_join(of, lowest, "root", F.col("fp"), total).select("fp", F.col("rows").alias("n"), "root", "component"), "simhash-components")
-    return spread_join(prints, of, "fp", F.coalesce("id", F.monotonically_increasing_id()), total)
+    of = durable(spread_join(of, lowest, "root", F.col("fp"), total, shuffled=True).select("fp", F.col("rows").alias("n"), "root", "component"), "simhash-components")
+    return spread_join(prints, of, "fp", F.coalesce("id", F.monotonically_increasing_id()), total, shuffled=True)
 
 
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", most: int = 4) -> DataFrame:
