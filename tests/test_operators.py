@@ -450,3 +450,23 @@ def test_queries_of_unknown_choices(spark):
     assert [r["v"] for r in names.where_glob(spark.createDataFrame([("a.b",), ("axb",), (None,)], "v string"), "v", ["!a.*"]).collect()] == ["axb", None]
     with pytest.raises(Exception, match="holds"):
         spark.createDataFrame([("a__b", "c")], "k string, l string").select(joins.merged_key(["k", "l"])).collect()
+
+
+def test_points_at_one_place_share_their_edges(spark):
+    """Results equal those over every point's own edges, also where points at one place differ in value or a site is null."""
+    rows = [(site, i, float(i % 7), float(i % 3), i * 5 % 4) for site in ("s", None) for i in range(60)]
+    p = spark.createDataFrame(rows, "site string, id long, y double, x double, f int")
+    every = near.aggregate(p, graph.radius_distance(p, 2.0, ("y", "x")), p, ["f"], ["Min", "Median", "Sum", "Std"], "R")
+    some = near.alike(p, ["y", "x", "f"], lambda q: near.aggregate(q, graph.radius_distance(p, 2.0, ("y", "x"), sources=q, carry=["f"]), p, ["f"], ["Min", "Median", "Sum", "Std"], "R"))
+    got, want = ({(r["site"], r["id"]): [round(v, 9) for v in r[-4:]] for r in x.select(*every.columns).where("site is not null").collect()} for x in (some, every))
+    assert got == want and some.count() == 120
+
+
+#: Queries over edges, none of which may broadcast points or edges.
+EDGE_QUERIES = ("g01_g13_neighbour_aggregates",)
+
+
+@pytest.mark.parametrize("name", EDGE_QUERIES)
+def test_points_and_edges_are_joined_by_shuffle(spark, name):
+    plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
