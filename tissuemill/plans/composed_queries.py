@@ -315,7 +315,7 @@ def dense(spark, d):
     from tissuemill.operators import graph
 
     p = points(spark, d)
-    out = near.aggregate(p, graph.radius_distance(p, 3.0, XY).where("weight > 0"), p, ["f"], ["Mean"], "N")
+    out = near.alike(p, [*XY, "f"], lambda some: near.aggregate(some, graph.radius_distance(p, 3.0, XY, sources=some, carry=["f"]).where("weight > 0"), p, ["f"], ["Mean"], "N"))
     return out.select("site", "id", F.round("N_Mean__f", 6).alias("m"))
 
 
