@@ -463,7 +463,7 @@ def test_points_at_one_place_share_their_edges(spark):
 
 
 #: Queries over edges, none of which may broadcast points or edges.
-EDGE_QUERIES = ("g01_g13_neighbour_aggregates", "g06_neighbour_indices", "g06_neighbour_lists", "g10_quantile", "g14_weighted_circular", "g16_density", "g16_density_all", "g03_dense_aggregates")
+EDGE_QUERIES = ("g01_g13_neighbour_aggregates", "g06_neighbour_indices", "g06_neighbour_lists", "g10_quantile", "g14_weighted_circular", "g16_density", "g16_density_all", "g03_dense_aggregates", "x01_neighbour_function")
 
 
 @pytest.mark.parametrize("name", EDGE_QUERIES)

@@ -206,7 +206,9 @@ def neighbour_function(spark, d):
     from tissuemill.operators import graph
 
     p = points(spark, d)
-    return hoods.neighbour_apply(graph.radius_distance(p, 3.0, XY), p, "f", lambda v: v.max() - v.min(), "spread")
+    # the spread does not depend on the neighbours' order, so points alike in place and value have the same
+    spread = lambda some: hoods.neighbour_apply(graph.radius_distance(p, 3.0, XY, sources=some, carry=["f"]), p, "f", lambda v: v.max() - v.min(), "spread").withColumnRenamed("src", "id")
+    return near.alike(p, [*XY, "f"], spread).select("site", F.col("id").alias("src"), "spread")
 
 
 @register("x03_element_wise", "SELECT o_orderkey, round(o_totalprice * 2 + 1, 4) AS x FROM orders")
