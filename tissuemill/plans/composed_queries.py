@@ -358,8 +358,7 @@ def first_ordinals(spark, d):
 def stacked(spark, d):
     from tissuemill.operators import graph
 
-    p = points(spark, d)
-    return graph.stacked(p, graph.radius_distance(p, 3.0, XY))[1].withColumn("weight", F.round("weight", 6))
+    return graph.stacked_within(points(spark, d), 3.0, XY)[1].withColumn("weight", F.round("weight", 6))
 
 
 @register("g16_touch_counts", f"""WITH v AS (SELECT * FROM {GROWN}), e AS (SELECT a.roi, a.label AS l, b.label AS k FROM v a JOIN v b ON a.roi = b.roi AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1 AND a.label <> b.label WHERE a.label <> 0 AND b.label <> 0)
