@@ -470,3 +470,12 @@ EDGE_QUERIES = ("g01_g13_neighbour_aggregates", "g06_neighbour_indices", "g06_ne
 def test_points_and_edges_are_joined_by_shuffle(spark, name):
     plan = registry.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_nearest_neighbours_do_not_broadcast_exploded_points(spark, monkeypatch):
+    plans = []
+    write = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, label: (plans.append((label, df._jdf.queryExecution().executedPlan().toString())), write(df, label))[1])
+    registry.queries()["h03_knn_adjacency"](spark, "/root/testdata/sf0.001")
+    joins = [x for label, p in plans if label == "knn-found" for x in p.splitlines() if "Join" in x and "g_" in x]
+    assert joins and all("SortMergeJoin" in x for x in joins)
