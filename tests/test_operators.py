@@ -479,3 +479,13 @@ def test_nearest_neighbours_do_not_broadcast_exploded_points(spark, monkeypatch)
     registry.queries()["h03_knn_adjacency"](spark, "/root/testdata/sf0.001")
     joins = [x for label, p in plans if label == "knn-found" for x in p.splitlines() if "Join" in x and "g_" in x]
     assert joins and all("SortMergeJoin" in x for x in joins)
+
+
+@pytest.mark.parametrize("n", (1, 2, 3))
+def test_walks_between_places_are_those_between_points(spark, n):
+    """One, two, three and five points at a place, with places beyond each other's reach."""
+    rows = [("s", 10 * i + j, 0.0, float(x)) for i, (x, k) in enumerate(((0, 1), (1, 2), (2, 3), (3, 1), (4, 5), (9, 1), (20, 2), (30, 3))) for j in range(k)]
+    p = spark.createDataFrame(rows, "site string, id long, y double, x double")
+    want = graph.n_step(graph.radius_distance(p, 1.0, ("y", "x")), n)
+    got = graph.n_step_within(p, 1.0, n, ("y", "x"))
+    assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted(map(tuple, want.select("src", "dst").collect()))
