@@ -489,3 +489,17 @@ def test_walks_between_places_are_those_between_points(spark, n):
     want = graph.n_step(graph.radius_distance(p, 1.0, ("y", "x")), n)
     got = graph.n_step_within(p, 1.0, n, ("y", "x"))
     assert sorted(map(tuple, got.select("src", "dst").collect())) == sorted(map(tuple, want.select("src", "dst").collect()))
+
+
+def test_masked_shares_between_places(spark):
+    """Shares of a pair of places hold for all their points, as samples counted one by one give them."""
+    rows = [("s", i, 0.0, float(i % 4), float(i % 3 * 2)) for i in range(24)]
+    p = spark.createDataFrame(rows, "site string, id long, z double, y double, x double")
+    mask = spark.createDataFrame([("s", 0, y, x, 1) for y, x in ((0, 0), (1, 1), (2, 3), (3, 4))], "site string, z int, y int, x int, value int")
+    inside = {(0, 0), (1, 1), (2, 3), (3, 4)}
+    at = {r[1]: r[3:] for r in rows}
+    half_up = lambda v: math.floor(v + 0.5)
+    share = lambda a, b: sum(tuple(half_up(u + (v - u) * (i / 49)) for u, v in zip(a, b)) in inside for i in range(50)) / 50
+    want = {(a, b): share(at[a], at[b]) for a in at for b in at if a != b and math.dist(at[a], at[b]) <= 3}
+    got = {(r["src"], r["dst"]): r["weight"] for r in graph.masked_share_within(p, 3.0, mask, axes=("y", "x")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-12 for k, v in want.items())
