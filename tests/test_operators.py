@@ -511,3 +511,15 @@ def test_border_distances_of_a_roi_without_background(spark):
     v = spark.createDataFrame(rows, "roi string, z int, y int, x int, label int")
     got = registry.queries()["v07_border_distance_grown"].func(spark, "", volume=lambda *_: v)
     assert {tuple(r) for r in got.collect()} == {("a", z, 0, 0, float(z * z)) for z in range(3)}
+
+
+def test_correlations_alone_shuffle_voxels_not_pairs(spark):
+    """Pearson's coefficient needs sums alone; constant channels and single voxels have none, pairs without common voxels no row."""
+    v = spark.createDataFrame([("s", 0, 0, x, 1 + (x == 5)) for x in range(6)], "roi string, z int, y int, x int, label int")
+    values = [(c, x, f(x)) for c, f in (("a", lambda x: 1e9 + x), ("b", lambda x: float(x * x)), ("d", lambda x: 7.0)) for x in range(6)] + [("e", 5, 1.0)]
+    images = spark.createDataFrame([("s", c, 0, 0, x, float(u)) for c, x, u in values], "roi string, c string, z int, y int, x int, value double")
+    out = hoods.batch_correlations(v, images, keep=["PearsonR"])
+    assert "Window" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["label"], r["c0"], r["c1"]): r["PearsonR"] for r in out.collect()}
+    assert abs(got[(1, "a", "b")] - np.corrcoef([0, 1, 2, 3, 4], [0, 1, 4, 9, 16])[0, 1]) < 1e-9
+    assert got[(1, "a", "d")] is None and got[(2, "a", "b")] is None and (1, "a", "e") not in got and (2, "a", "e") in got
